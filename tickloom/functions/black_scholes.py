@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Published coefficients, highest power first.
 HART_NUMERATOR = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165,
@@ -176,7 +177,7 @@ def solve_implied_vol(px, s, k, t, r, call, low=0.001, high=5.0, tol=1e-8, steps
         return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def implied_vol_udf(px: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series,
                     call: pd.Series) -> pd.Series:
     args = [x.to_numpy(dtype="float64", na_value=np.nan) for x in (px, s, k, t, r)]

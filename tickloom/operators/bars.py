@@ -25,7 +25,9 @@ def _ohlcv(first_key: Column, last_key: Column) -> list[Column]:
 
 
 def bucket(ts, minutes: int) -> Column:
-    return F.window(ts, f"{minutes} minutes")["start"]
+    """Start of the bar that holds ``ts`` (``minutes`` divides an hour); keeps the timestamp type."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    return t - F.make_dt_interval(mins=F.minute(t) % minutes, secs=F.extract(F.lit("second"), t))
 
 
 def resample(ticks: DataFrame, freqs: list[str] | None = None, ts: str = "ts",

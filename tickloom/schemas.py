@@ -5,51 +5,58 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+_SIMPLE = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
+           "date": T.DateType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+           "money": T.DecimalType(20, 4)}
 
 
-MONEY = "decimal(20,4)"
+def struct_of(spec: str) -> T.StructType:
+    """``"name type, ..."`` of simple types to a StructType (usable before a session exists)."""
+    fields = [part.split() for part in spec.split(",")]
+    return T.StructType([T.StructField(name, _SIMPLE[kind]) for name, kind in fields])
 
-DAILY_QUOTES = _struct(
+
+MONEY = "money"
+
+DAILY_QUOTES = struct_of(
     "exchange string, contract_code string, trade_date date, open double, high double, "
     "low double, close double, settle double, prev_settle double, volume bigint, "
     "turnover double, open_interest bigint, daily_change double, daily_change_pct double, "
     "amplitude double, source string")
 
-MINUTE_QUOTES = _struct(
+MINUTE_QUOTES = struct_of(
     "exchange string, contract_code string, trade_date date, trade_time string, "
     "frequency string, open double, high double, low double, close double, volume bigint, "
     "turnover double, open_interest bigint, vwap double, source string")
 
-POSITION_DETAIL = _struct(
+POSITION_DETAIL = struct_of(
     "exchange string, trade_date date, contract_code string, product string, "
     "member_name string, rank int, long_volume bigint, short_volume bigint, "
     "long_change bigint, short_change bigint")
 
-CONTRACT_INFO = _struct(
+CONTRACT_INFO = struct_of(
     "contract_code string, exchange_code string, product_code string, contract_type string, "
     "underlying_contract string, strike_price double, listing_date date, "
     "last_trade_date date, delivery_date date, expiry_date date, delisting_date date, "
     "multiplier double, tick_size double, status string")
 
-TRADES = _struct(
+TRADES = struct_of(
     "id bigint, account_id string, trade_date date, instrument string, exchange string, "
     "product string, direction string, offset_flag string, volume bigint, price double, "
     "commission double, premium double, total_pnl double, turnover double")
 
-BILLS = _struct(
+BILLS = struct_of(
     f"id bigint, account_id string, bill_date_start date, bill_date_end date, "
     f"balance_bf {MONEY}, balance_cf {MONEY}, deposit_withdrawal {MONEY}, "
     f"realized_pl {MONEY}, mtm_pl {MONEY}, exercise_pl {MONEY}, commission {MONEY}, "
     f"premium_received {MONEY}, premium_paid {MONEY}, client_equity {MONEY}, "
     f"fund_available {MONEY}, margin_occupied {MONEY}")
 
-FUND_FLOWS = _struct(
+FUND_FLOWS = struct_of(
     f"bill_id bigint, trade_date date, flow_type string, amount {MONEY}, symbol string, "
     f"description string")
 
-TICK = _struct(
+TICK = struct_of(
     "symbol string, exchange string, asset_type string, timestamp bigint, open double, "
     "high double, low double, close double, volume bigint, open_interest bigint, "
     "pre_close double, bid_price1 double, bid_volume1 bigint, ask_price1 double, "
@@ -59,11 +66,11 @@ TICK = _struct(
     "days_to_expiry int, theoretical_price double, data_source string, is_backfill boolean, "
     "data_quality string")
 
-TRADING_HOURS_TEMPLATE = _struct(
-    "template_id string, exchange_code string, product_type string, "
-    "normal_schedule array<struct<start:string,end:string>>, "
-    "night_schedule array<struct<start:string,end:string>>, "
-    "pre_open struct<start:string,end:string>, pre_close struct<start:string,end:string>")
+SESSION = struct_of("start string, end string")
+TRADING_HOURS_TEMPLATE = T.StructType([
+    *struct_of("template_id string, exchange_code string, product_type string").fields,
+    T.StructField("normal_schedule", T.ArrayType(SESSION)), T.StructField("night_schedule", T.ArrayType(SESSION)),
+    T.StructField("pre_open", SESSION), T.StructField("pre_close", SESSION)])
 
 # Keys define what "same row" means for upserts and de-duplication.
 KEYS = {
