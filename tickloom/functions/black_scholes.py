@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,16 +33,19 @@ def _horner(x: Column, coefficients: list[float]) -> Column:
     return acc
 
 
-def norm_cdf(x: Column) -> Column:
+def lower_tail(x: Column) -> Column:
+    """Probability beyond |x| on one side."""
     a = F.abs(x)
     e = F.exp(-a * a / F.lit(2.0))
     core = e * _horner(a, HART_NUMERATOR) / _horner(a, HART_DENOMINATOR)
     tail = a + F.lit(0.65)
     for k in (4.0, 3.0, 2.0, 1.0):
         tail = a + F.lit(k) / tail
-    lower = F.when(a > 37, F.lit(0.0)).when(a < HART_SPLIT, core) \
-             .otherwise(e / tail / F.lit(SQRT_2PI))
-    return F.when(x > 0, F.lit(1.0) - lower).otherwise(lower)
+    return F.when(a > 37, F.lit(0.0)).when(a < HART_SPLIT, core).otherwise(e / tail / F.lit(SQRT_2PI))
+
+
+def norm_cdf(x: Column) -> Column:
+    return F.when(x > 0, F.lit(1.0) - lower_tail(x)).otherwise(lower_tail(x))
 
 
 def norm_pdf(x: Column) -> Column:
@@ -55,49 +58,64 @@ def is_call(option_type) -> Column:
     return F.upper(F.substring(t, 1, 1)) == "C"
 
 
-def _terms(s, k, t, r, sigma):
-    sqrt_t = F.sqrt(t)
-    d1 = (F.log(s / k) + (r + sigma * sigma * F.lit(0.5)) * t) / (sigma * sqrt_t)
-    d2 = d1 - sigma * sqrt_t
-    return d1, d2, sqrt_t, k * F.exp(-r * t)
-
-
 def _cols(*names):
     return [F.col(n) if isinstance(n, str) else (n if isinstance(n, Column) else F.lit(float(n)))
             for n in names]
 
 
-def price(spot, strike, years, rate, sigma, option_type) -> Column:
-    """Black-Scholes value; intrinsic when any input is not positive."""
+TERMS = ["_st", "_kd", "_d1", "_d2", "_l1", "_l2", "_n1", "_n2", "_m1", "_m2"]
+
+
+def _with_terms(df: DataFrame, spot, strike, years, rate, sigma) -> DataFrame:
+    """Shared Black-Scholes terms as columns, one small projection per step.
+
+    Each step refers to finished columns, which keeps the generated code far below the method size
+    limit; a single nested expression would repeat d1 dozens of times and fall out of codegen.
+    """
     s, k, t, r, v = _cols(spot, strike, years, rate, sigma)
+    ok = (t > 0) & (v > 0) & (s > 0) & (k > 0)
+    df = df.withColumn("_st", F.when(ok, F.sqrt(t))).withColumn("_kd", F.when(ok, k * F.exp(-r * t)))
+    df = df.withColumn("_d1", F.when(ok, (F.log(s / k) + (r + v * v * F.lit(0.5)) * t) / (v * F.col("_st"))))
+    df = df.withColumn("_d2", F.col("_d1") - v * F.col("_st"))
+    df = df.withColumn("_l1", lower_tail(F.col("_d1"))).withColumn("_l2", lower_tail(F.col("_d2")))
+    one = F.lit(1.0)
+    return df.withColumns({
+        "_n1": F.when(F.col("_d1") > 0, one - F.col("_l1")).otherwise(F.col("_l1")),
+        "_n2": F.when(F.col("_d2") > 0, one - F.col("_l2")).otherwise(F.col("_l2")),
+        "_m1": F.when(F.col("_d1") > 0, F.col("_l1")).otherwise(one - F.col("_l1")),
+        "_m2": F.when(F.col("_d2") > 0, F.col("_l2")).otherwise(one - F.col("_l2"))})
+
+
+def with_price(df: DataFrame, spot="spot_price", strike="strike", years="years", rate=0.02, sigma="iv",
+               option_type="option_type", out: str = "model_price") -> DataFrame:
+    """Black-Scholes value; intrinsic when any input is not positive."""
+    s, k = _cols(spot, strike)
     call = is_call(option_type)
-    intrinsic = F.when(call, F.greatest(s - k, F.lit(0.0))) \
-                 .otherwise(F.greatest(k - s, F.lit(0.0)))
-    bad = (t <= 0) | (v <= 0) | (s <= 0) | (k <= 0)
-    d1, d2, _, disc = _terms(s, k, t, r, v)
-    model = F.when(call, s * norm_cdf(d1) - disc * norm_cdf(d2)) \
-             .otherwise(disc * norm_cdf(-d2) - s * norm_cdf(-d1))
-    return F.when(bad, intrinsic).otherwise(model)
+    intrinsic = F.greatest(F.when(call, s - k).otherwise(k - s), F.lit(0.0))
+    model = F.when(call, s * F.col("_n1") - F.col("_kd") * F.col("_n2")) \
+             .otherwise(F.col("_kd") * F.col("_m2") - s * F.col("_m1"))
+    return _with_terms(df, spot, strike, years, rate, sigma) \
+        .withColumn(out, F.coalesce(model, intrinsic)).drop(*TERMS)
 
 
-def greeks(spot, strike, years, rate, sigma, option_type) -> dict[str, Column]:
+def with_greeks(df: DataFrame, spot="spot_price", strike="strike", years="years", rate=0.02, sigma="iv",
+                option_type="option_type") -> DataFrame:
     """delta, gamma, theta (per day), vega, rho; null when the tenor or sigma is too small."""
-    s, k, t, r, v = _cols(spot, strike, years, rate, sigma)
-    call = is_call(option_type)
-    ok = (t > 1e-6) & (v > 0) & (s > 0) & (k > 0)
-    d1, d2, sqrt_t, disc = _terms(s, k, t, r, v)
-    pdf = norm_pdf(d1)
-    decay = -(s * pdf * v) / (F.lit(2.0) * sqrt_t)
-    carry = r * disc
+    s, t, r, v = _cols(spot, years, rate, sigma)
+    call, st, kd = is_call(option_type), F.col("_st"), F.col("_kd")
+    ok = t > 1e-6
+    pdf = F.col("_pdf")
+    decay = -(s * pdf * v) / (F.lit(2.0) * st)
     out = {
-        "delta": F.when(call, norm_cdf(d1)).otherwise(norm_cdf(d1) - F.lit(1.0)),
-        "gamma": pdf / (s * v * sqrt_t),
-        "theta": F.when(call, decay - carry * norm_cdf(d2))
-                  .otherwise(decay + carry * norm_cdf(-d2)) / F.lit(365.0),
-        "vega": s * pdf * sqrt_t,
-        "rho": F.when(call, t * disc * norm_cdf(d2)).otherwise(-t * disc * norm_cdf(-d2)),
+        "delta": F.when(call, F.col("_n1")).otherwise(F.col("_n1") - F.lit(1.0)),
+        "gamma": pdf / (s * v * st),
+        "theta": F.when(call, decay - r * kd * F.col("_n2")).otherwise(decay + r * kd * F.col("_m2")) / F.lit(365.0),
+        "vega": s * pdf * st,
+        "rho": F.when(call, t * kd * F.col("_n2")).otherwise(-t * kd * F.col("_m2")),
     }
-    return {name: F.when(ok, expr) for name, expr in out.items()}
+    return _with_terms(df, spot, strike, years, rate, sigma).withColumn("_pdf", norm_pdf(F.col("_d1"))) \
+        .withColumns({name: F.when(ok & F.col("_d1").isNotNull(), expr) for name, expr in out.items()}) \
+        .drop(*TERMS, "_pdf")
 
 
 # --------------------------------------------------------------------------

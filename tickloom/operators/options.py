@@ -277,11 +277,10 @@ def daily_iv(minutes: DataFrame, spots: DataFrame, contracts: DataFrame,
     solved = priced.withColumn("iv", bs.implied_vol("option_price", "spot_price", "strike", "years",
                                                     rate, "option_type")) \
                    .filter((F.col("iv") > 0) & (F.col("iv") <= 5.0))
-    g = bs.greeks("spot_price", "strike", "years", rate, "iv", "option_type")
-    return solved.select("trade_date", "contract_code", "underlying", "option_type", "strike",
-                         "expire_date", "iv", *[g[n].alias(n) for n in ("delta", "gamma", "theta", "vega", "rho")],
-                         "option_price", F.col("spot_price").alias("underlying_price"),
-                         F.lit(rate).alias("risk_free_rate"), F.lit(source).alias("source"))
+    return bs.with_greeks(solved, rate=rate).select(
+        "trade_date", "contract_code", "underlying", "option_type", "strike", "expire_date", "iv",
+        "delta", "gamma", "theta", "vega", "rho", "option_price", F.col("spot_price").alias("underlying_price"),
+        F.lit(rate).alias("risk_free_rate"), F.lit(source).alias("source"))
 
 
 def greeks_daily(iv_rows: DataFrame) -> DataFrame:
@@ -299,12 +298,12 @@ def greeks_daily(iv_rows: DataFrame) -> DataFrame:
 def price_chain(chain: DataFrame, rate: float = RISK_FREE_RATE, sigma: str = "iv") -> DataFrame:
     years = S.years_to_expiry("trade_date", "expire_date")
     rows = chain.withColumn("years", F.coalesce(years, F.lit(0.0)))
-    return rows.withColumn("model_price", bs.price("spot_price", "strike", "years", rate, sigma, "option_type"))
+    return bs.with_price(rows, rate=rate, sigma=sigma)
 
 
 def chain_greeks(chain: DataFrame, rate: float = RISK_FREE_RATE, sigma: str = "iv") -> DataFrame:
     rows = chain.withColumn("years", S.years_to_expiry("trade_date", "expire_date"))
-    return rows.withColumns(bs.greeks("spot_price", "strike", "years", rate, sigma, "option_type"))
+    return bs.with_greeks(rows, rate=rate, sigma=sigma)
 
 
 def option_features(chain: DataFrame, spots: DataFrame) -> DataFrame:

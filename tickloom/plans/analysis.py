@@ -33,7 +33,7 @@ w AS (SELECT underlying, trade_date, count(*) OVER x AS n, (close - first_value(
              CAST(sum(volume) OVER (PARTITION BY underlying ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS BIGINT) AS sum_volume_10d, round(avg(volume) OVER x, 2) AS avg_volume_20d
       FROM j WINDOW x AS (PARTITION BY underlying ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT underlying, trade_date, CASE WHEN ret > 3 THEN 'trend_up' WHEN ret < -3 THEN 'trend_down' WHEN amp > 5 AND ivc > 10 THEN 'high_vol' WHEN amp < 2 AND ivc < -5 THEN 'low_vol' ELSE 'neutral' END AS env_type,
-       round(ret, 2) AS ret_20d, round(amp, 2) AS amplitude_20d, round(ivc, 2) AS iv_change_pct, sum_volume_10d, avg_volume_20d FROM w WHERE n >= 5""")
+       round(ret, 2) + 0e0 AS ret_20d, round(amp, 2) AS amplitude_20d, round(ivc, 2) + 0e0 AS iv_change_pct, sum_volume_10d, avg_volume_20d FROM w WHERE n >= 5""")
 def environment(f):
     return an.market_environment(f.underlying_daily, opt.average_iv(f.chain))
 

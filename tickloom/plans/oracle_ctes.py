@@ -190,7 +190,7 @@ SELECT trade_date, contract_code,
        CASE WHEN vol > 0.03 THEN 'volatile' WHEN trend > 0.01 THEN CASE WHEN close > c0 THEN 'trending_up' ELSE 'trending_down' END ELSE 'range' END AS regime_type,
        round(trend, 4) AS trend_strength, round(vol, 4) AS volatility_level, round(vt, 3) AS volume_trend,
        CASE WHEN vol > 0.025 THEN 'high_iv' WHEN vol < 0.01 THEN 'low_iv' WHEN close > c5 THEN 'rising_iv' ELSE 'falling_iv' END AS iv_regime,
-       round(least(1.0, trend * 2 + (1.0 - vol) * 0.5), 3) AS regime_score
+       round(least(1.0, trend * 2 + (1.0 - vol) * 0.5), 3) + 0e0 AS regime_score
 FROM (SELECT *, abs(sma - lma) / lma AS trend, atr / lma AS vol, CAST(v2 AS DOUBLE) / v1 AS vt FROM regime_metrics) r""",
     "hv": """
 SELECT underlying, trade_date, close,
@@ -257,8 +257,35 @@ def _needs(sql: str) -> list[str]:
     return [n for n in CTES if re.search(rf"\b{n}\b", sql)]
 
 
+def decimal_rounding(sql: str) -> str:
+    """Write every ``round(x, n)`` as a decimal rounding.
+
+    DuckDB rounds a double by scaling it in binary, Spark rounds its decimal representation half
+    away from zero; on ties such as 2.675 they differ. Rounding the printed value as a DECIMAL is
+    the same rule in both.
+    """
+    out, i = [], 0
+    for hit in iter(lambda: re.search(r"\bround\(", sql[i:]), None):
+        start = i + hit.start()
+        depth, comma, j = 1, -1, i + hit.end()
+        while depth:
+            ch = sql[j]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                comma = j
+            j += 1
+        inner = decimal_rounding(sql[i + hit.end():comma])
+        out.append(f"{sql[i:start]}CAST(round(CAST(CAST(({inner}) AS VARCHAR) AS DECIMAL(38,20)),{sql[comma + 1:j - 1]}) AS DOUBLE)")
+        i = j
+    return "".join(out) + sql[i:]
+
+
 def with_ctes(sql: str) -> str:
     """Prefix a query with the CTEs it refers to, dependencies first."""
+    return decimal_rounding(_with_ctes(sql))
+
+
+def _with_ctes(sql: str) -> str:
     order: list[str] = []
 
     def visit(text: str, stack: tuple[str, ...] = ()):

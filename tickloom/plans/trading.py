@@ -82,7 +82,7 @@ def performance(f):
 
 @query("performance_rollup", "D19", """
 SELECT CAST(year(close_date) AS BIGINT) AS close_year, CAST(quarter(close_date) AS BIGINT) AS close_quarter, CAST(month(close_date) AS BIGINT) AS close_month,
-       count(*) AS trades, CAST(sum(CASE WHEN net_pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CAST(net_pnl AS DECIMAL(18,6))) AS DOUBLE) AS total_pnl
+       count(*) AS trades, CAST(sum(CASE WHEN net_pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CAST(round(net_pnl, 6) AS DECIMAL(18,6))) AS DOUBLE) AS total_pnl
 FROM matched_trades GROUP BY ROLLUP (year(close_date), quarter(close_date), month(close_date))""")
 def rollup(f):
     p = trading.trade_performance(trading.match_trades(f.trades)).withColumn("net_pnl", F.col("net_pnl").cast("decimal(18,6)"))
@@ -92,7 +92,7 @@ def rollup(f):
 
 
 @query("matched_stats_top20", "D18", """
-SELECT instrument, count(*) AS trades, round(CAST(sum(CAST(net_pnl AS DECIMAL(18,6))) AS DOUBLE), 3) AS net_pnl FROM matched_trades
+SELECT instrument, count(*) AS trades, round(CAST(sum(CAST(round(net_pnl, 6) AS DECIMAL(18,6))) AS DOUBLE), 3) AS net_pnl FROM matched_trades
 GROUP BY instrument ORDER BY count(*) DESC, instrument LIMIT 20""")
 def stats(f):
     m = trading.match_trades(f.trades).withColumn("net_pnl", F.col("net_pnl").cast("decimal(18,6)"))
