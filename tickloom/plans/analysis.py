@@ -158,7 +158,9 @@ def signals_triggered(f):
     return an.trigger_signals(sig, entries)
 
 
-@query("analysis_pipeline", "K17")
+@query("analysis_pipeline", "K17", """
+SELECT CASE WHEN net_volume > 0 THEN 'entry_long' ELSE 'entry_short' END AS signal_type, count(*) AS signals FROM features
+WHERE concentration_score >= 0.001 AND ((net_volume > 0 AND net_change > 0) OR (net_volume < 0 AND net_change < 0)) GROUP BY 1""")
 def pipeline(f):
     out = an.analysis_pipeline(f.positions, f.daily_quotes, 0.001)
     return out["signals"].groupBy("signal_type").agg(F.count(F.lit(1)).alias("signals"))

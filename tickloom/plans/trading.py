@@ -53,7 +53,17 @@ def fifo(f):
                     "close_premium", "price_pnl")
 
 
-@query("fifo_matched_in_time_order", "K01")
+CAUSAL_SQL = """
+WITH r AS (SELECT *, sum(CASE WHEN offset_flag = 'open' THEN volume ELSE 0 END) OVER w AS o, sum(CASE WHEN offset_flag = 'open' THEN 0 ELSE volume END) OVER w AS c
+           FROM legs WINDOW w AS (PARTITION BY instrument, side ORDER BY trade_date, id ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, greatest(max(c - o) OVER (PARTITION BY instrument, side ORDER BY trade_date, id ROWS UNBOUNDED PRECEDING), 0) AS lost,
+             greatest(coalesce(max(c - o) OVER (PARTITION BY instrument, side ORDER BY trade_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS lost0 FROM r),
+e AS (SELECT id, instrument, side, offset_flag, CASE WHEN offset_flag = 'open' THEN o - volume ELSE c - volume - lost0 END AS lo, CASE WHEN offset_flag = 'open' THEN o ELSE c - lost END AS hi FROM p)
+SELECT a.instrument, a.side AS open_direction, a.id AS open_trade_id, b.id AS close_trade_id, CAST(least(a.hi, b.hi) - greatest(a.lo, b.lo) AS BIGINT) AS open_volume
+FROM e a JOIN e b ON b.instrument = a.instrument AND b.side = a.side AND a.offset_flag = 'open' AND b.offset_flag <> 'open' AND b.lo < b.hi AND a.lo < b.hi AND b.lo < a.hi"""
+
+
+@query("fifo_matched_in_time_order", "K01", CAUSAL_SQL)
 def fifo_causal(f):
     m = trading.match_trades(f.trades, enforce_time_order=True)
     return m.select("instrument", "open_direction", "open_trade_id", "close_trade_id", "open_volume")
