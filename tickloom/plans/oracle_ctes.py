@@ -111,7 +111,7 @@ FROM open_days""",
     "metrics": "SELECT event_type AS metric_name, ts, value, event_id AS id FROM events",
     "raw_ticks": """
 SELECT event_id AS id, 'U' || user_id AS symbol, ts, CAST(ts AS DATE) AS trade_date, event_type AS data_source,
-       epoch_ms(ts) AS "timestamp", epoch_ms(ts) + k * 30 AS arrival_ms, value AS open,
+       epoch_us(ts) // 1000 AS "timestamp", epoch_us(ts) // 1000 + k * 30 AS arrival_ms, value AS open,
        CASE WHEN k % 10 = 0 THEN value - 1 ELSE value END AS high, value AS low, CASE WHEN k % 7 <> 0 THEN value END AS close,
        k AS volume, k / 40e0 AS implied_volatility, (k - 50) / 45e0 AS delta, CASE WHEN k % 2 = 0 THEN 'CALL' ELSE 'PUT' END AS option_type
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) e""",

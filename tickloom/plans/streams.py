@@ -183,7 +183,7 @@ def stream_dedup(f):
 
 @query("stream_tick_gaps", "M04", """
 SELECT 'U' || user_id AS key, prev AS gap_start, t AS gap_end, round((t - prev) / 1e3, 3) AS gap_seconds FROM (
-  SELECT user_id, epoch_ms(ts) AS t, lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) x WHERE t - prev > 5000""")
+  SELECT user_id, epoch_us(ts) // 1000 AS t, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) x WHERE t - prev > 5000""")
 def stream_gaps(f):
     def build(s):
         return tk.stream_gaps(s.withColumn("symbol", F.concat(F.lit("U"), F.col("user_id").cast("string"))), "symbol")
