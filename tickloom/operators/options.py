@@ -172,28 +172,38 @@ def smile_snapshot(chain: DataFrame) -> DataFrame:
     """Per (date, variety, expiry): aligned strike / call IV / put IV arrays, mid-strike ATM IV,
     the all-strike skew ratio and the true out-of-the-money ratio.
 
-    The arrays hold one chain of one expiry, bounded by the strikes an exchange lists.
+    The chain is read once: one row per strike, then one sorted array per expiry from which the
+    rest is computed in place. The array is bounded by the strikes an exchange lists for an expiry.
     """
     keys = ["trade_date", "underlying", "expire_date"]
     rows = chain.filter(F.col("iv").isNotNull() & F.col("strike").isNotNull()
                         & F.col("expire_date").isNotNull())
-    # One row per strike, then three aligned arrays from one sorted list.
-    strikes = iv_surface(rows)
-    grid = strikes.groupBy(*keys).agg(
+    grid = iv_surface(rows).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("strike", "call_iv", "put_iv"))).alias("_grid"),
-        F.min("strike").alias("_lo"), F.max("strike").alias("_hi"),
-        _mean("put_iv").alias("_p"), _mean("call_iv").alias("_c"))
-    mids = strikes.groupBy(*keys).agg(((F.min("strike") + F.max("strike")) / 2).alias("_mid"))
-    atm = atm_pick(rows.join(mids, keys), keys, "_mid")
-    otm = strikes.join(mids, keys).groupBy(*keys).agg(
-        (_mean(F.when(F.col("strike") < F.col("_mid"), F.col("put_iv")))
-         / _mean(F.when(F.col("strike") > F.col("_mid"), F.col("call_iv")))).alias("_otm"))
-    return grid.join(atm, keys, "left").join(otm, keys, "left").select(
+        ((F.min("strike") + F.max("strike")) / 2).alias("_mid"))
+    call_ok = lambda g: F.coalesce(g["call_iv"] > 0, F.lit(False))
+    put_ok = lambda g: F.coalesce(g["put_iv"] > 0, F.lit(False))
+    nearest = F.array_min(F.transform(
+        F.filter("_grid", lambda g: call_ok(g) | put_ok(g)),
+        lambda g: F.struct(F.abs(g["strike"] - F.col("_mid")).alias("gap"), g["strike"].alias("strike"),
+                           F.when(call_ok(g), g["call_iv"]).otherwise(g["put_iv"]).alias("iv"))))
+    puts, calls = F.col("_grid.put_iv"), F.col("_grid.call_iv")
+    otm_puts = F.filter("_grid", lambda g: g["strike"] < F.col("_mid"))["put_iv"]
+    otm_calls = F.filter("_grid", lambda g: g["strike"] > F.col("_mid"))["call_iv"]
+    return grid.select(
         "trade_date", F.col("underlying").alias("variety"), F.col("expire_date").alias("expiry_date"),
-        F.col("_grid.strike").alias("strikes"), F.col("_grid.call_iv").alias("call_iv"),
-        F.col("_grid.put_iv").alias("put_iv"), F.round("atm_iv", 4).alias("atm_iv"),
-        F.round(F.col("_p") / F.col("_c"), 4).alias("skew_ratio_all"),
-        F.round("_otm", 4).alias("skew_ratio_otm"))
+        F.col("_grid.strike").alias("strikes"), calls.alias("call_iv"), puts.alias("put_iv"),
+        F.round(nearest["iv"], 4).alias("atm_iv"),
+        F.round(_array_mean(puts) / _array_mean(calls), 4).alias("skew_ratio_all"),
+        F.round(_array_mean(otm_puts) / F.nullif(_array_mean(otm_calls), F.lit(0.0)), 4).alias("skew_ratio_otm"))
+
+
+def _array_mean(values: Column) -> Column:
+    """Mean of the non-null elements, null when there are none."""
+    kept = F.filter(values, lambda v: v.isNotNull())
+    total = F.aggregate(kept, F.lit(0).cast("decimal(38,12)"),
+                        lambda acc, v: (acc + v.cast("decimal(28,12)")).cast("decimal(38,12)"))
+    return total.cast("double") / F.nullif(F.size(kept), F.lit(0))
 
 
 def _mean(c) -> Column:
@@ -213,12 +223,14 @@ def put_call_ratio(chain: DataFrame, keys: list[str] | None = None) -> DataFrame
     a = chain.groupBy(*keys).agg(
         total("volume", ~call).alias("put_volume"), total("volume", call).alias("call_volume"),
         total("open_interest", ~call).alias("put_oi"), total("open_interest", call).alias("call_oi"))
+    return a.withColumns(_pcr_columns())
+
+
+def _pcr_columns() -> dict[str, Column]:
     ok = (F.col("put_volume") > 0) & (F.col("call_volume") > 0)
-    oi = F.when(F.col("call_oi") > 0, F.round(F.col("put_oi") / F.nullif(F.col("call_oi"), F.lit(0)), 4)) \
-          .otherwise(0.0)
-    return a.withColumn("pcr_volume", F.when(ok, F.round(
-        F.col("put_volume") / F.nullif(F.col("call_volume"), F.lit(0)), 4))) \
-        .withColumn("pcr_oi", F.when(ok, oi))
+    by_volume = F.round(F.col("put_volume") / F.nullif(F.col("call_volume"), F.lit(0)), 4)
+    by_oi = F.when(F.col("call_oi") > 0, F.round(F.col("put_oi") / F.nullif(F.col("call_oi"), F.lit(0)), 4)).otherwise(0.0)
+    return {"pcr_volume": F.when(ok, by_volume), "pcr_oi": F.when(ok, by_oi)}
 
 
 def average_iv(chain: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -228,19 +240,44 @@ def average_iv(chain: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 # ------------------------------------------------------------------ pipelines
 
+def _expiry_months(priced: DataFrame) -> DataFrame:
+    """One pass over a priced chain: best ATM candidate and put / call sums per expiry month."""
+    call = bs.is_call("option_type")
+    usable = (F.col("iv") > 0) & F.col("strike").isNotNull() & F.col("spot_price").isNotNull()
+    rank = F.struct(F.abs(F.col("strike") - F.col("spot_price")).alias("gap"), "strike", "option_type", "contract_code", "iv")
+
+    def total(c, flag):
+        return F.sum(F.when(flag, F.coalesce(F.col(c), F.lit(0))).otherwise(0))
+
+    return priced.groupBy("trade_date", "underlying", F.date_format("expire_date", "yyyy-MM").alias("expiry_month")).agg(
+        F.min(F.when(usable, rank)).alias("best"), F.max("spot_price").alias("spot_price"),
+        total("volume", ~call).alias("put_volume"), total("volume", call).alias("call_volume"),
+        total("open_interest", ~call).alias("put_oi"), total("open_interest", call).alias("call_oi"))
+
+
 def iv_benchmark(chain: DataFrame, spots: DataFrame) -> DataFrame:
     """One benchmark row per (date, variety): ATM IV, spot, HV, spread, skew, term map,
-    percentile, regime and put/call ratios - all as of the row's own date."""
+    percentile, regime and put/call ratios - all as of the row's own date.
+
+    ATM, term structure and put/call sums share one aggregation by expiry month; the ATM contract
+    of the day is the best of the monthly ones.
+    """
     keys = ["trade_date", "underlying"]
-    priced = with_spot(chain, spots)
-    atm = priced.groupBy(*keys).agg(F.max("spot_price").alias("spot_price")) \
-                .join(atm_pick(priced, keys), keys)
+    months = _expiry_months(with_spot(chain, spots))
+    entry = F.when(F.col("best").isNotNull() & F.col("expiry_month").isNotNull(),
+                   F.struct("expiry_month", F.round("best.iv", 4).alias("iv")))
+    day = months.groupBy(*keys).agg(
+        F.min("best").alias("best"), F.max("spot_price").alias("spot_price"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("term_structure"),
+        *[F.sum(c).alias(c) for c in ("put_volume", "call_volume", "put_oi", "call_oi")]) \
+        .filter(F.col("best").isNotNull())
+    ratios = _pcr_columns()
+    day = day.select(*keys, F.col("best.iv").alias("atm_iv"), F.col("best.strike").alias("atm_strike"), "spot_price",
+                     "term_structure", *[c.alias(n) for n, c in ratios.items()])
     hv = historical_volatility(spots, (20, 60))
-    atm = asof_join(atm, hv.select("underlying", F.col("trade_date").alias("hv_date"), "hv_20", "hv_60"),
+    day = asof_join(day, hv.select("underlying", F.col("trade_date").alias("hv_date"), "hv_20", "hv_60"),
                     ["underlying"], "trade_date", "hv_date", ["hv_20", "hv_60"])
-    out = atm.join(skew_25delta(chain).select(*keys, "skew_25delta"), keys, "left") \
-             .join(term_structure_map(priced), keys, "left") \
-             .join(put_call_ratio(chain).select(*keys, "pcr_volume", "pcr_oi"), keys, "left") \
+    out = day.join(skew_25delta(chain).select(*keys, "skew_25delta"), keys, "left") \
              .withColumnRenamed("underlying", "variety")
     out = rolling_percentile(out, "atm_iv", 252, ["variety"], out="iv_percentile_1y")
     return out.select(
