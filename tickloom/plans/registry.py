@@ -18,9 +18,11 @@ class Query:
     plan: Callable[[Frames], DataFrame]
     oracle: str | None
 
-    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self.plan(Frames(spark, sf_dir))
 
+    __call__ = run
+
 
 QUERIES: dict[str, Query] = {}
 

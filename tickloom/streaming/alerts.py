@@ -38,7 +38,7 @@ RULE_SCHEMA = ("name string, metric_name string, condition string, threshold dou
 
 
 def rules_frame(spark: SparkSession, rules: list[AlertRule]) -> DataFrame:
-    return spark.createDataFrame([asdict(r) for r in rules], RULE_SCHEMA)
+    return spark.createDataFrame([{**asdict(r), "threshold": float(r.threshold)} for r in rules], RULE_SCHEMA)
 
 
 def condition_met(value: Column, condition: Column, threshold: Column) -> Column:
