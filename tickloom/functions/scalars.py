@@ -274,3 +274,9 @@ def json_error(checkpoint) -> Column:
 def minute_of_day(time) -> Column:
     t = _c(time)
     return F.substring(t, 1, 2).try_cast("int") * 60 + F.substring(t, 4, 2).try_cast("int")
+
+
+def second_of_day(time) -> Column:
+    """``HH:MM[:SS]`` as a number, which orders and aggregates without string buffers."""
+    t = _c(time)
+    return minute_of_day(t) * 60 + F.coalesce(F.substring(t, 7, 2).try_cast("int"), F.lit(0))

@@ -101,7 +101,7 @@ def with_spot(chain: DataFrame, spots: DataFrame, spot: str = "close") -> DataFr
     """
     days = chain.select("underlying", "trade_date").distinct()
     found = asof_join(days, spots.select("underlying", F.col("trade_date").alias("spot_date"), spot),
-                      ["underlying"], "trade_date", "spot_date", [spot])
+                      ["underlying"], "trade_date", "spot_date", [spot], bounded=True)
     return chain.join(found.select("underlying", "trade_date", F.col(spot).alias("spot_price")),
                       ["underlying", "trade_date"], "left")
 
@@ -129,15 +129,15 @@ def skew_25delta(chain: DataFrame, keys: list[str] | None = None) -> DataFrame:
         .agg((F.sum(F.col("iv").cast("decimal(28,12)")).cast("double") / F.count("iv")).alias("iv"),
              F.count(F.lit(1)).alias("_n"))
     target = F.when(F.col("leg") == "C", 0.25).otherwise(-0.25)
-    pair = F.struct("delta", "iv")
+    below, above = F.when(F.col("delta") <= target, F.col("delta")), F.when(F.col("delta") >= target, F.col("delta"))
     near = legs.groupBy(*keys, "leg").agg(
-        F.max(F.when(F.col("delta") <= target, pair)).alias("lo"),
-        F.min(F.when(F.col("delta") >= target, pair)).alias("hi"),
+        F.max(below).alias("_dlo"), F.max_by("iv", below).alias("_vlo"),
+        F.min(above).alias("_dhi"), F.min_by("iv", above).alias("_vhi"),
         F.sum("_n").alias("_n")).filter(F.col("_n") >= 2)
     t = F.when(F.col("leg") == "C", 0.25).otherwise(-0.25)
-    width = F.col("hi.delta") - F.col("lo.delta")
-    frac = F.when(width == 0, F.lit(0.0)).otherwise((t - F.col("lo.delta")) / F.nullif(width, F.lit(0.0)))
-    near = near.withColumn("_iv", F.col("lo.iv") + frac * (F.col("hi.iv") - F.col("lo.iv")))
+    width = F.col("_dhi") - F.col("_dlo")
+    frac = F.when(width == 0, F.lit(0.0)).otherwise((t - F.col("_dlo")) / F.nullif(width, F.lit(0.0)))
+    near = near.withColumn("_iv", F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo")))
     out = near.groupBy(*keys).agg(F.max(F.when(F.col("leg") == "P", F.col("_iv"))).alias("put_25"),
                                   F.max(F.when(F.col("leg") == "C", F.col("_iv"))).alias("call_25"))
     return out.withColumn("skew_25delta", F.col("put_25") - F.col("call_25"))
@@ -276,7 +276,7 @@ def iv_benchmark(chain: DataFrame, spots: DataFrame) -> DataFrame:
                      "term_structure", *[c.alias(n) for n, c in ratios.items()])
     hv = historical_volatility(spots, (20, 60))
     day = asof_join(day, hv.select("underlying", F.col("trade_date").alias("hv_date"), "hv_20", "hv_60"),
-                    ["underlying"], "trade_date", "hv_date", ["hv_20", "hv_60"])
+                    ["underlying"], "trade_date", "hv_date", ["hv_20", "hv_60"], bounded=True)
     out = day.join(skew_25delta(chain).select(*keys, "skew_25delta"), keys, "left") \
              .withColumnRenamed("underlying", "variety")
     out = rolling_percentile(out, "atm_iv", 252, ["variety"], out="iv_percentile_1y")
@@ -297,7 +297,7 @@ def iv_hv_spread(benchmark: DataFrame) -> DataFrame:
 def last_bar_close(minutes: DataFrame) -> DataFrame:
     """Close of the last bar per contract and day (one partial aggregate, no join back)."""
     return minutes.groupBy("contract_code", "trade_date") \
-                  .agg(F.max_by("close", "trade_time").alias("option_price"))
+                  .agg(F.max_by("close", S.second_of_day("trade_time")).alias("option_price"))
 
 
 def daily_iv(minutes: DataFrame, spots: DataFrame, contracts: DataFrame,
@@ -349,7 +349,7 @@ def option_features(chain: DataFrame, spots: DataFrame) -> DataFrame:
     rows = iv_rank(rolling_percentile(chain, "iv", 252, ["contract_code"]), "iv")
     days = rows.select("underlying", "trade_date").distinct()
     asof = asof_join(days, hv.select("underlying", F.col("trade_date").alias("hv_date"), "hv_5", "hv_10", "hv_20"),
-                     ["underlying"], "trade_date", "hv_date", ["hv_5", "hv_10", "hv_20"])
+                     ["underlying"], "trade_date", "hv_date", ["hv_5", "hv_10", "hv_20"], bounded=True)
     return rows.join(asof.drop("hv_date_asof"), ["underlying", "trade_date"], "left") \
         .withColumn("iv_hv_spread_20", F.round(F.col("iv") - F.col("hv_20"), 4)) \
         .withColumn("volume_oi_ratio", F.col("volume") / F.nullif(F.col("open_interest"), F.lit(0)))

@@ -54,7 +54,9 @@ def prefix_scan(df: DataFrame, keys: list[str], block: list[str], order: list[st
     totals = []
     for s in scans:
         if s.kind == "last":
-            present = F.when(s.value.isNotNull(), F.struct(*order))
+            # A single order column stays a plain value, which keeps this a hash aggregate.
+            at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+            present = F.when(s.value.isNotNull(), at)
             totals.append(F.max_by(s.value, present).alias(f"_total_{s.name}"))
         else:
             totals.append(_aggregate(s.kind, s.value).alias(f"_total_{s.name}"))
