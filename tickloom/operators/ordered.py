@@ -91,7 +91,7 @@ def time_block(ts_col: str, unit: str = "hour") -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str,
-                    fractions: dict[str, float], splits: int = 256) -> DataFrame:
+                    fractions: dict[str, float], splits: int = 64) -> DataFrame:
     """Nearest-rank quantiles ``sorted[int(n * p)]`` per key, exact and without collecting a key.
 
     Values are counted first (hot values collapse to one row), blocked between approximate

@@ -90,8 +90,8 @@ def name_resolution(f):
 
 SIGNAL_SQL = """
 WITH g AS (SELECT f.*, CASE WHEN net_volume > 0 AND net_change > 0 THEN 'entry_long' WHEN net_volume < 0 AND net_change < 0 THEN 'entry_short' END AS st,
-                  r.regime_type FROM features f LEFT JOIN (SELECT contract_code, CAST(date_trunc('month', trade_date) AS DATE) AS m, arg_max(regime_type, trade_date) AS regime_type
-                  FROM (SELECT 'Brand#' || (CAST(substr(contract_code, 2) AS BIGINT) % 25 + 1) AS contract_code, trade_date, regime_type FROM regimes WHERE CAST(substr(contract_code, 2) AS BIGINT) < 25) z GROUP BY ALL) r
+                  r.regime_type FROM features f LEFT JOIN (SELECT contract_code, CAST(date_trunc('month', trade_date) AS DATE) AS m, first(regime_type ORDER BY trade_date DESC, n) AS regime_type
+                  FROM (SELECT 'Brand#' || (CAST(substr(contract_code, 2) AS BIGINT) % 25 + 1) AS contract_code, trade_date, regime_type, CAST(substr(contract_code, 2) AS BIGINT) AS n FROM regimes) z GROUP BY ALL) r
                   ON r.contract_code = f.contract_code AND r.m = f.trade_date WHERE concentration_score >= 0.001)
 SELECT trade_date AS signal_date, contract_code AS product, member_name, st AS signal_type,
        round(least(1.0, concentration_score * 0.5 + abs(net_change) / CAST(greatest(abs(net_volume), 1) AS DOUBLE) * 0.5), 3) AS strength,
@@ -101,9 +101,10 @@ FROM g WHERE st IS NOT NULL AND NOT coalesce((st = 'entry_long' AND regime_type
 
 def _signals(f):
     n = F.substring("contract_code", 2, 20).cast("bigint")
-    reg = an.classify_regimes(f.daily_quotes).filter(n < 25) \
-        .select(F.concat(F.lit("Brand#"), (n % 25 + 1).cast("string")).alias("contract_code"), "trade_date", "regime_type") \
-        .groupBy("contract_code", F.to_date(F.trunc("trade_date", "month")).alias("m")).agg(F.max_by("regime_type", "trade_date").alias("regime_type")) \
+    reg = an.classify_regimes(f.daily_quotes) \
+        .select(F.concat(F.lit("Brand#"), (n % 25 + 1).cast("string")).alias("contract_code"), "trade_date", "regime_type", n.alias("n")) \
+        .groupBy("contract_code", F.to_date(F.trunc("trade_date", "month")).alias("m")) \
+        .agg(F.max_by("regime_type", F.struct("trade_date", -F.col("n"))).alias("regime_type")) \
         .withColumnRenamed("m", "trade_date")
     return an.generate_signals(an.institution_features(f.positions), reg, 0.001)
 

@@ -401,12 +401,14 @@ def top_members(f):
 
 @query("upsert_last_write_wins", "A13 A15", """
 SELECT exchange, contract_code, trade_date, close, volume FROM (
-  SELECT 'EVT' AS exchange, contract_code, trade_date, price AS close, volume,
-         row_number() OVER (PARTITION BY contract_code, trade_date ORDER BY id DESC) AS rn FROM ticks) x WHERE rn = 1""")
+  SELECT exchange, contract_code, trade_date, price AS close, volume, row_number() OVER (PARTITION BY contract_code, trade_date ORDER BY id) AS first_rn,
+         row_number() OVER (PARTITION BY contract_code, trade_date ORDER BY id DESC) AS last_rn FROM ticks) x
+WHERE CASE WHEN trade_date >= DATE '2024-01-10' THEN last_rn = 1 ELSE first_rn = 1 END""")
 def upsert_last(f):
-    rows = f.ticks.select("exchange", "contract_code", "trade_date", F.col("price").alias("close"), "volume", "id")
-    old = rows.filter(F.col("trade_date") < "2024-01-15")
-    return tables.merge_last_wins(old.limit(0).drop("id"), rows, ["exchange", "contract_code", "trade_date"], ["id"])
+    keys = ["exchange", "contract_code", "trade_date"]
+    rows = f.ticks.select(*keys, F.col("price").alias("close"), "volume", "id")
+    stored = rows.groupBy(*keys).agg(F.min_by("close", "id").alias("close"), F.min_by("volume", "id").alias("volume"))
+    return tables.merge_last_wins(stored, rows.filter("trade_date >= date '2024-01-10'"), keys, ["id"])
 
 
 @query("append_first_write_wins", "A16", """
