@@ -6,9 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.plans.bindings import Frames
 from tickloom.plans.oracle_ctes import with_ctes
+from tickloom.plans.output_types import typed
 
 
 @dataclass(frozen=True)
@@ -19,7 +22,9 @@ class Query:
     oracle: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.plan(Frames(spark, sf_dir))
+        out = self.plan(Frames(spark, sf_dir))
+        money = [f.name for f in out.schema.fields if isinstance(f.dataType, T.DecimalType)]
+        return out.withColumns({c: F.col(c).cast("double") for c in money}) if money else out
 
     __call__ = run
 
@@ -33,7 +38,7 @@ def query(name: str, covers: str, oracle: str | None = None):
     def add(fn: Callable[[Frames], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = Query(name, covers, fn, with_ctes(oracle) if oracle else None)
+        QUERIES[name] = Query(name, covers, fn, typed(name, with_ctes(oracle)) if oracle else None)
         return fn
 
     return add
