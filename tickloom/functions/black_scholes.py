@@ -8,13 +8,18 @@ approximations to cumulative normal functions" (Wilmott, 2005).
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Code that runs in Python workers travels with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Published coefficients, highest power first.
 HART_NUMERATOR = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165,
                   33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]

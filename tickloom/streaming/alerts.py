@@ -9,11 +9,13 @@ micro-batch: state moves between micro-batches, and no metric is ever held whole
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,6 +23,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tickloom.operators.ordered import Scan, exact_quantiles, prefix_scan, time_block
 
 
+# Code that runs in Python workers travels with the job, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 @dataclass(frozen=True)
 class AlertRule:
     name: str
