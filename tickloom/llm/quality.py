@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and every character n-gram of a word has a learned vector in a hashed table. A
+Every word and every character n-gram of a word has a learned vector in a hashed table, and so
+has the pair of a word with itself (one vector for all words, so it also holds for unseen ones). A
 document is the mean of all its vectors; a softmax layer over the mean gives the class. Vectors
 and layer are trained together by numpy stochastic gradient descent.
 
@@ -18,6 +19,7 @@ twice for a document with different values teach nothing. Without any labelled r
 from __future__ import annotations
 
 import math
+import operator
 import sys
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -63,12 +65,22 @@ def word_features(word: bytes, s: Settings) -> np.ndarray:
     return (h & np.uint64(s.buckets - 1)).astype(np.int64)
 
 
-def document_features(text: bytes, memo: Names) -> tuple[np.ndarray, np.ndarray]:
+def again(words: list[bytes]) -> int:
+    """Word pairs of a word with itself; all of them share one vector."""
+    return sum(map(operator.eq, words, words[1:]))
+
+
+def again_bucket(s: Settings) -> int:
+    return xxhash.xxh3_64_intdigest(b"2 same") & (s.buckets - 1)
+
+
+def document_features(text: bytes, memo: Names, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and the share of its vectors in each."""
     words = text.split()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.float32)
-    bucket, n = np.unique(np.concatenate([memo[w] for w in words]), return_counts=True)
+    own = [memo[w] for w in words]
+    bucket, n = np.unique(np.concatenate([*own, np.full(again(words), again_bucket(s))]), return_counts=True)
     return bucket, (n / n.sum()).astype(np.float32)
 
 
@@ -143,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = DEFAULT, label_col:
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
             keep = np.flatnonzero(np.isin(doc, wanted.value))
             for part in chunks([batch.take(pa.array(keep))]):
-                rows = [document_features(t, memo) for t in raw_texts(part)]
+                rows = [document_features(t, memo, s) for t in raw_texts(part)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([b.astype(np.int32) for b, _ in rows], pa.list_(pa.int32())),
                      pa.array([w for _, w in rows], pa.list_(pa.float32()))], ["doc_id", "bucket", "share"])
@@ -166,7 +178,7 @@ def _scores(model: Model, weights) -> Callable[[pa.RecordBatch], list[float]]:
         at = word_features(word, s)
         return float(weights[at].sum()), len(at)
 
-    memo = Names(add_up)
+    memo, repeat = Names(add_up), float(weights[again_bucket(s)])
 
     def run(batch: pa.RecordBatch) -> list[float]:
         out = []
@@ -174,7 +186,9 @@ def _scores(model: Model, weights) -> Callable[[pa.RecordBatch], list[float]]:
             words = text.split()
             if words:
                 sums, counts = zip(*map(memo.__getitem__, words), strict=True)
-                out.append(1 / (1 + math.exp(-(sum(sums) / sum(counts) + bias))))
+                n = again(words)
+                odds = (sum(sums) + n * repeat) / (sum(counts) + n) + bias
+                out.append(1 / (1 + math.exp(-odds)) if odds > -700 else 0.0)
             else:
                 out.append(prior)
         return out
