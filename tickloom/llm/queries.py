@@ -41,6 +41,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import embed_dedup
+
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 #: DuckDB twin of op7: the template is restated to count formatted characters.
 ORACLES["op7_chat"] = r"""
 WITH c AS (
