@@ -41,6 +41,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import embed_dedup
