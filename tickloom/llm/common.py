@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import tempfile
@@ -20,6 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Text handled at once inside a task, in bytes; a single longer text is one chunk of its own.
 CHUNK_BYTES = 8 << 20
+#: Members of a bucket that are compared at once.
+BLOCK = 2048
 
 
 def ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
@@ -102,6 +105,12 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished phases now, not when memory happens to run low."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # --- connected components --------------------------------------------------------------------
 
 def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +129,69 @@ def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         label = low
 
 
+def near_pairs(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs with equal key (sorted) and at most ``bits`` differing bits; of a bucket larger
+    than a block, each block's links are found block by block and thinned to a forest."""
+    left, right = [], []
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([start, [len(key)]]))
+    large = size > 64
+    rest = np.repeat(~large, size)
+    at = np.flatnonzero(rest)
+    lag = 1
+    while len(at):
+        at = at[at + lag < len(key)]
+        at = at[key[at] == key[at + lag]]
+        hit = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= bits]
+        left.append(hit)
+        right.append(hit + lag)
+        lag += 1
+    for s, n in zip(start[large], size[large], strict=True):
+        for a in range(s, s + n, BLOCK):
+            for b in range(a, s + n, BLOCK):
+                near = np.bitwise_count(fp[a:min(a + BLOCK, s + n), None] ^ fp[b:min(b + BLOCK, s + n)]) <= bits
+                x, y = np.nonzero(near)
+                x, y = x + a, y + b
+                node, root = forest(x[x < y], y[x < y])
+                left.append(node[node != root])
+                right.append(root[node != root])
+    return np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
+
+
+def bucket_links(bits: int):
+    """Links ``a, b`` inside the buckets of one task. Rows ``key, fp, node`` come sorted by key and
+    stream through: the last bucket of a block of rows waits for the next one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, node = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        held: list[list[np.ndarray]] = []
+
+        def links(upto: int) -> pa.RecordBatch:
+            a, b = near_pairs(key[:upto], fp[:upto], bits)
+            found, root = forest(node[a], node[b])
+            keep = found != root
+            return pa.RecordBatch.from_pydict({"a": found[keep], "b": root[keep]})
+
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node")])
+            if sum(len(h[0]) for h in held) < 1 << 17:
+                continue
+            key, fp, node = (np.concatenate([x, *(h[i] for h in held)]) for i, x in
+                             enumerate((key, fp.view(np.int64), node)))
+            fp, held = fp.view(np.uint64), []
+            upto = int(np.searchsorted(key, key[-1]))
+            if upto:
+                yield links(upto)
+                key, fp, node = key[upto:], fp[upto:], node[upto:]
+        key, fp, node = (np.concatenate([x, *(h[i] for h in held)]) for i, x in
+                         enumerate((key, fp.view(np.int64), node)))
+        fp = fp.view(np.uint64)
+        if len(key):
+            yield links(len(key))
+
+    return run
+
+
 def _local_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one task, folded block by block: what leaves is a forest."""
     left = right = np.empty(0, np.int64)

@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import chunks, components, documents, forest, raw_texts, save
+from tickloom.llm.common import bucket_links, chunks, components, documents, raw_texts, save
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -40,8 +40,6 @@ MAX_BITS = 3
 SEGMENTS = (22, 21, 21)
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-#: Members of a bucket that are compared at once.
-BLOCK = 2048
 
 
 def fingerprint(text: bytes, size: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
@@ -148,66 +146,12 @@ def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": key, "fp": fp[at:][row], "node": node[at:][row]})
 
 
-def near_pairs(key: np.ndarray, fp: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs with equal key (sorted) and at most ``bits`` differing bits; of a bucket larger
-    than a block, each block's links are found block by block and thinned to a forest."""
-    left, right = [], []
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.concatenate([start, [len(key)]]))
-    large = size > 64
-    rest = np.repeat(~large, size)
-    at = np.flatnonzero(rest)
-    lag = 1
-    while len(at):
-        at = at[at + lag < len(key)]
-        at = at[key[at] == key[at + lag]]
-        hit = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= bits]
-        left.append(hit)
-        right.append(hit + lag)
-        lag += 1
-    for s, n in zip(start[large], size[large], strict=True):
-        for a in range(s, s + n, BLOCK):
-            for b in range(a, s + n, BLOCK):
-                near = np.bitwise_count(fp[a:min(a + BLOCK, s + n), None] ^ fp[b:min(b + BLOCK, s + n)]) <= bits
-                x, y = np.nonzero(near)
-                x, y = x + a, y + b
-                node, root = forest(x[x < y], y[x < y])
-                left.append(node[node != root])
-                right.append(root[node != root])
-    return np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
-
-
-def _bucket_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside the buckets of one task; rows come sorted by key, the last bucket of a batch waits."""
-    key, fp, node = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def links(upto: int):
-        a, b = near_pairs(key[:upto], fp[:upto])
-        found, root = forest(node[a], node[b])
-        keep = found != root
-        return pa.RecordBatch.from_pydict({"a": found[keep], "b": root[keep]})
-
-    for batch in batches:
-        got = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node")]
-        key = np.concatenate([key, got[0]])
-        fp = np.concatenate([fp, got[1].view(np.uint64)])
-        node = np.concatenate([node, got[2]])
-        if len(key) < 1 << 17:
-            continue
-        upto = int(np.searchsorted(key, key[-1]))
-        if upto:
-            yield links(upto)
-            key, fp, node = key[upto:], fp[upto:], node[upto:]
-    if len(key):
-        yield links(len(key))
-
-
 def link_classes(prints: DataFrame) -> DataFrame:
     """``fp, component_id`` of every distinct fingerprint of ``prints(doc_id, fp)``."""
     distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprints")
     found = (distinct.where("node is not null").mapInArrow(_key_rows, "key long, fp long, node long")
              .repartition("key").sortWithinPartitions("key", "fp")
-             .mapInArrow(_bucket_links, "a long, b long"))
+             .mapInArrow(bucket_links(MAX_BITS), "a long, b long"))
     label = components(found)
     return distinct.join(label, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
 
