@@ -253,14 +253,14 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns; of each component of near-duplicate lines one line stays."""
-    gone = removals(docs).select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop"))
-    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_doc"))
-                       & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left").drop("_doc", "_hash")
+    gone = removals(docs).select(F.col("doc").alias("__tl_doc"), F.col("text_hash").alias("__tl_hash"), F.col("drop").alias("__tl_drop"))
+    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__tl_doc"))
+                       & (F.xxhash64(F.col("text").cast("string")) == F.col("__tl_hash")), "left").drop("__tl_doc", "__tl_hash")
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             at, chars = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
-            texts, drops = batch.column(at).to_pylist(), batch.column("_drop").to_pylist()
+            texts, drops = batch.column(at).to_pylist(), batch.column("__tl_drop").to_pylist()
             out, count = [], batch.column(chars).to_pylist() if chars >= 0 else []
             for i, (text, drop) in enumerate(zip(texts, drops, strict=True)):
                 if drop:
@@ -273,7 +273,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(out, batch.schema.field(at).type)
             if chars >= 0:
                 columns[chars] = pa.array(count, batch.schema.field(chars).type)
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "_drop"]
+            keep = [i for i, n in enumerate(batch.schema.names) if n != "__tl_drop"]
             yield pa.RecordBatch.from_arrays([columns[i] for i in keep], schema=pa.schema([batch.schema.field(i) for i in keep]))
 
     return joined.mapInArrow(apply, docs.schema)

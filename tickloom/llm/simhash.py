@@ -170,9 +170,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest id (ties: the
     smallest text hash, one row). Rows without an id cannot be told apart and stay."""
-    keep = (classify(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("_hash"))
-            .withColumnRenamed("doc_id", "_doc"))
-    named = docs.where("doc_id is not null").withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    kept = (named.join(keep, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_h") == F.col("_hash")),
-                       "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h"))
+    keep = (classify(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("__tl_least"))
+            .withColumnRenamed("doc_id", "__tl_doc"))
+    named = docs.where("doc_id is not null").withColumn("__tl_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = (named.join(keep, (F.col("doc_id").cast("long") == F.col("__tl_doc")) & (F.col("__tl_hash") == F.col("__tl_least")),
+                       "left_semi").dropDuplicates(["doc_id", "__tl_hash"]).drop("__tl_hash"))
     return kept.unionByName(docs.where("doc_id is null"))
