@@ -55,6 +55,17 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import pii
+
+    out = pii.replace_entities(table(spark, sf_dir, "documents"), "corpus-surrogates-1")
+    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"),
+                      F.array_join(F.transform("entities", lambda e: e["kind"]), ",").alias("kinds"), "text")
+
+
 @query
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import embed_dedup
