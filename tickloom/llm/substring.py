@@ -7,8 +7,9 @@ so every task gives the same name to the same run or pair without a shared dicti
 short symbols may merge, so a symbol depends on few words around it: equal stretches of text have
 equal symbols except within ``CONTEXT`` words of their ends.
 
-Of the symbols inside every window the one with the smallest mixed name is the window's anchor;
-equal windows have equal anchors. Only anchors are shuffled (about one in fifteen words), with the
+Of the symbols inside every window the one with the smallest mixed name is the window's anchor,
+named with the ``CONTEXT`` words on its sides, which every such window holds too; equal windows
+have equal anchors. Only anchors are shuffled (about one in fifteen words), with the
 range of windows they stand for. An anchor name that two documents share reveals a repeat. If the
 whole surroundings of a shared name are equal everywhere, all its windows are repeats of the
 smallest document; else the windows themselves are compared (128 bits of hash over the words), so
@@ -128,6 +129,7 @@ class Shard:
         self.names = np.fromiter((name_of[w] for ws in words for w in ws), np.uint64, int(self.offset[-1]))
         self.doc = np.repeat(np.arange(len(words)), size)
         self.prefix = Prefix(self.names)
+        #: Anchors: name, first and last window start they stand for.
         self.name, self.low, self.high = self._anchors()
 
     def _anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +167,8 @@ class Shard:
             hit = (at < high[fit]) & (masked[np.minimum(at, len(masked) - 1)] == rank[fit])
             own_low = np.where(hit & (own_low < 0), at, own_low)
             own_high = np.where(hit, at, own_high)
-        return name[fit], own_low, own_high
+        # Every window of an anchor holds it with CONTEXT words on each side: these words name it.
+        return self.prefix.of(start[fit] - CONTEXT, end[fit] + CONTEXT), own_low, own_high
 
     def context(self) -> np.ndarray:
         """Hash of all words of an anchor's windows and of where they lie."""
