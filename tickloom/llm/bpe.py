@@ -50,7 +50,7 @@ class WordBpe:
         self.end: str = model.get("end_of_word_suffix") or ""
         self.letters = byte_letters()
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split).findall
+        self.pattern = regex.compile(split).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         marks = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
@@ -89,6 +89,17 @@ class WordBpe:
     def _word_bytes(self, word: str) -> bytes:
         return np.array(self.encode_word(word), "<u4").tobytes()
 
+    def words(self, text: str) -> list[str]:
+        """Pre-split words. Letters and digits too young for the library count as symbols, as they
+        do there; stand-ins keep the pattern from reading them."""
+        young = sorted(set(YOUNG_LETTERS.findall(text))) if not text.isascii() else None
+        if not young:
+            return self.pattern(text)
+        free = (chr(c) for c in range(0xF0000, 0x10FFFE) if chr(c) not in text)
+        swap = dict(zip(young, free, strict=False))
+        back = str.maketrans({v: k for k, v in swap.items()})
+        return [w.translate(back) for w in self.pattern(text.translate(str.maketrans(swap)))]
+
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.words(normalise(text))))
 
@@ -111,16 +122,42 @@ class WordBpe:
         return " ".join(map(self.parts.__getitem__, ids))
 
 
+# Combining marks (and one composition) that are younger than the library's
+# normalisation tables; to it they are plain characters, so nothing is reordered or joined across.
+PLAIN_MARKS = regex.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85"
+    "\U00011070\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U00011938\U0001193d-\U0001193e\U00011943"
+    "\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42"
+    "\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef])")
+# Letters and digits that the pattern module knows and the library does not.
+YOUNG_LETTERS = regex.compile(
+    "[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1"
+    "\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a"
+    "\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda"
+    "\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128"
+    "\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+    "\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
+    "\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479"
+    "\U0003d000-\U0003fc3f]")
+# Capitals younger than this Python's Unicode tables, with their small letters.
+YOUNG_CAPITALS = (
+    {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB,
+     0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)})
+RARE = frozenset(map(chr, YOUNG_CAPITALS))
+
+
 def normalise(text: str) -> str:
-    """NFC, white space to a blank, lower case code point by code point."""
+    """NFC and lower case, code point by code point (no rule for a final sigma)."""
     if text.isascii():
         return text.lower()
-    return lower_each(unicodedata.normalize("NFC", text))
-
-
-def lower_each(text: str) -> str:
-    """Lower case without context rules: a final capital sigma is not special."""
-    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+    if PLAIN_MARKS.search(text):
+        text = "".join(unicodedata.normalize("NFC", part) for part in PLAIN_MARKS.split(text))
+    else:
+        text = unicodedata.normalize("NFC", text)
+    text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+    return text if RARE.isdisjoint(text) else text.translate(YOUNG_CAPITALS)
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
