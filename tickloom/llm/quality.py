@@ -39,13 +39,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 @dataclass(frozen=True)
 class Settings:
     """``buckets`` hashed vectors of ``dim`` numbers; n-grams of ``shortest`` to ``longest`` bytes.
-    ``train_rows`` bounds the labelled rows that the fit reads."""
+    ``train_rows`` bounds the labelled rows that the fit reads, ``steps`` its minibatches."""
 
     buckets: int = 1 << 16
     dim: int = 16
     shortest: int = 3
     longest: int = 3
-    epochs: int = 8
+    steps: int = 800
     rate: float = 0.25
     batch: int = 32
     train_rows: int = 3000
@@ -101,12 +101,11 @@ class Model:
         if len(label):
             self.prior = float((label.sum() + 1) / (len(label) + 2))
             self.bias = np.log(np.array([1 - self.prior, self.prior], np.float32))
-        steps = s.epochs * -(-len(use) // s.batch)
         step = 0
-        for _ in range(s.epochs):
+        while step < s.steps and len(use):
             order = rng.permutation(use)
             for at in range(0, len(order), s.batch):
-                rate = s.rate * (1 - step / steps)
+                rate = s.rate * max(0.0, 1 - step / s.steps)
                 step += 1
                 pick = order[at:at + s.batch]
                 bucket = np.concatenate([rows[i][0] for i in pick])
