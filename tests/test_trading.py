@@ -46,6 +46,18 @@ def test_long_and_short_books_are_separate(spark):
     assert {m.open_direction: (m.price_pnl, m.money_pnl) for m in ms} == {"long": (1000, 10000), "short": (300, 1500)}
 
 
+def test_futures_whose_product_ends_in_c_or_p(spark):
+    ms = matches(spark, [t("IC2503", "buy", "open", 1, 5800, com=10), t("IC2503", "sell", "close", 1, 5900, com=10),
+                         t("PP2505", "sell", "open", 2, 7000), t("PP2505", "buy", "close_today", 2, 6990),
+                         t("AP505", "buy", "open", 1, 100), t("AP505", "sell", "close", 1, 101),
+                         t("P2505", "buy", "open", 1, 8000), t("P2505", "sell", "close", 1, 8002)])
+    assert {m.instrument: (m.is_option, m.money_pnl, m.net_pnl) for m in ms} == {
+        "IC2503": (0, 20000, 19980), "PP2505": (0, 100, 100), "AP505": (0, 10, 10), "P2505": (0, 20, 20)}
+    from tickloom.functions.scalars import is_option
+    frame_ = spark.createDataFrame([("MO2503-C-6500",), ("SR505P6000",), ("m2505-C-3000",), ("CP2505",)], "i string")
+    assert [r[0] for r in frame_.select(is_option("i")).collect()] == [True, True, True, False]
+
+
 def test_option_premiums(spark):
     [c] = matches(spark, [t("MO2503-C-6500", "buy", "open", 1, prem=15000), t("MO2503-C-6500", "sell", "close", 1, prem=18000)])
     assert (c.is_option, c.price_pnl, c.premium_pnl, c.money_pnl) == (1, 0, 3000, 3000)

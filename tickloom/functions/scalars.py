@@ -75,7 +75,8 @@ def product_code(contract, lower: bool = False) -> Column:
 
 
 def is_option(instrument) -> Column:
-    return _c(instrument).rlike(r"[CP][0-9]") | _c(instrument).rlike(r"-[CP]-")
+    """An option has a strike: digits, C or P, digits, with or without dashes (so IC, AP and PP futures are none)."""
+    return _c(instrument).rlike(r"(?i)[0-9]-?[CP]-?[0-9]")
 
 
 def instrument_type(instrument) -> Column:

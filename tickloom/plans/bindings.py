@@ -101,11 +101,12 @@ class Frames:
     # ---------------------------------------------------------------- trades and statements
     @cached_property
     def trades(self) -> DataFrame:
-        e = self.table("events").filter("event_type <> 'signup'")
+        e = self.table("events")
         uid = F.col("user_id")
         ins = F.when(uid % 3 == 0, F.concat(F.lit("MO2405-"), F.when(uid % 2 == 0, "C").otherwise("P"),
                                             F.lit("-"), (uid * 10 + 5000).cast("string"))) \
-               .when(uid % 3 == 1, F.concat(F.lit("rb"), (uid + 2400).cast("string"))) \
+               .when(uid % 3 == 1, F.concat(F.element_at(F.array(*map(F.lit, ("rb", "IC", "PP", "P"))), (uid % 4 + 1).cast("int")),
+                                            (uid + 2400).cast("string"))) \
                .otherwise(F.concat(F.lit("U"), uid.cast("string")))
         v = dec("value")
         k = F.get_json_object("props", "$.k").cast("bigint")
@@ -115,7 +116,8 @@ class Frames:
             F.to_date("ts").alias("trade_date"), ins.alias("instrument"), F.lit("EVT").alias("exchange"),
             F.concat(F.lit("P"), (uid % 3).cast("string")).alias("product"),
             F.when(kind.isin("purchase", "error"), "buy").otherwise("sell").alias("direction"),
-            F.when(kind.isin("purchase", "view"), "open").otherwise("close").alias("offset_flag"),
+            F.when(kind.isin("purchase", "view"), "open").when(kind == "signup", "close_today").otherwise("close")
+             .alias("offset_flag"),
             k.alias("volume"), F.col("value").alias("price"),
             (v * F.lit(Decimal("0.01"))).cast("decimal(18,4)").alias("commission"),
             F.when(uid % 3 == 0, v * 10).otherwise(F.lit(Decimal("0.00"))).cast(MONEY).alias("premium"),

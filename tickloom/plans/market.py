@@ -464,7 +464,7 @@ def copy_verification(f):
 # ------------------------------------------------------------------ scalar functions
 
 @query("code_normalisation", "A11 A12 H15", """
-SELECT id, direction, offset_flag, CASE WHEN direction = 'buy' THEN volume ELSE 0 END AS long_position,
+SELECT id, direction, CASE WHEN offset_flag = 'open' THEN 'open' ELSE 'close' END AS offset_flag, CASE WHEN direction = 'buy' THEN volume ELSE 0 END AS long_position,
        CASE WHEN direction = 'sell' THEN volume ELSE 0 END AS short_position FROM trades""")
 def code_normalisation(f):
     zh = F.when(F.col("direction") == "buy", "买").otherwise("卖")
@@ -489,12 +489,13 @@ def bar_timestamps(f):
 
 
 @query("instrument_attributes", "H03 H04 H05 H07 H09 H10 H11", """
-SELECT instrument, lower(regexp_extract(instrument, '^([A-Za-z]+)', 1)) AS product, regexp_matches(instrument, '[CP][0-9]|-[CP]-') AS is_option,
+SELECT instrument, lower(regexp_extract(instrument, '^([A-Za-z]+)', 1)) AS product, instrument LIKE 'MO%-_-%' AS is_option,
        CASE WHEN starts_with(instrument, 'MO') THEN 'MO' END AS underlying, CASE WHEN starts_with(instrument, 'MO') THEN CASE WHEN instrument LIKE '%-C-%' THEN 'call' ELSE 'put' END END AS option_type,
        CASE WHEN starts_with(instrument, 'MO') THEN CAST(split_part(instrument, '-', 3) AS DOUBLE) END AS strike,
        CASE WHEN starts_with(instrument, 'MO') THEN DATE '2024-05-31' END AS expiry,
        CASE WHEN instrument LIKE '%-C-%' THEN 'CE' WHEN instrument LIKE '%-P-%' THEN 'PE' ELSE '' END AS option_code,
-       CASE WHEN starts_with(instrument, 'MO') THEN 100 WHEN starts_with(instrument, 'rb') THEN 10 ELSE 1 END AS multiplier,
+       CASE WHEN starts_with(instrument, 'MO') THEN 100 WHEN starts_with(instrument, 'rb') THEN 10 WHEN starts_with(instrument, 'IC') THEN 200 WHEN starts_with(instrument, 'PP') THEN 5
+            WHEN starts_with(instrument, 'P') THEN 10 ELSE 1 END AS multiplier,
        max(trade_date - DATE '2023-12-31') AS holding_days, max(year(trade_date) * 100 + quarter(trade_date)) AS period
 FROM trades GROUP BY instrument""")
 def instrument_attributes(f):

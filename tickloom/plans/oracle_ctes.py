@@ -40,16 +40,16 @@ FROM (SELECT 'EX0' AS exchange, CAST(date_trunc('month', l_shipdate) AS DATE) AS
     "trades": """
 SELECT event_id AS id, 'A' || (user_id % 10) AS account_id, CAST(ts AS DATE) AS trade_date,
        CASE user_id % 3 WHEN 0 THEN 'MO2405-' || CASE WHEN user_id % 2 = 0 THEN 'C' ELSE 'P' END || '-' || (user_id * 10 + 5000)
-                        WHEN 1 THEN 'rb' || (user_id + 2400) ELSE 'U' || user_id END AS instrument,
+                        WHEN 1 THEN CASE user_id % 4 WHEN 0 THEN 'rb' WHEN 1 THEN 'IC' WHEN 2 THEN 'PP' ELSE 'P' END || (user_id + 2400) ELSE 'U' || user_id END AS instrument,
        'EVT' AS exchange, 'P' || (user_id % 3) AS product,
        CASE WHEN event_type IN ('purchase', 'error') THEN 'buy' ELSE 'sell' END AS direction,
-       CASE WHEN event_type IN ('purchase', 'view') THEN 'open' ELSE 'close' END AS offset_flag,
+       CASE WHEN event_type IN ('purchase', 'view') THEN 'open' WHEN event_type = 'signup' THEN 'close_today' ELSE 'close' END AS offset_flag,
        CAST(json_extract(props, '$.k') AS BIGINT) AS volume, value AS price,
        CAST(CAST(value AS DECIMAL(18,2)) * 0.01 AS DECIMAL(18,4)) AS commission,
        CAST(CASE WHEN user_id % 3 = 0 THEN CAST(value AS DECIMAL(18,2)) * 10 ELSE 0 END AS DECIMAL(18,2)) AS premium,
        CAST(CAST(value AS DECIMAL(18,2)) - 20 AS DECIMAL(18,2)) AS total_pnl,
        CAST(CAST(value AS DECIMAL(18,2)) * CAST(json_extract(props, '$.k') AS BIGINT) AS DECIMAL(28,2)) AS turnover
-FROM events WHERE event_type <> 'signup'""",
+FROM events""",
     "bill_flows": """
 SELECT o_custkey, CAST(o_orderdate AS DATE) AS d,
        CAST(sum(CASE WHEN o_orderstatus = 'P' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(18,2)) AS dep,
@@ -133,16 +133,16 @@ SELECT *, CASE WHEN offset_flag = 'open' THEN CASE WHEN direction = 'buy' THEN '
                ELSE CASE WHEN direction = 'buy' THEN 'short' ELSE 'long' END END AS side
 FROM trades WHERE volume > 0""",
     "lanes": """
-SELECT *, CAST(sum(volume) OVER (PARTITION BY instrument, side, offset_flag ORDER BY trade_date, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi
+SELECT *, CAST(sum(volume) OVER (PARTITION BY instrument, side, offset_flag = 'open' ORDER BY trade_date, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi
 FROM legs""",
     "matched": """
-SELECT o.instrument, c.exchange, c.product, CASE WHEN regexp_matches(o.instrument, '[CP][0-9]|-[CP]-') THEN 1 ELSE 0 END AS is_option,
+SELECT o.instrument, c.exchange, c.product, CASE WHEN regexp_matches(o.instrument, '[0-9]-[CP]-[0-9]') THEN 1 ELSE 0 END AS is_option,
        o.side AS open_direction, o.id AS open_trade_id, c.id AS close_trade_id, o.trade_date AS open_date, c.trade_date AS close_date,
        o.price AS open_price, c.price AS close_price, o.volume AS ov, c.volume AS cv,
        CAST(o.premium AS DOUBLE) AS op, CAST(c.premium AS DOUBLE) AS cp, CAST(o.commission AS DOUBLE) AS oc, CAST(c.commission AS DOUBLE) AS cc,
        least(o.hi, c.hi) - greatest(o.hi - o.volume, c.hi - c.volume) AS mv,
-       CASE WHEN o.instrument LIKE 'MO%' THEN 100 WHEN o.instrument LIKE 'rb%' THEN 10 ELSE 1 END AS multiplier
-FROM lanes o JOIN lanes c ON c.instrument = o.instrument AND c.side = o.side AND o.offset_flag = 'open' AND c.offset_flag = 'close'
+       CASE WHEN o.instrument LIKE 'MO%' THEN 100 WHEN o.instrument LIKE 'rb%' THEN 10 WHEN o.instrument LIKE 'IC%' THEN 200 WHEN o.instrument LIKE 'PP%' THEN 5 WHEN o.instrument LIKE 'P%' THEN 10 ELSE 1 END AS multiplier
+FROM lanes o JOIN lanes c ON c.instrument = o.instrument AND c.side = o.side AND o.offset_flag = 'open' AND c.offset_flag <> 'open'
  AND o.hi - o.volume < c.hi AND c.hi - c.volume < o.hi""",
     "matched_trades": """
 SELECT *, money_pnl - commission AS net_pnl FROM (
