@@ -2,6 +2,8 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.streaming import alerts, ticks as tk
@@ -44,8 +46,27 @@ def test_rule_conditions(spark):
 
 
 def test_cooldown_suppresses_the_second_alert():
-    st = alerts.RuleState()
-    assert st.step(0.0, True, 0, 60) and not st.step(0.5, True, 0, 60) and st.step(60.0, True, 0, 60)
+    memory = alerts.Memory()
+    assert alerts.firing_points(np.array([0, 5]), np.array([True, True]), 0, 60, memory) == [0]
+    assert alerts.firing_points(np.array([59, 60, 61]), np.array([True, True, True]), 0, 60, memory) == [1]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_firing_points_equal_brute_force_in_any_batches(seed):
+    rnd = random.Random(seed)
+    rule = alerts.AlertRule("r", "m", ">", 30, rnd.choice([0, 10, 40]), rnd.choice([0, 5, 60]))
+    points, t = [], 0
+    for _ in range(120):
+        t += rnd.choice([1, 2, 5, 9, 30])
+        points.append((t, float(rnd.choice([20, 50, 70, 90, 95]))))
+    memory, got, at = alerts.Memory(), [], 0
+    while at < len(points):
+        part = points[at:at + rnd.randint(1, 30)]
+        hits = alerts.firing_points(np.array([p[0] for p in part]), np.array([p[1] > 30 for p in part]),
+                                    rule.duration_seconds, rule.cooldown_seconds, memory)
+        got += [part[h][0] for h in hits]
+        at += len(part)
+    assert got == brute_alerts(points, rule)
 
 
 def test_stream_alerts_equal_brute_force_across_micro_batches(spark, tmp_path):

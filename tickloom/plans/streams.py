@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.plans.registry import query
-from tickloom.session import checkpoint_dir
+from tickloom.session import shared_dir
 from tickloom.streaming import alerts, ticks as tk
 
 TICK_SQL = """
@@ -152,8 +151,7 @@ EVENT_SCHEMA = T.StructType([
 
 def _drain(f, build, mode: str = "append"):
     """Run ``build`` over a stream of the event files until drained and read back its output."""
-    base = checkpoint_dir(f.spark) or tempfile.mkdtemp(prefix="tickloom-stream-")
-    work = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    work = f"{shared_dir(f.spark)}/{uuid.uuid4().hex}"
     stream = tk.file_stream(f.spark, f"{f.sf_dir}/events*.parquet", EVENT_SCHEMA) \
         .withColumn("ts", F.col("ts").cast("timestamp"))
     out = build(stream)

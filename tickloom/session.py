@@ -7,6 +7,7 @@ in what the analytics rely on and never overrides a value already set.
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +23,8 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.legacy.codingErrorAction": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -45,6 +48,16 @@ def local_session(cores: int | None = None, app_name: str = "tickloom") -> Spark
     })
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared checkpoint folder named by the cluster; ``fallback`` only where unset."""
-    return spark.conf.get("spark.checkpoint.dir", fallback)
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset a local session gets a folder of its own; a cluster session gets an error,
+    because no folder of one machine is seen by the others.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tickloom-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

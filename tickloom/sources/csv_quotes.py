@@ -37,15 +37,18 @@ QUOTE_NUMERIC = ["open_price", "high_price", "low_price", "close_price", "settle
                  "strike_price", "delta"]
 QUOTE_TEXT = ["instrument_id", "underlying", "option_type", "contract_month", "expire_date"]
 POSITION_NUMERIC = ["long_volume", "short_volume", "long_change", "short_change"]
-MAX_COLUMNS = 40
+#: A comma with an even number of quotes behind it separates cells.
+SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def _cells(line: Column) -> Column:
-    """CSV line to an array of trimmed cells (quotes handled by the CSV parser)."""
-    spec = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-    row = F.from_csv(line, spec, {"mode": "PERMISSIVE"})
-    cells = F.array(*[row[f"c{i}"] for i in range(MAX_COLUMNS)])
-    return F.transform(cells, lambda c: F.trim(c))
+    """CSV line of any width to an array of trimmed cells; quotes are removed, empty cells are null."""
+    def bare(cell):
+        cell = F.trim(cell)
+        inner = F.regexp_replace(F.regexp_extract(cell, r'(?s)^"(.*)"$', 1), '""', '"')
+        return F.nullif(F.trim(F.when(cell.rlike(r'(?s)^".*"$'), inner).otherwise(cell)), F.lit(""))
+
+    return F.transform(F.split(line, SEPARATOR), bare)
 
 
 def _canonical(header: Column, mapping: dict[str, str], positional: bool) -> Column:
@@ -153,14 +156,14 @@ def read_wide_ranking(spark: SparkSession, path, header_rows: int = 3, pattern:
     texts = read_texts(spark, path, pattern)
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     body = texts.select("file", F.posexplode(lines).alias("pos", "line")).filter(F.col("pos") >= header_rows) \
-                .withColumn("c", _cells(F.col("line"))).filter(F.col("c")[11].isNotNull())
+                .withColumn("c", _cells(F.col("line"))).filter(F.get("c", F.lit(11)).isNotNull())
 
     def n(i):
-        return F.coalesce(F.regexp_replace(F.col("c")[i], ",", "").try_cast("bigint"), F.lit(0))
+        return F.coalesce(F.regexp_replace(F.get("c", F.lit(i)), ",", "").try_cast("bigint"), F.lit(0))
 
     wide = body.select(
-        normalize_date(F.col("c")[0]).alias("trade_date"), F.col("c")[1].alias("contract_code"),
-        n(2).alias("rank"), F.col("c")[3].alias("long_member"), n(4).alias("long_volume"), n(5).alias("long_change"),
-        F.col("c")[6].alias("short_member"), n(7).alias("short_volume"), n(8).alias("short_change")) \
+        normalize_date(F.get("c", F.lit(0))).alias("trade_date"), F.get("c", F.lit(1)).alias("contract_code"),
+        n(2).alias("rank"), F.get("c", F.lit(3)).alias("long_member"), n(4).alias("long_volume"), n(5).alias("long_change"),
+        F.get("c", F.lit(6)).alias("short_member"), n(7).alias("short_volume"), n(8).alias("short_change")) \
         .filter(F.coalesce(F.col("contract_code"), F.lit("")) != "")
     return unpivot_ranking(wide)

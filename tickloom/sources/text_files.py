@@ -1,6 +1,7 @@
 """Reading small text files of mixed encoding, one row per file.
 
-Exchange downloads and broker statements are one small file per day or account, in UTF-8 or GBK.
+Exchange downloads and broker statements are one small file per day or account, in UTF-8, GBK or
+GB18030.
 The file is the unit of decoding and section detection; everything after that is exploded lines.
 """
 
@@ -10,23 +11,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def allow_gbk(spark: SparkSession) -> None:
-    """Spark 4 limits ``decode`` to a few charsets unless this switch is on."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+#: Spark 4 limits ``decode`` to a few charsets, and fails a job on a bad byte, unless these are on.
+DECODE_SETTINGS = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+
+
+def allow_gb18030(spark: SparkSession) -> None:
+    """Turns the switches on where the session does not have them yet (``build_session`` sets them)."""
+    for name in DECODE_SETTINGS:
+        if spark.conf.get(name, "false") != "true":
+            spark.conf.set(name, "true")
 
 
 def decoded(content: Column) -> Column:
-    """Bytes to text: valid UTF-8 as such, everything else as GBK; byte-order mark removed."""
+    """Bytes to text: valid UTF-8 as such, everything else as GB18030, which holds all of GBK;
+    byte-order mark removed. Bytes that are neither become replacement characters."""
     raw = content.cast("string")
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(content, "GBK"))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(content, "GB18030"))
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
 
 
-def read_texts(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    """file, text - one row per file below the path."""
-    allow_gbk(spark)
+def read_all_texts(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+    """file, text, readable - one row per file below the path; one bad file stops no other."""
+    allow_gb18030(spark)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"),
-                                    decoded(F.col("content")).alias("text"))
+                                    decoded(F.col("content")).alias("text")) \
+                 .withColumn("readable", ~F.col("text").contains("\ufffd"))
+
+
+def read_texts(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+    """file, text - of every file that can be decoded."""
+    return read_all_texts(spark, path, pattern).filter("readable").drop("readable")
+
+
+def unreadable_files(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+    """file, error - the error relation: files that are neither UTF-8 nor GB18030."""
+    return read_all_texts(spark, path, pattern).filter("not readable") \
+        .select("file", F.lit("not UTF-8 or GB18030").alias("error"))

@@ -10,10 +10,10 @@ micro-batch: state moves between micro-batches, and no metric is ever held whole
 from __future__ import annotations
 
 import sys
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,56 +81,83 @@ def breach_runs(metrics: DataFrame, rules: DataFrame, block: str = "hour") -> Da
 
 
 @dataclass
-class RuleState:
-    """What one rule remembers between points."""
-
-    started: float | None = None
-    fired: float | None = None
-    window: deque = field(default_factory=deque)
-
-    def step(self, now: float, met: bool, duration: float, cooldown: float) -> bool:
-        """Feed one point in time order; True when the rule fires."""
-        self.window.append((now, met))
-        while self.window and self.window[0][0] < now - duration:
-            self.window.popleft()
-        if self.fired is not None and now - self.fired < cooldown:
-            return False
-        recent = [self.window[-1]] if duration == 0 else self.window
-        if not all(ok for _, ok in recent):
-            self.started = None
-            return False
-        if duration > 0:
-            if self.started is None:
-                self.started = recent[0][0]
-            if now - self.started < duration:
-                return False
-            self.started = None
-        self.fired = now
-        return True
-
-
-ALERT_OUTPUT = "name string, metric_name string, ts timestamp, value double, level string"
-ALERT_STATE = "started double, fired double, times array<double>, flags array<boolean>"
+class Memory:
+    """What a rule carries between micro-batches, in microseconds."""
+
+    fired: int | None = None
+    holding: int | None = None
+    missed: int | None = None
+    recent: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+
+
+def firing_points(times: np.ndarray, met: np.ndarray, duration: int, cooldown: int, memory: Memory) -> list[int]:
+    """Places in a batch of points (in time order) where a rule fires; ``memory`` moves on.
+
+    Points whose whole duration window meets the condition form stretches, found for the batch at
+    once from the last failing point before each. The fold then jumps: from a firing over its
+    cooldown by binary search, and inside a stretch to the point that completes the duration.
+    """
+    low = np.iinfo(np.int64).min
+    known = np.concatenate([memory.recent, times])
+    failing = np.where(met, low if memory.missed is None else memory.missed, times)
+    last_miss = np.maximum.accumulate(failing) if len(times) else failing
+    clear = met & ((last_miss < times - duration) | (last_miss == low)) if duration else met
+    opens = known[np.searchsorted(known, times - duration)]
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], clear, [False]]).astype(np.int8)))
+    found, holding = [], memory.holding
+    ready = 0 if memory.fired is None else int(np.searchsorted(times, memory.fired + cooldown))
+    if ready < len(times) and not clear[ready]:
+        holding = None
+    for start, end in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+        at = max(start, ready)
+        while at < end:
+            since = int(opens[at]) if holding is None else holding
+            hit = max(at, int(np.searchsorted(times, since + duration))) if duration else at
+            if hit >= end:
+                holding = since if end == len(times) else None
+                break
+            found.append(hit)
+            holding = None
+            ready = at = max(hit + 1, int(np.searchsorted(times, int(times[hit]) + cooldown)))
+    if found:
+        memory.fired = int(times[found[-1]])
+    memory.holding = holding
+    if len(times):
+        memory.missed = None if last_miss[-1] == low else int(last_miss[-1])
+        memory.recent = known[np.searchsorted(known, times[-1] - duration):] if duration else known[:0]
+    return found
+
+
+ALERT_STATE = "fired long, holding long, missed long, recent array<long>"
 
 
 def stream_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Stateful evaluation per (rule, metric); only points inside the duration window are kept."""
+    """Stateful evaluation per (rule, metric); only points inside the duration window are kept.
+
+    Rules without a duration need only the points that meet them, so the others are dropped before
+    the shuffle.
+    """
 
-    def run(_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        st = RuleState()
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory = Memory()
         if state.exists:
-            started, fired, times, flags = state.get
-            st = RuleState(started, fired, deque(zip(times, flags)))
-        points = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        hits = [p for p in points.itertuples(index=False)
-                if st.step(p.ts.timestamp(), bool(p.met), p.duration_seconds, p.cooldown_seconds)]
-        state.update((st.started, st.fired, [t for t, _ in st.window], [f for _, f in st.window]))
-        yield pd.DataFrame([(h.name, h.metric_name, h.ts, h.value, h.level) for h in hits],
-                           columns=["name", "metric_name", "ts", "value", "level"])
-
-    rows = evaluated(metrics, rules).withColumn("ts", F.col("ts").cast("timestamp"))
-    return rows.groupBy("name", "metric_name").applyInPandasWithState(
-        run, ALERT_OUTPUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+            fired, holding, missed, recent = state.get
+            memory = Memory(fired, holding, missed, np.asarray(recent, np.int64))
+        points = pd.concat(list(batches)).sort_values("_us", kind="stable")
+        first = points.iloc[0]
+        hits = firing_points(points["_us"].to_numpy(np.int64), points["met"].to_numpy(bool),
+                             int(first.duration_seconds * 1_000_000), int(first.cooldown_seconds * 1_000_000), memory)
+        state.update((memory.fired, memory.holding, memory.missed, memory.recent.tolist()))
+        yield points.iloc[hits][["name", "metric_name", "_us", "value", "level"]]
+
+    rows = evaluated(metrics, rules).filter("met or duration_seconds > 0") \
+        .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))) \
+        .select("name", "metric_name", "_us", "value", "level", "duration_seconds", "cooldown_seconds",
+                F.coalesce("met", F.lit(False)).alias("met"))
+    found = rows.groupBy("name", "metric_name").applyInPandasWithState(
+        run, "name string, metric_name string, _us long, value double, level string", ALERT_STATE, "append",
+        GroupStateTimeout.NoTimeout)
+    return found.select("name", "metric_name", F.timestamp_micros("_us").alias("ts"), "value", "level")
 
 
 # ------------------------------------------------------------------ metric aggregates

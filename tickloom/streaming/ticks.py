@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def snapshot_sink(path: str, buckets: int = 64) -> Callable[[DataFrame, int], No
 
     def write(batch: DataFrame, _epoch: int) -> None:
         rows = latest_snapshot(batch).withColumn("bucket", F.pmod(F.hash("symbol"), F.lit(buckets)))
-        upsert(batch.sparkSession, rows, path, ["symbol"], ["updated_at"], by="bucket")
+        upsert(batch.sparkSession, rows, path, ["symbol"], ["updated_at"], by="bucket", derived_from="symbol", newest=True)
 
     return write
 
@@ -140,41 +141,41 @@ def gaps(ticks: DataFrame, keys: list[str], ts: str = "ts", seconds: float = GAP
     return out.select(*keys, "gap_start", F.col(ts).alias("gap_end"), "gap_seconds")
 
 
-GAP_OUTPUT = "key string, gap_start timestamp, gap_end timestamp, gap_seconds double, open boolean"
-
-
 def stream_gaps(ticks: DataFrame, key: str, ts: str = "ts", seconds: float = GAP_SECONDS,
-                late: str = "2 seconds") -> DataFrame:
+                late: str = "2 seconds", session: tuple[str, str] | None = ("09:00", "15:15")) -> DataFrame:
     """Stateful gap detection: one timestamp of state per key and an event-time timer.
 
     Emits an open gap when the watermark passes last tick + ``seconds`` and the closed gap when the
-    next tick arrives.
+    next tick arrives. As in ``gaps``, a silence counts when it begins inside the session hours.
     """
-    limit = seconds * 1000
+    limit = int(seconds * 1000)
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        out = []
         if state.hasTimedOut:
-            out.append((k[0], pd.Timestamp(last, unit="ms"), None, None, True))
-            state.update((last,))
+            out = [(k[0], last, None)]
         else:
-            stamps = sorted(int(v) for b in batches for v in b["_ms"])
-            for now in stamps:
-                if last is not None and now - last > limit:
-                    out.append((k[0], pd.Timestamp(last, unit="ms"), pd.Timestamp(now, unit="ms"),
-                                (now - last) / 1000.0, False))
-                last = now if last is None else max(last, now)
-            state.update((last,))
-            due = int(last + limit + 1)
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=["key", "gap_start", "gap_end", "gap_seconds", "open"])
+            seen = [np.asarray(b["_ms"], np.int64) for b in batches]
+            stamps = np.unique(np.concatenate([*seen, [] if last is None else [last]]).astype(np.int64))
+            stamps = stamps[stamps >= last] if last is not None else stamps
+            silent = np.flatnonzero(np.diff(stamps) > limit)
+            out = list(zip([k[0]] * len(silent), stamps[silent], stamps[silent + 1], strict=True))
+            last = int(stamps[-1])
+        state.update((last,))
+        due = last + limit + 1
+        if not state.hasTimedOut and due > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(due)
+        yield pd.DataFrame(out, columns=["key", "start_ms", "end_ms"]).astype({"start_ms": "Int64", "end_ms": "Int64"})
 
     rows = ticks.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")) \
                 .withColumn("_ms", F.unix_millis("ts")).withWatermark("ts", late)
-    return rows.groupBy("key").applyInPandasWithState(
-        step, GAP_OUTPUT, "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.groupBy("key").applyInPandasWithState(
+        step, "key string, start_ms long, end_ms long", "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    # Stamps are made from epoch values here, so the session zone of the workers plays no part.
+    out = found.select("key", F.timestamp_millis("start_ms").alias("gap_start"), F.timestamp_millis("end_ms").alias("gap_end"),
+                       ((F.col("end_ms") - F.col("start_ms")) / 1000.0).alias("gap_seconds"),
+                       F.col("end_ms").isNull().alias("open"))
+    return out.filter(F.date_format("gap_start", "HH:mm").between(*session)) if session else out
 
 
 def failovers(validated: DataFrame, ts: str = "ts", seconds: float = GAP_SECONDS) -> DataFrame:
@@ -183,7 +184,7 @@ def failovers(validated: DataFrame, ts: str = "ts", seconds: float = GAP_SECONDS
 
 
 def stream_failovers(validated: DataFrame, ts: str = "ts", seconds: float = GAP_SECONDS) -> DataFrame:
-    return stream_gaps(accepted(validated), "data_source", ts, seconds)
+    return stream_gaps(accepted(validated), "data_source", ts, seconds, session=None)
 
 
 # ------------------------------------------------------------------ metrics and bars
