@@ -276,13 +276,11 @@ def reconcile_totals(status: DataFrame, actual_counts: DataFrame, key: str = "ca
 
 def overview(recorded: DataFrame, actual_counts: DataFrame, complete: DataFrame, missing: DataFrame,
              key: str = "catalog_id") -> DataFrame:
-    """Drift, completeness and the first five missing dates per catalog."""
-    w = Window.partitionBy(key).orderBy("trade_date")
-    first = missing.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 5) \
-        .groupBy(key).agg(F.array_sort(F.collect_list("trade_date")).alias("missing_dates"))
+    """Drift, completeness and all missing dates per catalog."""
+    gaps = missing.groupBy(key).agg(F.array_sort(F.collect_list("trade_date")).alias("missing_dates"))
     return recorded_vs_actual(recorded, actual_counts, key) \
         .join(complete.select(key, "expected_days", "actual_days", "missing_days", "completeness_pct"), key, "left") \
-        .join(first, key, "left")
+        .join(gaps, key, "left")
 
 
 def health_snapshot(quality: DataFrame, complete: DataFrame, sync_tasks: DataFrame, snapshot_date) -> DataFrame:
@@ -359,7 +357,8 @@ def freshness(latest: DataFrame, resolved: DataFrame, ref) -> DataFrame:
     latest: group, series, latest_date. A series with no date is expired.
     """
     # Last trading day strictly before the reference date.
-    anchor = resolved.filter(F.col("is_trading") & (F.col("trade_date") < F.lit(ref).cast("date"))) \
+    ref = ref if isinstance(ref, Column) else F.lit(ref)
+    anchor = resolved.filter(F.col("is_trading") & (F.col("trade_date") < ref.cast("date"))) \
                      .agg(F.max("td_index")).scalar()
     idx = F.broadcast(resolved.select(F.col("trade_date").alias("latest_date"), "td_index", "is_trading"))
     # Inclusive count from the data date to the anchor minus one, never negative.
@@ -380,14 +379,15 @@ def freshness_verdict(fresh: DataFrame, error_group: str = "iv") -> DataFrame:
         F.round(F.count_if(F.col("status") == "ok") / n, 2).alias("healthy_ratio"), n.alias("series_count"))
 
 
-def iv_completeness(iv: DataFrame, last: int = 30, min_contracts: int = 8, min_rate: float = 0.8,
+def iv_completeness(iv: DataFrame, last: int | None = None, min_contracts: int = 8, min_rate: float = 0.8,
                     key: str = "underlying") -> DataFrame:
-    """Contract count and share of usable IV over the latest dates of each underlying."""
+    """Contract count and share of usable IV over the latest ``last`` dates (all by default) of each underlying."""
     per_day = iv.groupBy(key, "trade_date").agg(
         F.count(F.lit(1)).alias("contracts"), F.count_if(F.col("iv") > 0).alias("with_iv"))
-    w = Window.partitionBy(key).orderBy(F.desc("trade_date"))
-    recent = per_day.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last)
-    return recent.groupBy(key).agg(
+    if last is not None:
+        w = Window.partitionBy(key).orderBy(F.desc("trade_date"))
+        per_day = per_day.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last)
+    return per_day.groupBy(key).agg(
         F.count(F.lit(1)).alias("total_dates"),
         F.count_if(F.col("contracts") < min_contracts).alias("incomplete_count"),
         F.count_if(F.col("with_iv") / F.col("contracts") < min_rate).alias("low_iv_count"))

@@ -184,8 +184,10 @@ class Frames:
     # ---------------------------------------------------------------- calendar
     @cached_property
     def days(self) -> DataFrame:
-        span = self.table("orders").agg(F.trunc(F.to_date(F.min("o_orderdate")), "year").alias("a"),
-                                        F.last_day(F.to_date(F.max("o_orderdate"))).alias("b"))
+        """Every day from the first order or shipment to the last one, in whole years and months."""
+        ends = [self.table(t).agg(F.to_date(F.min(c)).alias("a"), F.to_date(F.max(c)).alias("b"))
+                for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]
+        span = ends[0].unionByName(ends[1]).agg(F.trunc(F.min("a"), "year").alias("a"), F.last_day(F.max("b")).alias("b"))
         return span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("trade_date"))
 
     @cached_property

@@ -86,7 +86,8 @@ FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""",
     "days": """
 SELECT CAST(d AS DATE) AS trade_date FROM (
   SELECT unnest(generate_series(date_trunc('year', a), CAST(last_day(CAST(b AS DATE)) AS TIMESTAMP), INTERVAL 1 DAY)) AS d
-  FROM (SELECT CAST(min(o_orderdate) AS TIMESTAMP) AS a, CAST(max(o_orderdate) AS TIMESTAMP) AS b FROM orders) s) t""",
+  FROM (SELECT CAST(min(d) AS TIMESTAMP) AS a, CAST(max(d) AS TIMESTAMP) AS b
+        FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders UNION ALL SELECT CAST(l_shipdate AS DATE) FROM lineitem) u) s) t""",
     "calendar": """
 SELECT trade_date, 'ALL' AS exchange_code, '' AS product_code,
        CASE WHEN isodow(trade_date) >= 6 OR strftime(trade_date, '%m-%d') IN ('01-01', '05-01', '10-01') THEN 1 ELSE 0 END AS is_holiday,

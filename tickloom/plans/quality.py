@@ -109,17 +109,7 @@ LEFT JOIN (SELECT q.catalog_id, count(DISTINCT q.trade_date) AS actual_days FROM
 
 
 def _complete(f):
-    # The calendar ends with the order dates; later quotes are outside it on both sides.
-    return qa.completeness(_catalogs(f), f.catalog_quotes, f.resolved, CAT)
-
-
-def _catalogs(f):
-    last = f.days.agg(F.max("trade_date")).scalar()
-    return f.catalogs.withColumn("latest_date", F.least("latest_date", last))
-
-
-CLAMP = "(SELECT catalog_id, exchange_code, product_code, data_type, earliest_date, least(latest_date, (SELECT max(trade_date) FROM days)) AS latest_date FROM catalogs)"
-COMPLETE_SQL = COMPLETE_SQL.replace("FROM catalogs c\n", f"FROM {CLAMP} c\n").replace("FROM catalogs JOIN", f"FROM {CLAMP} k JOIN")
+    return qa.completeness(f.catalogs, f.catalog_quotes, f.resolved, CAT)
 
 
 @query("catalog_completeness", "L09 C08", COMPLETE_SQL)
@@ -225,13 +215,13 @@ def totals_reconciled(f):
 
 @query("quality_overview", "L12", f"""
 WITH d AS ({DRIFT_SQL}), c AS ({COMPLETE_SQL}),
-m AS (SELECT k.catalog_id, r.trade_date, row_number() OVER (PARTITION BY k.catalog_id ORDER BY r.trade_date) AS rn FROM {CLAMP} k JOIN resolved r ON r.is_trading AND r.trade_date BETWEEN k.earliest_date AND k.latest_date
+m AS (SELECT k.catalog_id, r.trade_date, row_number() OVER (PARTITION BY k.catalog_id ORDER BY r.trade_date) AS rn FROM catalogs k JOIN resolved r ON r.is_trading AND r.trade_date BETWEEN k.earliest_date AND k.latest_date
       WHERE (k.catalog_id, r.trade_date) NOT IN (SELECT (catalog_id, trade_date) FROM catalog_quotes)),
-f AS (SELECT catalog_id, string_agg(CAST(trade_date AS VARCHAR), ',' ORDER BY trade_date) AS missing_dates FROM m WHERE rn <= 5 GROUP BY catalog_id)
+f AS (SELECT catalog_id, string_agg(CAST(trade_date AS VARCHAR), ',' ORDER BY trade_date) AS missing_dates FROM m GROUP BY catalog_id)
 SELECT d.catalog_id, d.drift, d.drift_status, c.expected_days, c.actual_days, c.missing_days, c.completeness_pct, f.missing_dates
 FROM d LEFT JOIN c ON c.catalog_id = d.catalog_id LEFT JOIN f ON f.catalog_id = d.catalog_id""")
 def quality_overview(f):
-    missing = qa.missing_dates(_catalogs(f), f.catalog_quotes, f.resolved, CAT)
+    missing = qa.missing_dates(f.catalogs, f.catalog_quotes, f.resolved, CAT)
     out = qa.overview(_status(f), _counts(f), _complete(f), missing)
     return out.select("catalog_id", "drift", "drift_status", "expected_days", "actual_days", "missing_days", "completeness_pct",
                       F.array_join(F.transform("missing_dates", lambda d: d.cast("string")), ",").alias("missing_dates"))
@@ -248,7 +238,7 @@ FROM q"""
 
 
 def _scores(f):
-    cats = _catalogs(f)
+    cats = f.catalogs
     dim = f.contracts.select("contract_code", "product_code")
     an = qa.daily_anomalies(f.daily_quotes).join(dim, "contract_code").withColumn("catalog_id", F.concat_ws("/", "exchange", "product_code"))
     pos = cats.select("catalog_id", F.lit(100.0).alias("score"))
@@ -356,19 +346,19 @@ def failures_by_error(f):
 
 FRESH_SQL = """
 SELECT s.grp AS "group", s.series, s.latest_date, CASE WHEN s.latest_date > (SELECT max(trade_date) FROM days) THEN 999
-       ELSE greatest(0, (SELECT count(*) FROM resolved r WHERE r.is_trading AND r.trade_date >= s.latest_date AND r.trade_date < DATE '2001-07-15') - 1) END AS lag_trading_days
+       ELSE greatest(0, (SELECT count(*) FROM resolved r WHERE r.is_trading AND r.trade_date >= s.latest_date AND r.trade_date < (SELECT max(trade_date) FROM days)) - 1) END AS lag_trading_days
 FROM (SELECT 'contracts' AS grp, 'C' || o_custkey AS series, max(CAST(o_orderdate AS DATE)) AS latest_date FROM orders GROUP BY o_custkey
       UNION ALL SELECT 'iv', underlying, max(trade_date) FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, CASE l_partkey % 3 WHEN 0 THEN 'MO' WHEN 1 THEN 'IO' ELSE 'HO' END AS underlying
-      FROM lineitem WHERE l_shipdate < DATE '2001-07-15') q GROUP BY underlying) s"""
+      FROM lineitem) q GROUP BY underlying) s"""
 
 
 def _fresh(f):
     a = f.table("orders").groupBy(F.lit("contracts").alias("group"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("series")) \
         .agg(F.max(F.to_date("o_orderdate")).alias("latest_date"))
     under = F.element_at(F.array(F.lit("MO"), F.lit("IO"), F.lit("HO")), (F.col("l_partkey") % 3 + 1).cast("int"))
-    b = f.table("lineitem").filter(F.col("l_shipdate") < F.lit("2001-07-15").cast("date")) \
+    b = f.table("lineitem") \
         .groupBy(F.lit("iv").alias("group"), under.alias("series")).agg(F.max(F.to_date(F.trunc("l_shipdate", "month"))).alias("latest_date"))
-    return qa.freshness(a.unionByName(b), f.resolved, "2001-07-15")
+    return qa.freshness(a.unionByName(b), f.resolved, f.days.agg(F.max("trade_date")).scalar())
 
 
 @query("data_freshness", "L14", f"""
@@ -396,7 +386,7 @@ SELECT underlying, count(*) AS total_dates, count(CASE WHEN n < 8 THEN 1 END) AS
 FROM (SELECT underlying, trade_date, count(*) AS n, count(CASE WHEN iv > 0 THEN 1 END) AS w, row_number() OVER (PARTITION BY underlying ORDER BY trade_date DESC) AS r
       FROM (SELECT underlying, trade_date, CASE WHEN volume % 4 <> 0 THEN iv END AS iv FROM chain) c GROUP BY underlying, trade_date) d WHERE r <= 30 GROUP BY underlying""")
 def iv_completeness(f):
-    return qa.iv_completeness(f.chain.withColumn("iv", F.when(F.col("volume") % 4 != 0, F.col("iv"))))
+    return qa.iv_completeness(f.chain.withColumn("iv", F.when(F.col("volume") % 4 != 0, F.col("iv"))), last=30)
 
 
 @query("cross_store_totals", "L17", """
