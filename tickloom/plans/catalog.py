@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tickloom.plans.registry import QUERIES
 
-for _name in ("market", "calendars", "trading", "options", "analysis", "quality", "streams"):
+for _name in ("market", "calendars", "trading", "options", "analysis", "quality", "streams", "files"):
     try:
         import_module(f"tickloom.plans.{_name}")
     except ModuleNotFoundError as err:

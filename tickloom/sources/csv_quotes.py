@@ -91,9 +91,14 @@ def _number(name: str) -> Column:
 
 def read_quotes(spark: SparkSession, path, trade_date: str | None = None, data_type: str = "daily",
                 pattern: str | None = "*.csv") -> DataFrame:
-    """Daily, weekly or monthly quote files. The date is the argument, else the date column, else
+    """Daily, weekly or monthly quote files below a path."""
+    return parse_quotes(read_texts(spark, path, pattern), trade_date, data_type)
+
+
+def parse_quotes(texts: DataFrame, trade_date: str | None = None, data_type: str = "daily") -> DataFrame:
+    """Quote rows of ``texts(file, text)``. The date is the argument, else the date column, else
     eight digits in the file name. Unparsable numbers become null."""
-    rows = _rows(read_texts(spark, path, pattern), QUOTE_HEADERS, positional=True)
+    rows = _rows(texts, QUOTE_HEADERS, positional=True)
     in_name = F.regexp_extract("file", r"(\d{8})", 1)
     date = normalize_date(F.lit(trade_date)) if trade_date else \
         F.coalesce(normalize_date(_field("trade_date")), normalize_date(in_name))
@@ -131,8 +136,13 @@ def to_daily_quotes(quotes: DataFrame, exchange: str) -> DataFrame:
 
 
 def read_positions(spark: SparkSession, path, product: str = "MO", pattern: str | None = "*.csv") -> DataFrame:
-    """Member-ranking files with the net position per row."""
-    rows = _rows(read_texts(spark, path, pattern), POSITION_HEADERS, positional=False)
+    """Member-ranking files below a path."""
+    return parse_positions(read_texts(spark, path, pattern), product)
+
+
+def parse_positions(texts: DataFrame, product: str = "MO") -> DataFrame:
+    """Member rankings of ``texts(file, text)`` with the net position per row."""
+    rows = _rows(texts, POSITION_HEADERS, positional=False)
     in_name = F.regexp_extract("file", r"(\d{8})", 1)
     return rows.select(
         "file", F.coalesce(normalize_date(_field("trade_date")), normalize_date(in_name)).alias("trade_date"),

@@ -178,6 +178,10 @@ def to_position_summary(pos: DataFrame) -> DataFrame:
 
 
 def parse(spark: SparkSession, path, pattern: str | None = "*.txt") -> dict[str, DataFrame]:
-    texts = read_statements(spark, path, pattern)
+    return parse_texts(read_statements(spark, path, pattern))
+
+
+def parse_texts(texts: DataFrame) -> dict[str, DataFrame]:
+    """All relations of ``texts(file, text)``."""
     return {"files": texts.select("file"), "summaries": summaries(texts), "transactions": transactions(texts),
             "deposits": deposits(texts), "positions": positions(texts), "closed": closed_positions(texts)}
