@@ -118,8 +118,11 @@ class Client:
     def market_regime(self, trade_date=None, contract=None) -> DataFrame:
         return Q.select_where(self.table("market_regime"), equals={"trade_date": trade_date, "contract_code": contract}, order=[F.desc("trade_date")])
 
-    def current_regime(self, contract=None, limit: int = 10) -> DataFrame:
-        return self.market_regime(contract=contract).limit(limit)
+    def current_regime(self, contract=None, limit: int | None = None) -> DataFrame:
+        """Regimes, newest first, in a total order; ``limit`` keeps the first ones for a display."""
+        rows = Q.select_where(self.table("market_regime"), equals={"contract_code": contract})
+        rows = rows.orderBy(F.desc("trade_date"), "contract_code")
+        return rows if limit is None else rows.limit(limit)
 
     def tushare_daily(self, ts_code=None, start_date=None, end_date=None) -> DataFrame:
         return Q.select_where(self.table("tushare_daily"), equals={"ts_code": ts_code}, start={"trade_date": start_date},

@@ -196,10 +196,12 @@ def minute_range_score(days: DataFrame, keys: list[str] | None = None) -> DataFr
     return out.withColumn("overall_pct", F.round(score, 1))
 
 
-def accuracy_score(diffs: DataFrame, last: int = 100, tie: str = "id") -> DataFrame:
-    """100 minus 20 points per percent of mean deviation over the latest ``last`` comparisons."""
-    w = Window.partitionBy("catalog_id").orderBy(F.desc("trade_date"), F.desc(tie))
-    recent = diffs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last)
+def accuracy_score(diffs: DataFrame, last: int | None = None, tie: str = "id") -> DataFrame:
+    """100 minus 20 points per percent of mean deviation over the latest ``last`` comparisons (all by default)."""
+    recent = diffs
+    if last is not None:
+        w = Window.partitionBy("catalog_id").orderBy(F.desc("trade_date"), F.desc(tie))
+        recent = diffs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last)
     d = F.col("deviation_pct").cast("decimal(28,10)")
     mean = F.sum(d).cast("double") / F.nullif(F.count(d), F.lit(0))
     return recent.groupBy("catalog_id").agg(
@@ -500,7 +502,8 @@ def trading_rules(trades: DataFrame, matched: DataFrame, summary: DataFrame) ->
                    F.count_if(F.coalesce(F.col("instrument"), F.lit("")) == "").alias("noname"),
                    F.coalesce(F.sum(F.when(F.col("offset_flag") == "open", F.col("volume"))), F.lit(0)).alias("open_vol"), k)
     m = matched.agg(F.coalesce(F.sum("open_volume"), F.lit(0)).alias("matched_vol"),
-                    F.count(F.lit(1)).alias("matches"), F.max(F.abs("net_pnl")).alias("max_pnl"), k)
+                    F.count(F.lit(1)).alias("matches"), F.max(F.abs("net_pnl")).alias("max_pnl"),
+                    (F.sum(F.abs("net_pnl").cast("decimal(28,6)")).cast("double") / F.count("net_pnl")).alias("mean_pnl"), k)
     s = summary.agg(F.count(F.lit(1)).alias("periods"), k)
     one = t.join(m, "_k").join(s, "_k")
     return _checks(one, [
@@ -511,6 +514,9 @@ def trading_rules(trades: DataFrame, matched: DataFrame, summary: DataFrame) ->
                   "trades vs matched_trades", F.col("open_vol"), F.col("matched_vol")),
         check_row("matched_trades_pnl", F.when(F.col("matches") == 0, "SKIP").otherwise("PASS"), "matched_trades",
                   F.lit("rows exist"), F.col("matches")),
+        # The spread of absolute results is reported, not judged: mean as expected, maximum as actual.
+        check_row("matched_trades_pnl_range", F.when(F.col("matches") == 0, "SKIP").otherwise("PASS"), "matched_trades.net_pnl",
+                  F.round("mean_pnl", 2).cast("decimal(28,2)"), F.round("max_pnl", 2).cast("decimal(28,2)")),
         check_row("account_summary_populated", _pass(F.col("periods") > 0), "account_summary", F.lit("> 0 rows"), F.col("periods"))])
 
 

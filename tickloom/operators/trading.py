@@ -142,11 +142,22 @@ def performance_rollup(perf: DataFrame, amount: str = "net_pnl") -> DataFrame:
         F.sum(won).alias("wins"), F.sum(amount).alias("total_pnl"))
 
 
-def matched_stats(matched: DataFrame, top: int = 20) -> DataFrame:
-    return matched.groupBy("instrument").agg(
+def performance_by_kind(perf: DataFrame, amount: str = "net_pnl") -> DataFrame:
+    """Subtotals by product, by instrument type and by both; ``level`` tells which column is summed over."""
+    won = F.when(F.col(amount) > 0, 1).otherwise(0)
+    kind = F.when(F.col("is_option") == 1, F.col("option_type")).otherwise("future")
+    rows = perf.withColumn("product", S.product_code("instrument")).withColumn("kind", kind)
+    return rows.groupingSets([["product", "kind"], ["product"], ["kind"]], "product", "kind").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("trades"), F.sum(won).alias("wins"),
+        F.sum(amount).alias("total_pnl"))
+
+
+def matched_stats(matched: DataFrame, top: int | None = None) -> DataFrame:
+    """Totals per instrument; ``top`` keeps the most traded ones for a report."""
+    rows = matched.groupBy("instrument").agg(
         F.count(F.lit(1)).alias("trades"), F.sum("money_pnl").alias("money_pnl"),
-        F.sum("commission").alias("commission"), F.sum("net_pnl").alias("net_pnl")) \
-        .orderBy(F.desc("trades"), "instrument").limit(top)
+        F.sum("commission").alias("commission"), F.sum("net_pnl").alias("net_pnl"))
+    return rows if top is None else rows.orderBy(F.desc("trades"), "instrument").limit(top)
 
 
 def matched_totals(matched: DataFrame) -> DataFrame:

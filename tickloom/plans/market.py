@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as S
@@ -85,13 +86,18 @@ def daily_vwap(f):
 
 @query("daily_market_stats", "D08", """
 SELECT product_code, trade_date, CAST(sum(volume) AS BIGINT) AS total_volume, max(volume) AS max_volume, min(volume) AS min_volume,
-       CAST(sum(volume) AS DOUBLE) / count(volume) AS mean_volume, CAST(sum(turnover) AS DOUBLE) AS total_turnover,
-       CAST(sum(open_interest) AS BIGINT) AS total_open_interest, count(DISTINCT contract_code) AS contract_count
-FROM catalog_quotes GROUP BY ALL""")
+       CAST(sum(volume) AS DOUBLE) / count(volume) AS mean_volume,
+       CAST(sum(turnover) AS DOUBLE) AS total_turnover, CAST(max(turnover) AS DOUBLE) AS max_turnover, CAST(min(turnover) AS DOUBLE) AS min_turnover,
+       CAST(sum(turnover) AS DOUBLE) / count(turnover) AS mean_turnover,
+       CAST(sum(open_interest) AS BIGINT) AS total_open_interest, max(open_interest) AS max_open_interest, min(open_interest) AS min_open_interest,
+       CAST(sum(open_interest) AS DOUBLE) / count(open_interest) AS mean_open_interest,
+       CAST(sum(oi_change) AS BIGINT) AS total_oi_change, max(oi_change) AS max_oi_change, min(oi_change) AS min_oi_change,
+       CAST(sum(oi_change) AS DOUBLE) / count(oi_change) AS mean_oi_change, count(DISTINCT contract_code) AS contract_count
+FROM (SELECT *, open_interest - lag(open_interest) OVER (PARTITION BY contract_code ORDER BY trade_date) AS oi_change FROM catalog_quotes) q GROUP BY product_code, trade_date""")
 def daily_market_stats(f):
-    out = as_double(bars.daily_market_stats(f.catalog_quotes, ["product_code", "trade_date"]), "total_turnover")
-    return out.select("product_code", "trade_date", "total_volume", "max_volume", "min_volume", "mean_volume",
-                      "total_turnover", "total_open_interest", "contract_count")
+    before = F.lag("open_interest").over(Window.partitionBy("contract_code").orderBy("trade_date"))
+    rows = f.catalog_quotes.withColumn("oi_change", F.col("open_interest") - before)
+    return as_double(bars.daily_market_stats(rows, ["product_code", "trade_date"]), "total_turnover", "max_turnover", "min_turnover")
 
 
 @query("contract_stats", "D09", """

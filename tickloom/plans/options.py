@@ -84,7 +84,7 @@ WITH s AS (SELECT trade_date, underlying, expire_date, strike, max(CASE WHEN opt
 m AS (SELECT trade_date, underlying, expire_date, (min(strike) + max(strike)) / 2 AS mid FROM s GROUP BY ALL),
 a AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.trade_date, x.underlying, x.expire_date ORDER BY abs(x.strike - m.mid), x.strike, x.option_type, x.contract_code) AS rn
       FROM chain x JOIN m ON m.trade_date = x.trade_date AND m.underlying = x.underlying AND m.expire_date = x.expire_date WHERE x.iv > 0) y WHERE rn = 1)
-SELECT s.trade_date, s.underlying AS variety, s.expire_date AS expiry_date, count(*) AS strikes,
+SELECT s.trade_date, s.underlying AS variety, s.expire_date AS expiry_date, string_agg(CAST(CAST(s.strike AS DECIMAL(18,2)) AS VARCHAR), ',' ORDER BY s.strike) AS strikes,
        string_agg(coalesce(CAST(CAST(s.c AS DECIMAL(18,4)) AS VARCHAR), 'x'), ',' ORDER BY s.strike) AS call_iv,
        string_agg(coalesce(CAST(CAST(s.p AS DECIMAL(18,4)) AS VARCHAR), 'x'), ',' ORDER BY s.strike) AS put_iv, round(max(a.iv), 4) AS atm_iv,
        round((CAST(sum(CAST(s.p AS DECIMAL(28,12))) AS DOUBLE) / nullif(count(s.p), 0)) / (CAST(sum(CAST(s.c AS DECIMAL(28,12))) AS DOUBLE) / nullif(count(s.c), 0)), 4) AS skew_ratio_all,
@@ -98,7 +98,7 @@ def smile(f):
         return F.array_join(F.transform(c, lambda v: F.coalesce(v.cast("decimal(18,4)").cast("string"), F.lit("x"))), ",")
 
     out = opt.smile_snapshot(f.chain)
-    return out.select("trade_date", "variety", "expiry_date", F.size("strikes").cast("bigint").alias("strikes"), text("call_iv").alias("call_iv"),
+    return out.select("trade_date", "variety", "expiry_date", F.array_join(F.transform("strikes", lambda v: v.cast("decimal(18,2)").cast("string")), ",").alias("strikes"), text("call_iv").alias("call_iv"),
                       text("put_iv").alias("put_iv"), "atm_iv", "skew_ratio_all", "skew_ratio_otm")
 
 

@@ -7,6 +7,7 @@ comes back as DECIMAL; the SQL twin casts these columns to the type the Spark pl
 DOUBLES = {
     "sql_scalars": "a",
     "statements_by_account": "balance_bf balance_cf",
+    "account_summary_page": "commission",
     "monthly_account_summary": "balance_b_f balance_c_f deposit_withdrawal total_pnl commission client_equity "
                                "fund_available margin_occupied accumulated_pnl",
     "fund_flows": "amount",

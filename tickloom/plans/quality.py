@@ -423,12 +423,13 @@ def analysis_checks(f):
 
 RULES_SQL = """
 WITH t AS (SELECT count(*) AS n, count(CASE WHEN volume <= 0 THEN 1 END) AS np, sum(CASE WHEN offset_flag = 'open' THEN volume END) AS ov FROM trades),
-m AS (SELECT CAST(sum(mv) AS BIGINT) AS mv, count(*) AS n FROM matched_trades), s AS (SELECT count(*) AS n FROM account_summary)
+m AS (SELECT CAST(sum(mv) AS BIGINT) AS mv, count(*) AS n, max(abs(net_pnl)) AS top FROM matched_trades), s AS (SELECT count(*) AS n FROM account_summary)
 SELECT 'trades_non_empty' AS "check", 'PASS' AS status, CAST(n AS VARCHAR) AS actual FROM t
 UNION ALL SELECT 'trades_positive_volume', CASE WHEN np = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(np AS VARCHAR) FROM t
 UNION ALL SELECT 'trades_contract_not_empty', 'PASS', '0'
 UNION ALL SELECT 'trades_vs_matched_volume', CASE WHEN m.mv <= t.ov THEN 'PASS' ELSE 'WARN' END, CAST(m.mv AS VARCHAR) FROM m, t
 UNION ALL SELECT 'matched_trades_pnl', 'PASS', CAST(n AS VARCHAR) FROM m
+UNION ALL SELECT 'matched_trades_pnl_range', 'PASS', CAST(CAST(round(top, 2) AS DECIMAL(28,2)) AS VARCHAR) FROM m
 UNION ALL SELECT 'account_summary_populated', 'PASS', CAST(n AS VARCHAR) FROM s"""
 
 

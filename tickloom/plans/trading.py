@@ -101,12 +101,43 @@ def rollup(f):
         F.col("total_pnl").cast("double").alias("total_pnl"))
 
 
+@query("performance_by_product_and_type", "D19", """
+SELECT product, kind, CAST(grouping(product, kind) AS BIGINT) AS level, count(*) AS trades, CAST(sum(CASE WHEN net_pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins,
+       CAST(sum(CAST(round(net_pnl, 6) AS DECIMAL(18,6))) AS DOUBLE) AS total_pnl
+FROM (SELECT net_pnl, upper(regexp_extract(instrument, '^([A-Za-z]+)', 1)) AS product,
+             CASE WHEN is_option = 1 THEN CASE WHEN instrument LIKE '%-C-%' THEN 'call' ELSE 'put' END ELSE 'future' END AS kind FROM matched_trades) m
+GROUP BY GROUPING SETS ((product, kind), (product), (kind))""")
+def by_kind(f):
+    p = trading.trade_performance(trading.match_trades(f.trades)).withColumn("net_pnl", F.col("net_pnl").cast("decimal(18,6)"))
+    return trading.performance_by_kind(p).withColumn("level", F.col("level").cast("bigint")).withColumn("total_pnl", F.col("total_pnl").cast("double"))
+
+
+@query("statement_page", "B18", """
+SELECT id, account_id, bill_date_start, CAST(balance_cf AS DOUBLE) AS balance_cf FROM bills ORDER BY bill_date_start DESC, id DESC LIMIT 50 OFFSET 100""")
+def statement_page(f):
+    return Q.page(f.bills, [F.desc("bill_date_start"), F.desc("id")], 3, 50).select("id", "account_id", "bill_date_start", "balance_cf")
+
+
+@query("position_page", "B18", """
+SELECT trade_date, contract_code, member_name, rank FROM positions ORDER BY trade_date DESC, contract_code, rank LIMIT 100 OFFSET 100""")
+def position_page(f):
+    return Q.page(f.positions, [F.desc("trade_date"), "contract_code", "rank"], 2, 100).select(
+        "trade_date", "contract_code", "member_name", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("account_summary_page", "B18", """
+SELECT account_id, year, month, commission FROM account_summary ORDER BY year DESC, month DESC, account_id LIMIT 50 OFFSET 50""")
+def account_page(f):
+    return Q.page(trading.monthly_account_summary(f.bills), [F.desc("year"), F.desc("month"), "account_id"], 2, 50).select(
+        "account_id", "year", "month", "commission")
+
+
 @query("matched_stats_top20", "D18", """
 SELECT instrument, count(*) AS trades, round(CAST(sum(CAST(round(net_pnl, 6) AS DECIMAL(18,6))) AS DOUBLE), 3) AS net_pnl FROM matched_trades
 GROUP BY instrument ORDER BY count(*) DESC, instrument LIMIT 20""")
 def stats(f):
     m = trading.match_trades(f.trades).withColumn("net_pnl", F.col("net_pnl").cast("decimal(18,6)"))
-    return trading.matched_stats(m).select("instrument", "trades", F.round(F.col("net_pnl").cast("double"), 3).alias("net_pnl"))
+    return trading.matched_stats(m, top=20).select("instrument", "trades", F.round(F.col("net_pnl").cast("double"), 3).alias("net_pnl"))
 
 
 @query("match_audit", "D33 G05", """
