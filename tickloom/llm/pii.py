@@ -22,6 +22,7 @@ matches go to the earlier and then the longer one; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -50,23 +51,30 @@ SYLLABLES = {
 }
 GIVEN_ENDING = {"LATIN": {"m": "n", "f": "ia"}, "CYRILLIC": {"m": "н", "f": "ия"}, "GREEK": {"m": "ος", "f": "ία"}}
 
-PATTERNS = {
-    "secret": r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*[\"']?(?P<secret>[A-Za-z0-9+/_\-]{8,})",
-    "key": r"\b(?P<key>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})\b",
-    "email": r"(?P<email>[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,})",
-    "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b",
-    "ip": r"(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d.]*\d)",
-    "card": r"(?<![\d\-])(?P<card>[3-6]\d{3}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,4}(?:\d{3})?)(?![\d\-]*\d)",
-    "ssn": r"(?<![\d\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d\-]*\d)",
-    "phone": r"(?<![\d+])(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}"
-             r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
-    "name": r"(?<!\p{L})(?P<title>" + "|".join(regex.escape(t) for t in sorted(TITLES, key=len, reverse=True))
-            + r")\s(?P<name>\p{Lu}\p{L}+(?:[ \-]\p{Lu}\p{L}+){0,2})",
-}
-#: A superset of everything the patterns can match, for the engine's own regular expressions.
-POSSIBLE = (r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)\s*[:=]|(?:"
-            + "|".join(t.replace(".", r"\.") for t in TITLES) + r")\s")
-ANY = "|".join(PATTERNS.values())
+# Each kind has a cheap mark in the text; only the surroundings of a mark meet the full pattern.
+DIGITS = re.compile(r"\d[\d .()\-]*")
+NUMBERS = re.compile(
+    r"(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d.]*\d)"
+    r"|(?<![\d\-])(?P<card>[3-6]\d{3}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,4}(?:\d{3})?)(?![\d\-]*\d)"
+    r"|(?<![\d\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d\-]*\d)"
+    r"|(?<![\d+])(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}"
+    r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)")
+MAIL_LEFT = re.compile(r"[\w.%+\-]+$")
+MAIL_RIGHT = re.compile(r"[^\W_][\w\-]*(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
+SETTING = re.compile(r"[:=]\s*[\"']?(?=[A-Za-z0-9+/_\-]{8})")
+SECRET_NAME = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*$")
+SECRET = re.compile(r"[A-Za-z0-9+/_\-]+")
+KEY_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
+KEY = re.compile(r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})\b")
+IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
+NAME = regex.compile(
+    r"(?<!\p{L})(?P<title>" + "|".join(regex.escape(t) for t in sorted(TITLES, key=len, reverse=True))
+    + r")\s(?P<name>\p{Lu}\p{L}+(?:[ \-]\p{Lu}\p{L}+){0,2})")
+#: Every entity has one of these characters or a title in its text.
+MARKS = "[0-9@=:]"
+#: Shortest texts that all titles and key marks contain one of.
+STEMS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Se\u00f1or", "Sr", "Monsieur", "Madame", "Mme", "Госпо", "Κύριος",
+         "Κυρία", *KEY_MARKS)
 
 
 def luhn(digits: str) -> bool:
@@ -86,27 +94,47 @@ def identity(kind: str, mention: str) -> str:
     return mention.lower() if kind == "email" else mention
 
 
-class Detector:
-    def __init__(self):
-        self.find = regex.compile(ANY).finditer
-
-    def entities(self, text: str) -> list[tuple[int, int, str, str]]:
-        """``(start, end, kind, identity)`` in order; names carry the gender of their title."""
-        out = []
-        for m in self.find(text):
-            kind = m.lastgroup
-            a, b = m.span(kind)
-            who = identity(kind, m[kind])
-            if kind == "card" and not luhn(who):  # some other long number
-                continue
-            out.append((a, b, kind, f"{TITLES[m['title']]} {who}" if kind == "name" else who))
-        # Later mentions of a family name alone corefer with the full name.
-        family = {who.split()[-1]: who for _, _, kind, who in out if kind == "name" and len(who.split()[-1]) > 2}
-        for name, who in family.items():
-            for m in regex.finditer(r"(?<!\p{L})" + regex.escape(name) + r"(?!\p{L})", text):
-                if not any(a < m.end() and m.start() < b for a, b, *_ in out):
-                    out.append((m.start(), m.end(), "family", who))
-        return sorted(out)
+def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """``(start, end, kind, identity)`` of everything that looks like an entity; may overlap."""
+    at = text.find("@")
+    while at >= 0:
+        left, right = MAIL_LEFT.search(text[max(0, at - 100):at]), MAIL_RIGHT.match(text, at + 1)
+        if left and right:
+            yield at - len(left[0]), right.end(), "email", text[at - len(left[0]):right.end()]
+        at = text.find("@", at + 1)
+    for island in DIGITS.finditer(text):
+        for m in NUMBERS.finditer(text, max(0, island.start() - 2), min(len(text), island.end() + 2)):
+            if m.lastgroup != "card" or luhn(identity("card", m[0])):  # else some other long number
+                yield *m.span(m.lastgroup), m.lastgroup, m[m.lastgroup]
+    for m in SETTING.finditer(text):
+        if SECRET_NAME.search(text[max(0, m.start() - 16):m.start()]):
+            value = SECRET.match(text, m.end())
+            yield *value.span(), "secret", value[0]
+    if any(mark in text for mark in KEY_MARKS):
+        for m in KEY.finditer(text):
+            yield *m.span(), "key", m[0]
+    for m in IBAN.finditer(text):
+        if not text[m.start() - 1:m.start()].isalnum():
+            yield *m.span(), "iban", m[0]
+    if any(title in text for title in TITLES):
+        for m in NAME.finditer(text):
+            yield *m.span("name"), "name", f"{TITLES[m['title']]} {m['name']}"
+
+
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """Mentions that stand, in order: the earlier one, then the longer one. Names carry the gender
+    of their title; later mentions of a family name alone corefer with the full name."""
+    out, end = [], 0
+    for a, b, kind, what in sorted(mentions(text), key=lambda m: (m[0], -m[1])):
+        if a >= end:
+            out.append((a, b, kind, what if kind == "name" else identity(kind, what)))
+            end = b
+    family = {who.split()[-1]: who for _, _, kind, who in out if kind == "name" and len(who.split()[-1]) > 2}
+    for name, who in family.items():
+        for m in regex.finditer(r"(?<!\p{L})" + regex.escape(name) + r"(?!\p{L})", text):
+            if not any(a < m.end() and m.start() < b for a, b, *_ in out):
+                out.append((m.start(), m.end(), "family", who))
+    return sorted(out)
 
 
 class Draw:
@@ -198,17 +226,16 @@ def write(kind: str, mention: str, new: str) -> str:
 
 
 def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    detect = Detector()
     for batch in chunks(batches):
         rows = [(h, kind, who) for h, text in zip(batch.column("text_hash").to_pylist(),
                                                   batch.column("text").to_pylist(), strict=True)
-                for kind, who in dict.fromkeys((k, w) for *_, k, w in detect.entities(text) if k != "family")]
+                for kind, who in dict.fromkeys((k, w) for *_, k, w in entities(text) if k != "family")]
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()),
                                           pa.array(cols[2], pa.string())], ["text_hash", "kind", "who"])
 
 
-def assign(entities: DataFrame, key: bytes) -> DataFrame:
+def assign(found: DataFrame, key: bytes) -> DataFrame:
     """``kind, who, new`` with a replacement of its own for every distinct entity."""
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +247,11 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
                 ["kind", "who", "attempt", "new"])
 
     # A replacement reads like a name without the gender of the title.
-    entities = entities.withColumn("plain", F.when(F.col("kind") == "name", F.expr("substring(who, 3)"))
+    found = found.withColumn("plain", F.when(F.col("kind") == "name", F.expr("substring(who, 3)"))
                                    .otherwise(F.col("who")))
-    real = entities.select("kind", F.col("plain").alias("new")).distinct()
+    real = found.select("kind", F.col("plain").alias("new")).distinct()
     shape = "kind string, who string, attempt int, new string"
-    given = save(entities.select("kind", "who", F.lit(0).alias("attempt")).mapInArrow(draw, shape), "surrogates")
+    given = save(found.select("kind", "who", F.lit(0).alias("attempt")).mapInArrow(draw, shape), "surrogates")
     while True:
         # The entity that drew first keeps a contested replacement, then the smaller one.
         owner = given.groupBy("kind", "new").agg(F.min(F.struct("attempt", "who")).alias("o"))
@@ -244,7 +271,10 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     stands in it (kind, start, end). ``key`` is the secret that makes replacements unpredictable."""
     secret = hashlib.sha256(key.encode()).digest()
     own = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    possible = F.coalesce(F.col("text").rlike(POSSIBLE), F.lit(False))
+    possible = F.col("text").rlike(MARKS)
+    for stem in STEMS:
+        possible = possible | F.col("text").contains(stem)
+    possible = F.coalesce(possible, F.lit(False))
     found = save(own.where(possible).select("text_hash", "text")
                  .mapInArrow(_found, "text_hash long, kind string, who string").distinct(), "mentions")
     given = assign(found.select("kind", "who").distinct(), secret)
@@ -252,13 +282,12 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
                 .agg(F.collect_list(F.struct("kind", "who", "new")).alias("given")))
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        detect = Detector()
         for batch in chunks(batches):
             texts, marks = [], []
             for text, given in zip(batch.column("text").to_pylist(), batch.column("given").to_pylist(), strict=True):
                 new = {(g["kind"], g["who"]): g["new"] for g in given or ()}
                 out, spans, at, size = [], [], 0, 0
-                for a, b, kind, who in detect.entities(text) if new else ():
+                for a, b, kind, who in entities(text) if new else ():
                     if a < at:
                         continue
                     put = write(kind, text[a:b], new[("name" if kind == "family" else kind, who)])
