@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import calendar as cal
+from tickloom.session import staged
 
 MONEY = "decimal(18,2)"
 
@@ -65,10 +66,20 @@ class Frames:
             F.sum(F.col("l_linenumber").cast("bigint")).alias("open_interest"))
 
     @cached_property
-    def contracts(self) -> DataFrame:
-        life = self.table("lineitem").groupBy("l_suppkey").agg(
+    def _life(self) -> DataFrame:
+        return self.table("lineitem").groupBy("l_suppkey").agg(
             F.to_date(F.min("l_shipdate")).alias("listing_date"),
             F.to_date(F.max("l_shipdate")).alias("last_trade_date"))
+
+    @cached_property
+    def _ends(self) -> list[DataFrame]:
+        """First and last order and shipment."""
+        return [self.table(t).agg(F.to_date(F.min(c)).alias("a"), F.to_date(F.max(c)).alias("b"))
+                for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        life = self._life
         s = self.table("supplier").join(
             self.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
         return life.join(s, life.l_suppkey == s.s_suppkey).select(
@@ -185,9 +196,7 @@ class Frames:
     @cached_property
     def days(self) -> DataFrame:
         """Every day from the first order or shipment to the last one, in whole years and months."""
-        ends = [self.table(t).agg(F.to_date(F.min(c)).alias("a"), F.to_date(F.max(c)).alias("b"))
-                for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]
-        span = ends[0].unionByName(ends[1]).agg(F.trunc(F.min("a"), "year").alias("a"), F.last_day(F.max("b")).alias("b"))
+        span = self._ends[0].unionByName(self._ends[1]).agg(F.trunc(F.min("a"), "year").alias("a"), F.last_day(F.max("b")).alias("b"))
         return span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("trade_date"))
 
     @cached_property
@@ -261,3 +270,29 @@ class Frames:
             F.when(F.col("o_orderstatus") == "P", F.concat(F.lit('{"error": "E'), (k % 7).cast("string"), F.lit('"}')))
              .otherwise(F.lit("{}")).alias("checkpoint_data"),
             F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("error_type"))
+
+
+class StagedFrames(Frames):
+    """Frames for plans that look at the quotes many times: the fact table is read once, reduced to
+    one row per contract and day, and everything else is taken from that table."""
+
+    @cached_property
+    def daily_quotes(self) -> DataFrame:
+        return staged(super().daily_quotes)
+
+    @cached_property
+    def _life(self) -> DataFrame:
+        return self.daily_quotes.groupBy(F.substring("contract_code", 2, 20).cast("bigint").alias("l_suppkey")).agg(
+            F.min("trade_date").alias("listing_date"), F.max("trade_date").alias("last_trade_date"))
+
+    @cached_property
+    def _ends(self) -> list[DataFrame]:
+        return [super()._ends[0], self.daily_quotes.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))]
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        return staged(super().contracts)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return staged(super().resolved)

@@ -112,7 +112,7 @@ def _complete(f):
     return qa.completeness(f.catalogs, f.catalog_quotes, f.resolved, CAT)
 
 
-@query("catalog_completeness", "L09 C08", COMPLETE_SQL)
+@query("catalog_completeness", "L09 C08", COMPLETE_SQL, staged=True)
 def catalog_completeness(f):
     return _complete(f).drop("status")
 
@@ -219,7 +219,7 @@ m AS (SELECT k.catalog_id, r.trade_date, row_number() OVER (PARTITION BY k.catal
       WHERE (k.catalog_id, r.trade_date) NOT IN (SELECT (catalog_id, trade_date) FROM catalog_quotes)),
 f AS (SELECT catalog_id, string_agg(CAST(trade_date AS VARCHAR), ',' ORDER BY trade_date) AS missing_dates FROM m GROUP BY catalog_id)
 SELECT d.catalog_id, d.drift, d.drift_status, c.expected_days, c.actual_days, c.missing_days, c.completeness_pct, f.missing_dates
-FROM d LEFT JOIN c ON c.catalog_id = d.catalog_id LEFT JOIN f ON f.catalog_id = d.catalog_id""")
+FROM d LEFT JOIN c ON c.catalog_id = d.catalog_id LEFT JOIN f ON f.catalog_id = d.catalog_id""", staged=True)
 def quality_overview(f):
     missing = qa.missing_dates(f.catalogs, f.catalog_quotes, f.resolved, CAT)
     out = qa.overview(_status(f), _counts(f), _complete(f), missing)
@@ -247,7 +247,7 @@ def _scores(f):
     return qa.quality_score(cats, _complete(f), acc, cons)
 
 
-@query("catalog_quality_scores", "L08 H16", f"SELECT catalog_id, completeness, accuracy, consistency, total_score, quality_level, alerts FROM ({SCORE_SQL}) z")
+@query("catalog_quality_scores", "L08 H16", f"SELECT catalog_id, completeness, accuracy, consistency, total_score, quality_level, alerts FROM ({SCORE_SQL}) z", staged=True)
 def quality_scores(f):
     return _scores(f).withColumn("alerts", F.array_join("alerts", ","))
 
@@ -257,7 +257,7 @@ WITH z AS ({SCORE_SQL}), last AS (SELECT * FROM (SELECT *, row_number() OVER (PA
 SELECT z.catalog_id, z.missing_days, z.total_score AS data_quality_score, z.completeness AS completeness_pct,
        CASE WHEN z.consistency >= 95 THEN 'consistent' WHEN z.consistency >= 80 THEN 'minor_issues' ELSE 'inconsistent' END AS consistency_status,
        coalesce(last.status, 'never_synced') AS last_sync_status, last.error AS last_sync_error
-FROM z LEFT JOIN last ON last.exchange_code = split_part(z.catalog_id, '/', 1)""")
+FROM z LEFT JOIN last ON last.exchange_code = split_part(z.catalog_id, '/', 1)""", staged=True)
 def health_snapshot(f):
     return _health(f).select("catalog_id", "missing_days", "data_quality_score", "completeness_pct", "consistency_status", "last_sync_status", "last_sync_error")
 
@@ -273,7 +273,7 @@ def _health(f):
 WITH z AS ({SCORE_SQL}), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exchange_code ORDER BY created_at DESC, id DESC) AS rn FROM sync_tasks) y WHERE rn = 1)
 SELECT split_part(z.catalog_id, '/', 1) AS exchange_code, count(*) AS catalog_count, round(CAST(sum(CAST(z.total_score AS DECIMAL(20,4))) AS DOUBLE) / count(*), 1) AS avg_quality,
        count(CASE WHEN last.status = 'completed' THEN 1 END) AS synced_count, count(CASE WHEN z.missing_days > 0 THEN 1 END) AS with_issues
-FROM z LEFT JOIN last ON last.exchange_code = split_part(z.catalog_id, '/', 1) GROUP BY 1""")
+FROM z LEFT JOIN last ON last.exchange_code = split_part(z.catalog_id, '/', 1) GROUP BY 1""", staged=True)
 def health_by_exchange(f):
     return qa.health_by_exchange(f.catalogs.select("catalog_id", "exchange_code"), _health(f))
 
@@ -299,7 +299,7 @@ def _audit_log(f):
 @query("dashboard_catalog_panel", "D34", f"""
 WITH z AS ({SCORE_SQL}), d AS ({DRIFT_SQL}), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exchange_code ORDER BY created_at DESC, id DESC) AS rn FROM sync_tasks) y WHERE rn = 1)
 SELECT z.catalog_id, z.total_score AS quality_score, z.completeness AS completeness_pct, z.missing_days, coalesce(last.status, 'completed') AS sync_status, d.recorded_total AS total_records
-FROM z LEFT JOIN d ON d.catalog_id = z.catalog_id LEFT JOIN last ON last.exchange_code = split_part(z.catalog_id, '/', 1)""")
+FROM z LEFT JOIN d ON d.catalog_id = z.catalog_id LEFT JOIN last ON last.exchange_code = split_part(z.catalog_id, '/', 1)""", staged=True)
 def catalog_panel(f):
     return _panel(f).select("catalog_id", "quality_score", "completeness_pct", "missing_days", "sync_status", "total_records")
 
@@ -314,7 +314,7 @@ WITH z AS ({SCORE_SQL})
 SELECT (SELECT count(*) FROM z) AS total_catalogs, (SELECT round(CAST(sum(CAST(total_score AS DECIMAL(20,4))) AS DOUBLE) / count(*), 1) FROM z) AS avg_quality_score,
        (SELECT count(*) FROM (SELECT catalog_id, max(created_at) AS m FROM sync_tasks GROUP BY 1) q WHERE CAST(m AS DATE) = DATE '2001-07-31') AS tasks_today,
        (SELECT count(*) FROM (SELECT catalog_id, max(created_at) AS m, arg_max(status, created_at + to_microseconds(id)) AS s FROM sync_tasks GROUP BY 1) q WHERE CAST(m AS DATE) = DATE '2001-07-31' AND s <> 'completed') AS tasks_failed_today,
-       3 AS total_tables, (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events) AS total_records""")
+       3 AS total_tables, (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events) AS total_records""", staged=True)
 def dashboard_summary(f):
     stats = qa.table_stats({n: (f.table(n), None) for n in ("orders", "lineitem", "events")})
     return qa.dashboard_summary(_panel(f), qa.last_runs(_audit_log(f)), stats, "2001-07-31")
