@@ -7,8 +7,10 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,24 +75,6 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-#: DuckDB twin of op7: the template is restated to count formatted characters.
-ORACLES["op7_chat"] = r"""
-WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM c),
-g AS (
-  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said,
-    coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss,
-    sum(length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:'))
-      + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + 15)::BIGINT AS chars
-  FROM n GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-  chars AS formatted_chars FROM g
-"""
-
-
 @query
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import chat
