@@ -29,8 +29,10 @@ def roots(n, links):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed,fold", [(0, 1 << 20), (1, 0), (2, 20)])
+def test_components(spark, seed, fold, monkeypatch):
+    from tickloom.llm import common
+    monkeypatch.setattr(common, "FOLD", fold)
     rng = random.Random(seed)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 160)]
     df = spark.createDataFrame([*pairs, (None, 3), (4, None)], "a long, b long").repartition(4)
@@ -193,6 +195,15 @@ def test_leader_pairs():
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 0), (2, 0)]
 
 
+def test_packed_similarity_is_exact():
+    rng = random.Random(3)
+    memo = line_dedup.Names(line_dedup.packed, 10)
+    for _ in range(200):
+        x, y = ("".join(rng.choice("abßЖ日") if rng.random() < 0.1 else rng.choice("ab ") for _ in range(rng.randint(0, 40)))
+                for _ in range(2))
+        assert line_dedup.similarity(x, y, memo) == line_dedup.jaccard(line_dedup.shingles(x), line_dedup.shingles(y))
+
+
 def test_signature_estimates_similarity():
     rng = random.Random(6)
     a = prose(rng, 80)

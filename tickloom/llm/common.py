@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import re
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.session import shared_dir
+
 # Python workers of a cluster may lack this package: its code travels with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -73,22 +74,11 @@ class Names(dict):
 
 # --- shared scratch tables -------------------------------------------------------------------
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; an own one only if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tickloom-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def save(df: DataFrame, label: str = "table") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, lost executors
     cost nothing, and a frame that is used twice is computed once."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tickloom-{re.sub(r'[^a-z0-9]', '-', label)}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tickloom-{re.sub(r'[^a-z0-9]', '-', label)}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
@@ -206,12 +196,17 @@ def _local_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"a": node[keep], "b": root[keep]})
 
 
+#: Links that one task may fold at once (16 bytes each).
+FOLD = 1 << 20
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) of every node in ``links(a, b)``.
 
     Distributed union-find: every task first folds its links into a forest, then two star
     operations alternate until nothing changes: each node's larger neighbours, then its smaller
-    ones, move to the smallest neighbour. Links with a null end or a == b add nothing. Neighbour
+    ones, move to the smallest neighbour. Once no more than ``FOLD`` links are left they are one
+    block for a last fold. Links with a null end or a == b add nothing. Neighbour
     minima are pre-aggregated and joined, so no neighbour list is ever gathered; the number of
     rounds grows with the logarithm of the number of nodes.
     """
@@ -220,7 +215,7 @@ def components(links: DataFrame) -> DataFrame:
              .where("a is not null and b is not null and a <> b")
              .mapInArrow(_local_forest, edge))
     now = save(start, "links")
-    while True:
+    while now.count() > FOLD:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = (both.where("b > a").join(low, "a")
@@ -240,5 +235,7 @@ def components(links: DataFrame) -> DataFrame:
         now = small
         if done:
             break
+    else:
+        now = save(now.coalesce(1).mapInArrow(_local_forest, edge), "forest")
     return (now.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct())
