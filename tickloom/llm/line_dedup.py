@@ -4,16 +4,17 @@ Lines are compared by the Jaccard similarity of their sets of character shingles
 characters; a shorter line is one shingle) and are near duplicates at ``SIMILARITY`` or more. A
 line's signature holds, for each of 64 bins, the smallest hash among the shingles that fall into
 the bin (empty bins borrow from others by a fixed rule), so one hash per shingle is enough.
-``BANDS`` bands of ``ROWS`` bins give high-recall keys; lines that meet under a key and whose
-one-bit sketches do not rule out the threshold form candidate groups by union-find. Inside a
-candidate group exact Jaccard similarities verify the links, and distributed union-find over the
-verified links gives the components. The first line of a component (smallest document id, then
-text hash and line number) stays.
-
-Equal lines are merged first (128-bit hash), so a line in many documents is one row. Buckets send
-on forests, not pairs. A candidate group of more than ``GROUP`` different lines is never gathered:
-all its lines are compared with one pivot in a plain join, and only lines that a link missing from
-the pivot could still join (by the triangle inequality of the Jaccard distance) go another round.
+``BANDS`` bands of ``ROWS`` bins give high-recall keys. Distributed union-find over the verified
+links gives the components; the first line of a component (smallest document id, then text hash
+and line number) stays.
+
+Equal lines are merged first (128-bit hash), so a line in many documents is one row. A bucket of
+lines under one key never sends all its pairs: in an order that differs between buckets a line
+becomes a leader unless its sketch is very close to an earlier leader's, and each line is paired
+with the leaders whose sketch does not rule the threshold out. Every pair is verified by exact
+Jaccard similarity. What leaders may hide is looked up then: a line that just misses its leader is
+compared with the lines linked to that leader, as far as the triangle inequality of the Jaccard
+distance leaves a link possible.
 
 Defined cases: a null or empty text has no lines; blank lines are never duplicates and stay; rows
 without an id keep all lines and are no source; rows with equal id and text share one decision;
@@ -33,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bucket_links, chunks, components, documents, free_shuffles, raw_texts, save
+from tickloom.llm.common import Names, chunks, components, documents, free_shuffles, raw_texts, save
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,9 +43,10 @@ SIMILARITY = 0.8
 BINS = 64
 BANDS = 12
 ROWS = 5
-#: Differing sketch bits that a pair may have; at the threshold about 6 of 64 differ, else 32.
-SKETCH_BITS = 20
-GROUP = 5000
+#: Differing bits of two sketches of 64: at the threshold 6.4 on average (deviation 2.4), 32 for
+#: unlike lines. A pair is verified up to ``POSSIBLE``; up to ``CLOSE`` a line needs no leader of its own.
+POSSIBLE = 14
+CLOSE = 5
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -131,8 +133,8 @@ def _band_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if one.strip():
                     seen[one] = None
         lines = list(seen)
-        for at in range(0, len(lines), 4096):
-            part = lines[at:at + 4096]
+        for at in range(0, len(lines), 512):  # few enough lines for the processor's caches
+            part = lines[at:at + 512]
             keys, sketch = keys_of(signatures([t.decode("utf-8", "replace") for t in part]))
             node = np.array([line_id(t)[0] for t in part], np.int64)
             yield pa.RecordBatch.from_pydict({
@@ -149,63 +151,108 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def verified(texts: list[str]) -> np.ndarray:
-    """Component of each text (smallest place in the list) under exact similarity. Pairs that are
-    connected already, or whose sizes rule the threshold out, are not compared."""
-    sets = [shingles(t) for t in texts]
-    size = np.array([len(s) for s in sets])
-    label = np.arange(len(texts))
-    for i in range(len(texts) - 1):
-        rest = np.arange(i + 1, len(texts))
-        low, high = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
-        for j in rest[(label[rest] != label[i]) & (low >= SIMILARITY * high)].tolist():
-            if label[j] != label[i] and jaccard(sets[i], sets[j]) >= SIMILARITY:
-                label[label == max(label[i], label[j])] = min(label[i], label[j])
-    return label
+def leader_pairs(key: np.ndarray, sketch: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (line, leader) of rows with equal key; rows come sorted by key. All buckets advance
+    together: each turn takes one leader per bucket."""
+    left, right = [], []
+    rest = np.lexsort([order, key])
+    while len(rest):
+        first = np.concatenate([[True], key[rest[1:]] != key[rest[:-1]]])
+        leader = rest[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        apart = np.bitwise_count(sketch[rest] ^ sketch[leader])
+        hit = (apart <= POSSIBLE) & ~first
+        left.append(rest[hit])
+        right.append(leader[hit])
+        rest = rest[(apart > CLOSE) & ~first]
+    return np.concatenate(left or [rest]), np.concatenate(right or [rest])
+
+
+def _bucket_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the buckets of one task; rows stream through sorted by key, the last bucket waits."""
+    held = [np.empty(0, np.int64)] * 3
+
+    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, sketch, node = rows
+        one, two = leader_pairs(key, sketch.view(np.uint64), mix(key.view(np.uint64) ^ node.view(np.uint64)))
+        a, b = np.minimum(node[one], node[two]), np.maximum(node[one], node[two])
+        both = np.unique(np.stack([a, b])[:, a != b], axis=1)
+        return pa.RecordBatch.from_pydict({"a": both[0], "b": both[1]})
+
+    waiting: list[list[np.ndarray]] = []
+    for batch in batches:
+        waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node")])
+        if sum(len(w[0]) for w in waiting) < 1 << 18:
+            continue
+        held = [np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held)]
+        waiting = []
+        upto = int(np.searchsorted(held[0], held[0][-1]))
+        if upto:
+            yield pairs([h[:upto] for h in held])
+            held = [h[upto:] for h in held]
+    held = [np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held)]
+    if len(held[0]):
+        yield pairs(held)
+
+
+def packed(text: str) -> np.ndarray | None:
+    """Sorted distinct shingles, five 12-bit characters to a number; None where one does not fit."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(code) < SHINGLE or code.max() >= 4096:
+        return None
+    out = np.zeros(len(code) - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        out = out << np.uint64(12) | code[k:k + len(out)]
+    return np.unique(out)
 
 
-def _verify(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("h", "ascending"), ("g", "ascending")])
-    node = table.column("node").to_numpy()
-    root = node[verified(table.column("line").to_pylist())]
-    keep = node != root
-    return pa.table({"a": pa.array(node[keep], pa.int64()), "b": pa.array(root[keep], pa.int64())})
+def similarity(x: str, y: str, memo: Names) -> float:
+    """Exact Jaccard similarity of two lines."""
+    a, b = memo[x], memo[y]
+    if a is None or b is None:
+        return jaccard(shingles(x), shingles(y))
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
 
 
-def _against_pivot(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo = Names(packed, 20_000)
     for batch in batches:
-        far = [1 - jaccard(shingles(a), shingles(b)) for a, b in
-               zip(batch.column("line").to_pylist(), batch.column("pivot_line").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("cluster", "h", "g", "node", "line", "pivot")] + [pa.array(far, pa.float64())],
-            ["cluster", "h", "g", "node", "line", "pivot", "far"])
-
-
-def verify(members: DataFrame, group: int = GROUP) -> DataFrame:
-    """Verified links ``a, b`` between the nodes of ``members(cluster, h, g, node, line)``."""
-    links = None
-    while True:
-        size = members.groupBy("cluster").count()
-        small = members.join(size.where(F.col("count") <= group).select("cluster"), "cluster", "left_semi")
-        # The cluster alone would gather ``group`` lines at most.
-        found = save(small.groupBy("cluster").applyInArrow(_verify, "a long, b long"), "verified")
-        links = found if links is None else links.unionByName(found)
-        large = size.where(F.col("count") > group).select("cluster")
-        if large.isEmpty():
-            return links
-        big = members.join(large, "cluster", "left_semi")
-        pivot = big.groupBy("cluster").agg(F.min(F.struct("node", "line")).alias("p")).select(
-            "cluster", F.col("p.node").alias("pivot"), F.col("p.line").alias("pivot_line"))
-        scored = save(big.join(pivot, "cluster").mapInArrow(
-            _against_pivot, "cluster long, h long, g long, node long, line string, pivot long, far double"), "pivots")
-        limit = 1 - SIMILARITY + 1e-12
-        near = scored.where((F.col("far") <= limit) & (F.col("node") != F.col("pivot")))
-        links = links.unionByName(near.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        # A line left over can only link to lines whose distance to the pivot is close to its own.
-        left = scored.where(F.col("far") > limit).groupBy("cluster").agg(F.min("far").alias("nearest"))
-        members = save(scored.join(left, "cluster").where(
-            (F.col("node") != F.col("pivot")) & (F.col("far") >= F.col("nearest") - limit))
-            .select("cluster", "h", "g", "node", "line"), "leftover")
+        near = [similarity(x, y, memo) for x, y in
+                zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.float64())],
+                                         ["a", "b", "near"])
+
+
+def similarities(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``a, b, near``: exact similarity of each pair of nodes of ``lines(node, line)``."""
+    def side(name: str) -> DataFrame:
+        return lines.select(F.col("node").alias(name), F.col("line").alias(f"line_{name}"))
+
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b")
+            .mapInArrow(_similar, "a long, b long, near double"))
+
+
+def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Verified links ``a, b`` between the nodes of ``lines(node, line)``, from candidate pairs."""
+    first = save(similarities(pairs, lines), "similar")
+    # Both directions: a line and the leader (or follower) it was compared with.
+    both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
+    linked = both.where(F.col("near") >= SIMILARITY)
+    label = save(components(linked.select("a", "b")), "label")
+    of = [label.select(F.col("node").alias(n), F.col("component").alias(f"{n}_is")) for n in ("x", "b")]
+    # Lines in the leader's component already have nothing to find there.
+    missed = (both.where((F.col("near") < SIMILARITY) & (F.col("near") >= 2 * SIMILARITY - 1))
+              .select(F.col("a").alias("x"), "b", F.col("near").alias("x_near"))
+              .join(of[0], "x", "left").join(of[1], "b").where(~F.col("x_is").eqNullSafe(F.col("b_is")))
+              .select("x", "b", "x_near"))
+    # y with 1 - near(y, b) <= 0.2 can only be within 0.2 of x if near(x, b) >= near(y, b) - 0.2.
+    hidden = (missed.join(linked.select(F.col("a").alias("y"), "b", F.col("near").alias("y_near")), "b")
+              .where((F.col("x") != F.col("y")) & (F.col("x_near") >= F.col("y_near") - (1 - SIMILARITY) - 1e-9))
+              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    second = similarities(hidden, lines).where(F.col("near") >= SIMILARITY)
+    return linked.select("a", "b").unionByName(second.select("a", "b"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -215,32 +262,36 @@ def removals(docs: DataFrame) -> DataFrame:
     where = save(own.mapInArrow(_positions, "h long, g long, doc long, text_hash long, line long"), "lines")
     found = save(own.select("text").mapInArrow(_band_rows, "key long, fp long, node long")
                  .repartition("key").sortWithinPartitions("key", "fp")
-                 .mapInArrow(bucket_links(SKETCH_BITS), "a long, b long"), "candidates")
+                 .mapInArrow(_bucket_pairs, "a long, b long").distinct(), "candidates")
     free_shuffles(spark)
-    cluster = save(components(found), "clusters")
+    asked_for = found.select(F.col("a").alias("h")).unionByName(found.select(F.col("b").alias("h"))).distinct()
     place = F.struct("doc", "text_hash", "line")
     once = save(where.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
-    # Text of the lines in candidate groups, read from the first document that holds each.
-    asked = (once.join(cluster, once["h"] == cluster["node"]).select(
-        "h", "g", F.col("component").alias("cluster"), F.col("first.doc").alias("doc"),
-        F.col("first.text_hash").alias("text_hash"), F.col("first.line").alias("line"))
-        .groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "h", "g", "cluster")).alias("asked")))
+    # Text of the lines in candidate pairs, read from the first document that holds each.
+    asked = (once.join(asked_for, "h").select(
+        "h", "g", F.col("first.doc").alias("doc"), F.col("first.text_hash").alias("text_hash"),
+        F.col("first.line").alias("line"))
+        .groupBy("doc", "text_hash").agg(F.collect_list(F.struct("line", "h", "g")).alias("asked")))
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            rows = [(q["cluster"], q["h"], q["g"], lines[q["line"]].decode("utf-8", "replace"))
+            rows = [(q["h"], q["g"], lines[q["line"]].decode("utf-8", "replace"))
                     for lines, qs in zip(map(_lines, raw_texts(batch)), batch.column("asked").to_pylist(), strict=True)
                     for q in qs]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in
-                                              zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)],
-                                             ["cluster", "h", "g", "line"])
+                                              zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)],
+                                             ["h", "g", "line"])
 
     members = save(own.join(asked.withColumnRenamed("doc", "doc_id"), ["doc_id", "text_hash"])
-                   .mapInArrow(fetch, "cluster long, h long, g long, line string")
+                   .mapInArrow(fetch, "h long, g long, line string")
                    .dropDuplicates(["h", "g"]).withColumn("node", F.xxhash64("h", "g")), "members")
     free_shuffles(spark)
-    label = components(verify(members))
+    of = members.select("h", "node")
+    pairs = (found.join(of.select(F.col("h").alias("a"), F.col("node").alias("x")), "a")
+             .join(of.select(F.col("h").alias("b"), F.col("node").alias("y")), "b")
+             .select(F.col("x").alias("a"), F.col("y").alias("b")))
+    label = components(verify(pairs, members))
     classes = once.withColumn("node", F.xxhash64("h", "g")).join(label, "node", "left")
     # Components of one different line that occurs once lose nothing; leave them out early.
     classes = save(classes.where("n > 1 or component is not null")
