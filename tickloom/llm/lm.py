@@ -43,11 +43,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HEAD = 512
 ENDINGS = 200
 LISTED = 200_000
-DIM = 24
-NOISE = 64
+DIM = 16
+NOISE = 32
 BATCH = 1024
 RATE = 0.1
 SEED = 5
+#: Text handled at once inside a task, in bytes.
+CHUNK = 2 << 20
 #: The end token; no word is empty.
 END = b""
 
@@ -68,10 +70,10 @@ def _count_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                            pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     seen: Counter = Counter()
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=CHUNK):
         for text in raw_texts(batch):
             seen.update(tokens(text))
-        if len(seen) > 400_000:
+        if len(seen) > 250_000:
             yield rows(seen)
             seen = Counter()
     if seen:
@@ -87,20 +89,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Lexicon:
     """Classes of all words and counts of the listed ones; its size is bounded by the constants."""
 
-    def __init__(self, listed: list[tuple[str, int]], endings: list[tuple[str, int, int]], total: int, kinds: int):
+    def __init__(self, listed: list[tuple[str, int]], endings: list[tuple[str, int, int]],
+                 rest: tuple[None, int, int], total: int, kinds: int):
         self.total, self.kinds = total, kinds
         self.listed = {w.encode(): i for i, (w, _) in enumerate(listed)}
         self.head = min(HEAD, len(listed))
-        named = endings[:ENDINGS]
-        self.endings = {e: self.head + i for i, (e, _, _) in enumerate(named)}
-        self.other = self.head + len(named)
+        self.endings = {e: self.head + i for i, (e, _, _) in enumerate(endings)}
+        self.other = self.head + len(endings)
         self.start = self.other + 1  # stands before a text, never a target
         self.classes = self.start + 1
         # Counts of the classes: whole, and of words seen once.
         mass = np.zeros(self.classes)
         once = np.zeros(self.classes)
         mass[:self.head] = [c for _, c in listed[:self.head]]
-        for e, c, n in endings:
+        for e, c, n in [*endings, rest]:
             k = self.endings.get(e, self.other)
             mass[k] += c
             once[k] += n
@@ -139,7 +141,7 @@ class Lexicon:
             at = self.listed.get(word)
             return n + self.class_of(word) if at is None else at
 
-        return Names(code)
+        return Names(code, 1 << 18)
 
     def contexts(self, cls: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Classes one and two tokens before each token; ``first`` marks the start of each text."""
@@ -151,24 +153,25 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    listed = [(r.word, r.c) for r in counts.orderBy(F.desc("c"), "word").limit(LISTED).toLocalIterator()]
+    """The bounded part of the counts. Listed words lie above a count found from a histogram (some
+    thousand bins), so no task ever sorts the vocabulary; words at or below it stay in the table."""
+    fine = F.floor(F.log2("c") * 64)
+    limit, held = None, 0
+    for r in sorted(counts.groupBy(fine.alias("bin")).count().collect(), key=lambda r: -r.bin):
+        held += r["count"]
+        if held > LISTED:
+            break
+        limit = r.bin
+    rows = counts.where(fine >= limit).collect() if limit is not None else []
+    listed = sorted(((r.word, r.c) for r in rows), key=lambda x: (-x[1], x[0]))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    spark = counts.sparkSession
-    head = spark.createDataFrame([(w,) for w, _ in listed[:HEAD]], "word string")
-    endings = [(r.ending, r.c, r.once) for r in counts.join(F.broadcast(head), "word", "left_anti")
-               .groupBy(F.substring("word", -2, 2).alias("ending"))
-               .agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("long")).alias("once"))
-               .withColumn("rank", F.row_number().over(_by_count())).withColumn(
-                   "ending", F.when(F.col("rank") <= ENDINGS, F.col("ending")))
-               .groupBy("ending").agg(F.sum("c").alias("c"), F.sum("once").alias("once"))
-               .orderBy(F.col("ending").isNull(), F.desc("c"), "ending").collect()]
-    return Lexicon(listed, endings, total, kinds)
-
-
-def _by_count():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy(F.desc("c"), "ending")
+    head = counts.sparkSession.createDataFrame([(w,) for w, _ in listed[:HEAD]], "word string")
+    ends = (counts.join(F.broadcast(head), "word", "left_anti").groupBy(F.substring("word", -2, 2).alias("ending"))
+            .agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("long")).alias("once")))
+    endings = [tuple(r) for r in ends.orderBy(F.desc("c"), "ending").limit(ENDINGS).collect()]
+    mass, once = ends.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("once"), F.lit(0))).first()
+    rest = None, mass - sum(c for _, c, _ in endings), once - sum(n for *_, n in endings)
+    return Lexicon(listed, endings, rest, total, kinds)
 
 
 class Model:
@@ -266,7 +269,7 @@ def train(docs: DataFrame, lex: Lexicon) -> Model:
             model, code, seen = Model(lex).load(start.value), lex.coder(), 0
             step = model.learner()
             rng = np.random.default_rng(SEED + 2)
-            for batch in chunks(batches):
+            for batch in chunks(batches, limit=CHUNK):
                 *_, cls, one, two = _batches(batch, lex, code)
                 order = rng.permutation(len(cls))
                 for at in range(0, len(order), BATCH):
@@ -328,7 +331,7 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, near, far, bias, z = shared.value
         code, listed = lex.coder(), len(lex.listed)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             texts, size, first, codes, cls, one, two = _batches(batch, lex, code)
             chance = (near[one, cls] + far[two, cls] + bias[cls] - z[one, two]) / np.log(10) + lex.inside[codes]
             rare = codes >= listed
