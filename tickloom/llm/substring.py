@@ -189,7 +189,7 @@ def word_name(word: bytes) -> int:
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name_of = Names(word_name)
-    for batch in chunks(batches, limit=4 << 20):
+    for batch in chunks(batches, limit=2 << 20):
         shard = Shard([t.split() for t in raw_texts(batch)], name_of)
         doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[shard.doc[shard.low]]
         rows = np.unique(np.rec.fromarrays([doc, shard.name.view(np.int64), shard.context().view(np.int64)],
@@ -200,7 +200,7 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Window hashes of the anchors whose surroundings differ, each once per document."""
     name_of = Names(word_name)
-    for batch in chunks(batches, limit=4 << 20):
+    for batch in chunks(batches, limit=2 << 20):
         shard = Shard([t.split() for t in raw_texts(batch)], name_of)
         at = shard.windows(_listed(shard, batch, "open"))
         doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[shard.doc[at]]
@@ -229,7 +229,7 @@ def _listed(shard: Shard, batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 def _rewritten(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name_of = Names(word_name)
-    for batch in chunks(batches, limit=4 << 20):
+    for batch in chunks(batches, limit=2 << 20):
         words = [t.split() for t in raw_texts(batch)]
         shard = Shard(words, name_of)
         change = np.zeros(len(shard.doc) + 1, np.int64)
