@@ -21,7 +21,7 @@ from tickloom.session import shared_dir
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Text handled at once inside a task, in bytes; a single longer text is one chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Members of a bucket that are compared at once.
 BLOCK = 2048
 
@@ -61,7 +61,7 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 class Names(dict):
     """Memo of a pure function of a word, emptied when it grows beyond ``limit`` entries."""
 
-    def __init__(self, make, limit: int = 1 << 20):
+    def __init__(self, make, limit: int = 1 << 19):
         super().__init__()
         self.make, self.limit = make, limit
 
