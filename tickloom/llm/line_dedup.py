@@ -12,9 +12,11 @@ Equal lines are merged first (128-bit hash), so a line in many documents is one
 lines under one key never sends all its pairs: in an order that differs between buckets a line
 becomes a leader unless its sketch is very close to an earlier leader's, and each line is paired
 with the leaders whose sketch does not rule the threshold out. Every pair is verified by exact
-Jaccard similarity. What leaders may hide is looked up then: a line that just misses its leader is
-compared with the lines linked to that leader, as far as the triangle inequality of the Jaccard
-distance leaves a link possible.
+Jaccard similarity. A line that left its bucket for a leader it turns out not to be linked to comes
+back: it meets the later leaders of the bucket, and the lines that came back with it choose leaders
+among themselves, until every line that is out is linked to its leader. What leaders may hide is
+looked up then: a line that just misses its leader is compared with the lines linked to that leader,
+as far as the triangle inequality of the Jaccard distance leaves a link possible.
 
 Defined cases: a null or empty text has no lines; blank lines are never duplicates and stay; rows
 without an id keep all lines and are no source; rows with equal id and text share one decision;
@@ -47,6 +49,8 @@ ROWS = 5
 #: unlike lines. A pair is verified up to ``POSSIBLE``; up to ``CLOSE`` a line needs no leader of its own.
 POSSIBLE = 14
 CLOSE = 5
+#: Rounds in which lines that come back choose leaders; in the last one nobody leaves a bucket.
+ROUNDS = 5
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -152,46 +156,109 @@ def jaccard(a: set[str], b: set[str]) -> float:
 
 
 def leader_pairs(key: np.ndarray, sketch: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (line, leader) of rows with equal key; rows come sorted by key. All buckets advance
-    together: each turn takes one leader per bucket."""
+    """Pairs (line, leader) of rows with equal key; rows come sorted by key."""
+    return seated(key, sketch, order)[:2]
+
+
+def seated(key: np.ndarray, sketch: np.ndarray, order: np.ndarray,
+           close: int = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (line, leader) of rows with equal key, and each row's turn and the leader it left the
+    bucket for (itself if it leads). All buckets advance together: each turn takes one leader per bucket."""
     left, right = [], []
+    turn, led = np.zeros(len(key), np.int64), np.arange(len(key))
     rest = np.lexsort([order, key])
+    now = 0
     while len(rest):
         first = np.concatenate([[True], key[rest[1:]] != key[rest[:-1]]])
         leader = rest[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        apart = np.bitwise_count(sketch[rest] ^ sketch[leader])
+        apart = np.bitwise_count(sketch[rest] ^ sketch[leader]).astype(np.int64)
         hit = (apart <= POSSIBLE) & ~first
         left.append(rest[hit])
         right.append(leader[hit])
-        rest = rest[(apart > CLOSE) & ~first]
-    return np.concatenate(left or [rest]), np.concatenate(right or [rest])
-
-
-def _bucket_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the buckets of one task; rows stream through sorted by key, the last bucket waits."""
-    held = [np.empty(0, np.int64)] * 3
-
-    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, sketch, node = rows
-        one, two = leader_pairs(key, sketch.view(np.uint64), mix(key.view(np.uint64) ^ node.view(np.uint64)))
-        a, b = np.minimum(node[one], node[two]), np.maximum(node[one], node[two])
-        both = np.unique(np.stack([a, b])[:, a != b], axis=1)
-        return pa.RecordBatch.from_pydict({"a": both[0], "b": both[1]})
-
+        out = first | (apart <= close)
+        turn[rest[out]], led[rest[out]] = now, leader[out]
+        rest = rest[~out]
+        now += 1
+    return np.concatenate(left or [rest]), np.concatenate(right or [rest]), turn, led
+
+
+#: Pairs ``a, b`` (without key) and seats of lines ``a`` in a bucket: the leader ``b`` they left for, null if they lead.
+SEATS = "a long, b long, key long, fp long, turn long"
+
+
+def _rows(a: np.ndarray, b: np.ndarray, seats: Iterable[np.ndarray], leads: np.ndarray) -> pa.RecordBatch:
+    """A batch of ``SEATS``: distinct pairs, and ``key, fp, turn, node, leader`` of seats."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    both = np.unique(np.stack([low, high])[:, low != high], axis=1)
+    key, fp, turn, node, leader = seats
+    none = pa.nulls(both.shape[1], pa.int64())
+    def join(x, y):
+        return pa.concat_arrays([x, y])
+    return pa.RecordBatch.from_arrays(
+        [join(pa.array(both[0]), pa.array(node)), join(pa.array(both[1]), pa.array(leader, mask=leads)),
+         join(none, pa.array(key)), join(none, pa.array(fp)), join(none, pa.array(turn))],
+        ["a", "b", "key", "fp", "turn"])
+
+
+def _seating(key: np.ndarray, sketch: np.ndarray, node: np.ndarray, close: int = CLOSE,
+             since: int = 0) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Node pairs of whole buckets, and the seats of buckets where one comparison may be owed: three
+    lines or more, one of which left for a leader."""
+    one, two, turn, led = seated(key, sketch.view(np.uint64), mix(key.view(np.uint64) ^ node.view(np.uint64)), close)
+    leads = led == np.arange(len(led))
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
+    size = np.diff(np.concatenate([start, [len(key)]])).astype(np.int64)
+    owed = (size > 2) & (np.add.reduceat((~leads).astype(np.int64), start) > 0) if len(start) else np.empty(0, bool)
+    at = np.flatnonzero(np.repeat(owed, size))
+    return node[one], node[two], [key[at], sketch[at], turn[at] + since, node[at], node[led[at]]], leads[at]
+
+
+def _whole_buckets(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that stream through sorted by key (the first name); the last bucket waits."""
+    held = [np.empty(0, np.int64)] * len(names)
     waiting: list[list[np.ndarray]] = []
     for batch in batches:
-        waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node")])
+        waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
         if sum(len(w[0]) for w in waiting) < 1 << 18:
             continue
         held = [np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held)]
         waiting = []
         upto = int(np.searchsorted(held[0], held[0][-1]))
         if upto:
-            yield pairs([h[:upto] for h in held])
+            yield [h[:upto] for h in held]
             held = [h[upto:] for h in held]
     held = [np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held)]
     if len(held[0]):
-        yield pairs(held)
+        yield held
+
+
+def _bucket_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs and seats of the buckets of one task."""
+    for key, sketch, node in _whole_buckets(batches, ["key", "fp", "node"]):
+        yield _rows(*_seating(key, sketch, node))
+
+
+def _back_pairs(close: int):
+    """Pairs and new seats of lines that came back (``back`` 1), beside the leaders of their buckets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, sketch, node, turn, back in _whole_buckets(batches, ["key", "fp", "node", "turn", "back"]):
+            bits, left, right = sketch.view(np.uint64), [], []
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                mine, lead = s + np.flatnonzero(back[s:e] == 1), s + np.flatnonzero(back[s:e] == 0)
+                for at in range(0, len(mine) if len(lead) else 0, 256):
+                    some = mine[at:at + 256]
+                    near = ((np.bitwise_count(bits[some, None] ^ bits[lead]) <= POSSIBLE)
+                            & (turn[lead] > turn[some, None]))
+                    x, y = np.nonzero(near)
+                    left.append(node[some[x]])
+                    right.append(node[lead[y]])
+            own = back == 1
+            a, b, seats, leads = _seating(key[own], sketch[own], node[own], close)
+            yield _rows(np.concatenate([a, *left]), np.concatenate([b, *right]), seats, leads)
+
+    return run
 
 
 def packed(text: str) -> np.ndarray | None:
@@ -234,9 +301,34 @@ def similarities(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             .mapInArrow(_similar, "a long, b long, near double"))
 
 
-def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def called_back(first: DataFrame, seats: DataFrame, lines: DataFrame) -> DataFrame:
+    """``first`` and the pairs of lines that left a bucket for a leader they are not linked to: they
+    meet the later leaders and each other, round by round, until nobody is out without a link."""
+    for left in reversed(range(ROUNDS)):
+        missed = (seats.where("b is not null")
+                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                          F.col("a").alias("node"), "key", "fp", "turn")
+                  .join(first.where(F.col("near") < SIMILARITY), ["a", "b"]).select("key", "fp", "node", "turn"))
+        missed = save(missed, "missed")
+        if missed.isEmpty():
+            break
+        leaders = (seats.where("b is null").join(missed.groupBy("key").agg(F.min("turn").alias("since")), "key")
+                   .where("turn > since").select("key", "fp", F.col("a").alias("node"), "turn"))
+        rows = (missed.withColumn("back", F.lit(1).cast("long"))
+                .unionByName(leaders.withColumn("back", F.lit(0).cast("long"))))
+        found = save(rows.repartition("key").sortWithinPartitions("key")
+                     .mapInArrow(_back_pairs(CLOSE if left else -1), SEATS).distinct(), "back")
+        pairs = found.where("key is null").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+        first = first.unionByName(save(similarities(pairs, lines), "similar"))
+        seats = found.where("key is not null")
+    return first
+
+
+def verify(pairs: DataFrame, lines: DataFrame, seats: DataFrame | None = None) -> DataFrame:
     """Verified links ``a, b`` between the nodes of ``lines(node, line)``, from candidate pairs."""
     first = save(similarities(pairs, lines), "similar")
+    if seats is not None:
+        first = called_back(first, seats, lines)
     # Both directions: a line and the leader (or follower) it was compared with.
     both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
     linked = both.where(F.col("near") >= SIMILARITY)
@@ -262,9 +354,10 @@ def removals(docs: DataFrame) -> DataFrame:
     where = save(own.mapInArrow(_positions, "h long, g long, doc long, text_hash long, line long"), "lines")
     found = save(own.select("text").mapInArrow(_band_rows, "key long, fp long, node long")
                  .repartition("key").sortWithinPartitions("key", "fp")
-                 .mapInArrow(_bucket_pairs, "a long, b long").distinct(), "candidates")
+                 .mapInArrow(_bucket_pairs, SEATS).distinct(), "candidates")
     free_shuffles(spark)
-    asked_for = found.select(F.col("a").alias("h")).unionByName(found.select(F.col("b").alias("h"))).distinct()
+    asked_for = (found.select(F.col("a").alias("h"))
+                 .unionByName(found.where("key is null").select(F.col("b").alias("h"))).distinct())
     place = F.struct("doc", "text_hash", "line")
     once = save(where.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
     # Text of the lines in candidate pairs, read from the first document that holds each.
@@ -288,10 +381,12 @@ def removals(docs: DataFrame) -> DataFrame:
                    .dropDuplicates(["h", "g"]).withColumn("node", F.xxhash64("h", "g")), "members")
     free_shuffles(spark)
     of = members.select("h", "node")
-    pairs = (found.join(of.select(F.col("h").alias("a"), F.col("node").alias("x")), "a")
-             .join(of.select(F.col("h").alias("b"), F.col("node").alias("y")), "b")
-             .select(F.col("x").alias("a"), F.col("y").alias("b")))
-    label = components(verify(pairs, members))
+    named = (found.join(of.select(F.col("h").alias("a"), F.col("node").alias("x")), "a")
+             .join(of.select(F.col("h").alias("b"), F.col("node").alias("y")), "b", "left"))
+    pairs = (named.where("key is null and y is not null")
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    seats = named.where("key is not null").select(F.col("x").alias("a"), F.col("y").alias("b"), "key", "fp", "turn")
+    label = components(verify(pairs, members, save(seats, "seats")))
     classes = once.withColumn("node", F.xxhash64("h", "g")).join(label, "node", "left")
     # Components of one different line that occurs once lose nothing; leave them out early.
     classes = save(classes.where("n > 1 or component is not null")
