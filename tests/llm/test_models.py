@@ -134,6 +134,16 @@ def test_pii_keeps_entities_apart(spark, monkeypatch):
     assert len(new) == len(set(new)) == 31 and not set(new) & {w for _, w in rows}
 
 
+def test_pii_digits_of_other_scripts(spark):
+    """A text whose only digits are not ASCII meets the patterns as well."""
+    number = "988-555-2485"
+    rows = [(i, "call " + "".join(chr(zero + int(c)) if c.isdigit() else c for c in number) + " now")
+            for i, zero in enumerate((0x660, 0x6F0, 0x966, 0xFF10))]
+    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    assert {r.doc_id: [e.kind for e in r.entities] for r in got} == {i: ["phone"] for i, _ in rows}
+    assert not {r.text for r in got} & {text for _, text in rows}
+
+
 # --- chat --------------------------------------------------------------------------------------
 
 @settings(max_examples=300, deadline=None)

@@ -70,8 +70,9 @@ IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 NAME = regex.compile(
     r"(?<!\p{L})(?P<title>" + "|".join(regex.escape(t) for t in sorted(TITLES, key=len, reverse=True))
     + r")\s(?P<name>\p{Lu}\p{L}+(?:[ \-]\p{Lu}\p{L}+){0,2})")
-#: Every entity has one of these characters or a title in its text.
-MARKS = "[0-9@=:]"
+#: Every entity has one of these characters or a title in its text. Patterns take decimal digits of
+#: every script; those the JVM does not know yet are unassigned to it.
+MARKS = r"[\p{Nd}\p{Cn}@=:]"
 #: Shortest texts that all titles and key marks contain one of.
 STEMS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Se\u00f1or", "Sr", "Monsieur", "Madame", "Mme", "Госпо", "Κύριος",
          "Κυρία", *KEY_MARKS)
