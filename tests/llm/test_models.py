@@ -144,6 +144,16 @@ def test_pii_digits_of_other_scripts(spark):
     assert not {r.text for r in got} & {text for _, text in rows}
 
 
+def test_pii_of_any_length():
+    """No part of a long address stays, blanks may stand between a secret's name and its sign."""
+    mail = "first.part+" * 30 + "end@mail.example.com"
+    assert [m[:3] for m in pii.entities(f"to {mail} now")] == [(3, 3 + len(mail), "email")]
+    for blanks in (0, 6, 7, 40):
+        text = "access_key" + " " * blanks + "= b7db7aa4a5fcc78305"
+        assert [(text[a:b], kind) for a, b, kind, _ in pii.entities(text)] == [("b7db7aa4a5fcc78305", "secret")]
+        assert not pii.entities("my" + text)
+
+
 # --- chat --------------------------------------------------------------------------------------
 
 @settings(max_examples=300, deadline=None)

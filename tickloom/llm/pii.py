@@ -59,10 +59,9 @@ NUMBERS = re.compile(
     r"|(?<![\d\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d\-]*\d)"
     r"|(?<![\d+])(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}"
     r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)")
-MAIL_LEFT = re.compile(r"[\w.%+\-]+$")
 MAIL_RIGHT = re.compile(r"[^\W_][\w\-]*(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
 SETTING = re.compile(r"[:=]\s*[\"']?(?=[A-Za-z0-9+/_\-]{8})")
-SECRET_NAME = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*$")
+SECRET_NAME = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)$")
 SECRET = re.compile(r"[A-Za-z0-9+/_\-]+")
 KEY_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 KEY = re.compile(r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})\b")
@@ -99,16 +98,21 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
     """``(start, end, kind, identity)`` of everything that looks like an entity; may overlap."""
     at = text.find("@")
     while at >= 0:
-        left, right = MAIL_LEFT.search(text[max(0, at - 100):at]), MAIL_RIGHT.match(text, at + 1)
-        if left and right:
-            yield at - len(left[0]), right.end(), "email", text[at - len(left[0]):right.end()]
+        left, right = at, MAIL_RIGHT.match(text, at + 1)
+        while right and left and (text[left - 1].isalnum() or text[left - 1] in "_.%+-"):
+            left -= 1
+        if right and left < at:
+            yield left, right.end(), "email", text[left:right.end()]
         at = text.find("@", at + 1)
     for island in DIGITS.finditer(text):
         for m in NUMBERS.finditer(text, max(0, island.start() - 2), min(len(text), island.end() + 2)):
             if m.lastgroup != "card" or luhn(identity("card", m[0])):  # else some other long number
                 yield *m.span(m.lastgroup), m.lastgroup, m[m.lastgroup]
     for m in SETTING.finditer(text):
-        if SECRET_NAME.search(text[max(0, m.start() - 16):m.start()]):
+        end = m.start()
+        while end and text[end - 1].isspace():
+            end -= 1
+        if SECRET_NAME.search(text[max(0, end - 16):end]):
             value = SECRET.match(text, m.end())
             yield *value.span(), "secret", value[0]
     if any(mark in text for mark in KEY_MARKS):
