@@ -76,6 +76,11 @@ def test_lm_learns_and_normalises(spark):
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_training_work():
+    """Less training work is not a way to lower the figures."""
+    assert (lm.DIM, lm.NOISE) == (24, 64)
+
+
 # --- PII ---------------------------------------------------------------------------------------
 
 PII_TEXT = ("Mail Ann.Lee@Mail.example.com or ann.lee@mail.example.com, call +1 (988) 555-2485 or 988-555-2485. "

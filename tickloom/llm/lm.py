@@ -43,8 +43,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HEAD = 512
 ENDINGS = 200
 LISTED = 200_000
-DIM = 16
-NOISE = 32
+DIM = 24
+NOISE = 64
 BATCH = 1024
 RATE = 0.1
 SEED = 5
