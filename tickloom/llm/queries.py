@@ -113,6 +113,13 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import repair
+
+    return repair.report(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
