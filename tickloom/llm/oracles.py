@@ -68,3 +68,61 @@ SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_
   sha256(array_to_string(CASE WHEN g.r IS NULL THEN s.words ELSE list_filter(s.words, lambda x, i: NOT list_contains(g.gone, i)) END, ' ')) AS kept_sha256
 FROM s LEFT JOIN g ON g.r = s.r
 """
+
+# CRC-32 over the bytes of `conv_id:turn`, then the cheapest audits row by row.
+ORACLES["op11_repair"] = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))),
+    CAST(4294967295 AS BIGINT)) % 20 AS kind FROM c),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d),
+f AS (
+  SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM o),
+e AS (SELECT * FROM (VALUES (0, 1, 'K', 0, 's'), (0, 2, 'K', 0, 'u'), (1, 2, 'K', 0, 'u'), (3, 2, 'K', 0, 'u'), (2, 3, 'K', 0, 'a'),
+  (0, 2, 'R', 3, ''), (1, 2, 'R', 3, ''), (3, 2, 'R', 3, ''), (2, 3, 'R', 3, ''),
+  (0, 0, 'D', 4, ''), (1, 1, 'D', 4, ''), (2, 2, 'D', 4, ''), (3, 3, 'D', 4, '')) v(src, dst, letter, price, needs)),
+b AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, s AS state, p AS cost, a AS audit
+  FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES (0, 0, ''), (2, 3, 'I'), (3, 6, 'II')) v(s, p, a)
+  UNION ALL
+  SELECT conv_id, pos, state, cost, audit FROM (
+    SELECT x.conv_id, x.pos, CASE i WHEN 0 THEN x.dst WHEN 1 THEN CASE x.dst WHEN 2 THEN 3 ELSE 2 END ELSE CASE x.dst WHEN 2 THEN 2 ELSE 3 END END AS state,
+      x.cost + 3 * i AS cost, x.audit || repeat('I', i) AS audit
+    FROM (SELECT b.conv_id, f.pos, e.dst, b.cost + e.price + CASE WHEN f.fault = 3 AND e.letter <> 'D' THEN 3 ELSE 0 END AS cost, b.audit || e.letter AS audit
+          FROM b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.pos = b.pos + 1
+          JOIN e ON e.src = b.state AND (e.letter = 'D' OR f.fault NOT IN (1, 2)) AND (e.needs = '' OR e.needs = f.ini)) x,
+      (VALUES (0), (1), (2)) n(i)) y
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+z AS (
+  SELECT conv_id, cost, audit FROM (SELECT *, max(pos) OVER (PARTITION BY conv_id) AS top FROM b) WHERE pos = top AND state IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+l AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS step FROM z),
+m AS (
+  SELECT conv_id, step, audit[step] AS letter, count(*) FILTER (audit[step] <> 'I') OVER w AS pos,
+    count(*) FILTER (audit[step] <> 'D') OVER w AS outs FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY step)),
+r AS (
+  SELECT m.*, f.role, f.text, first_value(CASE WHEN m.letter = 'K' AND f.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv_id ORDER BY m.step) AS sys
+  FROM m LEFT JOIN f ON m.letter <> 'I' AND f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.pos = m.pos WHERE m.letter <> 'D'),
+t AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (outs - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+    || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY step) AS said FROM r GROUP BY conv_id),
+q AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM f) GROUP BY conv_id)
+SELECT z.conv_id, coalesce(q.gaps, 0) AS gaps, coalesce(q.blank, 0) AS blank, coalesce(q.duplicate, 0) AS duplicate,
+  coalesce(q.truncated, 0) AS truncated, coalesce(q.illegal, 0) AS illegal, CAST(z.cost AS BIGINT) AS cost, z.audit,
+  sha256(coalesce(t.said, '')) AS repaired_sha256
+FROM z LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
