@@ -126,3 +126,13 @@ SELECT z.conv_id, coalesce(q.gaps, 0) AS gaps, coalesce(q.blank, 0) AS blank, co
   sha256(coalesce(t.said, '')) AS repaired_sha256
 FROM z LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM z.conv_id
 """
+
+ORACLES["op12_topk_vectors"] = r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT r, vec_id, list_transform(e, lambda x: floor(256 * x)) AS e FROM v
+       WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM ok q JOIN ok c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) t WHERE rank <= 5
+"""

@@ -120,6 +120,13 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damage(table(spark, sf_dir, "conversations")))
 
 
+@query
+def op12_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import topk_vectors
+
+    return topk_vectors.search(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
