@@ -136,3 +136,22 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) t WHERE rank <= 5
 """
+
+ORACLES["op13_lexical"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+i AS (
+  SELECT row_number() OVER () AS r, item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark),
+n AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS total FROM d WHERE len(words) > 0),
+q AS (SELECT r, item_id, term, count(*) AS times FROM (SELECT r, item_id, unnest(words) AS term FROM i) GROUP BY ALL),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n.docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, n GROUP BY term, n.docs),
+p AS (SELECT t.r, t.term, w.w * ((1000000000 * t.tf) // (1000 * t.tf + 12 * (100 - 25 + ((25 * len(d.words) * n.docs) // n.total)))) AS impact
+      FROM t JOIN d ON d.r = t.r JOIN w ON w.term = t.term, n),
+s AS (SELECT q.r, q.item_id, d.r AS dr, d.doc_id, CAST(sum(q.times * p.impact) AS BIGINT) AS score FROM q JOIN p ON p.term = q.term JOIN d ON d.r = p.r
+      GROUP BY ALL HAVING sum(q.times * p.impact) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s) x WHERE rank <= 20
+"""

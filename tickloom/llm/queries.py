@@ -127,6 +127,13 @@ def op12_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_vectors.search(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import lexical
+
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
