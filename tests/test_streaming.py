@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.streaming import alerts, ticks as tk
+from tickloom.streaming import alerts, live, ticks as tk
 
 T0 = datetime(2024, 1, 2, 9, 0, 0)
 
@@ -82,9 +82,113 @@ def test_stream_alerts_equal_brute_force_across_micro_batches(spark, tmp_path):
     got = {}
     for r in spark.read.parquet(str(tmp_path / "out")).collect():
         got.setdefault(r.name, []).append((r.ts - T0).total_seconds())
+    closed = (rows[-1][1] - T0).total_seconds() - 2  # slices that end after the watermark are still open
     for rule in rules:
         points = [((ts - T0).total_seconds(), v) for m, ts, v in rows if m == rule.metric_name]
-        assert sorted(got.get(rule.name, [])) == brute_alerts(points, rule)
+        assert sorted(got.get(rule.name, [])) == [t for t in brute_alerts(points, rule) if t + 1 <= closed]
+
+
+def test_busy_metric_reaches_the_fold_as_slices(spark, tmp_path):
+    """100,000 points in 20 seconds are 20 rows for the fold; one failing point in a slice counts."""
+    rules = alerts.rules_frame(spark, [alerts.AlertRule("held", "m", ">", 10.0, 5, 0), alerts.AlertRule("at_once", "m", ">", 90.0, 0, 8)])
+    at = F.timestamp_micros(F.lit(int(T0.timestamp() * 1e6)) + F.col("id") * 200)
+    value = F.when(F.col("id") == 40_123, 1.0).when(F.col("id").isin(7, 70_000), 99.0).otherwise(50.0)
+    points = spark.range(100_000).select(F.lit("m").alias("metric_name"), at.alias("ts"), value.alias("value"))
+    slices = alerts.rule_slices(points, rules)
+    assert {r.name: r["count"] for r in slices.groupBy("name").count().collect()} == {"held": 20, "at_once": 2}
+    assert [r.slice_end.second for r in slices.where("name = 'held' and not met").collect()] == [8]
+    points.repartitionByRange(4, "ts").sortWithinPartitions("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = tk.file_stream(spark, str(tmp_path / "in"), points.schema)
+    tk.run_available(alerts.stream_alerts(stream, rules), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r.name, round((r.ts - T0).total_seconds(), 4)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # Without a cooldown a held rule fires slice by slice; the miss at 8.02 s starts the hold anew.
+    assert [g for g in got if g[0] == "at_once"] == [("at_once", 0.0014), ("at_once", 14.0)]
+    assert [g[1] for g in got if g[0] == "held"] == [5.9998, 6.9998, 7.9998, 14.9998, 15.9998, 16.9998]
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_stream_failovers_equal_the_batch_twin(spark, tmp_path, files):
+    rnd = random.Random(6)
+    rows, t = [], 0.0
+    for _ in range(600):
+        t += rnd.choice([0.25, 0.5, 1, 7])
+        rows.append((rnd.choice(["a", "b", "b", "b"]), T0 + timedelta(seconds=t), rnd.choice(["normal", "normal", "suspect", "degraded"])))
+    rows += [("end", T0 + timedelta(seconds=t + 60), "normal")]
+    schema = write_parts(spark, rows, "data_source string, ts timestamp, data_quality string", str(tmp_path / "in"), files)
+    stream = tk.file_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    tk.run_available(tk.stream_failovers(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    out = spark.read.parquet(str(tmp_path / "out")).filter("not open").collect()
+    batch = tk.failovers(spark.read.parquet(str(tmp_path / "in"))).collect()
+    assert sorted((r.key, r.gap_start, r.gap_end) for r in out) == sorted((r.data_source, r.gap_start, r.gap_end) for r in batch)
+    assert len(batch) > 30
+
+
+def brute_snapshots(rows, ttl, degraded):
+    """Expirations and live symbols of (symbol, id, seconds, quality) at the last tick minus two seconds."""
+    gone, live_ = [], {}
+    end = max(r[2] for r in rows) - 2
+    for symbol in {r[0] for r in rows}:
+        mine = sorted((t, i, degraded if q == "degraded" else ttl) for s, i, t, q in rows if s == symbol)
+        for (t, i, keep), later in zip(mine, [*mine[1:], None], strict=True):
+            if (later[0] - t if later else end - t) > keep:
+                gone.append((symbol, t, t + keep))
+            elif later is None:
+                live_[symbol] = t
+    return sorted(gone), live_
+
+
+def test_snapshots_expire_and_survive_a_restart(spark, tmp_path):
+    rnd = random.Random(8)
+    rows, t = [], 0
+    for i in range(500):
+        t += rnd.choice([1, 3, 10])
+        rows.append((rnd.choice(["A", "B", "C", "D", f"rare{i % 40}"]), i, t, rnd.choice(["normal", "suspect", "degraded"])))
+    gone, live_ = brute_snapshots(rows, 60, 300)
+    data = [(s, i, T0 + timedelta(seconds=t), q, float(i)) for s, i, t, q in rows]
+    schema = "symbol string, id bigint, ts timestamp, data_quality string, close double"
+    half = len(data) // 2
+    read = write_parts(spark, data[:half], schema, str(tmp_path / "in"), 3)
+    for part in (None, data[half:]):  # the second run starts from the checkpoint of the first
+        if part:
+            late = [(s, -1, ts - timedelta(seconds=1), q, -1.0) for s, _, ts, q, _ in part[5:10]]
+            write_parts(spark, part + late + part[-20:], schema, str(tmp_path / "in"), 3)
+        stream = tk.file_stream(spark, str(tmp_path / "in"), read, files_per_trigger=1)
+        tk.run_available(live.stream_snapshots(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    events = spark.read.parquet(str(tmp_path / "out"))
+    zero = int(T0.timestamp() * 1000)
+    got = [(r.symbol, (r.updated_ms - zero) / 1000, (r.expired_ms - zero) / 1000) for r in live.expirations(events).collect()]
+    assert sorted(got) == gone and len(gone) > 40
+    now = {r.symbol: ((r.updated_ms - zero) / 1000, json.loads(r.snapshot)["close"]) for r in live.live_now(events).collect()}
+    newest = {s: float(i) for s, i, _, _ in rows}
+    assert now == {s: (t, newest[s]) for s, t in live_.items()} and len(now) > 3
+
+
+def test_thinned_ticks_of_a_busy_symbol():
+    import pandas as pd
+    frame = pd.DataFrame({"symbol": ["A"] * 50_000 + ["B"], "updated_ms": [*range(50_000), 7], "seq": range(50_001)})
+    [few] = live._thin(30_000)(iter([frame]))
+    assert sorted(few[few.symbol == "A"].updated_ms) == [0, 29_999, 30_000, 49_999] and len(few) == 5
+
+
+def test_intake_reads_the_catalog_again_for_every_micro_batch(spark, tmp_path):
+    docs = [(i, int(T0.timestamp() * 1000) + i * 1000 + (5000 if i % 5 == 0 else 10), json.dumps(
+        {"symbol": f"S{i % 3}", "timestamp": int(T0.timestamp() * 1000) + i * 1000, "open": 1.0, "high": 2.0, "low": 0.5, "close": 1.5,
+         "volume": 3})) for i in range(60)]
+    schema = write_parts(spark, docs, "id bigint, arrival_ms bigint, value string", str(tmp_path / "in"), 3)
+    calls = []
+
+    def catalog():
+        calls.append(1)
+        return spark.createDataFrame([("S0", "P0", 1), ("S1", "P1", 1 if len(calls) > 1 else 0), ("S2", "P2", 0)],
+                                     "symbol string, product_id string, is_active int")
+
+    stream = tk.file_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+    totals = live.run_intake(stream, catalog, "feed", "arrival_ms", str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert totals == {"total_received": 60, "total_validated": 48, "total_rejected": 12}
+    got = sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    first = len(docs) // 3 + 1
+    assert len(calls) == 3
+    assert got == [i for i in range(60) if i % 5 and (i % 3 == 0 or (i % 3 == 1 and i >= first))]
 
 
 def test_stream_gaps_equal_the_batch_twin(spark, tmp_path):

@@ -300,6 +300,8 @@ def _with_ctes(sql: str) -> str:
         return sql
     body = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in order)
     rest = sql.strip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {body},\n{rest[15:]}"
     if rest.upper().startswith("WITH "):
         return f"WITH {body},\n{rest[5:]}"
     return f"WITH {body}\n{rest}"

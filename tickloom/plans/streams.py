@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.plans.bindings import Frames
 from tickloom.plans.registry import query
 from tickloom.session import shared_dir
-from tickloom.streaming import alerts, ticks as tk
+from tickloom.streaming import alerts, live, ticks as tk
 
 TICK_SQL = """
 SELECT *, CASE WHEN arrival_ms - "timestamp" > 2000 THEN 'degraded'
@@ -149,6 +150,10 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
+#: Micro-batches that a replay is cut into at least.
+SLICES = 4
+
+
 def _drain(f, build, mode: str = "append"):
     """Run ``build`` over a stream of the event files until drained and read back its output."""
     work = f"{shared_dir(f.spark)}/{uuid.uuid4().hex}"
@@ -159,6 +164,31 @@ def _drain(f, build, mode: str = "append"):
     return f.spark.read.schema(out.schema).parquet(f"{work}/out")
 
 
+def _replayed(f, slices: int = SLICES):
+    """A stream of all events in the order of their time, one micro-batch per file; its work folder.
+
+    The files are written slice after slice, so that their age gives the order.
+    """
+    work = f"{shared_dir(f.spark)}/{uuid.uuid4().hex}"
+    events = f.table("events").select(*EVENT_SCHEMA.names)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)])).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = events if low is None else events.where(at > low)
+        part = part if high is None else part.where(at <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = tk.file_stream(f.spark, f"{work}/in", EVENT_SCHEMA, files_per_trigger=1)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")), work
+
+
+def _run(f, build, mode: str = "append"):
+    """Run ``build`` over the replayed events and read back its output."""
+    stream, work = _replayed(f)
+    out = build(stream)
+    tk.run_available(out, f"{work}/out", f"{work}/checkpoint", mode)
+    return f.spark.read.schema(out.schema).parquet(f"{work}/out")
+
+
 @query("stream_minute_bars", "M09", """
 WITH b AS (SELECT user_id, time_bucket(INTERVAL 1 MINUTE, ts) AS bar_start, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close FROM events GROUP BY ALL)
 SELECT * FROM b WHERE bar_start + INTERVAL 1 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 SECOND""")
@@ -181,7 +211,8 @@ def stream_dedup(f):
 
 @query("stream_tick_gaps", "M04", """
 SELECT 'U' || user_id AS key, prev AS gap_start, t AS gap_end, round((t - prev) / 1e3, 3) AS gap_seconds FROM (
-  SELECT user_id, epoch_us(ts) // 1000 AS t, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) x WHERE t - prev > 5000""")
+  SELECT user_id, epoch_us(ts) // 1000 AS t, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) x
+WHERE t - prev > 5000 AND strftime(make_timestamp(prev * 1000), '%H:%M') BETWEEN '09:00' AND '15:15'""")
 def stream_gaps(f):
     def build(s):
         return tk.stream_gaps(s.withColumn("symbol", F.concat(F.lit("U"), F.col("user_id").cast("string"))), "symbol")
@@ -191,7 +222,101 @@ def stream_gaps(f):
                       F.round("gap_seconds", 3).alias("gap_seconds"))
 
 
-@query("stream_alerts", "M07")
+@query("stream_alerts", "M07", f"""
+WITH RECURSIVE r AS (SELECT * FROM (VALUES ('hot_purchase', 'purchase', 1, 60e0, 0, 300000000), ('cold_view', 'view', 2, 5e0, 0, 300000000),
+    ('calm_click', 'click', 3, 80e0, 3600000000, 7200000000)) r(name, metric_name, op, threshold, dur, cool)),
+e AS (SELECT r.name, r.metric_name, r.dur, r.cool, epoch_us(m.ts) AS us, m.value, {MET_SQL} AS met FROM metrics m JOIN r ON r.metric_name = m.metric_name),
+s AS (SELECT name, metric_name, dur, cool, bool_and(met) AS met, CASE WHEN dur > 0 THEN max(mark) ELSE min(mark) END AS us,
+             CASE WHEN dur > 0 THEN arg_max(value, mark) ELSE arg_min(value, mark) END AS value
+      FROM (SELECT *, us AS mark, us // 1000000 AS sec FROM e WHERE met OR dur > 0) x
+      WHERE (sec + 1) * 1000 <= (SELECT max(epoch_us(ts)) // 1000 - 2000 FROM metrics) GROUP BY name, metric_name, dur, cool, sec),
+p AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY us) AS n,
+             min(us) OVER (PARTITION BY name ORDER BY us RANGE BETWEEN dur PRECEDING AND CURRENT ROW) AS opens,
+             max(CASE WHEN NOT met THEN us END) OVER (PARTITION BY name ORDER BY us) AS missed FROM s),
+f AS (SELECT name, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS fired, CAST(NULL AS BIGINT) AS holding, false AS hit FROM r
+      UNION ALL
+      SELECT name, n, CASE WHEN hit THEN us ELSE fired END, CASE WHEN waits THEN holding WHEN hit OR NOT clear THEN NULL ELSE since END, hit FROM (
+        SELECT *, NOT waits AND clear AND us - since >= dur AS hit FROM (
+          SELECT p.name, p.n, p.us, p.dur, f.fired, f.holding, coalesce(p.us - f.fired < p.cool, false) AS waits,
+                 p.met AND (p.dur = 0 OR coalesce(p.missed < p.us - p.dur, true)) AS clear, coalesce(f.holding, p.opens) AS since
+          FROM f JOIN p ON p.name = f.name AND p.n = f.n + 1) a) b)
+SELECT p.name, p.metric_name, make_timestamp(p.us) AS ts, p.value, 'warning' AS level FROM f JOIN p ON p.name = f.name AND p.n = f.n WHERE f.hit""")
 def stream_alerts(f):
     rules = alerts.rules_frame(f.spark, RULES)
-    return _drain(f, lambda s: alerts.stream_alerts(s.select(F.col("event_type").alias("metric_name"), "ts", "value"), rules))
+    out = _run(f, lambda s: alerts.stream_alerts(s.select(F.col("event_type").alias("metric_name"), "ts", "value"), rules))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _raw(stream):
+    """The tick columns of the events of a stream."""
+    class Source(Frames):
+        def table(self, name):
+            return stream
+
+    return Source(stream.sparkSession, "").raw_ticks.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_failovers", "M10", f"""
+SELECT data_source AS key, prev AS gap_start, t AS gap_end FROM (
+  SELECT data_source, epoch_us(ts) // 1000 AS t, lag(epoch_us(ts) // 1000) OVER (PARTITION BY data_source ORDER BY ts) AS prev
+  FROM ({TICK_SQL}) t WHERE data_quality <> 'degraded') x
+WHERE t - prev > 600000 AND (t // 600000 + 1) * 600000 <= (SELECT max("timestamp") - 2000 FROM ({TICK_SQL}) u WHERE data_quality <> 'degraded')""")
+def stream_failovers(f):
+    out = _run(f, lambda s: tk.stream_failovers(tk.validate(_raw(s), "arrival_ms"), seconds=600)).filter("not open")
+    return out.select("key", F.unix_millis("gap_start").alias("gap_start"), F.unix_millis("gap_end").alias("gap_end"))
+
+
+#: Times to live of the replayed snapshots: six hours, and thirty for stale ticks.
+HOURS_6, HOURS_30 = 21_600_000, 108_000_000
+SNAPSHOT_SQL = f"""
+SELECT symbol, "timestamp" AS updated_ms, "timestamp" + ttl AS expired_ms, open, next IS NULL AS newest,
+       CASE WHEN next IS NOT NULL THEN next - "timestamp" > ttl
+            ELSE "timestamp" + ttl < (SELECT max("timestamp") - 2000 FROM raw_ticks) END AS expired
+FROM (SELECT *, lead("timestamp") OVER (PARTITION BY symbol ORDER BY "timestamp", id) AS next,
+             CASE WHEN data_quality = 'degraded' THEN {HOURS_30} ELSE {HOURS_6} END AS ttl FROM ({TICK_SQL}) t) x"""
+
+
+def _snapshot_events(f):
+    return _run(f, lambda s: live.stream_snapshots(tk.validate(_raw(s), "arrival_ms"), ttl=HOURS_6, degraded_ttl=HOURS_30))
+
+
+@query("stream_live_snapshots", "M03", f"SELECT symbol, updated_ms, open FROM ({SNAPSHOT_SQL}) s WHERE newest AND NOT expired")
+def stream_live_snapshots(f):
+    return live.live_now(_snapshot_events(f)).select(
+        "symbol", "updated_ms", F.get_json_object("snapshot", "$.open").cast("double").alias("open"))
+
+
+@query("stream_snapshot_expirations", "M03", f"SELECT symbol, updated_ms, expired_ms FROM ({SNAPSHOT_SQL}) s WHERE expired")
+def stream_snapshot_expirations(f):
+    return live.expirations(_snapshot_events(f))
+
+
+def _intake(f):
+    """Runs the intake chain over the replayed events; what it wrote and its totals."""
+    stream, work = _replayed(f)
+    doc = F.to_json(F.struct("symbol", "timestamp", "open", "high", "low", "close", "volume", "implied_volatility", "delta",
+                             "option_type", "data_source"))
+    raw = _raw(stream).select("id", "arrival_ms", doc.alias("value"))
+    n = F.substring("symbol", 2, 20).cast("bigint") % 4
+    f.raw_ticks.select("symbol").distinct().select(
+        "symbol", F.concat(F.lit("P"), n.cast("string")).alias("product_id"), F.when(n != 0, 1).otherwise(0).alias("is_active")) \
+        .write.parquet(f"{work}/catalog")
+    totals = live.run_intake(raw, lambda: f.spark.read.parquet(f"{work}/catalog"), "feed", "arrival_ms", f"{work}/out",
+                             f"{work}/checkpoint")
+    return f.spark.read.parquet(f"{work}/out"), totals
+
+
+@query("stream_intake", "M01 M02 M11", f"""
+SELECT id, symbol, 'P' || (CAST(substr(symbol, 2) AS BIGINT) % 4) AS product_id, data_source, data_quality, issues FROM ({TICK_SQL}) t
+WHERE data_quality <> 'degraded' AND CAST(substr(symbol, 2) AS BIGINT) % 4 <> 0""")
+def stream_intake(f):
+    out, _ = _intake(f)
+    return out.select("id", "symbol", "product_id", "data_source", "data_quality", F.array_join("issues", ",").alias("issues"))
+
+
+@query("stream_tick_counters", "M06", f"""
+SELECT count(*) AS total_received, count(CASE WHEN data_quality <> 'degraded' THEN 1 END) AS total_validated, count(CASE WHEN data_quality = 'degraded' THEN 1 END) AS total_rejected FROM ({TICK_SQL}) t""")
+def stream_tick_counters(f):
+    _, totals = _intake(f)
+    names = ["total_received", "total_validated", "total_rejected"]
+    return f.spark.createDataFrame([tuple(totals.get(n, 0) for n in names)], ", ".join(f"{n} long" for n in names))

@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -22,8 +24,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.legacy.codingErrorAction": "true",
     "spark.ui.enabled": "false",
@@ -49,6 +50,11 @@ def local_session(cores: int | None = None, app_name: str = "tickloom") -> Spark
     })
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Timers and typed state need this state store; set here where a session has another one."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, for frames that one plan uses many times."""
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"

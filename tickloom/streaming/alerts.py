@@ -3,8 +3,9 @@
 A rule fires when every value of its metric in the duration window meets the condition, at once
 when the duration is zero, and then stays quiet for the cooldown. Duration and cooldown make the
 evaluation order-dependent, so live evaluation keeps a few numbers of state per (rule, metric).
-Replaying stored metrics uses the same stateful query with ``availableNow`` and a file limit per
-micro-batch: state moves between micro-batches, and no metric is ever held whole by one task.
+A busy metric is first reduced to one row per rule and time slice, combined before its shuffle, so
+that the task that folds a rule reads slices, however many points they stand for. Replaying stored
+metrics uses the same two steps with ``availableNow`` and a file limit per micro-batch.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from tickloom.operators.ordered import Scan, exact_quantiles, prefix_scan, time_block
+from tickloom.session import use_rocksdb
 
 
 # Code that runs in Python workers travels with the job, so executors need no installed package.
@@ -128,36 +130,59 @@ def firing_points(times: np.ndarray, met: np.ndarray, duration: int, cooldown: i
     return found
 
 
-ALERT_STATE = "fired long, holding long, missed long, recent array<long>"
+def rule_slices(metrics: DataFrame, rules: DataFrame, resolution: str = "1 second") -> DataFrame:
+    """One row per rule and time slice: ``met`` and the point at which the slice is evaluated.
 
-
-def stream_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Stateful evaluation per (rule, metric); only points inside the duration window are kept.
-
-    Rules without a duration need only the points that meet them, so the others are dropped before
-    the shuffle.
+    A rule with a duration is met by a slice whose points all meet the condition and is evaluated at
+    its last point; a rule without one is met by, and evaluated at, the first point that meets it.
+    With one point per slice that is the evaluation of every point.
     """
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = evaluated(metrics, rules).withColumn("met", F.coalesce("met", F.lit(False))) \
+        .filter("met or duration_seconds > 0")
+    at, point = F.col("ts"), F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
+    kept = ["name", "metric_name", "level", "duration_seconds", "cooldown_seconds"]
+    timed = F.col("duration_seconds") > 0
+    return rows.groupBy(*kept, F.window("ts", resolution).alias("slice")).agg(
+        F.bool_and("met").alias("met"), F.min_by(point, at).alias("first"), F.max_by(point, at).alias("last")) \
+        .withColumn("point", F.when(timed, F.col("last")).otherwise(F.col("first"))) \
+        .select(*kept, "met", F.window_time("slice").alias("slice_end"), F.col("point.us").alias("at_us"),
+                F.col("point.value").alias("value"))
+
+
+class RuleKeeper(StatefulProcessor):
+    """State of a rule: last firing, since when its condition holds, last miss, slices of its window."""
+
+    def init(self, handle) -> None:
+        self.memory = handle.getValueState("memory", "fired long, holding long, missed long, recent array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [b for b in rows if len(b)]
+        if not parts:
+            return
         memory = Memory()
-        if state.exists:
-            fired, holding, missed, recent = state.get
+        if self.memory.exists():
+            fired, holding, missed, recent = self.memory.get()
             memory = Memory(fired, holding, missed, np.asarray(recent, np.int64))
-        points = pd.concat(list(batches)).sort_values("_us", kind="stable")
+        points = pd.concat(parts).sort_values("at_us", kind="stable")
         first = points.iloc[0]
-        hits = firing_points(points["_us"].to_numpy(np.int64), points["met"].to_numpy(bool),
+        hits = firing_points(points["at_us"].to_numpy(np.int64), points["met"].to_numpy(bool),
                              int(first.duration_seconds * 1_000_000), int(first.cooldown_seconds * 1_000_000), memory)
-        state.update((memory.fired, memory.holding, memory.missed, memory.recent.tolist()))
-        yield points.iloc[hits][["name", "metric_name", "_us", "value", "level"]]
-
-    rows = evaluated(metrics, rules).filter("met or duration_seconds > 0") \
-        .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))) \
-        .select("name", "metric_name", "_us", "value", "level", "duration_seconds", "cooldown_seconds",
-                F.coalesce("met", F.lit(False)).alias("met"))
-    found = rows.groupBy("name", "metric_name").applyInPandasWithState(
-        run, "name string, metric_name string, _us long, value double, level string", ALERT_STATE, "append",
-        GroupStateTimeout.NoTimeout)
-    return found.select("name", "metric_name", F.timestamp_micros("_us").alias("ts"), "value", "level")
+        self.memory.update((memory.fired, memory.holding, memory.missed, memory.recent.tolist()))
+        yield points.iloc[hits][["name", "metric_name", "at_us", "value", "level"]]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_alerts(metrics: DataFrame, rules: DataFrame, resolution: str = "1 second",
+                  late: str = "2 seconds") -> DataFrame:
+    """Alerts on a stream: closed slices of every rule, then a fold per (rule, metric) whose state
+    keeps only the slices inside the duration window."""
+    use_rocksdb(metrics.sparkSession)
+    stamped = metrics.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    found = rule_slices(stamped, rules, resolution).groupBy("name", "metric_name").transformWithStateInPandas(
+        RuleKeeper(), "name string, metric_name string, at_us long, value double, level string", "Append", "None")
+    return found.select("name", "metric_name", F.timestamp_micros("at_us").alias("ts"), "value", "level")
 
 
 # ------------------------------------------------------------------ metric aggregates

@@ -6,17 +6,23 @@ streaming versions have a batch twin with the same result.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from tickloom import schemas
 from tickloom.operators import bars
 from tickloom.operators.ordered import Scan, prefix_scan, time_block
+from tickloom.session import use_rocksdb
+
+# Stateful code that runs in Python workers travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 REALTIME_DELAY_MS = 2000
 NON_REALTIME_DELAY_MS = 10000
@@ -148,43 +154,77 @@ def stream_gaps(ticks: DataFrame, key: str, ts: str = "ts", seconds: float = GAP
     Emits an open gap when the watermark passes last tick + ``seconds`` and the closed gap when the
     next tick arrives. As in ``gaps``, a silence counts when it begins inside the session hours.
     """
-    limit = int(seconds * 1000)
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            out = [(k[0], last, None)]
-        else:
-            seen = [np.asarray(b["_ms"], np.int64) for b in batches]
-            stamps = np.unique(np.concatenate([*seen, [] if last is None else [last]]).astype(np.int64))
-            stamps = stamps[stamps >= last] if last is not None else stamps
-            silent = np.flatnonzero(np.diff(stamps) > limit)
-            out = list(zip([k[0]] * len(silent), stamps[silent], stamps[silent + 1], strict=True))
-            last = int(stamps[-1])
-        state.update((last,))
-        due = last + limit + 1
-        if not state.hasTimedOut and due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=["key", "start_ms", "end_ms"]).astype({"start_ms": "Int64", "end_ms": "Int64"})
-
     rows = ticks.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")) \
-                .withColumn("_ms", F.unix_millis("ts")).withWatermark("ts", late)
-    found = rows.groupBy("key").applyInPandasWithState(
-        step, "key string, start_ms long, end_ms long", "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
-    # Stamps are made from epoch values here, so the session zone of the workers plays no part.
-    out = found.select("key", F.timestamp_millis("start_ms").alias("gap_start"), F.timestamp_millis("end_ms").alias("gap_end"),
-                       ((F.col("end_ms") - F.col("start_ms")) / 1000.0).alias("gap_seconds"),
-                       F.col("end_ms").isNull().alias("open"))
+                .withColumn("stamp_ms", F.unix_millis("ts")).withWatermark("ts", late)
+    out = _silences(rows, int(seconds * 1000))
     return out.filter(F.date_format("gap_start", "HH:mm").between(*session)) if session else out
 
 
+class SilenceKeeper(StatefulProcessor):
+    """State of a key: its last time, with an event-time timer after ``limit`` milliseconds."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        seen = [np.asarray(b["stamp_ms"], np.int64) for b in rows if len(b)]
+        if not seen:
+            return
+        stamps = np.unique(np.concatenate([*seen, [] if last is None else [last]]).astype(np.int64))
+        stamps = stamps[stamps >= last] if last is not None else stamps
+        silent = np.flatnonzero(np.diff(stamps) > self.limit)
+        if last is not None:
+            self.handle.deleteTimer(last + self.limit + 1)
+        self.last.update((int(stamps[-1]),))
+        self.handle.registerTimer(int(stamps[-1]) + self.limit + 1)
+        yield self._frame([(key[0], a, b) for a, b in zip(stamps[silent].tolist(), stamps[silent + 1].tolist(), strict=True)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._frame([(key[0], self.last.get()[0], None)] if self.last.exists() else [])
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["key", "start_ms", "end_ms"]).astype({"start_ms": "Int64", "end_ms": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def _silences(rows: DataFrame, limit: int) -> DataFrame:
+    """Silences of more than ``limit`` milliseconds between the ``stamp_ms`` of a ``key``."""
+    use_rocksdb(rows.sparkSession)
+    found = rows.groupBy("key").transformWithStateInPandas(
+        SilenceKeeper(limit), "key string, start_ms long, end_ms long", "Append", "EventTime")
+    # Stamps are made from epoch values here, so the session zone of the workers plays no part.
+    return found.select("key", F.timestamp_millis("start_ms").alias("gap_start"), F.timestamp_millis("end_ms").alias("gap_end"),
+                        ((F.col("end_ms") - F.col("start_ms")) / 1000.0).alias("gap_seconds"),
+                        F.col("end_ms").isNull().alias("open"))
+
+
 def failovers(validated: DataFrame, ts: str = "ts", seconds: float = GAP_SECONDS) -> DataFrame:
     """Sources without a valid tick for more than ``seconds`` (batch twin of the failover event)."""
     return gaps(accepted(validated), ["data_source"], ts, seconds, session=None)
 
 
-def stream_failovers(validated: DataFrame, ts: str = "ts", seconds: float = GAP_SECONDS) -> DataFrame:
-    return stream_gaps(accepted(validated), "data_source", ts, seconds, session=None)
+def stream_failovers(validated: DataFrame, ts: str = "ts", seconds: float = GAP_SECONDS,
+                     late: str = "2 seconds") -> DataFrame:
+    """The failover event on a stream: two stateful steps, so that a busy source is not one task's work.
+
+    Valid ticks are first reduced to the first and last one of every slice of ``seconds`` (a windowed
+    aggregate, combined before its shuffle); no silence that counts fits into a slice. The second step
+    sees two rows per source and slice and keeps the last time with an event-time timer.
+    """
+    rows = accepted(validated).select("data_source", F.col(ts).cast("timestamp").alias("at")).withWatermark("at", late)
+    ends = rows.groupBy("data_source", F.window("at", f"{int(seconds * 1000)} milliseconds").alias("slice")).agg(
+        F.unix_millis(F.min("at")).alias("first"), F.unix_millis(F.max("at")).alias("last"))
+    marks = ends.select(F.col("data_source").cast("string").alias("key"), F.window_time("slice").alias("ts"),
+                        F.explode(F.array("first", "last")).alias("stamp_ms"))
+    return _silences(marks, int(seconds * 1000))
 
 
 # ------------------------------------------------------------------ metrics and bars
