@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as S
@@ -93,8 +93,8 @@ def iv_anomalies(iv: DataFrame, threshold: float = 0.3, key: str = "contract_cod
         .select(key, "trade_date", "prev_iv", "iv")
 
 
-def daily_anomalies(daily: DataFrame, extreme: float = 9.0, divergence: float = 2.0) -> DataFrame:
-    """Five rules in one pass over the quotes; one row per violated rule."""
+def with_anomalies(daily: DataFrame, extreme: float = 9.0, divergence: float = 2.0) -> DataFrame:
+    """Quotes with the names of the five rules that each row breaks, in one pass."""
     prev = F.lag("close").over(_by_day(KEYS))
     c, s, v = F.col("close"), F.col("settle"), F.col("volume")
     rules = {
@@ -107,7 +107,12 @@ def daily_anomalies(daily: DataFrame, extreme: float = 9.0, divergence: float =
         "negative_volume": v < 0,
     }
     tags = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]))
-    return daily.withColumn("_prev", prev).select(*KEYS, "trade_date", F.explode(tags).alias("check"))
+    return daily.withColumn("_prev", prev).withColumn("checks", tags).drop("_prev")
+
+
+def daily_anomalies(daily: DataFrame, extreme: float = 9.0, divergence: float = 2.0) -> DataFrame:
+    """One row per quote and violated rule."""
+    return with_anomalies(daily, extreme, divergence).select(*KEYS, "trade_date", F.explode("checks").alias("check"))
 
 
 def cap_issues(issues: DataFrame, cap: int, order: list, by: str = "check") -> DataFrame:
@@ -220,6 +225,49 @@ def consistency_score(catalogs: DataFrame, anomalies: DataFrame, position_scores
                        .otherwise(100.0).alias("consistency"))
 
 
+def quality_summary(quotes: DataFrame, positions: DataFrame, since=None) -> DataFrame:
+    """One row per series and day: rows, broken rules, deviations from a second source and position
+    errors. Every score is taken from this table, so the quotes are read once.
+
+    quotes: catalog_id and ``other_close`` beside the quote columns. ``since`` returns the days from
+    there on; the days before only give the previous close.
+    """
+    gap = F.abs(F.col("close") - F.col("other_close")) / F.nullif(F.abs("other_close"), F.lit(0.0)) * 100
+    deviation = F.round(gap, 4).cast("decimal(28,10)")
+    none = F.lit(0).cast("bigint")
+    daily = with_anomalies(quotes).groupBy("catalog_id", "trade_date").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.size("checks")).cast("bigint").alias("anomalies"),
+        F.coalesce(F.sum(deviation), F.lit(0)).cast("decimal(38,10)").alias("deviation_sum"),
+        F.count(deviation).alias("deviations"), none.alias("errors"))
+    held = position_consistency(positions, ["catalog_id", "trade_date"]).select(
+        "catalog_id", "trade_date", F.col("total_rows").alias("rows"), none.alias("anomalies"),
+        F.lit(0).cast("decimal(38,10)").alias("deviation_sum"), none.alias("deviations"),
+        (F.col("bad_rank") + F.col("negative_volume") + F.col("empty_member")).alias("errors"))
+    out = daily.unionByName(held)
+    return out if since is None else out.filter(F.col("trade_date") >= F.lit(since).cast("date"))
+
+
+def update_quality_summary(spark: SparkSession, batch: DataFrame, path: str) -> None:
+    """Days of a batch replace the same days of the stored summary; only their years are rewritten."""
+    from tickloom.sources.tables import upsert
+    upsert(spark, batch, path, ["catalog_id", "trade_date"], ["trade_date"], by="year")
+
+
+def scores_from_summary(series: DataFrame, summary: DataFrame, resolved: DataFrame, last: int = 100) -> DataFrame:
+    """Quality score of every series; accuracy looks at the latest ``last`` days with a comparison."""
+    w = Window.partitionBy("catalog_id").orderBy(F.desc("trade_date"))
+    recent = summary.filter("deviations > 0").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last)
+    mean = F.sum("deviation_sum").cast("double") / F.sum("deviations")
+    accuracy = recent.groupBy("catalog_id").agg(F.greatest(F.lit(0.0), F.lit(100.0) - mean * 20).alias("accuracy"))
+    sums = summary.groupBy("catalog_id").agg(*[F.sum(c).alias(c) for c in ("rows", "anomalies", "errors")])
+    daily = F.lit(100.0) - F.least(F.lit(50.0), F.col("anomalies") * 5.0)
+    held = F.greatest(F.lit(0.0), F.lit(100.0) - F.col("errors") / F.col("rows") * 100 * 2)
+    consistency = series.select("catalog_id", "data_type").join(sums, "catalog_id").select(
+        "catalog_id", F.when(F.col("data_type") == "daily", daily)
+                       .when(F.col("data_type").isin("top20_holdings", "position"), held).otherwise(100.0).alias("consistency"))
+    return quality_score(series, completeness(series, summary, resolved, ["catalog_id"]), accuracy, consistency)
+
+
 def quality_score(catalogs: DataFrame, complete: DataFrame, accuracy: DataFrame,
                   consistency: DataFrame) -> DataFrame:
     """Weighted score 0.5 / 0.3 / 0.2 with its level and alert messages."""
@@ -481,18 +529,18 @@ def analysis_checks(trades: DataFrame, matched: DataFrame, summary: DataFrame) -
            .when(ratio > 1.0, "WARN").otherwise("PASS")
     cover = F.col("matched") / F.nullif(F.col("opens"), F.lit(0))
     return _checks(one, [
-        check_row("pnl_data_exists", _pass((F.col("n") > 0) & (F.col("acct_pnl") != 0)), "trades + account_summary",
-                  F.lit("non-zero pnl"), F.col("n")),
+        check_row("pnl_data_exists", _pass((F.col("n") > 0) & (F.col("acct_pnl") != 0)), "trades and account summaries",
+                  F.lit("a result other than 0"), F.col("n")),
         check_row("fee_consistency", fee, "commission", F.col("fee").cast("decimal(28,2)"),
                   F.col("acct_fee").cast("decimal(28,2)"),
                   F.abs(F.col("fee") - F.col("acct_fee")).cast("decimal(28,2)")),
         check_row("trade_date_continuity", F.when(F.col("n") == 0, "SKIP").otherwise(_pass(F.col("gaps") == 0, "WARN")),
-                  "trades.trade_date", F.lit("gaps <= 5 days"), F.col("gaps"), F.col("gaps")),
+                  "trade dates", F.lit("no pause above 5 days"), F.col("gaps"), F.col("gaps")),
         check_row("pair_coverage", F.when(F.col("opens") == 0, "SKIP").otherwise(_pass(cover >= 0.8, "WARN")),
-                  "trades vs matched_trades", F.lit(">= 80%"), F.col("matched"), F.round(cover, 4)),
+                  "matches per opening trade", F.lit("at least 0.8"), F.col("matched"), F.round(cover, 4)),
         check_row("pnl_reasonableness", F.when(F.col("max_equity").isNull(), "SKIP")
-                  .otherwise(_pass(F.col("extreme") == 0, "WARN")), "trades.total_pnl vs max equity",
-                  F.lit("<= 50% of equity"), F.col("extreme"), F.col("extreme"))])
+                  .otherwise(_pass(F.col("extreme") == 0, "WARN")), "results against the highest equity",
+                  F.lit("at most half of it"), F.col("extreme"), F.col("extreme"))])
 
 
 def trading_rules(trades: DataFrame, matched: DataFrame, summary: DataFrame) -> DataFrame:
@@ -507,17 +555,17 @@ def trading_rules(trades: DataFrame, matched: DataFrame, summary: DataFrame) ->
     s = summary.agg(F.count(F.lit(1)).alias("periods"), k)
     one = t.join(m, "_k").join(s, "_k")
     return _checks(one, [
-        check_row("trades_non_empty", _pass(F.col("n") > 0), "trades", F.lit("> 0 rows"), F.col("n")),
-        check_row("trades_positive_volume", _pass(F.col("nonpos") == 0), "trades.volume", F.lit("all > 0"), F.col("nonpos")),
-        check_row("trades_contract_not_empty", _pass(F.col("noname") == 0), "trades.instrument", F.lit("all present"), F.col("noname")),
+        check_row("trades_non_empty", _pass(F.col("n") > 0), "trades", F.lit("some rows"), F.col("n")),
+        check_row("trades_positive_volume", _pass(F.col("nonpos") == 0), "trade volumes", F.lit("none at or below 0"), F.col("nonpos")),
+        check_row("trades_contract_not_empty", _pass(F.col("noname") == 0), "trade instruments", F.lit("none empty"), F.col("noname")),
         check_row("trades_vs_matched_volume", _pass(F.col("matched_vol") <= F.col("open_vol"), "WARN"),
-                  "trades vs matched_trades", F.col("open_vol"), F.col("matched_vol")),
-        check_row("matched_trades_pnl", F.when(F.col("matches") == 0, "SKIP").otherwise("PASS"), "matched_trades",
-                  F.lit("rows exist"), F.col("matches")),
+                  "opened and matched volume", F.col("open_vol"), F.col("matched_vol")),
+        check_row("matched_trades_pnl", F.when(F.col("matches") == 0, "SKIP").otherwise("PASS"), "matches",
+                  F.lit("some rows"), F.col("matches")),
         # The spread of absolute results is reported, not judged: mean as expected, maximum as actual.
-        check_row("matched_trades_pnl_range", F.when(F.col("matches") == 0, "SKIP").otherwise("PASS"), "matched_trades.net_pnl",
+        check_row("matched_trades_pnl_range", F.when(F.col("matches") == 0, "SKIP").otherwise("PASS"), "mean and largest result of a match",
                   F.round("mean_pnl", 2).cast("decimal(28,2)"), F.round("max_pnl", 2).cast("decimal(28,2)")),
-        check_row("account_summary_populated", _pass(F.col("periods") > 0), "account_summary", F.lit("> 0 rows"), F.col("periods"))])
+        check_row("account_summary_populated", _pass(F.col("periods") > 0), "account summaries", F.lit("some rows"), F.col("periods"))])
 
 
 def fund_balance_check(rows: DataFrame) -> DataFrame:

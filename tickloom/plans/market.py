@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tickloom.functions import scalars as S
 from tickloom.operators import bars, contracts, joins, positions, query as Q
 from tickloom.plans.registry import query
 from tickloom.schemas import struct_of
+from tickloom.session import shared_dir
 from tickloom.sources import tables
 
 
@@ -437,14 +440,28 @@ def replace_groups(f):
 
 
 @query("copy_latest_day", "A20 A19", """
-SELECT contract_code, member_name, long_volume, short_volume FROM positions WHERE trade_date = (SELECT max(trade_date) FROM positions)""")
+SELECT trade_date, contract_code, member_name, long_volume, short_volume FROM positions WHERE trade_date = (SELECT max(trade_date) FROM positions)""")
 def copy_latest(f):
-    return tables.latest_day(f.positions).select("contract_code", "member_name", "long_volume", "short_volume")
+    """Copies twice into a table of the shared folder (the second time changes nothing) and reads it."""
+    path = f"{shared_dir(f.spark)}/latest-{uuid.uuid4().hex}"
+    rows = f.positions.select("trade_date", "contract_code", "member_name", "long_volume", "short_volume")
+    for _ in range(2):
+        tables.copy_latest_day(f.spark, rows, path, ["trade_date", "contract_code", "member_name"], ["long_volume"])
+    return f.spark.read.parquet(path).select(*rows.columns)
 
 
-@query("archive_rows", "A19 A17", "SELECT trade_date, count(*) AS n FROM ticks WHERE trade_date < DATE '2024-02-20' - 30 GROUP BY trade_date")
+@query("archive_rows", "A19 A17", """
+SELECT CASE WHEN trade_date < DATE '2024-01-21' THEN 'archive' ELSE 'table' END AS place, trade_date, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume
+FROM ticks GROUP BY ALL""")
 def archive_rows(f):
-    return tables.old(f.ticks, "2024-02-20", 30).groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
+    """Moves the old days of a written table into an archive, twice, and reads both back."""
+    work = f"{shared_dir(f.spark)}/archive-{uuid.uuid4().hex}"
+    tables.write_partitioned(f.ticks.select("id", "contract_code", "trade_date", "volume"), f"{work}/table")
+    for _ in range(2):
+        tables.move_to_archive(f.spark, f"{work}/table", f"{work}/archive", "2024-02-20", 30)
+    both = [f.spark.read.parquet(f"{work}/{place}").withColumn("place", F.lit(place)) for place in ("table", "archive")]
+    return both[0].unionByName(both[1]).groupBy("place", "trade_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
 
 
 MIGRATED = struct_of("exchange string, contract_code string, trade_date date, close double, settle double, volume bigint, source string")

@@ -59,8 +59,13 @@ SELECT trade_date, underlying, string_agg(expiry_month || '=' || CAST(round(atm_
 FROM term_rows GROUP BY trade_date, underlying""")
 def term_map(f):
     out = opt.term_structure_map(opt.with_spot(f.chain, f.underlying_daily))
-    text = F.array_join(F.transform(F.map_entries("term_structure"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("decimal(18,4)").cast("string"))), ";")
-    return out.select(*KEYS, text.alias("term_structure"))
+    return out.select(*KEYS, _term_text("term_structure").alias("term_structure"))
+
+
+def _term_text(column):
+    """A term structure map as ``month=iv;...``."""
+    return F.array_join(F.transform(F.map_entries(column), lambda e: F.concat_ws(
+        "=", e["key"], e["value"].cast("decimal(18,4)").cast("string"))), ";")
 
 
 @query("term_structure_rows", "I06", """
@@ -113,9 +118,12 @@ def avg_iv(f):
     return rounded(opt.average_iv(f.chain), 8, "avg_iv")
 
 
-@query("iv_benchmark", "I09 E02 H16 B25", "SELECT * FROM benchmark_rows")
+@query("iv_benchmark", "I09 E02 H16 B25", """
+SELECT b.*, t.term_structure FROM benchmark_rows b LEFT JOIN (
+  SELECT trade_date, underlying, string_agg(expiry_month || '=' || CAST(round(atm_iv, 4) AS DECIMAL(18,4)), ';' ORDER BY expiry_month) AS term_structure
+  FROM term_rows GROUP BY trade_date, underlying) t ON t.trade_date = b.trade_date AND t.underlying = b.variety""")
 def benchmark(f):
-    return opt.iv_benchmark(f.chain, f.underlying_daily).drop("term_structure")
+    return opt.iv_benchmark(f.chain, f.underlying_daily).withColumn("term_structure", _term_text("term_structure"))
 
 
 @query("iv_hv_spread_series", "B25", "SELECT trade_date, variety, atm_iv, hv_20, hv_60, iv_hv_spread FROM benchmark_rows WHERE iv_hv_spread IS NOT NULL")
@@ -235,14 +243,15 @@ def last_bar(f):
 
 
 @query("option_features", "E21 B14", """
-SELECT c.trade_date, c.contract_code, round(CASE WHEN hi > lo THEN (c.iv - lo) / (hi - lo) END, 6) AS iv_rank, h.hv_5, h.hv_10, h.hv_20,
+SELECT c.trade_date, c.contract_code, round(CASE WHEN len(past) >= 20 THEN len(list_filter(past, lambda x: x < c.iv)) / CAST(len(past) AS DOUBLE) * 100 END, 4) AS iv_percentile,
+       round(CASE WHEN hi > lo THEN (c.iv - lo) / (hi - lo) END, 6) AS iv_rank, h.hv_5, h.hv_10, h.hv_20,
        round(c.iv - h.hv_20, 4) AS iv_hv_spread_20, round(CAST(c.volume AS DOUBLE) / nullif(c.open_interest, 0), 6) AS volume_oi_ratio
-FROM (SELECT *, min(iv) OVER w AS lo, max(iv) OVER w AS hi FROM chain WINDOW w AS (PARTITION BY contract_code ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) c
+FROM (SELECT *, min(iv) OVER w AS lo, max(iv) OVER w AS hi, list(iv) OVER w AS past FROM chain WINDOW w AS (PARTITION BY contract_code ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) c
 ASOF LEFT JOIN hv h ON h.underlying = c.underlying AND h.trade_date <= c.trade_date""")
 def features(f):
     out = opt.option_features(f.chain, f.underlying_daily)
-    return rounded(out, 6, "iv_rank", "volume_oi_ratio").select(
-        "trade_date", "contract_code", "iv_rank", "hv_5", "hv_10", "hv_20", "iv_hv_spread_20", "volume_oi_ratio")
+    return rounded(rounded(out, 6, "iv_rank", "volume_oi_ratio"), 4, "iv_percentile").select(
+        "trade_date", "contract_code", "iv_percentile", "iv_rank", "hv_5", "hv_10", "hv_20", "iv_hv_spread_20", "volume_oi_ratio")
 
 
 @query("iv_snapshot_by_underlying", "B15", """

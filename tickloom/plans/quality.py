@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as S
@@ -9,6 +11,7 @@ from tickloom.operators import quality as qa
 from tickloom.operators import query as Q
 from tickloom.operators import trading
 from tickloom.plans.registry import query
+from tickloom.session import shared_dir, staged
 
 CAT = ["catalog_id"]
 
@@ -227,24 +230,57 @@ def quality_overview(f):
                       F.array_join(F.transform("missing_dates", lambda d: d.cast("string")), ",").alias("missing_dates"))
 
 
+# Series under watch: the daily one of every exchange and product, and the rankings of every contract.
+# The second price source reports whole numbers.
 SCORE_SQL = f"""
-WITH c AS ({COMPLETE_SQL}), a AS (SELECT exchange || '/' || product_code AS catalog_id, count(*) AS n FROM ({ANOMALY_SQL}) x JOIN contracts k USING (contract_code, exchange) GROUP BY ALL),
-s AS (SELECT c.catalog_id, c.completeness_pct AS completeness, 100e0 AS accuracy, 100e0 - least(50, coalesce(a.n, 0) * 5) AS consistency, c.missing_days FROM c LEFT JOIN a ON a.catalog_id = c.catalog_id),
+WITH tr AS (SELECT catalog_id, exchange_code, data_type, earliest_date, latest_date FROM catalogs
+            UNION ALL SELECT 'POS/' || contract_code, 'EX0', 'position', min(trade_date), max(trade_date) FROM positions GROUP BY contract_code),
+dd AS (SELECT DISTINCT catalog_id, trade_date FROM catalog_quotes UNION ALL SELECT DISTINCT 'POS/' || contract_code, trade_date FROM positions),
+c AS (SELECT t.catalog_id, t.exchange_code, t.data_type, e.expected_days, greatest(0, e.expected_days - coalesce(a.actual_days, 0)) AS missing_days
+      FROM tr t JOIN (SELECT catalog_id, count(*) AS expected_days FROM tr JOIN resolved r ON r.is_trading AND r.trade_date BETWEEN earliest_date AND latest_date GROUP BY catalog_id) e ON e.catalog_id = t.catalog_id
+      LEFT JOIN (SELECT dd.catalog_id, count(*) AS actual_days FROM dd JOIN resolved r ON r.is_trading AND r.trade_date = dd.trade_date GROUP BY dd.catalog_id) a ON a.catalog_id = t.catalog_id),
+an AS (SELECT exchange || '/' || product_code AS catalog_id, count(*) AS n FROM ({ANOMALY_SQL}) x JOIN contracts k USING (contract_code, exchange) GROUP BY ALL),
+dv AS (SELECT catalog_id, CAST(sum(d) AS DOUBLE) / count(*) AS mean FROM (
+         SELECT catalog_id, CAST(round(abs(close - floor(close)) / floor(close) * 100, 4) AS DECIMAL(28,10)) AS d, dense_rank() OVER (PARTITION BY catalog_id ORDER BY trade_date DESC) AS r FROM catalog_quotes) y
+       WHERE r <= 100 GROUP BY catalog_id),
+ps AS (SELECT 'POS/' || contract_code AS catalog_id, greatest(0, 100 - count(CASE WHEN rank < 1 OR rank > 20 THEN 1 END) / CAST(count(*) AS DOUBLE) * 100 * 2) AS score FROM positions GROUP BY contract_code),
+s AS (SELECT c.catalog_id, c.exchange_code, c.missing_days, round(CAST(c.expected_days - c.missing_days AS DOUBLE) / c.expected_days * 100, 2) AS completeness,
+             CASE WHEN dv.mean IS NULL THEN 100e0 ELSE greatest(0e0, 100e0 - dv.mean * 20) END AS accuracy,
+             CASE WHEN c.data_type = 'daily' THEN 100e0 - least(50, coalesce(an.n, 0) * 5) ELSE ps.score END AS consistency
+      FROM c LEFT JOIN an ON an.catalog_id = c.catalog_id LEFT JOIN dv ON dv.catalog_id = c.catalog_id LEFT JOIN ps ON ps.catalog_id = c.catalog_id),
 q AS (SELECT *, completeness * 5e-1 + accuracy * 3e-1 + consistency * 2e-1 AS t FROM s)
-SELECT catalog_id, round(completeness, 2) AS completeness, accuracy, consistency, round(t, 2) AS total_score,
+SELECT catalog_id, exchange_code, round(completeness, 2) AS completeness, round(accuracy, 2) AS accuracy, round(consistency, 2) AS consistency, round(t, 2) AS total_score,
        CASE WHEN t >= 95 THEN 'excellent' WHEN t >= 85 THEN 'good' WHEN t >= 70 THEN 'fair' WHEN t >= 50 THEN 'poor' ELSE 'critical' END AS quality_level,
-       concat_ws(',', CASE WHEN completeness < 90 THEN 'low_completeness' END, CASE WHEN completeness < 70 THEN 'critical_completeness' END, CASE WHEN consistency < 90 THEN 'consistency' END) AS alerts, missing_days
+       concat_ws(',', CASE WHEN completeness < 90 THEN 'low_completeness' END, CASE WHEN completeness < 70 THEN 'critical_completeness' END,
+                 CASE WHEN accuracy < 95 THEN 'accuracy' END, CASE WHEN consistency < 90 THEN 'consistency' END) AS alerts, missing_days
 FROM q"""
 
 
+def _series(f):
+    held = f.positions.groupBy(F.concat(F.lit("POS/"), F.col("contract_code")).alias("catalog_id"),
+                               F.lit("EX0").alias("exchange_code"), F.col("contract_code").alias("product_code"),
+                               F.lit("position").alias("data_type")).agg(
+        F.min("trade_date").alias("earliest_date"), F.max("trade_date").alias("latest_date"))
+    return f.catalogs.unionByName(held)
+
+
+def _summary_table(f):
+    """The stored quality summary, filled by one batch; all scores read it."""
+    quotes = f.catalog_quotes.withColumn("other_close", F.floor("close").cast("double"))
+    held = f.positions.withColumn("catalog_id", F.concat(F.lit("POS/"), F.col("contract_code")))
+    path = f"{shared_dir(f.spark)}/quality-summary-{uuid.uuid4().hex}"
+    qa.update_quality_summary(f.spark, qa.quality_summary(quotes, held), path)
+    return f.spark.read.parquet(path)
+
+
+def _scored(f):
+    """Series, scores and completeness."""
+    series, summary = staged(_series(f)), _summary_table(f)
+    return series, qa.scores_from_summary(series, summary, f.resolved), qa.completeness(series, summary, f.resolved, CAT)
+
+
 def _scores(f):
-    cats = f.catalogs
-    dim = f.contracts.select("contract_code", "product_code")
-    an = qa.daily_anomalies(f.daily_quotes).join(dim, "contract_code").withColumn("catalog_id", F.concat_ws("/", "exchange", "product_code"))
-    pos = cats.select("catalog_id", F.lit(100.0).alias("score"))
-    cons = qa.consistency_score(cats, an, pos)
-    acc = cats.select("catalog_id", F.lit(100.0).alias("accuracy"))
-    return qa.quality_score(cats, _complete(f), acc, cons)
+    return _scored(f)[1]
 
 
 @query("catalog_quality_scores", "L08 H16", f"SELECT catalog_id, completeness, accuracy, consistency, total_score, quality_level, alerts FROM ({SCORE_SQL}) z", staged=True)
@@ -257,25 +293,27 @@ WITH z AS ({SCORE_SQL}), last AS (SELECT * FROM (SELECT *, row_number() OVER (PA
 SELECT z.catalog_id, z.missing_days, z.total_score AS data_quality_score, z.completeness AS completeness_pct,
        CASE WHEN z.consistency >= 95 THEN 'consistent' WHEN z.consistency >= 80 THEN 'minor_issues' ELSE 'inconsistent' END AS consistency_status,
        coalesce(last.status, 'never_synced') AS last_sync_status, last.error AS last_sync_error
-FROM z LEFT JOIN last ON last.exchange_code = split_part(z.catalog_id, '/', 1)""", staged=True)
+FROM z LEFT JOIN last ON last.exchange_code = z.exchange_code""", staged=True)
 def health_snapshot(f):
-    return _health(f).select("catalog_id", "missing_days", "data_quality_score", "completeness_pct", "consistency_status", "last_sync_status", "last_sync_error")
+    return _health(f)[1].select("catalog_id", "missing_days", "data_quality_score", "completeness_pct", "consistency_status", "last_sync_status", "last_sync_error")
 
 
 def _health(f):
-    per_catalog = f.catalogs.select("catalog_id", "exchange_code")
+    """Series with their exchange, and the health row of each."""
+    series, scores, complete = _scored(f)
+    per_catalog = series.select("catalog_id", "exchange_code")
     newest = Q.latest_per_key(f.sync_tasks.drop("catalog_id"), ["exchange_code"], ["created_at", "id"])
-    tasks = per_catalog.join(newest, "exchange_code")
-    return qa.health_snapshot(_scores(f), _complete(f), tasks, "2001-10-01")
+    return per_catalog, qa.health_snapshot(scores, complete, per_catalog.join(newest, "exchange_code"), "2001-10-01")
 
 
 @query("health_by_exchange", "D26", f"""
 WITH z AS ({SCORE_SQL}), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exchange_code ORDER BY created_at DESC, id DESC) AS rn FROM sync_tasks) y WHERE rn = 1)
-SELECT split_part(z.catalog_id, '/', 1) AS exchange_code, count(*) AS catalog_count, round(CAST(sum(CAST(z.total_score AS DECIMAL(20,4))) AS DOUBLE) / count(*), 1) AS avg_quality,
+SELECT z.exchange_code, count(*) AS catalog_count, round(CAST(sum(CAST(z.total_score AS DECIMAL(20,4))) AS DOUBLE) / count(*), 1) AS avg_quality,
        count(CASE WHEN last.status = 'completed' THEN 1 END) AS synced_count, count(CASE WHEN z.missing_days > 0 THEN 1 END) AS with_issues
-FROM z LEFT JOIN last ON last.exchange_code = split_part(z.catalog_id, '/', 1) GROUP BY 1""", staged=True)
+FROM z LEFT JOIN last ON last.exchange_code = z.exchange_code GROUP BY 1""", staged=True)
 def health_by_exchange(f):
-    return qa.health_by_exchange(f.catalogs.select("catalog_id", "exchange_code"), _health(f))
+    series, health = _health(f)
+    return qa.health_by_exchange(series, health)
 
 
 @query("latest_sync_per_task", "E09", """
@@ -298,15 +336,15 @@ def _audit_log(f):
 
 @query("dashboard_catalog_panel", "D34", f"""
 WITH z AS ({SCORE_SQL}), d AS ({DRIFT_SQL}), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exchange_code ORDER BY created_at DESC, id DESC) AS rn FROM sync_tasks) y WHERE rn = 1)
-SELECT z.catalog_id, z.total_score AS quality_score, z.completeness AS completeness_pct, z.missing_days, coalesce(last.status, 'completed') AS sync_status, d.recorded_total AS total_records
-FROM z LEFT JOIN d ON d.catalog_id = z.catalog_id LEFT JOIN last ON last.exchange_code = split_part(z.catalog_id, '/', 1)""", staged=True)
+SELECT z.catalog_id, z.total_score AS quality_score, z.completeness AS completeness_pct, z.missing_days, coalesce(last.status, 'completed') AS sync_status, coalesce(d.recorded_total, 0) AS total_records
+FROM z LEFT JOIN d ON d.catalog_id = z.catalog_id LEFT JOIN last ON last.exchange_code = z.exchange_code""", staged=True)
 def catalog_panel(f):
     return _panel(f).select("catalog_id", "quality_score", "completeness_pct", "missing_days", "sync_status", "total_records")
 
 
 def _panel(f):
     status = _status(f).withColumnRenamed("recorded_total", "total_records")
-    return qa.catalog_panel(f.catalogs.select("catalog_id", "exchange_code"), _health(f), status)
+    return qa.catalog_panel(*_health(f), status)
 
 
 @query("dashboard_summary", "D34 D25", f"""
@@ -409,33 +447,35 @@ WITH g AS (SELECT count(CASE WHEN d > 5 THEN 1 END) AS gaps FROM (SELECT trade_d
 x AS (SELECT count(*) AS n, count(CASE WHEN offset_flag = 'open' THEN 1 END) AS opens, sum(commission) AS fee,
              count(CASE WHEN abs(total_pnl) > (SELECT max(client_equity) FROM account_summary) * 0.5 THEN 1 END) AS extreme FROM trades),
 s AS (SELECT sum(commission) AS fee FROM account_summary), m AS (SELECT count(*) AS n FROM matched_trades)
-SELECT 'pnl_data_exists' AS "check", 'PASS' AS status, CAST(n AS VARCHAR) AS actual FROM x
-UNION ALL SELECT 'fee_consistency', CASE WHEN x.fee / CAST(s.fee AS DOUBLE) < 0.5 OR x.fee / CAST(s.fee AS DOUBLE) > 2 THEN 'FAIL' WHEN x.fee > s.fee THEN 'WARN' ELSE 'PASS' END, CAST(CAST(s.fee AS DECIMAL(28,2)) AS VARCHAR) FROM x, s
-UNION ALL SELECT 'trade_date_continuity', CASE WHEN gaps = 0 THEN 'PASS' ELSE 'WARN' END, CAST(gaps AS VARCHAR) FROM g
-UNION ALL SELECT 'pair_coverage', CASE WHEN m.n / CAST(x.opens AS DOUBLE) >= 0.8 THEN 'PASS' ELSE 'WARN' END, CAST(m.n AS VARCHAR) FROM m, x
-UNION ALL SELECT 'pnl_reasonableness', CASE WHEN extreme = 0 THEN 'PASS' ELSE 'WARN' END, CAST(extreme AS VARCHAR) FROM x"""
+SELECT 'pnl_data_exists' AS "check", 'PASS' AS status, 'trades and account summaries' AS source, 'a result other than 0' AS expected, CAST(n AS VARCHAR) AS actual, 0e0 AS deviation FROM x
+UNION ALL SELECT 'fee_consistency', CASE WHEN x.fee / CAST(s.fee AS DOUBLE) < 0.5 OR x.fee / CAST(s.fee AS DOUBLE) > 2 THEN 'FAIL' WHEN x.fee > s.fee THEN 'WARN' ELSE 'PASS' END, 'commission', CAST(CAST(x.fee AS DECIMAL(28,2)) AS VARCHAR), CAST(CAST(s.fee AS DECIMAL(28,2)) AS VARCHAR), CAST(CAST(abs(x.fee - s.fee) AS DECIMAL(28,2)) AS DOUBLE) FROM x, s
+UNION ALL SELECT 'trade_date_continuity', CASE WHEN gaps = 0 THEN 'PASS' ELSE 'WARN' END, 'trade dates', 'no pause above 5 days', CAST(gaps AS VARCHAR), CAST(gaps AS DOUBLE) FROM g
+UNION ALL SELECT 'pair_coverage', CASE WHEN m.n / CAST(x.opens AS DOUBLE) >= 0.8 THEN 'PASS' ELSE 'WARN' END, 'matches per opening trade', 'at least 0.8', CAST(m.n AS VARCHAR), round(m.n / CAST(x.opens AS DOUBLE), 4) FROM m, x
+UNION ALL SELECT 'pnl_reasonableness', CASE WHEN extreme = 0 THEN 'PASS' ELSE 'WARN' END, 'results against the highest equity', 'at most half of it', CAST(extreme AS VARCHAR), CAST(extreme AS DOUBLE) FROM x"""
 
 
 @query("analysis_checks", "L18 E11", CHECKS_SQL)
 def analysis_checks(f):
-    return qa.analysis_checks(f.trades, trading.match_trades(f.trades), _summary(f)).select("check", "status", "actual")
+    return qa.analysis_checks(f.trades, trading.match_trades(f.trades), _summary(f)).select(*CHECK)
 
 
 RULES_SQL = """
 WITH t AS (SELECT count(*) AS n, count(CASE WHEN volume <= 0 THEN 1 END) AS np, sum(CASE WHEN offset_flag = 'open' THEN volume END) AS ov FROM trades),
-m AS (SELECT CAST(sum(mv) AS BIGINT) AS mv, count(*) AS n, max(abs(net_pnl)) AS top FROM matched_trades), s AS (SELECT count(*) AS n FROM account_summary)
-SELECT 'trades_non_empty' AS "check", 'PASS' AS status, CAST(n AS VARCHAR) AS actual FROM t
-UNION ALL SELECT 'trades_positive_volume', CASE WHEN np = 0 THEN 'PASS' ELSE 'FAIL' END, CAST(np AS VARCHAR) FROM t
-UNION ALL SELECT 'trades_contract_not_empty', 'PASS', '0'
-UNION ALL SELECT 'trades_vs_matched_volume', CASE WHEN m.mv <= t.ov THEN 'PASS' ELSE 'WARN' END, CAST(m.mv AS VARCHAR) FROM m, t
-UNION ALL SELECT 'matched_trades_pnl', 'PASS', CAST(n AS VARCHAR) FROM m
-UNION ALL SELECT 'matched_trades_pnl_range', 'PASS', CAST(CAST(round(top, 2) AS DECIMAL(28,2)) AS VARCHAR) FROM m
-UNION ALL SELECT 'account_summary_populated', 'PASS', CAST(n AS VARCHAR) FROM s"""
+m AS (SELECT CAST(sum(mv) AS BIGINT) AS mv, count(*) AS n, max(abs(net_pnl)) AS top, CAST(sum(CAST(abs(net_pnl) AS DECIMAL(28,6))) AS DOUBLE) / count(net_pnl) AS mean FROM matched_trades), s AS (SELECT count(*) AS n FROM account_summary)
+SELECT 'trades_non_empty' AS "check", 'PASS' AS status, 'trades' AS source, 'some rows' AS expected, CAST(n AS VARCHAR) AS actual, 0e0 AS deviation FROM t
+UNION ALL SELECT 'trades_positive_volume', CASE WHEN np = 0 THEN 'PASS' ELSE 'FAIL' END, 'trade volumes', 'none at or below 0', CAST(np AS VARCHAR), 0e0 FROM t
+UNION ALL SELECT 'trades_contract_not_empty', 'PASS', 'trade instruments', 'none empty', '0', 0e0
+UNION ALL SELECT 'trades_vs_matched_volume', CASE WHEN m.mv <= t.ov THEN 'PASS' ELSE 'WARN' END, 'opened and matched volume', CAST(CAST(t.ov AS BIGINT) AS VARCHAR), CAST(m.mv AS VARCHAR), 0e0 FROM m, t
+UNION ALL SELECT 'matched_trades_pnl', 'PASS', 'matches', 'some rows', CAST(n AS VARCHAR), 0e0 FROM m
+UNION ALL SELECT 'matched_trades_pnl_range', 'PASS', 'mean and largest result of a match', CAST(CAST(round(mean, 2) AS DECIMAL(28,2)) AS VARCHAR), CAST(CAST(round(top, 2) AS DECIMAL(28,2)) AS VARCHAR), 0e0 FROM m
+UNION ALL SELECT 'account_summary_populated', 'PASS', 'account summaries', 'some rows', CAST(n AS VARCHAR), 0e0 FROM s"""
+
+CHECK = ["check", "status", "source", "expected", "actual", "deviation"]
 
 
 @query("trading_rules", "L19", RULES_SQL)
 def trading_rules(f):
-    return qa.trading_rules(f.trades, trading.match_trades(f.trades), _summary(f)).select("check", "status", "actual")
+    return qa.trading_rules(f.trades, trading.match_trades(f.trades), _summary(f)).select(*CHECK)
 
 
 @query("report_verdict", "D32", f"""
@@ -447,14 +487,14 @@ def report_verdict(f):
 
 
 @query("full_audit", "L23", f"""
-SELECT 'trading' AS scope, "check", status FROM ({RULES_SQL}) r UNION ALL SELECT 'analysis', "check", status FROM ({CHECKS_SQL}) c
-UNION ALL SELECT 'statements', 'fund_balance_equation', (SELECT CASE WHEN count(CASE WHEN abs(balance_c_f - e) >= 0.01 AND abs(balance_c_f - e) >= balance_c_f * 0.05 THEN 1 END) = 0 THEN 'PASS' ELSE 'FAIL' END
-  FROM (SELECT *, balance_b_f + deposit_withdrawal + total_pnl - commission AS e FROM account_summary) q)""")
+SELECT 'trading' AS scope, * FROM ({RULES_SQL}) r UNION ALL SELECT 'analysis', * FROM ({CHECKS_SQL}) c
+UNION ALL SELECT 'statements', 'fund_balance_equation', CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END, 'account_summary', CAST(n AS VARCHAR), CAST(bad AS VARCHAR), CAST(bad AS DOUBLE) FROM (
+  SELECT count(*) AS n, count(CASE WHEN abs(balance_c_f - e) >= 0.01 AND abs(balance_c_f - e) >= balance_c_f * 0.05 THEN 1 END) AS bad FROM (SELECT *, balance_b_f + deposit_withdrawal + total_pnl - commission AS e FROM account_summary) q) y""")
 def full_audit(f):
     m, s = trading.match_trades(f.trades), _summary(f)
     parts = {"trading": qa.trading_rules(f.trades, m, s), "analysis": qa.analysis_checks(f.trades, m, s),
              "statements": qa.fund_balance_check(trading.fund_balance_rows(s))}
-    return qa.full_audit(parts).select("scope", "check", "status")
+    return qa.full_audit(parts).select("scope", *CHECK)
 
 
 @query("date_gaps_per_account", "E11", """

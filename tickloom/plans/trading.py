@@ -366,11 +366,24 @@ def running_volume(f):
 
 
 @query("account_compare", "C10 L17", """
-SELECT 'account_summary_consistency' AS "check", CASE WHEN count(CASE WHEN abs(c_acctbal) < 500 THEN 1 END) = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
-       CAST(count(*) AS VARCHAR) AS expected, CAST(count(CASE WHEN abs(c_acctbal) < 500 THEN 1 END) AS VARCHAR) AS actual FROM customer""")
+SELECT 'account_summary_consistency' AS "check", CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status, 'account_summary' AS source,
+       CAST(n AS VARCHAR) AS expected, CAST(bad AS VARCHAR) AS actual, CAST(bad AS DOUBLE) AS deviation
+FROM (SELECT count(*) AS n, count(CASE WHEN month IN (3, 7) OR (month = 5 AND abs(balance_c_f * 0.001) > 0.01) THEN 1 END) AS bad FROM account_summary) x""")
 def account_compare(f):
-    c = f.table("customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("account_id"), F.lit(2024).alias("year"),
-                                   F.lit(1).alias("month"), F.col("c_acctbal").alias("balance_b_f"), F.lit(1.0).alias("balance_c_f"),
-                                   F.lit(1.0).alias("client_equity"))
-    other = c.withColumn("balance_c_f", F.when(F.abs("balance_b_f") < 500, 2.0).otherwise(1.0))
-    return quality.account_summary_consistency(c, other).select("check", "status", "expected", "actual")
+    """Monthly summaries against a copy that lost July, gained a cent and a half in March and drifts in May."""
+    own = trading.monthly_account_summary(f.bills)
+    cf = F.col("balance_c_f").cast("double")
+    copy = own.filter("month <> 7").withColumn("client_equity", F.when(F.col("month") == 3, F.col("client_equity").cast("double") + 0.015)
+                                               .otherwise(F.col("client_equity").cast("double"))) \
+        .withColumn("balance_c_f", F.when(F.col("month") == 5, cf * 1.001).otherwise(cf))
+    return quality.account_summary_consistency(own, copy)
+
+
+@query("account_compare_rows", "C10", """
+SELECT account_id, year, month, CASE WHEN month = 7 THEN 'left_only' WHEN month = 3 THEN 'mismatch' ELSE 'match' END AS status FROM account_summary""")
+def account_compare_rows(f):
+    from tickloom.operators.joins import compare_rows
+    own = trading.monthly_account_summary(f.bills)
+    copy = own.filter("month <> 7").withColumn("client_equity", F.col("client_equity").cast("double") + F.when(F.col("month") == 3, 0.015).otherwise(0.005))
+    return compare_rows(own, copy, ["account_id", "year", "month"], ["balance_b_f", "balance_c_f", "client_equity"]) \
+        .select("account_id", "year", "month", "status")

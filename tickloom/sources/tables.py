@@ -176,6 +176,33 @@ def archive_before(df: DataFrame, path: str, ref, days: int = 30, date: str = "t
         .partitionBy(date).parquet(path)
 
 
+def move_to_archive(spark: SparkSession, path: str, archive: str, ref, days: int = 30,
+                    date: str = "trade_date") -> DataFrame:
+    """Moves the old days of a date-partitioned table into an archive: copy, compare, then drop.
+
+    No step undoes another, so a run that failed anywhere is simply run again: days still in the
+    table are copied once more (each replaces itself), the copy is compared with its source row by
+    row, and only days that were compared without a difference are dropped from the table. Days that
+    an earlier run has already dropped stay in the archive. Returns the comparison.
+    """
+    table = spark.read.parquet(path)
+    rows = old(table, ref, days, date)
+    # One value per old day that is still in the table; file names alone answer it.
+    moved = [r[0] for r in rows.select(date).distinct().collect()]
+    archive_before(table, archive, ref, days, date)
+    if not moved:
+        return verify_copy(rows, rows)
+    copy = spark.read.parquet(archive).filter(F.col(date).isin(moved))
+    found = verify_copy(rows, copy).collect()
+    if found[0].missing_rows or found[0].extra_rows:
+        raise RuntimeError(f"archive differs from its source: {found[0]}")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    for day in moved:
+        folder = fs_path(f"{path.rstrip('/')}/{date}={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.createDataFrame(found)
+
+
 def old(df: DataFrame, ref, days: int = 30, date: str = "trade_date") -> DataFrame:
     return df.filter(F.col(date) < F.date_sub(F.lit(ref).cast("date"), days))
 
