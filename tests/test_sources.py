@@ -123,6 +123,54 @@ def test_wide_files_and_unreadable_files(spark, tmp_path):
     assert [x.file for x in text_files.unreadable_files(spark, str(tmp_path)).collect()] == ["bad.csv"]
 
 
+def test_a_line_of_100000_quoted_cells(spark, tmp_path):
+    cells = ",".join(f'"{i},x"' for i in range(100_000))
+    write(tmp_path, "20240311.csv", "合约代码,结算价\nIC2404,5," + cells + "\nIC2405,6\n", "gb18030")
+    got = {r.instrument_id: r.settlement_price for r in csv_quotes.read_quotes(spark, str(tmp_path)).collect()}
+    assert got == {"IC2404": 5.0, "IC2405": 6.0}
+
+
+def test_cells_of_a_line(spark):
+    lines = ['a,"b,c",d', '"a ""q"" b",,x', 'un"balanced,1,2', ' "x" , y', '"', ",,", "", 'a,"b"c,d"e"']
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", csv_quotes._cells(F.col("line")).alias("c")).collect()
+
+    def cells(line):
+        out, cell, behind = [], "", line.count('"')
+        for ch in line:
+            behind -= ch == '"'
+            if ch == "," and behind % 2 == 0:
+                out, cell = [*out, cell], ""
+            else:
+                cell += ch
+        bare = [c.strip() for c in [*out, cell]]
+        bare = [c[1:-1].replace('""', '"').strip() if len(c) > 1 and c[0] == c[-1] == '"' else c for c in bare]
+        return [c or None for c in bare]
+
+    assert {r.line: r.c for r in got} == {x: cells(x) for x in lines}
+
+
+def test_large_files_in_splits_give_the_same_rows(spark, tmp_path):
+    """Files of both encodings cut every 300 bytes, with a repeated header, blank lines and a bad file."""
+    head = "交易日,合约代码,开盘价,收盘价,期权类型"
+    body = [f"2026-04-{1 + i % 28:02d},IF{i},{i}.5,{i * 2},看涨期权{chr(0x4e00 + i)}" for i in range(150)]
+    write(tmp_path, "20260408.csv", "\n".join([head, *body[:40], "", head, *body[40:]]) + "\r\n", "gb18030")
+    write(tmp_path, "b c.csv", "\ufeff\n" + head + "\n" + "\n".join(body[:70]), "utf-8")
+    write(tmp_path, "20260410.csv", head, "utf-8")
+    (tmp_path / "bad.csv").write_bytes(b"a,b\n\xff\xff\x80\x00\xfe\nx,y\n")
+    whole = sorted(map(str, csv_quotes.read_quotes(spark, str(tmp_path)).collect()))
+    settings = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        large = csv_quotes.read_large_quotes(spark, str(tmp_path))
+        assert text_files._raw_lines(spark, str(tmp_path), "*.csv").rdd.getNumPartitions() > 15
+        assert sorted(map(str, large.collect())) == whole and len(whole) == 150 + 1 + 70
+        assert [r.file for r in text_files.unreadable_line_files(spark, str(tmp_path)).collect()] == ["bad.csv"]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_quote_csv_headers_encodings_and_dates(spark, tmp_path):
     write(tmp_path, "20260408_1.csv", "合约代码,今开盘,最高价,最低价,成交量,今收盘价,今结算\nMO2604,3500,3600,3400,1000,bad,3520\nMO2605,\"3,4\",1,2,3,4,5\n", "gbk")
     write(tmp_path, "x.csv", "交易日,合约代码,开盘价,收盘价\n2026-04-09,IF2604,1.5,2.5\n")

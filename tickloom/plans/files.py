@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import quality as qa
 from tickloom.plans.registry import query
+from tickloom.session import shared_dir
 from tickloom.sources import csv_quotes, statements
 
 LABELS = {"balance_bf": "期初结存 Balance B/F", "deposit_withdrawal": "出 入 金 Deposit/Withdrawal", "realized_pl": "平仓盈亏 Realized P/L",
@@ -155,6 +158,18 @@ def csv_daily_quotes(f):
     return csv_quotes.parse_quotes(quote_texts(f)).select(*QUOTE_COLUMNS)
 
 
+@query("csv_quotes_in_splits", "A01 A22", """
+SELECT trade_date, contract_code AS instrument_id, open AS open_price, close AS close_price, CAST(volume AS DOUBLE) AS volume FROM daily_quotes""")
+def csv_quotes_in_splits(f):
+    """Files written by many tasks, each with a header line, read back in splits."""
+    path = f"{shared_dir(f.spark)}/csv-{uuid.uuid4().hex}"
+    f.daily_quotes.select(F.date_format("trade_date", "yyyy-MM-dd").alias("交易日"), F.col("contract_code").alias("合约代码"),
+                          F.col("open").alias("开盘价"), F.col("close").alias("收盘价"), F.col("volume").alias("成交量")) \
+        .write.option("header", "true").option("quoteAll", "true").csv(path)
+    out = csv_quotes.read_large_quotes(f.spark, path)
+    return out.select("trade_date", "instrument_id", "open_price", "close_price", "volume")
+
+
 @query("csv_monthly_quotes", "A02", QUOTES_SQL.format("monthly"))
 def csv_monthly_quotes(f):
     return csv_quotes.parse_quotes(quote_texts(f), data_type="monthly").select(*QUOTE_COLUMNS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import literal_map, normalize_date
 from tickloom.operators.positions import unpivot_ranking
-from tickloom.sources.text_files import read_texts
+from tickloom.sources.text_files import read_lines, read_texts
 
 # Exchange header wording to canonical column names, in lookup order.
 QUOTE_HEADERS = {
@@ -37,18 +37,24 @@ QUOTE_NUMERIC = ["open_price", "high_price", "low_price", "close_price", "settle
                  "strike_price", "delta"]
 QUOTE_TEXT = ["instrument_id", "underlying", "option_type", "contract_month", "expire_date"]
 POSITION_NUMERIC = ["long_volume", "short_volume", "long_change", "short_change"]
-#: A comma with an even number of quotes behind it separates cells.
-SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: Stands for a comma between cells while a line is cut; no text holds it, as it is no character.
+MARK = "\ufdd0"
 
 
 def _cells(line: Column) -> Column:
-    """CSV line of any width to an array of trimmed cells; quotes are removed, empty cells are null."""
+    """CSV line of any width to an array of trimmed cells; quotes are removed, empty cells are null.
+
+    A comma with an even number of quotes behind it separates cells: the line is cut at its quotes,
+    and every second piece, counted from the end, has its commas marked.
+    """
     def bare(cell):
         cell = F.trim(cell)
         inner = F.regexp_replace(F.regexp_extract(cell, r'(?s)^"(.*)"$', 1), '""', '"')
         return F.nullif(F.trim(F.when(cell.rlike(r'(?s)^".*"$'), inner).otherwise(cell)), F.lit(""))
 
-    return F.transform(F.split(line, SEPARATOR), bare)
+    from_end = F.reverse(F.split(line, '"'))
+    marked = F.transform(from_end, lambda x, i: F.when(i % 2 == 0, F.translate(x, ",", MARK)).otherwise(x))
+    return F.transform(F.split(F.array_join(F.reverse(marked), '"'), MARK), bare)
 
 
 def _canonical(header: Column, mapping: dict[str, str], positional: bool) -> Column:
@@ -69,15 +75,19 @@ def _canonical(header: Column, mapping: dict[str, str], positional: bool) -> Col
 
 
 def _rows(texts: DataFrame, mapping: dict[str, str], positional: bool) -> DataFrame:
-    """One row per data line with a name -> value map; files may differ in their headers."""
+    """The data lines of ``texts(file, text)`` as name -> value pairs; files may differ in their headers."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    t = texts.withColumn("_lines", lines).filter(F.size("_lines") > 0) \
-        .withColumn("_names", _canonical(_cells(F.get("_lines", F.lit(0))), mapping, positional))
-    t = t.select("file", "_names", F.explode(F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(1)))).alias("_line"))
-    pairs = F.arrays_zip(F.col("_names").alias("name"), _cells(F.col("_line")).alias("value"))
-    named = F.filter(pairs, lambda p: p["name"].isNotNull())
+    t = texts.withColumn("_lines", lines).filter(F.size("_lines") > 0)
+    return _named(t.select("file", F.get("_lines", F.lit(0)).alias("header"), F.explode(
+        F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(1)))).alias("line")), mapping, positional)
+
+
+def _named(lines: DataFrame, mapping: dict[str, str], positional: bool) -> DataFrame:
+    """``file, header, line`` to name -> value pairs."""
+    names = _canonical(_cells(F.col("header")), mapping, positional)
+    pairs = F.arrays_zip(names.alias("name"), _cells(F.col("line")).alias("value"))
     # The first column of a name wins, as several wordings share one canonical name.
-    return t.select("file", named.alias("_pairs"))
+    return lines.select("file", F.filter(pairs, lambda p: p["name"].isNotNull()).alias("_pairs"))
 
 
 def _field(name: str) -> Column:
@@ -98,7 +108,16 @@ def read_quotes(spark: SparkSession, path, trade_date: str | None = None, data_t
 def parse_quotes(texts: DataFrame, trade_date: str | None = None, data_type: str = "daily") -> DataFrame:
     """Quote rows of ``texts(file, text)``. The date is the argument, else the date column, else
     eight digits in the file name. Unparsable numbers become null."""
-    rows = _rows(texts, QUOTE_HEADERS, positional=True)
+    return _quotes(_rows(texts, QUOTE_HEADERS, positional=True), trade_date, data_type)
+
+
+def read_large_quotes(spark: SparkSession, path, trade_date: str | None = None, data_type: str = "daily",
+                      pattern: str | None = "*.csv") -> DataFrame:
+    """The rows of ``read_quotes`` for files of any size: Spark cuts them at line ends."""
+    return _quotes(_named(read_lines(spark, path, pattern), QUOTE_HEADERS, positional=True), trade_date, data_type)
+
+
+def _quotes(rows: DataFrame, trade_date: str | None, data_type: str) -> DataFrame:
     in_name = F.regexp_extract("file", r"(\d{8})", 1)
     date = normalize_date(F.lit(trade_date)) if trade_date else \
         F.coalesce(normalize_date(_field("trade_date")), normalize_date(in_name))
@@ -114,14 +133,6 @@ def read_monthly(spark, path, **kw) -> DataFrame:
     return read_quotes(spark, path, data_type="monthly", **kw)
 
 
-def read_quotes_declared(spark: SparkSession, path, encoding: str = "GBK") -> DataFrame:
-    """Large files of one known layout and encoding, through Spark's own splittable CSV reader."""
-    df = spark.read.option("header", "true").option("encoding", encoding).csv(path)
-    names = {c: QUOTE_HEADERS.get(c.strip(), c.strip()) for c in df.columns}
-    df = df.withColumnsRenamed(names)
-    return df.withColumns({c: F.col(c).try_cast("double") for c in QUOTE_NUMERIC if c in df.columns})
-
-
 def to_daily_quotes(quotes: DataFrame, exchange: str) -> DataFrame:
     """Parsed exchange rows in the layout of the daily_quotes table."""
     return quotes.select(
