@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -188,13 +189,6 @@ def test_leaders_hide_no_link(spark):
         assert roots(len(lines), links) == want
 
 
-def test_leader_pairs():
-    key = np.array([1, 1, 1, 2, 3, 3])
-    sketch = np.array([0, 1, (1 << 10) - 1, 5, 0, (1 << 40) - 1], np.uint64)
-    a, b = line_dedup.leader_pairs(key, sketch, np.arange(6))
-    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 0), (2, 0)]
-
-
 def test_packed_similarity_is_exact():
     rng = random.Random(3)
     memo = line_dedup.Names(line_dedup.packed, 10)
@@ -209,10 +203,44 @@ def test_signature_estimates_similarity():
     a = prose(rng, 80)
     b = a[:300] + prose(rng, 80)[300:]
     true = len(line_dedup.shingles(a) & line_dedup.shingles(b)) / len(line_dedup.shingles(a) | line_dedup.shingles(b))
-    one, two = line_dedup.signatures([a, b])
-    assert abs((one == two).mean() - true) < 0.2
-    short = line_dedup.signatures(["ab", "ab", ""])
-    assert (short[0] == short[1]).all() and (short != line_dedup.EMPTY).all()
+    for make in (line_dedup.signatures, line_dedup.permuted):
+        one, two = make(*line_dedup.hashes([a, b]), 2)
+        assert abs((one == two).mean() - true) < 0.2
+        short = make(*line_dedup.hashes(["ab", "ab", ""]), 3)
+        assert (short[0] == short[1]).all() and (short != line_dedup.EMPTY).all()
+
+
+@pytest.mark.parametrize("size", [8, 10, 12, 14, 16, 20, 30, 40, 46, 60, 120])
+def test_bands_find_similar_lines_of_any_length(size):
+    """Recall of the band keys on random pairs with 0.8 <= similarity < 0.9."""
+    rng, letters, pairs = random.Random(size), "abcdefghijklmnopqrstuvwxyz ", []
+    while len(pairs) < 1500:
+        x = "".join(rng.choice(letters) for _ in range(size))
+        cut = rng.randrange(size + 1)
+        edit = rng.choice(letters) * rng.choice([0, 1, 1, 2, 3])
+        y = rng.choice([x[:cut] + edit + x[cut + len(edit):], x[:cut] + edit + x[cut:], x + edit, edit + x, x[:cut] + x[cut + 1:]])
+        if 0.8 <= line_dedup.jaccard(line_dedup.shingles(x), line_dedup.shingles(y)) < 0.9:
+            pairs.append((x, y))
+    key, row = line_dedup.band_keys([t for p in pairs for t in p])
+    keys = [set() for _ in range(2 * len(pairs))]
+    for k, r in zip(key.tolist(), row.tolist(), strict=True):
+        keys[r].add(k)
+    assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(pairs))) >= 0.985 * len(pairs)
+
+
+def test_first_shingles_lose_no_pair():
+    rng = random.Random(3)
+    lead = "".join(rng.choice("abcd") for _ in range(40))
+    lines = []
+    for _ in range(300):
+        x = list(lead)
+        for _ in range(rng.randint(0, 6)):
+            x[rng.randrange(40)] = rng.choice("abcdefgh")
+        lines.append("".join(x[:rng.randint(3, 40)]))
+    first = [set(line_dedup.first_shingles(x, line_dedup.shingles(lead))) for x in lines]
+    grams = [line_dedup.shingles(x) for x in lines]
+    linked = [(i, j) for i in range(300) for j in range(i) if line_dedup.jaccard(grams[i], grams[j]) >= 0.8]
+    assert len(linked) > 20 and all(first[i] & first[j] for i, j in linked)
 
 
 # --- embeddings --------------------------------------------------------------------------------
@@ -286,13 +314,14 @@ def template_lines(n):
 
 def test_lines_of_a_template(spark):
     """Leaders cut no link: lines that left a bucket for a leader they miss are compared later."""
-    lines = template_lines(400)
-    ids = {}
-    has = [[ids.setdefault(g, len(ids)) for g in line_dedup.shingles(t)] for t in lines]
-    own = np.zeros((len(lines), len(ids)), np.float32)
-    for i, at in enumerate(has):
-        own[i, at] = 1
-    both, size = own @ own.T, own.sum(1)
+    lines = template_lines(1500)
+    ids, grams = {}, [line_dedup.shingles(t) for t in lines]
+    often = Counter(g for own in grams for g in own)
+    own, size = np.zeros((len(lines), len(often)), np.float32), np.array([len(g) for g in grams])
+    for i, at in enumerate(grams):
+        own[i, [ids.setdefault(g, len(ids)) for g in at if often[g] > 1]] = 1
+    own = own[:, :len(ids)]
+    both = own @ own.T
     links = np.argwhere(both >= 0.8 * (size[:, None] + size - both) - 1e-4).tolist()
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
     kept = {r.doc_id for r in line_dedup.dedup_lines(docs).where("text <> ''").select("doc_id").collect()}

@@ -208,7 +208,7 @@ def components(links: DataFrame) -> DataFrame:
     ones, move to the smallest neighbour. Once no more than ``FOLD`` links are left they are one
     block for a last fold. Links with a null end or a == b add nothing. Neighbour
     minima are pre-aggregated and joined, so no neighbour list is ever gathered; the number of
-    rounds grows with the logarithm of the number of nodes.
+    rounds grows with the logarithm of the number of nodes. ``drop`` of the result deletes its table.
     """
     edge = "a long, b long"
     start = (links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
@@ -236,6 +236,10 @@ def components(links: DataFrame) -> DataFrame:
         if done:
             break
     else:
-        now = save(now.coalesce(1).mapInArrow(_local_forest, edge), "forest")
-    return (now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-            .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct())
+        small = save(now.coalesce(1).mapInArrow(_local_forest, edge), "forest")
+        drop(now)
+        now = small
+    out = (now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+           .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct())
+    out._scratch_path = now._scratch_path
+    return out

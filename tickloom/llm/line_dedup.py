@@ -2,21 +2,24 @@
 
 Lines are compared by the Jaccard similarity of their sets of character shingles (``SHINGLE``
 characters; a shorter line is one shingle) and are near duplicates at ``SIMILARITY`` or more. A
-line's signature holds, for each of 64 bins, the smallest hash among the shingles that fall into
-the bin (empty bins borrow from others by a fixed rule), so one hash per shingle is enough.
-``BANDS`` bands of ``ROWS`` bins give high-recall keys. Distributed union-find over the verified
-links gives the components; the first line of a component (smallest document id, then text hash
-and line number) stays.
+line's signature holds 64 minima of shingle hashes: for each of 64 bins the smallest hash among the
+shingles that fall into it (empty bins borrow from others by a fixed rule), so one hash per shingle
+is enough. A line of at most ``FEW`` shingles would borrow too often; it takes the minima of 64 mixes
+of its hashes instead, and lines near that border have both signatures, so that every pair that can
+be similar has one in common. ``BANDS`` bands of ``ROWS`` minima give high-recall keys. Every
+candidate is verified by exact Jaccard similarity; distributed union-find over the verified links
+gives the components; the first line of a component (smallest document id, then text hash and line
+number) stays.
 
 Equal lines are merged first (128-bit hash), so a line in many documents is one row. A bucket of
-lines under one key never sends all its pairs: in an order that differs between buckets a line
-becomes a leader unless its sketch is very close to an earlier leader's, and each line is paired
-with the leaders whose sketch does not rule the threshold out. Every pair is verified by exact
-Jaccard similarity. A line that left its bucket for a leader it turns out not to be linked to comes
-back: it meets the later leaders of the bucket, and the lines that came back with it choose leaders
-among themselves, until every line that is out is linked to its leader. What leaders may hide is
-looked up then: a line that just misses its leader is compared with the lines linked to that leader,
-as far as the triangle inequality of the Jaccard distance leaves a link possible.
+lines under one key never sends all its pairs: each line is compared with the bucket's smallest line
+(its leader), which links near copies in a star. Lines of a bucket that are then still in different
+components meet by the prefix rule: two lines at similarity 0.8 share at least 0.8 of each one's
+shingles, so in any order of shingles they share one of the first 0.2 n + 1 of each. The order takes
+the shingles that the leader lacks first: what a template has in common is in the leader and becomes
+no key, and near copies of the leader that are one component meet nobody. The rule loses no pair of a
+bucket, and rows grow with the lines, not with their square. Both joins are ordinary equi joins whose
+skewed keys Spark splits.
 
 Defined cases: a null or empty text has no lines; blank lines are never duplicates and stay; rows
 without an id keep all lines and are no source; rows with equal id and text share one decision;
@@ -33,10 +36,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Names, chunks, components, documents, free_shuffles, raw_texts, save
+from tickloom.llm.common import Names, chunks, components, documents, drop, free_shuffles, raw_texts, save
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -45,12 +48,8 @@ SIMILARITY = 0.8
 BINS = 64
 BANDS = 12
 ROWS = 5
-#: Differing bits of two sketches of 64: at the threshold 6.4 on average (deviation 2.4), 32 for
-#: unlike lines. A pair is verified up to ``POSSIBLE``; up to ``CLOSE`` a line needs no leader of its own.
-POSSIBLE = 14
-CLOSE = 5
-#: Rounds in which lines that come back choose leaders; in the last one nobody leaves a bucket.
-ROUNDS = 5
+#: Shingles up to which a line's signature takes true permutations.
+FEW = 40
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -66,8 +65,8 @@ def line_id(line: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """Signature of each line: ``BINS`` minima of shingle hashes."""
+def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles and the line of each."""
     padded = [t if len(t) >= SHINGLE else t.ljust(SHINGLE, "\0") for t in lines]
     size = np.array([len(t) for t in padded], np.int64)
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -77,8 +76,12 @@ def signatures(lines: list[str]) -> np.ndarray:
     at = np.arange(len(h))
     line = np.repeat(np.arange(len(lines)), size)[:len(h)]
     whole = at + SHINGLE <= np.cumsum(size)[line]
-    h, line = mix(h[whole]), line[whole]
-    flat = np.full(len(lines) * BINS, EMPTY)
+    return mix(h[whole]), line[whole]
+
+
+def signatures(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """Signature of each line: ``BINS`` minima, one hash per shingle."""
+    flat = np.full(lines * BINS, EMPTY)
     np.minimum.at(flat, line * BINS + (h & np.uint64(BINS - 1)).astype(np.int64),
                   np.minimum((h >> np.uint64(32)).astype(np.uint32), EMPTY - np.uint32(1)))
     sig = flat.reshape(-1, BINS)
@@ -94,17 +97,45 @@ def signatures(lines: list[str]) -> np.ndarray:
     return sig
 
 
-def keys_of(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (a column per band) and one-bit sketches of signatures."""
+#: Odd factors of the mixes, from a fixed rule.
+FACTORS = mix(np.arange(1, BINS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def permuted(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """Signature of each line with a mix of its own for every minimum."""
+    x = h[:, None] * FACTORS
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    start = np.searchsorted(line, np.arange(lines))
+    return np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), start, axis=0)
+
+
+def keys_of(sig: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Band keys (a column per band) of signatures of one kind."""
     wide = sig.astype(np.uint64)
     keys = np.empty((len(sig), BANDS), np.uint64)
     for b in range(BANDS):
-        h = np.full(len(sig), np.uint64(b + 1))
+        h = np.full(len(sig), np.uint64(b + 1 + kind * BANDS))
         for r in range(ROWS):
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + wide[:, b * ROWS + r])
         keys[:, b] = h
-    bits = (mix(wide) >> np.uint64(17)).astype(np.uint8) & 1
-    return keys, np.packbits(bits, axis=1).view(np.uint64)[:, 0]
+    return keys
+
+
+def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``key, line`` rows of some lines. With ``n`` shingles a line has the keys of true permutations
+    up to FEW, and the others from 0.8 FEW on: of two lines at 0.8 one kind fits both."""
+    h, line = hashes(lines)
+    size = np.bincount(line, minlength=len(lines))
+    keys, rows = [], []
+    for kind, fits, make in ((0, size >= SIMILARITY * FEW, signatures), (1, size <= FEW, permuted)):
+        some = np.flatnonzero(fits)
+        if len(some):
+            pick = fits[line]
+            number = np.cumsum(fits) - 1
+            keys.append(keys_of(make(h[pick], number[line[pick]], len(some)), kind).ravel())
+            rows.append(np.repeat(some, BANDS))
+    return np.concatenate(keys), np.concatenate(rows)
 
 
 def _lines(text: bytes) -> list[bytes]:
@@ -129,7 +160,7 @@ def _positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _band_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, fp, node`` rows of the different lines of each chunk."""
+    """``key, node`` rows of the different lines of each chunk."""
     for batch in chunks(batches):
         seen = {}
         for text in raw_texts(batch):
@@ -139,11 +170,16 @@ def _band_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = list(seen)
         for at in range(0, len(lines), 512):  # few enough lines for the processor's caches
             part = lines[at:at + 512]
-            keys, sketch = keys_of(signatures([t.decode("utf-8", "replace") for t in part]))
+            key, row = band_keys([t.decode("utf-8", "replace") for t in part])
             node = np.array([line_id(t)[0] for t in part], np.int64)
-            yield pa.RecordBatch.from_pydict({
-                "key": keys.view(np.int64).ravel(), "fp": np.repeat(sketch.view(np.int64), BANDS),
-                "node": np.repeat(node, BANDS)})
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "node": node[row]})
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct ``a, b``: lines and the leaders (smallest nodes) of their buckets in ``rows(key, node)``."""
+    bucket = Window.partitionBy("key").orderBy("node")  # a running minimum: rows stream through
+    return (rows.select(F.col("node").alias("a"), F.first("node").over(bucket).alias("b"))
+            .where("a <> b").distinct())
 
 
 def shingles(text: str) -> set[str]:
@@ -155,112 +191,6 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def leader_pairs(key: np.ndarray, sketch: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (line, leader) of rows with equal key; rows come sorted by key."""
-    return seated(key, sketch, order)[:2]
-
-
-def seated(key: np.ndarray, sketch: np.ndarray, order: np.ndarray,
-           close: int = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (line, leader) of rows with equal key, and each row's turn and the leader it left the
-    bucket for (itself if it leads). All buckets advance together: each turn takes one leader per bucket."""
-    left, right = [], []
-    turn, led = np.zeros(len(key), np.int64), np.arange(len(key))
-    rest = np.lexsort([order, key])
-    now = 0
-    while len(rest):
-        first = np.concatenate([[True], key[rest[1:]] != key[rest[:-1]]])
-        leader = rest[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        apart = np.bitwise_count(sketch[rest] ^ sketch[leader]).astype(np.int64)
-        hit = (apart <= POSSIBLE) & ~first
-        left.append(rest[hit])
-        right.append(leader[hit])
-        out = first | (apart <= close)
-        turn[rest[out]], led[rest[out]] = now, leader[out]
-        rest = rest[~out]
-        now += 1
-    return np.concatenate(left or [rest]), np.concatenate(right or [rest]), turn, led
-
-
-#: Pairs ``a, b`` (without key) and seats of lines ``a`` in a bucket: the leader ``b`` they left for, null if they lead.
-SEATS = "a long, b long, key long, fp long, turn long"
-
-
-def _rows(a: np.ndarray, b: np.ndarray, seats: Iterable[np.ndarray], leads: np.ndarray) -> pa.RecordBatch:
-    """A batch of ``SEATS``: distinct pairs, and ``key, fp, turn, node, leader`` of seats."""
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    both = np.unique(np.stack([low, high])[:, low != high], axis=1)
-    key, fp, turn, node, leader = seats
-    none = pa.nulls(both.shape[1], pa.int64())
-    def join(x, y):
-        return pa.concat_arrays([x, y])
-    return pa.RecordBatch.from_arrays(
-        [join(pa.array(both[0]), pa.array(node)), join(pa.array(both[1]), pa.array(leader, mask=leads)),
-         join(none, pa.array(key)), join(none, pa.array(fp)), join(none, pa.array(turn))],
-        ["a", "b", "key", "fp", "turn"])
-
-
-def _seating(key: np.ndarray, sketch: np.ndarray, node: np.ndarray, close: int = CLOSE,
-             since: int = 0) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Node pairs of whole buckets, and the seats of buckets where one comparison may be owed: three
-    lines or more, one of which left for a leader."""
-    one, two, turn, led = seated(key, sketch.view(np.uint64), mix(key.view(np.uint64) ^ node.view(np.uint64)), close)
-    leads = led == np.arange(len(led))
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
-    size = np.diff(np.concatenate([start, [len(key)]])).astype(np.int64)
-    owed = (size > 2) & (np.add.reduceat((~leads).astype(np.int64), start) > 0) if len(start) else np.empty(0, bool)
-    at = np.flatnonzero(np.repeat(owed, size))
-    return node[one], node[two], [key[at], sketch[at], turn[at] + since, node[at], node[led[at]]], leads[at]
-
-
-def _whole_buckets(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows that stream through sorted by key (the first name); the last bucket waits."""
-    held = [np.empty(0, np.int64)] * len(names)
-    waiting: list[list[np.ndarray]] = []
-    for batch in batches:
-        waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-        if sum(len(w[0]) for w in waiting) < 1 << 18:
-            continue
-        held = [np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held)]
-        waiting = []
-        upto = int(np.searchsorted(held[0], held[0][-1]))
-        if upto:
-            yield [h[:upto] for h in held]
-            held = [h[upto:] for h in held]
-    held = [np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held)]
-    if len(held[0]):
-        yield held
-
-
-def _bucket_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs and seats of the buckets of one task."""
-    for key, sketch, node in _whole_buckets(batches, ["key", "fp", "node"]):
-        yield _rows(*_seating(key, sketch, node))
-
-
-def _back_pairs(close: int):
-    """Pairs and new seats of lines that came back (``back`` 1), beside the leaders of their buckets."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, sketch, node, turn, back in _whole_buckets(batches, ["key", "fp", "node", "turn", "back"]):
-            bits, left, right = sketch.view(np.uint64), [], []
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                mine, lead = s + np.flatnonzero(back[s:e] == 1), s + np.flatnonzero(back[s:e] == 0)
-                for at in range(0, len(mine) if len(lead) else 0, 256):
-                    some = mine[at:at + 256]
-                    near = ((np.bitwise_count(bits[some, None] ^ bits[lead]) <= POSSIBLE)
-                            & (turn[lead] > turn[some, None]))
-                    x, y = np.nonzero(near)
-                    left.append(node[some[x]])
-                    right.append(node[lead[y]])
-            own = back == 1
-            a, b, seats, leads = _seating(key[own], sketch[own], node[own], close)
-            yield _rows(np.concatenate([a, *left]), np.concatenate([b, *right]), seats, leads)
-
-    return run
-
-
 def packed(text: str) -> np.ndarray | None:
     """Sorted distinct shingles, five 12-bit characters to a number; None where one does not fit."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -292,59 +222,84 @@ def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["a", "b", "near"])
 
 
-def similarities(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``a, b, near``: exact similarity of each pair of nodes of ``lines(node, line)``."""
+def with_lines(pairs: DataFrame, lines: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """``a, b, line_a, line_b`` of pairs of nodes of ``lines(node, line)``."""
     def side(name: str) -> DataFrame:
         return lines.select(F.col("node").alias(name), F.col("line").alias(f"line_{name}"))
 
-    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b")
-            .mapInArrow(_similar, "a long, b long, near double"))
-
-
-def called_back(first: DataFrame, seats: DataFrame, lines: DataFrame) -> DataFrame:
-    """``first`` and the pairs of lines that left a bucket for a leader they are not linked to: they
-    meet the later leaders and each other, round by round, until nobody is out without a link."""
-    for left in reversed(range(ROUNDS)):
-        missed = (seats.where("b is not null")
-                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                          F.col("a").alias("node"), "key", "fp", "turn")
-                  .join(first.where(F.col("near") < SIMILARITY), ["a", "b"]).select("key", "fp", "node", "turn"))
-        missed = save(missed, "missed")
-        if missed.isEmpty():
-            break
-        leaders = (seats.where("b is null").join(missed.groupBy("key").agg(F.min("turn").alias("since")), "key")
-                   .where("turn > since").select("key", "fp", F.col("a").alias("node"), "turn"))
-        rows = (missed.withColumn("back", F.lit(1).cast("long"))
-                .unionByName(leaders.withColumn("back", F.lit(0).cast("long"))))
-        found = save(rows.repartition("key").sortWithinPartitions("key")
-                     .mapInArrow(_back_pairs(CLOSE if left else -1), SEATS).distinct(), "back")
-        pairs = found.where("key is null").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-        first = first.unionByName(save(similarities(pairs, lines), "similar"))
-        seats = found.where("key is not null")
-    return first
-
-
-def verify(pairs: DataFrame, lines: DataFrame, seats: DataFrame | None = None) -> DataFrame:
-    """Verified links ``a, b`` between the nodes of ``lines(node, line)``, from candidate pairs."""
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b", *(more or []))
+
+
+def similarities(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``a, b, near``: exact similarity of each pair of nodes."""
+    return with_lines(pairs, lines).mapInArrow(_similar, "a long, b long, near double")
+
+
+def first_shingles(text: str, leader: set[str]) -> list[str]:
+    """The shingles of a line of which a line at ``SIMILARITY`` shares one: those the leader lacks come
+    first, else by hash, which is one order for all lines of a leader."""
+    own = shingles(text)
+    count = len(own) - int(np.ceil(SIMILARITY * len(own) - 1e-9)) + 1
+    return sorted(own, key=lambda g: (g in leader, xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass"))))[:count]
+
+
+def _prefix_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, node, comp, open, n``: a row per line of a leader and first shingle."""
+    memo = Names(shingles, 5_000)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            key, row, size = [], [], []
+            for i, (leader, x, y) in enumerate(zip(*(part.column(c).to_pylist() for c in ("b", "line_a", "line_b")), strict=True)):
+                first = first_shingles(x, memo[y])
+                seed = leader & 0xFFFFFFFFFFFFFFFF
+                key += [xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass"), seed) for g in first]
+                row += [i] * len(first)
+                size += [len(shingles(x))] * len(first)
+            pick = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(key, np.uint64).view(np.int64)), part.column("a").take(pick), part.column("a_is").take(pick),
+                 part.column("open").take(pick), pa.array(size, pa.int32())], ["key", "node", "comp", "open", "n"])
+
+
+def prefix_rows(first: DataFrame, label: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of lines under leaders that have comparisons left. A leader whose lines are all in its
+    component, or that has one line only, has none."""
+    of = [label.select(F.col("node").alias(n), F.col("component").alias(f"{n}_is")) for n in ("a", "b")]
+    tagged = first.join(of[0], "a", "left").join(of[1], "b", "left") \
+        .select("a", "b", F.coalesce("a_is", "a").alias("a_is"), F.coalesce("b_is", "b").alias("b_is")) \
+        .withColumn("open", F.col("a_is") != F.col("b_is"))
+    owed = tagged.groupBy("b").agg(F.count_if("open").alias("n_open"), F.count(F.lit(1)).alias("n")).where("n_open > 0 and n > 1")
+    return (with_lines(tagged.join(owed.select("b"), "b", "left_semi"), lines, ["a_is", "open"])
+            .mapInArrow(_prefix_rows, "key long, node long, comp long, open boolean, n int"))
+
+
+def hidden_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct ``a, b`` in different components that share a key and whose sizes allow a link."""
+    # A key whose lines are all of one component, as among copies of the leader, joins nothing.
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    rows = rows.join(mixed, "key", "left_semi")
+    x = rows.where("open").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+    y = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("open").alias("ob"))
+    fits = (F.col("ca") != F.col("cb")) & (F.col("na") >= SIMILARITY * F.col("nb") - 1e-9) & (F.col("nb") >= SIMILARITY * F.col("na") - 1e-9)
+    return (x.join(y, "key").where(fits & (~F.col("ob") | (F.col("a") < F.col("b"))))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Verified links ``a, b`` between the nodes of ``lines(node, line)``, from lines ``a`` and the
+    leaders ``b`` of their buckets."""
     first = save(similarities(pairs, lines), "similar")
-    if seats is not None:
-        first = called_back(first, seats, lines)
-    # Both directions: a line and the leader (or follower) it was compared with.
-    both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
-    linked = both.where(F.col("near") >= SIMILARITY)
-    label = save(components(linked.select("a", "b")), "label")
-    of = [label.select(F.col("node").alias(n), F.col("component").alias(f"{n}_is")) for n in ("x", "b")]
-    # Lines in the leader's component already have nothing to find there.
-    missed = (both.where((F.col("near") < SIMILARITY) & (F.col("near") >= 2 * SIMILARITY - 1))
-              .select(F.col("a").alias("x"), "b", F.col("near").alias("x_near"))
-              .join(of[0], "x", "left").join(of[1], "b").where(~F.col("x_is").eqNullSafe(F.col("b_is")))
-              .select("x", "b", "x_near"))
-    # y with 1 - near(y, b) <= 0.2 can only be within 0.2 of x if near(x, b) >= near(y, b) - 0.2.
-    hidden = (missed.join(linked.select(F.col("a").alias("y"), "b", F.col("near").alias("y_near")), "b")
-              .where((F.col("x") != F.col("y")) & (F.col("x_near") >= F.col("y_near") - (1 - SIMILARITY) - 1e-9))
-              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    second = similarities(hidden, lines).where(F.col("near") >= SIMILARITY)
-    return linked.select("a", "b").unionByName(second.select("a", "b"))
+    linked = first.where(F.col("near") >= SIMILARITY).select("a", "b")
+    stars = components(linked)
+    label = save(stars, "label")
+    drop(stars)
+    rows = save(prefix_rows(first, label, lines), "prefixes")
+    second = similarities(hidden_pairs(rows), lines).where(F.col("near") >= SIMILARITY)
+    links = save(linked.unionByName(second.select("a", "b")), "links")
+    for done in (first, label, rows):
+        drop(done)
+    return links
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -352,12 +307,9 @@ def removals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own = documents(docs).where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     where = save(own.mapInArrow(_positions, "h long, g long, doc long, text_hash long, line long"), "lines")
-    found = save(own.select("text").mapInArrow(_band_rows, "key long, fp long, node long")
-                 .repartition("key").sortWithinPartitions("key", "fp")
-                 .mapInArrow(_bucket_pairs, SEATS).distinct(), "candidates")
+    found = save(star_pairs(own.select("text").mapInArrow(_band_rows, "key long, node long")), "candidates")
     free_shuffles(spark)
-    asked_for = (found.select(F.col("a").alias("h"))
-                 .unionByName(found.where("key is null").select(F.col("b").alias("h"))).distinct())
+    asked_for = found.select(F.col("a").alias("h")).unionByName(found.select(F.col("b").alias("h"))).distinct()
     place = F.struct("doc", "text_hash", "line")
     once = save(where.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
     # Text of the lines in candidate pairs, read from the first document that holds each.
@@ -381,20 +333,21 @@ def removals(docs: DataFrame) -> DataFrame:
                    .dropDuplicates(["h", "g"]).withColumn("node", F.xxhash64("h", "g")), "members")
     free_shuffles(spark)
     of = members.select("h", "node")
-    named = (found.join(of.select(F.col("h").alias("a"), F.col("node").alias("x")), "a")
-             .join(of.select(F.col("h").alias("b"), F.col("node").alias("y")), "b", "left"))
-    pairs = (named.where("key is null and y is not null")
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    seats = named.where("key is not null").select(F.col("x").alias("a"), F.col("y").alias("b"), "key", "fp", "turn")
-    label = components(verify(pairs, members, save(seats, "seats")))
+    pairs = (found.join(of.select(F.col("h").alias("a"), F.col("node").alias("x")), "a")
+             .join(of.select(F.col("h").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = verify(pairs, members)
+    label = components(links)
     classes = once.withColumn("node", F.xxhash64("h", "g")).join(label, "node", "left")
     # Components of one different line that occurs once lose nothing; leave them out early.
     classes = save(classes.where("n > 1 or component is not null")
                    .withColumn("class", F.coalesce("component", "node")).select("h", "g", "first", "class"), "named")
     best = classes.groupBy("class").agg(F.min("first").alias("best"))
     chosen = classes.join(best, "class").select("h", "g", "best")
-    return (where.join(chosen, ["h", "g"]).where(place != F.col("best"))
-            .groupBy("doc", "text_hash").agg(F.collect_set("line").alias("drop")))
+    gone = save(where.join(chosen, ["h", "g"]).where(place != F.col("best"))
+                .groupBy("doc", "text_hash").agg(F.collect_set("line").alias("drop")), "removals")
+    for done in (where, found, once, members, links, label, classes):
+        drop(done)
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
