@@ -183,7 +183,7 @@ def test_leaders_hide_no_link(spark):
     want = roots(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if near(i, j) >= 0.8])
     frame = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
     for leader in (0, 5):
-        pairs = spark.createDataFrame([(i, leader) for i in range(len(lines)) if i != leader], "a long, b long")
+        pairs = spark.createDataFrame([(i, leader, True) for i in range(len(lines)) if i != leader], "a long, b long, more boolean")
         links = [tuple(r) for r in line_dedup.verify(pairs, frame).collect()]
         assert all(near(a, b) >= 0.8 for a, b in links)
         assert roots(len(lines), links) == want
@@ -221,7 +221,7 @@ def test_bands_find_similar_lines_of_any_length(size):
         y = rng.choice([x[:cut] + edit + x[cut + len(edit):], x[:cut] + edit + x[cut:], x + edit, edit + x, x[:cut] + x[cut + 1:]])
         if 0.8 <= line_dedup.jaccard(line_dedup.shingles(x), line_dedup.shingles(y)) < 0.9:
             pairs.append((x, y))
-    key, row = line_dedup.band_keys([t for p in pairs for t in p])
+    key, row, _ = line_dedup.band_keys([t for p in pairs for t in p])
     keys = [set() for _ in range(2 * len(pairs))]
     for k, r in zip(key.tolist(), row.tolist(), strict=True):
         keys[r].add(k)
@@ -237,7 +237,8 @@ def test_first_shingles_lose_no_pair():
         for _ in range(rng.randint(0, 6)):
             x[rng.randrange(40)] = rng.choice("abcdefgh")
         lines.append("".join(x[:rng.randint(3, 40)]))
-    first = [set(line_dedup.first_shingles(x, line_dedup.shingles(lead))) for x in lines]
+    *sets, of_lead = line_dedup.hash_sets([*lines, lead])
+    first = [set(line_dedup.first_shingles(x, of_lead).tolist()) for x in sets]
     grams = [line_dedup.shingles(x) for x in lines]
     linked = [(i, j) for i in range(300) for j in range(i) if line_dedup.jaccard(grams[i], grams[j]) >= 0.8]
     assert len(linked) > 20 and all(first[i] & first[j] for i, j in linked)
