@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import sys
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -96,9 +97,14 @@ def drop(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished phases now, not when memory happens to run low."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark drop the shuffle files of finished phases now, not when memory happens to run low.
+
+    The first collection lets go of the plans, the second of the shuffles they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 # --- connected components --------------------------------------------------------------------

@@ -308,11 +308,13 @@ def hidden_pairs(rows: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Verified links ``a, b`` between the nodes of ``lines(node, line)``, from ``star_pairs`` of them."""
     first = save(similarities(pairs, lines), "similar")
+    free_shuffles(first.sparkSession)
     linked = first.where(F.col("near") >= SIMILARITY).select("a", "b")
     stars = components(linked)
     label = save(stars, "label")
     drop(stars)
     rows = save(prefix_rows(first, label, lines), "prefixes")
+    free_shuffles(first.sparkSession)
     second = similarities(hidden_pairs(rows), lines).where(F.col("near") >= SIMILARITY)
     links = save(linked.unionByName(second.select("a", "b")), "links")
     for done in (first, label, rows):
