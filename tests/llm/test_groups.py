@@ -189,6 +189,30 @@ def test_leaders_hide_no_link(spark):
         assert roots(len(lines), links) == want
 
 
+@pytest.mark.parametrize("rows", [7, 100, 1 << 18])
+def test_buckets_stream_in_any_blocks(rows, monkeypatch):
+    """Small buckets give their near pairs, large ones a star, wherever the batches are cut."""
+    import pyarrow as pa
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", rows)
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 5, 64, 65, 500, 3, 1, 200]
+    key = np.repeat(np.arange(len(sizes)) - 4, sizes)
+    node = np.arange(len(key)) * 3
+    fp = (rng.integers(0, 1 << 62, len(key)) & rng.integers(0, 1 << 62, len(key)) & rng.integers(0, 1 << 62, len(key)))
+    want = set()
+    for k, n in zip(range(-4, 5), sizes, strict=True):
+        at = np.flatnonzero(key == k)
+        for i, x in enumerate(at):
+            want |= {(node[x], node[at[0]], True)} if n > 64 and i else \
+                set() if n > 64 else {(node[x], node[y], False) for y in at[:i] if int(fp[x] ^ fp[y]).bit_count() <= 14}
+    order = np.repeat(np.arange(len(key)), rng.integers(1, 3, len(key)))  # some rows twice
+    batches = [pa.RecordBatch.from_pydict({"key": key[order[i:i + rows]], "fp": fp[order[i:i + rows]], "node": node[order[i:i + rows]]})
+               for i in range(0, len(order), rows)]
+    got = [tuple(r.values()) for b in line_dedup._bucket_rows(iter(batches)) for r in b.to_pylist()]
+    assert set(got) == want  # a row that comes twice may give its pair twice
+    assert list(line_dedup._bucket_rows(iter([]))) == []
+
+
 def test_packed_similarity_is_exact():
     rng = random.Random(3)
     memo = line_dedup.Names(line_dedup.packed, 10)

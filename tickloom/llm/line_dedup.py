@@ -11,15 +11,16 @@ candidate is verified by exact Jaccard similarity; distributed union-find over t
 gives the components; the first line of a component (smallest document id, then text hash and line
 number) stays.
 
-Equal lines are merged first (128-bit hash), so a line in many documents is one row. A bucket of
-lines under one key never sends all its pairs: each line is compared with the bucket's smallest line
-(its leader), which links near copies in a star. Lines of a bucket that are then still in different
-components meet by the prefix rule: two lines at similarity 0.8 share at least 0.8 of each one's
-shingles, so in any order of shingles they share one of the first 0.2 n + 1 of each. The order takes
-the shingles that the leader lacks first: what a template has in common is in the leader and becomes
-no key, and near copies of the leader that are one component meet nobody. The rule loses no pair of a
-bucket, and rows grow with the lines, not with their square. Both joins are ordinary equi joins whose
-skewed keys Spark splits.
+Equal lines are merged first (128-bit hash), so a line in many documents is one row. In a bucket of
+at most ``SMALL`` lines under one key every pair whose sketches do not rule the threshold out is a
+candidate. A larger bucket never sends all its pairs: each line is compared with the bucket's smallest
+line (its leader), which links near copies in a star. Lines of the bucket that are then still in
+different components meet by the prefix rule: two lines at similarity 0.8 share at least 0.8 of each
+one's shingles, so in any order of shingles they share one of the first 0.2 n + 1 of each. The order
+takes the shingles that the leader lacks first: what a template has in common is in the leader and
+becomes no key, and near copies of the leader that are one component meet nobody. The rule loses no
+pair of a bucket, and rows grow with the lines, not with their square. Buckets stream through their
+tasks; the joins are ordinary equi joins whose skewed keys Spark splits.
 
 Defined cases: a null or empty text has no lines; blank lines are never duplicates and stay; rows
 without an id keep all lines and are no source; rows with equal id and text share one decision;
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,7 +52,11 @@ BANDS = 12
 ROWS = 5
 #: Shingles up to which a line's signature takes true permutations.
 FEW = 40
-#: Differing bits of two sketches of 64 up to which two lines alone in a bucket are verified: at the
+#: Lines of a bucket up to which its pairs are looked at one by one.
+SMALL = 64
+#: Rows of buckets that are looked at together.
+BLOCK_ROWS = 1 << 18
+#: Differing bits of two sketches of 64 up to which two lines of a small bucket are verified: at the
 #: threshold 6.4 on average (deviation 2.4), 32 for unlike lines.
 POSSIBLE = 14
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -182,16 +187,71 @@ def _band_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": sketch.view(np.int64), "node": node[row]})
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct ``a, b, more``: lines and the leaders (smallest nodes) of their buckets in ``rows(key,
-    fp, node)``, and whether a bucket holds more lines that ``a`` may be compared with. Two lines alone
-    in a bucket whose sketches rule the threshold out are no pair."""
-    bucket = Window.partitionBy("key").orderBy("node")  # only running values: rows stream through
-    lead = F.first(F.struct("node", "fp")).over(bucket)
-    more = (F.row_number().over(bucket) > 2) | F.lead("node").over(bucket).isNotNull()
-    return (rows.select("node", "fp", lead.alias("lead"), more.alias("more")).where("node <> lead.node")
-            .where(F.col("more") | (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= POSSIBLE))
-            .groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.bool_or("more").alias("more")))
+def bucket_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray,
+                 large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs ``a, b, more`` of whole buckets (sorted by key and node); ``large``: the first one goes on
+    from rows before and holds its leader first."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    star = size > SMALL
+    star[0] |= large
+    row = np.repeat(star, size)
+    lead = np.repeat(start, size)
+    follow = np.flatnonzero(row & (np.arange(len(key)) > lead))
+    left, right = [node[follow]], [node[lead[follow]]]
+    at, lag = np.flatnonzero(~row), 1
+    while len(at):
+        at = at[at + lag < len(key)]
+        at = at[key[at] == key[at + lag]]
+        hit = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= POSSIBLE]
+        left.append(node[hit + lag])
+        right.append(node[hit])
+        lag += 1
+    a, b = np.concatenate(left), np.concatenate(right)
+    return a, b, np.arange(len(a)) < len(follow)
+
+
+def _bucket_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the buckets of one task, whose rows come sorted by key and node. The last bucket of a
+    block of rows waits for the next block, a large one with its leader only."""
+    none = np.empty(0, np.int64)
+    held, large, waiting = [none] * 3, False, []
+
+    def block(last: bool) -> pa.RecordBatch | None:
+        nonlocal held, large, waiting
+        key, fp, node = (np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held))
+        waiting = []
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, fp, node = key[fresh], fp[fresh], node[fresh]
+        if not len(key):
+            return None
+        tail = len(key) if last else int(np.searchsorted(key, key[-1]))
+        goes_on = not last and (len(key) - tail > SMALL or (large and tail == 0))
+        upto = len(key) if goes_on else tail
+        held = [x[tail:tail + 1] if goes_on else x[upto:] for x in (key, fp, node)]
+        was, large = large, goes_on
+        if not upto:
+            return None
+        a, b, more = bucket_pairs(key[:upto], fp[:upto].view(np.uint64), node[:upto], was)
+        return pa.RecordBatch.from_pydict({"a": a, "b": b, "more": more})
+
+    for batch in batches:
+        waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node")])
+        if sum(len(w[0]) for w in waiting) >= BLOCK_ROWS:
+            found = block(False)
+            if found is not None:
+                yield found
+    found = block(True)
+    if found is not None:
+        yield found
+
+
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct ``a, b, more`` from ``rows(key, fp, node)``: pairs of small buckets, lines and leaders of
+    large ones (``more``)."""
+    return (rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_bucket_rows, "a long, b long, more boolean")
+            .groupBy("a", "b").agg(F.bool_or("more").alias("more")))
 
 
 def shingles(text: str) -> set[str]:
@@ -283,8 +343,8 @@ def _prefix_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_rows(first: DataFrame, label: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows of lines under leaders that have comparisons left. A leader whose lines are all in its
-    component, or that was alone with each of them, has none."""
+    """Rows of lines of large buckets under leaders that have comparisons left: not all of a leader's
+    lines are in its component."""
     of = [label.select(F.col("node").alias(n), F.col("component").alias(f"{n}_is")) for n in ("a", "b")]
     tagged = first.where("more").join(of[0], "a", "left").join(of[1], "b", "left") \
         .select("a", "b", F.coalesce("a_is", "a").alias("a_is"), F.coalesce("b_is", "b").alias("b_is")) \
@@ -306,7 +366,7 @@ def hidden_pairs(rows: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Verified links ``a, b`` between the nodes of ``lines(node, line)``, from ``star_pairs`` of them."""
+    """Verified links ``a, b`` between the nodes of ``lines(node, line)``, from ``candidate_pairs`` of them."""
     first = save(similarities(pairs, lines), "similar")
     free_shuffles(first.sparkSession)
     linked = first.where(F.col("near") >= SIMILARITY).select("a", "b")
@@ -327,7 +387,7 @@ def removals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own = documents(docs).where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     where = save(own.mapInArrow(_positions, "h long, g long, doc long, text_hash long, line long"), "lines")
-    found = save(star_pairs(own.select("text").mapInArrow(_band_rows, "key long, fp long, node long")), "candidates")
+    found = save(candidate_pairs(own.select("text").mapInArrow(_band_rows, "key long, fp long, node long")), "candidates")
     free_shuffles(spark)
     asked_for = (found.select(F.col("a").alias("h")).unionByName(found.select(F.col("b").alias("h"))).distinct()
                  .withColumn("wanted", F.lit(True)))
