@@ -327,7 +327,7 @@ def hash_sets(lines: list[str]) -> list[np.ndarray]:
 
 
 def _prefix_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, node, comp, open, n``: a row per line of a leader and first shingle."""
+    """``key, node, comp, open, n, fp``: a row per line of a leader and first shingle."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -335,11 +335,12 @@ def _prefix_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = [first_shingles(x, y) for x, y in zip(own, lead, strict=True)]
             row = np.repeat(np.arange(len(first)), [len(f) for f in first])
             leader = mix(part.column("b").to_numpy().view(np.uint64))
-            pick = pa.array(row)
+            pick, size = pa.array(row), np.array([len(x) for x in own], np.int32)
+            sketch = keys_of(signatures(np.concatenate(own), np.repeat(np.arange(len(own)), size), len(own)))[1].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(mix(np.concatenate(first) ^ leader[row]).view(np.int64)), part.column("a").take(pick),
-                 part.column("a_is").take(pick), part.column("open").take(pick),
-                 pa.array(np.array([len(x) for x in own], np.int32)[row])], ["key", "node", "comp", "open", "n"])
+                 part.column("a_is").take(pick), part.column("open").take(pick), pa.array(size[row]), pa.array(sketch[row])],
+                ["key", "node", "comp", "open", "n", "fp"])
 
 
 def prefix_rows(first: DataFrame, label: DataFrame, lines: DataFrame) -> DataFrame:
@@ -350,18 +351,20 @@ def prefix_rows(first: DataFrame, label: DataFrame, lines: DataFrame) -> DataFra
         .select("a", "b", F.coalesce("a_is", "a").alias("a_is"), F.coalesce("b_is", "b").alias("b_is")) \
         .withColumn("open", F.col("a_is") != F.col("b_is"))
     owed = tagged.groupBy("b").agg(F.count_if("open").alias("n_open"), F.count(F.lit(1)).alias("n")).where("n_open > 0 and n > 1")
-    return (with_lines(tagged.join(owed.select("b"), "b", "left_semi"), lines).mapInArrow(_prefix_rows, "key long, node long, comp long, open boolean, n int"))
+    return (with_lines(tagged.join(owed.select("b"), "b", "left_semi"), lines).mapInArrow(_prefix_rows, "key long, node long, comp long, open boolean, n int, fp long"))
 
 
 def hidden_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct ``a, b`` in different components that share a key and whose sizes allow a link."""
+    """Distinct ``a, b`` in different components that share a key and whose sizes and sketches allow a
+    link; the sketch of a line with few shingles says too little to rule one out."""
     # A key whose lines are all of one component, as among copies of the leader, joins nothing.
     mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     rows = rows.join(mixed, "key", "left_semi")
-    x = rows.where("open").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    y = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("open").alias("ob"))
+    x = rows.where("open").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("fp").alias("fa"))
+    y = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("fp").alias("fb"), F.col("open").alias("ob"))
     fits = (F.col("ca") != F.col("cb")) & (F.col("na") >= SIMILARITY * F.col("nb") - 1e-9) & (F.col("nb") >= SIMILARITY * F.col("na") - 1e-9)
-    return (x.join(y, "key").where(fits & (~F.col("ob") | (F.col("a") < F.col("b"))))
+    alike = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= POSSIBLE) | (F.least("na", "nb") < SIMILARITY * FEW)
+    return (x.join(y, "key").where(fits & alike & (~F.col("ob") | (F.col("a") < F.col("b"))))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
