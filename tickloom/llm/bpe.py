@@ -2,17 +2,20 @@
 
 A short word is held as one contiguous array of part boundaries with the merge rank of each
 adjacent pair beside it. The array is scanned for the smallest rank, that boundary is deleted,
-the two neighbouring ranks are refreshed, and so on until no adjacent pair merges. Words repeat,
-so each task keeps a bounded memo of encoded words; texts are never shuffled.
+the two neighbouring ranks are refreshed, and so on until no adjacent pair merges. A long word (a
+run of letters without a break) is held as linked parts with a heap of ranks, which merges the same
+pairs in the same order in n log n steps. Words repeat, so each task keeps a bounded memo of encoded
+short words; texts are never shuffled.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; extra columns are
-ignored; a very long text is one row like any other (it is encoded in one task); repeated rows
-give repeated results; an empty table gives an empty result.
+ignored; a very long text, also one of a single word, is one row like any other (it is encoded in
+one task, n log n in its length); repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import sys
 import unicodedata
@@ -30,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A rank above every merge: this pair does not merge.
 NO_MERGE = 1 << 30
+#: Letters (bytes) up to which a word is an array that is scanned.
+SHORT = 128
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,6 +74,8 @@ class WordBpe:
         if not text:
             return []
         text[-1] += self.end
+        if len(text) > SHORT:
+            return [self.vocab[p] for p in self.linked_parts(text) if p in self.vocab]
         ranks, joined = self.ranks, "".join
         start = list(range(len(text) + 1))
         rank = [ranks.get((text[i], text[i + 1]), NO_MERGE) for i in range(len(text) - 1)]
@@ -86,6 +93,31 @@ class WordBpe:
         vocab = self.vocab
         return [vocab[p] for p in (joined(text[a:b]) for a, b in zip(start, start[1:], strict=False)) if p in vocab]
 
+    def linked_parts(self, parts: list[str]) -> list[str]:
+        """The merged parts of a long word: smallest rank first, ties from the left. An entry of the
+        heap counts while its rank is still that of the part it starts at."""
+        get, n = self.ranks.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [get(pair, NO_MERGE) for pair in zip(parts, parts[1:], strict=False)] + [NO_MERGE]
+        heap = [(r, i) for i, r in enumerate(rank) if r != NO_MERGE]
+        heapq.heapify(heap)
+        while heap:
+            low, at = heapq.heappop(heap)
+            if rank[at] != low:
+                continue
+            gone = after[at]
+            parts[at] += parts[gone]
+            parts[gone], rank[gone] = "", NO_MERGE
+            following = after[at] = after[gone]
+            if following < n:
+                before[following] = at
+            for left, right in ((at, following), (before[at], at)):
+                if left >= 0:
+                    rank[left] = get((parts[left], parts[right]), NO_MERGE) if right < n else NO_MERGE
+                    if rank[left] != NO_MERGE:
+                        heapq.heappush(heap, (rank[left], left))
+        return [p for p in parts if p]
+
     def _word_bytes(self, word: str) -> bytes:
         return np.array(self.encode_word(word), "<u4").tobytes()
 
@@ -101,7 +133,7 @@ class WordBpe:
         return [w.translate(back) for w in self.pattern(text.translate(str.maketrans(swap)))]
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.words(normalise(text))))
+        return b"".join(self.memo[w] if len(w) <= SHORT else self._word_bytes(w) for w in self.words(normalise(text)))
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; special marks keep their ids."""
