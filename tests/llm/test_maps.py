@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -40,6 +42,21 @@ def test_bpe_cases(text):
     same_as_library(text)
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnopqrstuvwxyz", "aé日"])
+def test_bpe_long_words(letters):
+    """A run of letters without a break: linked parts give the ids of the array, in n log n steps."""
+    rng = random.Random(8)
+    for size in (bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1, 700):
+        word = "".join(rng.choice(letters) for _ in range(size))
+        same_as_library(word)
+        same_as_library(f"{word} {word}. x")
+    start = time.process_time()
+    word = "".join(rng.choice(letters) for _ in range(100_000))
+    ids = OWN.encode(word)
+    assert time.process_time() - start < 10
+    assert ids == LIBRARY.encode(word, add_special_tokens=False).ids
+
+
 def test_bpe_documents(odd_documents, no_documents):
     got = sorted(map(tuple, bpe.round_trip_digests(odd_documents, vocab).collect()), key=key)
     want = []
@@ -110,6 +127,19 @@ def test_decontamination(spark, odd_documents, no_documents, benchmark_items, bl
     assert len(clean) == len(want) and not any(r.contaminated for r in clean)
 
 
+@pytest.mark.parametrize("words", ["a", "a b", "a b c a"])
+def test_repeated_words_stay_small(words):
+    """A word that fills a document and an item: places are never paired with uses."""
+    text, item = (words.split() * 20_000)[:20_000], (words.split() * 2_000)[:2_000]
+    block = decontaminate.Block([(str(i), " ".join(item[i:]).encode()) for i in range(3)])
+    tracemalloc.start()
+    n, spans, found = decontaminate._inspect([" ".join(text).encode(), b"x a x", " ".join(text[:50]).encode()], block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.tolist() == [20_000, 3, 50] and spans == [[(0, 20_000)], [], [(0, 50)]] and peak < 60 << 20
+    assert found == [{"0", "1", "2"}, set(), {"0", "1", "2"}]
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "x " + " ".join(f"w{i}" for i in range(40)) + " y")], "doc_id long, text string")
     items = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(10, 30)))], "item_id long, text string")

@@ -3,13 +3,18 @@
 Documents are read in shards (some megabytes of text inside one task). A shard's suffix array
 orders the suffixes of its word sequence; every test suffix of the benchmark that is long enough
 for a window is binary-searched in it, which gives all places of its first window, and places on
-one diagonal join to the longest verbatim matches with their locations. Suffixes that cannot match
+one diagonal join to the longest verbatim matches with their locations (``matches``). For the report
+and the removal only covered words and item names are needed, so places are joined as ranges per
+window and no place is paired with a use; a word repeated through a document and an item costs no
+more than any other. Suffixes that cannot match
 (their first words start no test suffix) are left out of the array before it is sorted. Documents
 are never shuffled.
 
 The benchmark is the query set: it is taken in blocks of at most ``BLOCK_BYTES`` of text (one
 longer item is a block of its own), each block is broadcast, and the documents flow through one
-pass per block, so any benchmark size works with bounded memory.
+pass per block. Every pass but the last is written to the shared folder, then its broadcast is
+destroyed, so one block is held at a time whatever the size of the benchmark. (``matches`` keeps
+the broadcasts of all its blocks until it is read.)
 
 Defined cases: a null or empty text has no words and is clean; an item without words matches
 nothing; an item shorter than a window is one window; matches never cross documents; items with
@@ -29,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import chunks, documents, raw_texts
+from tickloom.llm.common import chunks, documents, drop, raw_texts, save
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -60,12 +65,18 @@ class Block:
                 rows.setdefault(size, []).append((tuple(ids[at:at + size]), number[name], at))
         #: size -> (distinct windows, first use of each, items of the uses, places of the uses)
         self.windows = {}
+        #: size -> (first name of each window, different items of each window)
+        self.items_of = {}
         for size, got in rows.items():
             got.sort()
             seq = np.array([g[0] for g in got], np.int64).reshape(len(got), size)
             new = np.flatnonzero(np.concatenate([[True], (seq[1:] != seq[:-1]).any(1)]))
             self.windows[size] = (seq[new], np.concatenate([new, [len(got)]]),
                                   np.array([g[1] for g in got]), np.array([g[2] for g in got]))
+            of = np.repeat(np.arange(len(new)), np.diff(self.windows[size][1]))
+            pair = np.unique(of * len(self.names) + self.windows[size][2])
+            self.items_of[size] = (np.searchsorted(pair // len(self.names), np.arange(len(new) + 1)),
+                                   pair % len(self.names))
         # Pairs (or single words, where some window has one word) that begin a test suffix.
         self.lead = min(2, min(self.windows, default=2))
         width = len(self.vocab) + 1
@@ -84,22 +95,31 @@ class Block:
         at = np.flatnonzero((self.starts[slot] == head) & (ids[:len(head)] > 0))
         return at[np.lexsort([ids[at + k] for k in range(self.window - 1, -1, -1)])]
 
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per window size: the windows that occur in a shard, one entry per place, and the places."""
+        order = self.suffixes(ids)
+        for size, (seq, *_) in self.windows.items():
+            low, high = bound(ids, order, seq, False), bound(ids, order, seq, True)
+            window, at = ranges(low, high)
+            yield size, window, order[at]
+
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All places of all windows: (item, place in the item, place in the shard, size)."""
-        order = self.suffixes(ids)
         out = [np.empty((4, 0), np.int64)]
-        for size, (seq, use, item, place) in self.windows.items():
-            low = bound(ids, order, seq, False)
-            high = bound(ids, order, seq, True)
-            hit = np.flatnonzero(high > low)
-            for w in hit:  # windows that occur in this shard
-                found = order[low[w]:high[w]]
-                for u in range(use[w], use[w + 1]):
-                    out.append(np.stack([np.full(len(found), item[u]), np.full(len(found), place[u]), found,
-                                         np.full(len(found), size)]))
+        for size, window, at in self.hits(ids):
+            _, use, item, place = self.windows[size]
+            row, used = ranges(use[window], use[window + 1])
+            out.append(np.stack([item[used], place[used], at[row], np.full(len(row), size)]))
         return tuple(np.concatenate(out, axis=1))
 
 
+def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from ``low`` up to ``high`` of every row, with their rows."""
+    size = high - low
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + low[row]
+
+
 def bound(ids: np.ndarray, order: np.ndarray, seq: np.ndarray, after: bool) -> np.ndarray:
     """Binary search of every row of ``seq`` among the suffixes, all rows a step at a time."""
     low = np.zeros(len(seq), np.int64)
@@ -161,15 +181,29 @@ def blocks_of(benchmark: DataFrame, window: int) -> Iterator[Block]:
 
 
 def _inspect(texts: list[bytes], block: Block):
-    """Per text: number of words, spans (start, end) of the longest matches, names of the items."""
+    """Per text: number of words, spans (start, end) of words inside windows, names of the items."""
     ids, starts = shard(texts, block)
-    item, place, at, size = longest(*block.search(ids))
-    doc = np.searchsorted(starts, at, side="right") - 1
+    edges = np.zeros(len(ids) + 1, np.int64)
+    pairs = [np.empty(0, np.int64)]
+    width = max(1, len(block.names))
+    for size, window, at in block.hits(ids):
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + size, -1)
+        first, names = block.items_of[size]
+        seen = np.unique((np.searchsorted(starts, at, side="right") - 1) * len(first) + window)
+        doc, window = seen // len(first), seen % len(first)
+        row, used = ranges(first[window], first[window + 1])
+        pairs.append(np.unique(doc[row] * width + names[used]))
+    # Windows end before the separator that follows a text, so no run goes over into the next one.
+    inside = np.diff(np.concatenate([[0], (np.cumsum(edges) > 0).astype(np.int8), [0]]))
+    begin, end = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
+    doc = np.searchsorted(starts, begin, side="right") - 1
     spans: list[list] = [[] for _ in texts]
     found: list[set] = [set() for _ in texts]
-    for i, p, d, n in zip(item.tolist(), at.tolist(), doc.tolist(), size.tolist(), strict=True):
-        spans[d].append((p - int(starts[d]), p - int(starts[d]) + n))
-        found[d].add(block.names[i])
+    for d, a, z in zip(doc.tolist(), (begin - starts[doc]).tolist(), (end - starts[doc]).tolist(), strict=True):
+        spans[d].append((a, z))
+    for pair in np.concatenate(pairs).tolist():
+        found[pair // width].add(block.names[pair % width])
     return np.diff(starts) - 1, spans, found
 
 
@@ -187,15 +221,22 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every document."""
-    state = documents(docs)
-    share = docs.sparkSession.sparkContext.broadcast
     blocks = blocks_of(benchmark, window)
-    block, first = next(blocks), True
+    share = docs.sparkSession.sparkContext.broadcast
+    state, block, first = documents(docs), next(blocks), True
     for following in blocks:
-        state, block, first = _pass(state, share(block), first, False), following, False
+        state, block, first = _settle(_pass(state, held := share(block), first, False), held, state), following, False
     return _pass(state, share(block), first, True)
 
 
+def _settle(done: DataFrame, held, before: DataFrame) -> DataFrame:
+    """A pass written to the shared folder; its broadcast and the table it read are let go of."""
+    out = save(done, "decontamination")
+    held.destroy()
+    drop(before)
+    return out
+
+
 def _pass(state: DataFrame, block, first: bool, last: bool) -> DataFrame:
     """One block over all documents; what earlier blocks found travels along."""
 
@@ -252,13 +293,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark window."""
-    for block in blocks_of(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    blocks = blocks_of(benchmark, window)
+    share = docs.sparkSession.sparkContext.broadcast
+    block = next(blocks)
+    for following in blocks:
+        docs, block = _settle(_clean(docs, held := share(block)), held, docs), following
+    return _clean(docs, share(block))
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches):
-                _, spans, _ = _inspect(raw_texts(batch), shared.value)
-                yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def _clean(docs: DataFrame, shared) -> DataFrame:
+    """The rows without a window of one block."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            _, spans, _ = _inspect(raw_texts(batch), shared.value)
+            yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
