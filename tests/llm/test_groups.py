@@ -69,11 +69,22 @@ def test_simhash_documents(odd_documents, no_documents):
     kept = simhash.keep_one(odd_documents)
     assert kept.columns == odd_documents.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(least.values()))
+    assert sorted(i for i in ids if i is not None) == sorted(least.values())  # one row a component
     assert ids.count(None) == sum(d is None for d, _ in rows)
     assert simhash.keep_one(no_documents).collect() == []
 
 
+def test_simhash_one_id_with_two_texts(spark):
+    """Texts that share nothing but an id neither merge their components nor displace each other."""
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, c), (4, a)], "doc_id long, text string")
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    fa, fb, fc = (f"{brute_print(t):016x}" for t in (a, b, c))
+    assert got == {(1, fa): 1, (1, fb): 1, (2, fa): 1, (3, fb): 1, (4, fc): 4, (4, fa): 1}
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == sorted([(1, a), (1, b), (4, c)])
+
+
 def test_golay_keys_lose_no_pair():
     rng = np.random.default_rng(1)
     code = simhash.Golay()

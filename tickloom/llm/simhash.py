@@ -147,19 +147,24 @@ def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_classes(prints: DataFrame) -> DataFrame:
-    """``fp, component_id`` of every distinct fingerprint of ``prints(doc_id, fp)``."""
-    distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprints")
-    found = (distinct.where("node is not null").mapInArrow(_key_rows, "key long, fp long, node long")
+    """``fp, class, component_id`` of every distinct fingerprint of ``prints(doc_id, fp)``. The nodes
+    are the fingerprints themselves, so texts that share nothing but an id stay apart; ``class`` is
+    the smallest fingerprint reachable, ``component_id`` the smallest id among them."""
+    distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    found = (distinct.where("least is not null").select("fp", F.col("fp").alias("node"))
+             .mapInArrow(_key_rows, "key long, fp long, node long")
              .repartition("key").sortWithinPartitions("key", "fp")
              .mapInArrow(bucket_links(MAX_BITS), "a long, b long"))
-    label = components(found)
-    return distinct.join(label, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    label = components(found).withColumnRenamed("node", "fp")
+    named = distinct.join(label, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    ids = named.groupBy("class").agg(F.min("least").alias("component_id"))
+    return named.join(ids, "class").select("fp", "class", "component_id")
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, fp, component_id`` of every row of ``docs``."""
+    """``doc_id, text_hash, fp, class, component_id`` of every row of ``docs``."""
     prints = save(fingerprints(docs), "prints")
-    return prints.join(link_classes(prints), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return prints.join(link_classes(prints), "fp").select("doc_id", "text_hash", "fp", "class", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -169,9 +174,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest id (ties: the
-    smallest text hash, one row). Rows without an id cannot be told apart and stay."""
-    keep = (classify(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("__tl_least"))
-            .withColumnRenamed("doc_id", "__tl_doc"))
+    smallest text hash, one row). Different texts under one id are judged each in its own component. Rows without an id cannot be told apart and stay."""
+    keep = (classify(docs).where("doc_id = component_id").groupBy("class", "doc_id")
+            .agg(F.min("text_hash").alias("__tl_least"))
+            .select(F.col("doc_id").alias("__tl_doc"), "__tl_least"))
     named = docs.where("doc_id is not null").withColumn("__tl_hash", F.xxhash64(F.col("text").cast("string")))
     kept = (named.join(keep, (F.col("doc_id").cast("long") == F.col("__tl_doc")) & (F.col("__tl_hash") == F.col("__tl_least")),
                        "left_semi").dropDuplicates(["doc_id", "__tl_hash"]).drop("__tl_hash"))
