@@ -159,6 +159,50 @@ def test_pii_of_any_length():
         assert not pii.entities("my" + text)
 
 
+NAMES = "Mr. John Smith came. Later John Smith left. Mr. Smith too, JOHN SMITH said; Smithy stays. Mail john.smith@mail.example.com"
+
+
+def test_pii_coreference(spark):
+    """Full name, title with family name and either word alone agree; relatives share a family name."""
+    docs = [(1, NAMES), (2, "Mrs. Eva Smith met Mr. Adam Smith. Smith? Eva! Adam."), (3, "Frau Anna-Maria Smith and Miss Eva"),
+            (4, "Mr. Alex Brown, Mrs. Alex Gray, Alex; Mr. Gray"), (5, "John Smith without a title")]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
+    one = got[1].text
+    john, smith = regex.match(r"Mr\. (\w+) (\w+) came", one).groups()
+    mail = regex.search(r"\S+@\S+", one)[0]
+    assert one == (f"Mr. {john} {smith} came. Later {john} {smith} left. Mr. {smith} too, {john.upper()} {smith.upper()} said; "
+                   f"Smithy stays. Mail {mail}") and john.endswith("n") and "smith" not in mail
+    eva, adam = regex.match(rf"Mrs\. (\w+) {smith} met Mr\. (\w+) {smith}\. {smith}\? \1! \2\.$", got[2].text).groups()
+    assert eva.endswith("ia") and adam.endswith("n") and len({eva, adam, john}) == 3
+    assert regex.fullmatch(rf"Frau \w+ia-\w+ia {smith} and Miss \w+", got[3].text)
+    him, brown, her, gray = regex.match(r"Mr\. (\w+) (\w+), Mrs\. (\w+) (\w+), \1; Mr\. \4$", got[4].text).groups()
+    assert him != her and brown != gray and got[5].text == docs[4][1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pii_names_against_brute_force(spark, seed):
+    """One replacement per word and gender, put in word by word by a plain replacer."""
+    rng = random.Random(seed)
+    given = {"m": ["Adam", "Peter", "Oleg"], "f": ["Eva", "Maria", "Inga"]}
+    family = ["Stone", "River", "Meadow", "Field"]
+    docs = []
+    for i in range(40):
+        people = [(g, rng.choice(given[g]), rng.choice(family)) for g in rng.choices("mf", k=2)]
+        said = [f"{'Mr.' if g == 'm' else 'Mrs.'} {a} {b}" for g, a, b in people]
+        said += [rng.choice([a, b, f"{a} {b}", f"{'Mr.' if g == 'm' else 'Mrs.'} {b}"]) for g, a, b in people * 3]
+        docs.append((i, " , ".join(said) + " , Adamant Riverside"))
+    got = {r.doc_id: r.text for r in
+           pii.replace_entities(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), "k").collect()}
+    real = {w for names in (*given.values(), family) for w in names}
+    new: dict[str, str] = {}
+    for i, text in docs:
+        before, after = text.split(" "), got[i].split(" ")
+        assert len(before) == len(after)
+        for old, put in zip(before, after, strict=True):
+            assert new.setdefault(old, put) == put if old in real else old == put
+    assert len(set(new.values())) == len(new) and not set(new.values()) & real
+
+
 # --- chat --------------------------------------------------------------------------------------
 
 @settings(max_examples=300, deadline=None)

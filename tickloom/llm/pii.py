@@ -21,6 +21,7 @@ matches go to the earlier and then the longer one; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import sys
@@ -69,6 +70,7 @@ IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 NAME = regex.compile(
     r"(?<!\p{L})(?P<title>" + "|".join(regex.escape(t) for t in sorted(TITLES, key=len, reverse=True))
     + r")\s(?P<name>\p{Lu}\p{L}+(?:[ \-]\p{Lu}\p{L}+){0,2})")
+LETTERS = regex.compile(r"\p{L}+")
 #: Every entity has one of these characters or a title in its text. Patterns take decimal digits of
 #: every script; those the JVM does not know yet are unassigned to it.
 MARKS = r"[\p{Nd}\p{Cn}@=:]"
@@ -126,20 +128,55 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield *m.span("name"), "name", f"{TITLES[m['title']]} {m['name']}"
 
 
+def words_of_names(people: list[tuple[int, str]]) -> list[tuple[int, str, str, str]]:
+    """``(start, word, kind, identity)`` of every word of the names (start, gender and name) of a text.
+    The last word is the family name; a single word after a title is one too, unless a full name of
+    the same text has it as a given name."""
+    words = []
+    for start, who in people:
+        last = who.rindex(" ") + 1
+        words += [(start + m.start() - 2, m[0], who[0], last == 2, m.start() >= last)
+                  for m in LETTERS.finditer(who, 2)]
+    given = {word.capitalize() for _, word, _, single, last in words if not single and not last}
+    family = {word.capitalize() for _, word, _, single, last in words if last and not single}
+    family |= {word.capitalize() for _, word, _, single, _ in words if single} - given
+    out = []
+    for at, word, gender, single, last in words:
+        plain = word.capitalize()
+        own = plain in family if single else last
+        out.append((at, word, "family", plain) if own else (at, word, "given", f"{gender} {plain}"))
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """Mentions that stand, in order: the earlier one, then the longer one. Names carry the gender
-    of their title; later mentions of a family name alone corefer with the full name."""
-    out, end = [], 0
+    """Mentions that stand, in order: the earlier one, then the longer one. Names are cut into their
+    words; further mentions of these words are entities as well (of two kinds the family name, of two
+    genders that of the first mention)."""
+    out, people, end = [], [], 0
     for a, b, kind, what in sorted(mentions(text), key=lambda m: (m[0], -m[1])):
         if a >= end:
-            out.append((a, b, kind, what if kind == "name" else identity(kind, what)))
             end = b
-    family = {who.split()[-1]: who for _, _, kind, who in out if kind == "name" and len(who.split()[-1]) > 2}
-    for name, who in family.items():
-        for m in regex.finditer(r"(?<!\p{L})" + regex.escape(name) + r"(?!\p{L})", text):
-            if not any(a < m.end() and m.start() < b for a, b, *_ in out):
-                out.append((m.start(), m.end(), "family", who))
-    return sorted(out)
+            if kind == "name":
+                people.append((a, what))
+            else:
+                out.append((a, b, kind, identity(kind, what)))
+    if not people:
+        return out
+    words = words_of_names(people)
+    out = sorted(out + [(at, at + len(word), kind, who) for at, word, kind, who in words])
+    alone: dict[str, tuple[str, str]] = {}
+    for kind in ("family", "given"):
+        for _, word, own, who in words:
+            if own == kind and len(word) > 2:
+                for form in (word, word.capitalize(), word.upper()):
+                    alone.setdefault(form, (kind, who))
+    starts, more = [a for a, *_ in out], []
+    for m in LETTERS.finditer(text) if alone else ():
+        if m[0] in alone:
+            at = bisect.bisect_right(starts, m.start())
+            if (not at or out[at - 1][1] <= m.start()) and (at == len(out) or m.end() <= starts[at]):
+                more.append((*m.span(), *alone[m[0]]))
+    return sorted(out + more)
 
 
 class Draw:
@@ -207,17 +244,12 @@ def surrogate(kind: str, who: str, key: bytes, attempt: int) -> str:
         return who[:head] + alike(who[head:], draw) + more
     if kind == "iban":
         return who[:2] + alike(who[2:], draw) + more
-    if kind == "name":
-        gender, _, full = who.partition(" ")
-        script = script_of(full[0])
+    if kind in ("given", "family"):
+        word = who[2:] if kind == "given" else who
+        script = script_of(word[0])
         script = script if script in SYLLABLES else "LATIN"
-        parts = full.replace("-", " ").split()
-
-        def word(draw: Draw, end: str = "") -> str:
-            n = 2 + draw.pick(2) + attempt // 16
-            return "".join(SYLLABLES[script][draw.pick(len(SYLLABLES[script]))] for _ in range(n)).capitalize() + end
-
-        return " ".join([word(draw, GIVEN_ENDING[script][gender]) for _ in parts[:-1]] + [word(draw)])
+        new = "".join(SYLLABLES[script][draw.pick(len(SYLLABLES[script]))] for _ in range(2 + draw.pick(2) + attempt // 16))
+        return new.capitalize() + (GIVEN_ENDING[script][who[0]] if kind == "given" else "")
     return alike(who, draw) + more
 
 
@@ -227,14 +259,14 @@ def write(kind: str, mention: str, new: str) -> str:
         chars = iter(new)
         out = "".join(next(chars, "") if c.isalnum() else c for c in mention)
         return out + "".join(chars)
-    return new.split()[-1] if kind == "family" else new
+    return new.upper() if kind in ("given", "family") and len(mention) > 1 and mention.isupper() else new
 
 
 def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         rows = [(h, kind, who) for h, text in zip(batch.column("text_hash").to_pylist(),
                                                   batch.column("text").to_pylist(), strict=True)
-                for kind, who in dict.fromkeys((k, w) for *_, k, w in entities(text) if k != "family")]
+                for kind, who in dict.fromkeys((k, w) for *_, k, w in entities(text))]
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()),
                                           pa.array(cols[2], pa.string())], ["text_hash", "kind", "who"])
@@ -252,7 +284,7 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
                 ["kind", "who", "attempt", "new"])
 
     # A replacement reads like a name without the gender of the title.
-    found = found.withColumn("plain", F.when(F.col("kind") == "name", F.expr("substring(who, 3)"))
+    found = found.withColumn("plain", F.when(F.col("kind") == "given", F.expr("substring(who, 3)"))
                                    .otherwise(F.col("who")))
     real = found.select("kind", F.col("plain").alias("new")).distinct()
     shape = "kind string, who string, attempt int, new string"
@@ -295,7 +327,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
                 for a, b, kind, who in entities(text) if new else ():
                     if a < at:
                         continue
-                    put = write(kind, text[a:b], new[("name" if kind == "family" else kind, who)])
+                    put = write(kind, text[a:b], new[(kind, who)])
                     out += [text[at:a], put]
                     size += a - at
                     spans.append({"kind": kind, "start": size, "end": size + len(put)})
