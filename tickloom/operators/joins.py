@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import Scan, prefix_scan
+from tickloom.operators.ordered import BLOCK_ROWS, Scan, prefix_scan, row_blocks
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str,
-              values: list[str], block: Column | None = None, bounded: bool = False) -> DataFrame:
+              values: list[str], unit: str = "month", bounded: bool = False, rows: int = BLOCK_ROWS) -> DataFrame:
     """Attach the latest ``right`` row at or before each ``left`` row.
 
     Both sides are unioned and the last right row is carried forward, so there is no range join.
-    ``block`` cuts long keys (defaults to the calendar month of the time column). ``bounded`` says
-    that a key holds at most one row per day on each side, so one plain window per key is enough.
+    Long keys are cut by time ``unit``, and a unit with more than ``rows`` rows by its row counts.
+    ``bounded`` says that a key holds at most one row per day on each side, so one plain window per
+    key is enough.
     Several right rows with one (key, time) resolve to the greatest value struct.
     """
     payload = F.struct(*[F.col(right_on).alias("_at"), *[F.col(v) for v in values]])
@@ -29,9 +30,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: str,
         w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
         filled = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(w))
     else:
-        both = both.withColumn("_block", block if block is not None
-                               else F.date_trunc("month", F.col("_t")))
-        filled = prefix_scan(both, keys, ["_block"], ["_t", "_side"],
+        both = row_blocks(both, keys, "_t", unit, rows)
+        filled = prefix_scan(both, keys, ["_block", "_part"], ["_t", "_side"],
                              [Scan("_hit", "last", F.col("_right"))])
     return (filled.filter(F.col("_left").isNotNull())
                   .select("_left.*", F.col("_hit._at").alias(f"{right_on}_asof"),

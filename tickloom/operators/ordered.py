@@ -5,7 +5,7 @@ third of all rows that task never finishes, so the operators that run over raw r
 ticks) use a two-level scan instead:
 
 1. every key is cut into ordered blocks of bounded size (a column the caller derives from the
-   data: an id range, a time slice, a volume range);
+   data: an id range, a volume range, a time unit cut further by row counts);
 2. the scan runs inside each (key, block) - many small tasks;
 3. one summary row per (key, block), pre-aggregated before its shuffle, is scanned per key;
 4. the summary is joined back as the carry into each block.
@@ -86,25 +86,55 @@ def id_block(id_col: str, rows: int) -> Column:
     return F.floor(F.col(id_col) / F.lit(rows)).cast("bigint")
 
 
-def time_block(ts_col: str, unit: str = "hour") -> Column:
-    return F.date_trunc(unit, F.col(ts_col))
+#: Rows that a block may hold.
+BLOCK_ROWS = 1 << 20
+#: Slices in which the rows of a time block are counted where it has to be cut.
+SLICES = {"hour": "second", "day": "second", "month": "minute"}
+
+
+def row_blocks(df: DataFrame, keys: list[str], ts_col: str, unit: str = "hour",
+               rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``_block`` (the time unit) and ``_part``; (key, _block, _part) holds at most ``rows``
+    rows and one slice, and sorts like ``ts_col``.
+
+    Rows are counted per key and slice, combined before the shuffle. Only units with more than
+    ``rows`` rows of a key get cuts, so the table that is joined back is small and mostly empty;
+    AQE broadcasts it by its measured size.
+    """
+    unit_of, slice_of = F.date_trunc(unit, F.col(ts_col)), F.date_trunc(SLICES[unit], F.col(ts_col))
+    order = Window.partitionBy(*keys, "_block").orderBy("_slice")
+    counted = df.groupBy(*keys, unit_of.alias("_block"), slice_of.alias("_slice")).agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_in", F.floor((F.sum("_n").over(order) - F.col("_n")) / F.lit(rows)))
+    starts = counted.groupBy(*keys, "_block", "_in").agg(F.min("_slice").alias("_start")).filter("_in > 0")
+    cuts = starts.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list("_start")).alias("_cuts"))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= slice_of)), F.lit(0))
+    return df.withColumn("_block", unit_of).join(cuts, [*keys, "_block"], "left") \
+        .withColumn("_part", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(part)).drop("_cuts")
+
+
+#: Blocks that the values of a key may be cut into.
+CUTS = 1024
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str,
-                    fractions: dict[str, float], splits: int = 64) -> DataFrame:
+                    fractions: dict[str, float], rows: int = BLOCK_ROWS) -> DataFrame:
     """Nearest-rank quantiles ``sorted[int(n * p)]`` per key, exact and without collecting a key.
 
     Values are counted first (hot values collapse to one row), blocked between approximate
-    quantiles of the key, and the running count comes from the two-level scan.
+    quantiles of the key, and the running count comes from the two-level scan. The number of blocks
+    follows from the number of distinct values, about ``rows`` in each (with more than ``CUTS`` times
+    as many, the blocks grow in proportion).
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value) \
                 .agg(F.count(F.lit(1)).alias("_n"))
     cuts = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / splits for i in range(1, splits)], splits * 8)
-         .alias("_cuts"))
-    blocked = counted.join(cuts, keys) \
-        .withColumn("_block", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))) \
-        .drop("_cuts")
+        F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)], CUTS * 8).alias("_grid"),
+        F.least(F.ceil(F.count(F.lit(1)) / F.lit(rows)), F.lit(CUTS)).alias("_parts")).filter("_parts > 1")
+    at = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.floor(i * CUTS / F.col("_parts")))
+    cuts = cuts.select(*keys, F.transform(at, lambda i: F.get("_grid", i - 1)).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
+    blocked = counted.join(cuts, keys, "left") \
+        .withColumn("_block", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)).drop("_cuts")
     ranked = prefix_scan(blocked, keys, ["_block"], [value],
                          [Scan("_upto", "sum", F.col("_n"))])
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))

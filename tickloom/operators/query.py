@@ -30,6 +30,27 @@ def page(df: DataFrame, order: list, page_no: int = 1, page_size: int = 100) ->
     return df.orderBy(*order).offset((page_no - 1) * page_size).limit(page_size)
 
 
+def page_after(df: DataFrame, order: dict[str, bool], last: tuple | None = None, page_size: int = 100) -> DataFrame:
+    """The page that follows the key ``last`` (the first page if None).
+
+    ``order`` maps the columns of a total order without nulls to whether they ascend. Pages cost the
+    same however deep they lie: rows up to the key are filtered out, by the first column already in
+    the scan, and no task keeps more than a page.
+    """
+    sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order.items()]
+    if last is not None:
+        types = dict(df.dtypes)
+        keys = [(F.col(c), F.lit(v).cast(types[c]), up) for (c, up), v in zip(order.items(), last, strict=True)]
+        column, value, up = keys[0]
+        df = df.filter(column >= value if up else column <= value)
+        beyond = F.lit(False)
+        for column, value, up in reversed(keys):
+            further = column > value if up else column < value
+            beyond = further | ((column == value) & beyond)
+        df = df.filter(beyond)
+    return df.orderBy(*sort).limit(page_size)
+
+
 def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 

@@ -203,6 +203,14 @@ def minute_page(f):
     return Q.page(rows, ["trade_date", "trade_time", "id"], 3, 100).select("id", "contract_code", "trade_date", "trade_time", "price")
 
 
+@query("minute_page_after_key", "B17 B18", """
+SELECT id, contract_code, trade_date, trade_time, price FROM ticks WHERE (trade_date, trade_time, id) > (DATE '2024-01-04', '10:30', 40)
+ORDER BY trade_date, trade_time, id LIMIT 100""")
+def minute_page_after(f):
+    rows = Q.page_after(f.ticks, dict.fromkeys(("trade_date", "trade_time", "id"), True), ("2024-01-04", "10:30", 40))
+    return rows.select("id", "contract_code", "trade_date", "trade_time", "price")
+
+
 @query("minute_page_total", "B17", "SELECT count(*) AS total FROM ticks WHERE trade_date >= DATE '2024-01-03'")
 def minute_total(f):
     return Q.total(Q.select_where(f.ticks, start={"trade_date": "2024-01-03"}))

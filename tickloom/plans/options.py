@@ -40,7 +40,7 @@ ASOF LEFT JOIN (SELECT * FROM ticks WHERE source = 'view') b ON b.contract_code
 def asof_ticks(f):
     left = f.ticks.filter("source = 'purchase'").select("id", "contract_code", "ts")
     right = f.ticks.filter("source = 'view'").select("contract_code", F.col("ts").alias("quote_ts"), "price")
-    out = joins.asof_join(left, right, ["contract_code"], "ts", "quote_ts", ["price"], F.date_trunc("day", F.col("_t")))
+    out = joins.asof_join(left, right, ["contract_code"], "ts", "quote_ts", ["price"], "day")
     return out.select("id", "ts", F.col("quote_ts_asof").alias("quote_ts"), "price")
 
 
@@ -229,6 +229,31 @@ def daily_iv(f):
     return opt.daily_iv(minutes.filter("close is not null"), spots, contracts)
 
 
+@query("daily_iv_repriced", "I04 C05 C02", f"""
+WITH q AS (SELECT contract_code, trade_date, arg_max(close, trade_time) AS option_price FROM ticks WHERE close IS NOT NULL GROUP BY ALL),
+s AS (SELECT trade_date, CAST(950 + sum(volume) % 100 AS DOUBLE) AS spot_price FROM ticks GROUP BY trade_date),
+n AS (SELECT *, CAST(substr(contract_code, 2) AS INTEGER) AS uid FROM q),
+c AS (SELECT *, CASE WHEN uid % 2 = 0 THEN 'C' ELSE 'P' END AS option_type, 900e0 + uid % 200 AS strike,
+             CAST(DATE '2024-02-16' + to_months(uid % 4) AS DATE) AS expire_date FROM n),
+t AS (SELECT c.*, s.spot_price, (expire_date - trade_date) / 365e0 AS t, strike * exp(-2e-2 * (expire_date - trade_date) / 365e0) AS kd
+      FROM c JOIN s USING (trade_date) WHERE expire_date > trade_date AND option_price > 0),
+v AS (SELECT t.*, x.iv, (ln(spot_price / strike) + (2e-2 + x.iv * x.iv * 5e-1) * t.t) / (x.iv * sqrt(t.t)) AS d1 FROM t CROSS JOIN (VALUES (1e-3), (5e0), (1e2)) x(iv)),
+w AS (SELECT *, d1 - iv * sqrt(t) AS d2 FROM v),
+p AS (SELECT *, CASE WHEN option_type = 'C' THEN spot_price * {_cdf('d1')} - kd * {_cdf('d2')} ELSE kd * {_cdf('(-d2)')} - spot_price * {_cdf('(-d1)')} END AS price FROM w),
+r AS (SELECT trade_date, contract_code, option_type, strike, expire_date, option_price, spot_price, kd,
+             max(price) FILTER (iv = 1e-3) AS least, max(price) FILTER (iv = 5e0) AS most, max(price) FILTER (iv = 1e2) AS bound FROM p GROUP BY ALL)
+SELECT trade_date, contract_code, option_type, strike, expire_date, round(option_price, 6) AS option_price, spot_price,
+       round(least(greatest(option_price, least), most), 4) AS repriced
+FROM r WHERE option_price >= greatest(CASE WHEN option_type = 'C' THEN spot_price - kd ELSE kd - spot_price END, 0) - 1e-2
+  AND (option_price <= most OR option_price > bound)""")
+def daily_iv_repriced(f):
+    """The solved volatilities, put back into the pricing formula, give the option prices again."""
+    minutes, contracts, spots = _minutes_and_contracts(f)
+    solved = opt.daily_iv(minutes.filter("close is not null"), spots, contracts).withColumnRenamed("underlying_price", "spot_price")
+    return opt.price_chain(solved).select("trade_date", "contract_code", "option_type", "strike", "expire_date", F.round("option_price", 6).alias("option_price"),
+                                          "spot_price", F.round("model_price", 4).alias("repriced"))
+
+
 @query("option_greeks_table", "I10 B20")
 def greeks_table(f):
     minutes, contracts, spots = _minutes_and_contracts(f)

@@ -143,6 +143,21 @@ def histograms(f):
     return alerts.histogram_stats(f.metrics).withColumn("avg", F.round("avg", 6))
 
 
+@query("metric_histograms_merged", "D24 M08", """
+SELECT metric_name, count(*) AS "count", min(value) AS min, max(value) AS max, TRUE AS p50_within, TRUE AS p95_within, TRUE AS p99_within
+FROM metrics GROUP BY metric_name""")
+def merged_histograms(f):
+    """Histograms from hourly sketches; each quantile is held against its rank among all points."""
+    got = alerts.merged_histogram(alerts.metric_sketches(f.metrics, unit="hour"))
+    fractions = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    ranks = f.metrics.join(got, "metric_name").groupBy("metric_name").agg(
+        *[F.avg((F.col("value") < F.col(p)).cast("int")).alias(f"{p}_below") for p in fractions],
+        *[F.avg((F.col("value") <= F.col(p)).cast("int")).alias(f"{p}_upto") for p in fractions])
+    within = [((F.col(f"{p}_below") <= q + alerts.RANK_ERROR) & (F.col(f"{p}_upto") >= q - alerts.RANK_ERROR)).alias(f"{p}_within")
+              for p, q in fractions.items()]
+    return got.join(ranks, "metric_name").select("metric_name", "count", "min", "max", *within)
+
+
 # ------------------------------------------------------------------ real streams over the event files
 
 EVENT_SCHEMA = T.StructType([

@@ -30,6 +30,14 @@ def trade_page(f):
     return Q.page(rows, [F.desc("trade_date"), F.desc("id")], 2, 100).select("id", "account_id", "trade_date", "instrument")
 
 
+@query("trade_page_after_key", "B18", """
+SELECT id, account_id, trade_date, instrument FROM trades WHERE direction = 'buy' AND (trade_date < DATE '2024-01-20' OR (trade_date = DATE '2024-01-20' AND id > 50))
+ORDER BY trade_date DESC, id LIMIT 100""")
+def trade_page_after(f):
+    rows = Q.select_where(f.trades, equals={"direction": "buy"})
+    return Q.page_after(rows, {"trade_date": False, "id": True}, ("2024-01-20", 50)).select("id", "account_id", "trade_date", "instrument")
+
+
 @query("statements_by_account", "B05", """
 SELECT id, account_id, bill_date_start, balance_bf, balance_cf FROM bills WHERE bill_date_start BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""")
 def bills_filter(f):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from tickloom.operators.ordered import Scan, exact_quantiles, prefix_scan, time_block
+from tickloom.operators.ordered import BLOCK_ROWS, Scan, exact_quantiles, prefix_scan, row_blocks
 from tickloom.session import use_rocksdb
 
 
@@ -66,14 +66,14 @@ def breaches(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return evaluated(metrics, rules).filter("met").select("name", "metric_name", "ts", "value", "level")
 
 
-def breach_runs(metrics: DataFrame, rules: DataFrame, block: str = "hour") -> DataFrame:
+def breach_runs(metrics: DataFrame, rules: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """Unbroken runs of values that meet the condition, with their length in seconds.
 
     A run is identified by the last failing point before it, found with the two-level scan; the
     run itself is an ordinary aggregate.
     """
-    rows = evaluated(metrics, rules).withColumn("_block", time_block("ts", block))
-    seen = prefix_scan(rows, ["name"], ["_block"], ["ts"],
+    blocks = row_blocks(evaluated(metrics, rules), ["name"], "ts", "hour", rows)
+    seen = prefix_scan(blocks, ["name"], ["_block", "_part"], ["ts"],
                        [Scan("_miss", "last", F.when(~F.col("met"), F.col("ts")))])
     return seen.filter("met").groupBy("name", "metric_name", "_miss").agg(
         F.min("ts").alias("run_start"), F.max("ts").alias("run_end"), F.count(F.lit(1)).alias("points"),
@@ -207,11 +207,30 @@ def histogram_stats(points: DataFrame, keys: list[str] | None = None, value: str
     return base.join(ranks, keys)
 
 
-def histogram_stats_approx(points: DataFrame, keys: list[str] | None = None, value: str = "value",
-                           accuracy: int = 10000) -> DataFrame:
-    """One-pass mergeable-sketch variant for dashboards over very large histories."""
-    q = F.percentile_approx(value, [0.5, 0.95, 0.99], accuracy)
-    return points.groupBy(*(keys or ["metric_name"])).agg(
+#: Size of the kept sketches and the rank error they stay within.
+SKETCH_SIZE, RANK_ERROR = 1000, 0.01
+
+
+def metric_sketches(points: DataFrame, keys: list[str] | None = None, value: str = "value", ts: str = "ts",
+                    unit: str = "minute") -> DataFrame:
+    """One row per key and time slice that merges with any other: count, extremes, quantile sketch.
+
+    Kept as a table, it answers histograms of any window of slices without the points.
+    """
+    return points.groupBy(*(keys or ["metric_name"]), F.date_trunc(unit, F.col(ts)).alias("slice")).agg(
         F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.avg(value).alias("avg"), q.alias("_q")) \
-        .select("*", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p95"), F.col("_q")[2].alias("p99")).drop("_q")
+        F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def merged_histogram(sketches: DataFrame, keys: list[str] | None = None, start: str | None = None,
+                     end: str | None = None) -> DataFrame:
+    """``histogram_stats`` (without the mean) of the slices from ``start`` up to ``end``; the
+    quantiles lie within ``RANK_ERROR`` of their ranks."""
+    rows = sketches if start is None else sketches.filter(F.col("slice") >= F.lit(start))
+    rows = rows if end is None else rows.filter(F.col("slice") < F.lit(end))
+    ranks = F.array(*map(F.lit, (0.5, 0.95, 0.99)))
+    return rows.groupBy(*(keys or ["metric_name"])).agg(
+        F.sum("count").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.kll_merge_agg_double("sketch").alias("_sketch")) \
+        .withColumn("_q", F.when(F.col("count") > 0, F.kll_sketch_get_quantile_double("_sketch", ranks))) \
+        .select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))]).drop("_q", "_sketch")

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tickloom import schemas
 from tickloom.operators import bars
-from tickloom.operators.ordered import Scan, prefix_scan, time_block
+from tickloom.operators.ordered import BLOCK_ROWS, Scan, prefix_scan, row_blocks
 from tickloom.session import use_rocksdb
 
 # Stateful code that runs in Python workers travels with the job.
@@ -131,14 +131,14 @@ def snapshot_sink(path: str, buckets: int = 64) -> Callable[[DataFrame, int], No
 # ------------------------------------------------------------------ gaps
 
 def gaps(ticks: DataFrame, keys: list[str], ts: str = "ts", seconds: float = GAP_SECONDS,
-         session: tuple[str, str] | None = ("09:00", "15:15"), block: str = "hour") -> DataFrame:
+         session: tuple[str, str] | None = ("09:00", "15:15"), rows: int = BLOCK_ROWS) -> DataFrame:
     """Silences longer than ``seconds`` between consecutive ticks of a key.
 
-    The previous tick comes from a two-level scan over time blocks, so a key of any size is spread
-    over many tasks. A gap counts when the silence begins inside the session hours.
+    The previous tick comes from a two-level scan over blocks of at most about ``rows`` ticks, so a
+    key of any size is spread over many tasks. A gap counts when the silence begins inside the session hours.
     """
-    rows = ticks.select(*keys, ts).withColumn("_block", time_block(ts, block))
-    seen = prefix_scan(rows, keys, ["_block"], [ts], [Scan("gap_start", "last", F.col(ts), inclusive=False)])
+    blocks = row_blocks(ticks.select(*keys, ts), keys, ts, "hour", rows)
+    seen = prefix_scan(blocks, keys, ["_block", "_part"], [ts], [Scan("gap_start", "last", F.col(ts), inclusive=False)])
     length = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("gap_start").cast("timestamp"))
     out = seen.filter(F.col("gap_start").isNotNull()).withColumn("gap_seconds", length / 1e6) \
               .filter(F.col("gap_seconds") > seconds)
