@@ -45,6 +45,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class ShortNames(Names):
+    """A memo that keeps short words only, so its size is bounded in bytes."""
+
+    def __missing__(self, word):
+        return super().__missing__(word) if len(word) <= SHORT else self.make(word)
+
+
 class WordBpe:
     """Encoder and decoder of one ``tokenizers`` JSON file with byte-level parts and word ends."""
 
@@ -61,7 +68,7 @@ class WordBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         # Without a decoder in the file, decoding joins the parts as they stand in the vocabulary.
         self.parts = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.memo = Names(self._word_bytes)
+        self.memo = ShortNames(self._word_bytes)
 
     @classmethod
     def load(cls, path: str) -> WordBpe:
@@ -133,7 +140,7 @@ class WordBpe:
         return [w.translate(back) for w in self.pattern(text.translate(str.maketrans(swap)))]
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(self.memo[w] if len(w) <= SHORT else self._word_bytes(w) for w in self.words(normalise(text)))
+        return b"".join(map(self.memo.__getitem__, self.words(normalise(text))))
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; special marks keep their ids."""
