@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import quality as qa
@@ -127,10 +127,19 @@ def statement_audit(f):
 
 # ------------------------------------------------------------------ exchange CSV files
 
-def _file(rows: DataFrame, name: Column, header: Column, line: Column, by: list[str], order: str) -> DataFrame:
-    """One CSV text per group: the header, then the lines in order."""
-    lines = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))), lambda r: r["t"])
-    return rows.groupBy(*by).agg(lines.alias("_lines"), F.first(header).alias("_head")).select(
+#: Lines that one text may hold.
+TEXT_LINES = 1000
+
+
+def _file(rows: DataFrame, name: Column, header: Column, line: Column, by: list[str], number: Column) -> DataFrame:
+    """CSV texts: the header, then the lines in the order of their ``number``, from 1 within ``by``.
+
+    A file of more lines comes in several texts of its name, each with the header, so that no row
+    grows with the file.
+    """
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(F.col("_number").alias("o"), line.alias("t")))), lambda r: r["t"])
+    cut = rows.withColumn("_number", number).withColumn("_part", F.floor((F.col("_number") - 1) / TEXT_LINES))
+    return cut.groupBy(*by, "_part").agg(lines.alias("_lines"), F.first(header).alias("_head")).select(
         name.alias("file"), F.concat_ws("\n", F.col("_head"), F.col("_lines")).alias("text"))
 
 
@@ -144,7 +153,7 @@ def quote_texts(f) -> DataFrame:
                                 F.col("low").cast("string"), F.col("close").cast("string")),
                     F.when(wide, "," * 44).otherwise(""), F.lit(","), F.col("volume").cast("string"), F.lit(","), F.col("settle").cast("string"))
     return _file(q, F.concat("exchange", F.lit("_"), F.date_format("trade_date", "yyyyMMdd"), F.lit(".csv")), head, line,
-                 ["exchange", "trade_date"], "contract_code")
+                 ["exchange", "trade_date"], F.row_number().over(Window.partitionBy("exchange", "trade_date").orderBy("contract_code")))
 
 
 QUOTES_SQL = """
@@ -181,8 +190,8 @@ SELECT strftime(trade_date, '%Y%m%d') || '.csv' AS file, trade_date, contract_co
 def csv_member_positions(f):
     line = F.concat_ws(",", F.date_format("trade_date", "yyyyMMdd"), "contract_code", "member_name", F.col("long_volume").cast("string"),
                        F.col("short_volume").cast("string"))
-    texts = _file(f.positions.withColumn("_o", F.struct("contract_code", "rank")), F.concat(F.date_format("trade_date", "yyyyMMdd"), F.lit(".csv")),
-                  F.lit("交易日,合约代码,会员简称,多头持仓,空头持仓"), line, ["trade_date"], "_o")
+    texts = _file(f.positions, F.concat(F.date_format("trade_date", "yyyyMMdd"), F.lit(".csv")),
+                  F.lit("交易日,合约代码,会员简称,多头持仓,空头持仓"), line, ["trade_date", "contract_code"], F.col("rank"))
     return csv_quotes.parse_positions(texts).select("file", "trade_date", "instrument_id", "member_name", "long_volume", "short_volume", "net_position")
 
 

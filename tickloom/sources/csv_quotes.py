@@ -41,20 +41,28 @@ POSITION_NUMERIC = ["long_volume", "short_volume", "long_change", "short_change"
 MARK = "\ufdd0"
 
 
-def _cells(line: Column) -> Column:
-    """CSV line of any width to an array of trimmed cells; quotes are removed, empty cells are null.
+def _cut(line: Column) -> Column:
+    """CSV line of any width to an array of cells as they stand.
 
     A comma with an even number of quotes behind it separates cells: the line is cut at its quotes,
     and every second piece, counted from the end, has its commas marked.
     """
-    def bare(cell):
-        cell = F.trim(cell)
-        inner = F.regexp_replace(F.regexp_extract(cell, r'(?s)^"(.*)"$', 1), '""', '"')
-        return F.nullif(F.trim(F.when(cell.rlike(r'(?s)^".*"$'), inner).otherwise(cell)), F.lit(""))
-
     from_end = F.reverse(F.split(line, '"'))
     marked = F.transform(from_end, lambda x, i: F.when(i % 2 == 0, F.translate(x, ",", MARK)).otherwise(x))
-    return F.transform(F.split(F.array_join(F.reverse(marked), '"'), MARK), bare)
+    return F.when(line.contains('"') | line.contains(MARK), F.split(F.array_join(F.reverse(marked), '"'), MARK)).otherwise(F.split(line, ","))
+
+
+def _bare(cell: Column) -> Column:
+    """A cell trimmed and without its quotes; null if empty."""
+    cell = F.trim(cell)
+    inner = F.regexp_replace(F.regexp_extract(cell, r'(?s)^"(.*)"$', 1), '""', '"')
+    quoted = cell.startswith('"') & cell.rlike(r'(?s)^".*"$')
+    return F.nullif(F.trim(F.when(quoted, inner).otherwise(cell)), F.lit(""))
+
+
+def _cells(line: Column) -> Column:
+    """CSV line of any width to an array of trimmed cells; quotes are removed, empty cells are null."""
+    return F.transform(_cut(line), _bare)
 
 
 def _canonical(header: Column, mapping: dict[str, str], positional: bool) -> Column:
@@ -75,24 +83,36 @@ def _canonical(header: Column, mapping: dict[str, str], positional: bool) -> Col
 
 
 def _rows(texts: DataFrame, mapping: dict[str, str], positional: bool) -> DataFrame:
-    """The data lines of ``texts(file, text)`` as name -> value pairs; files may differ in their headers."""
+    """The data lines of ``texts(file, text)``, cut into cells; files may differ in their headers.
+
+    The header is looked up once per text, not per line, and no line carries its text along. A file
+    may come in several texts that each begin with its header.
+    """
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    t = texts.withColumn("_lines", lines).filter(F.size("_lines") > 0)
-    return _named(t.select("file", F.get("_lines", F.lit(0)).alias("header"), F.explode(
-        F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(1)))).alias("line")), mapping, positional)
+    t = texts.select("file", lines.alias("_lines"))
+    t = t.select("file", "_lines", _canonical(_cells(F.get("_lines", F.lit(0))), mapping, positional).alias("_names"))
+    data = F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(1)))
+    return t.select("file", _places(mapping).alias("_at"), data.alias("_data")) \
+            .select("file", "_at", F.explode_outer("_data").alias("_line")).filter(F.col("_line").isNotNull()) \
+            .select("file", "_at", _cut(F.col("_line")).alias("_cut"))
 
 
 def _named(lines: DataFrame, mapping: dict[str, str], positional: bool) -> DataFrame:
-    """``file, header, line`` to name -> value pairs."""
+    """``file, header, line`` cut into cells as ``_rows`` does."""
     names = _canonical(_cells(F.col("header")), mapping, positional)
-    pairs = F.arrays_zip(names.alias("name"), _cells(F.col("line")).alias("value"))
+    return lines.select("file", names.alias("_names"), _cut(F.col("line")).alias("_cut")) \
+                .select("file", _places(mapping).alias("_at"), "_cut")
+
+
+def _places(mapping: dict[str, str]) -> Column:
+    """Where each canonical name stands in ``_names``, from 1; 0 if nowhere."""
     # The first column of a name wins, as several wordings share one canonical name.
-    return lines.select("file", F.filter(pairs, lambda p: p["name"].isNotNull()).alias("_pairs"))
+    return F.struct(*[F.array_position("_names", n).cast("int").alias(n) for n in dict.fromkeys([*mapping.values(), *POSITIONAL])])
 
 
 def _field(name: str) -> Column:
-    hit = F.get(F.filter(F.col("_pairs"), lambda p: p["name"] == F.lit(name)), 0)["value"]
-    return hit
+    at = F.col(f"_at.{name}")
+    return _bare(F.get("_cut", F.when(at > 0, at - 1)))
 
 
 def _number(name: str) -> Column:
@@ -151,9 +171,17 @@ def read_positions(spark: SparkSession, path, product: str = "MO", pattern: str
     return parse_positions(read_texts(spark, path, pattern), product)
 
 
+def read_large_positions(spark: SparkSession, path, product: str = "MO", pattern: str | None = "*.csv") -> DataFrame:
+    """The rows of ``read_positions`` for files of any size: Spark cuts them at line ends."""
+    return _positions(_named(read_lines(spark, path, pattern), POSITION_HEADERS, positional=False), product)
+
+
 def parse_positions(texts: DataFrame, product: str = "MO") -> DataFrame:
     """Member rankings of ``texts(file, text)`` with the net position per row."""
-    rows = _rows(texts, POSITION_HEADERS, positional=False)
+    return _positions(_rows(texts, POSITION_HEADERS, positional=False), product)
+
+
+def _positions(rows: DataFrame, product: str) -> DataFrame:
     in_name = F.regexp_extract("file", r"(\d{8})", 1)
     return rows.select(
         "file", F.coalesce(normalize_date(_field("trade_date")), normalize_date(in_name)).alias("trade_date"),
