@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,8 +166,10 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-#: Micro-batches that a replay is cut into at least.
+#: Micro-batches that a replay is cut into.
 SLICES = 4
+#: Rows that a file of a replay holds, about.
+FILE_ROWS = 200_000
 
 
 def _drain(f, build, mode: str = "append"):
@@ -179,20 +182,31 @@ def _drain(f, build, mode: str = "append"):
     return f.spark.read.schema(out.schema).parquet(f"{work}/out")
 
 
+def _write_files(part: DataFrame, files: int, path: str, before: int) -> None:
+    """Adds ``part`` to a folder of ``before`` files as exactly ``files`` more. A task without rows
+    writes none, so empty ones fill up."""
+    spark = part.sparkSession
+    part.repartition(files, *part.columns).write.mode("append").parquet(path)
+    for _ in range(before + files - len(spark.read.schema(part.schema).parquet(path).inputFiles())):
+        spark.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(path)
+
+
 def _replayed(f, slices: int = SLICES):
-    """A stream of all events in the order of their time, one micro-batch per file; its work folder.
+    """A stream of all events in the order of their time, one micro-batch per slice; its work folder.
 
-    The files are written slice after slice, so that their age gives the order.
+    The files are written slice after slice, so that their age gives the order. Every slice has the
+    same number of files, as many as its rows ask for, so that writing and reading it is spread.
     """
     work = f"{shared_dir(f.spark)}/{uuid.uuid4().hex}"
     events = f.table("events").select(*EVENT_SCHEMA.names)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = events.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)])).first()[0] or []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+    total, cuts = events.agg(F.count(F.lit(1)), F.percentile_approx(at, [i / slices for i in range(1, slices)])).first()
+    files = max(1, total // (slices * FILE_ROWS))
+    for i, (low, high) in enumerate(zip([None, *(cuts or [])], [*(cuts or []), None], strict=True)):
         part = events if low is None else events.where(at > low)
         part = part if high is None else part.where(at <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{work}/in")
-    stream = tk.file_stream(f.spark, f"{work}/in", EVENT_SCHEMA, files_per_trigger=1)
+        _write_files(part, files, f"{work}/in", i * files)
+    stream = tk.file_stream(f.spark, f"{work}/in", EVENT_SCHEMA, files_per_trigger=files)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")), work
 
 
