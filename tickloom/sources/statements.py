@@ -69,21 +69,29 @@ def _extract(pattern: str) -> Column:
     return F.when(hit != "", F.trim(hit))
 
 
+def _built(texts: DataFrame) -> DataFrame:
+    """``texts(file, text)`` behind a generator of one row. Without it Spark puts the expression of a
+    derived text into every filter and pattern, and builds the text again for each of them."""
+    return texts.select("file", F.explode(F.array("text")).alias("text"))
+
+
 def summaries(texts: DataFrame) -> DataFrame:
     """Account summary per file; files without a client id or date yield no row."""
     start = _extract(r"(?<!\S)日期\s*Date[：:]\s*(\d{8})")
     end = _extract(r"(?<!\S)日期\s*Date[：:]\s*\d{8}-(\d{8})")
     client = _extract(r"客户号\s*Client\s*ID[：:]\s*(\S+)")
     account = _extract(r"资金账号[：:]\s*(\d+)")
-    money = [F.coalesce(S.clean_number(_extract(p + r"[：:]\s*(-?[\d,]+\.?\d*)"), None), F.lit(0.0)).alias(n)
+    # The filter looks at the results of the patterns, which are a generator's for the same reason.
+    found = _built(texts).select("file", "text", F.inline(F.array(F.struct(
+        client.alias("client_id"), account.alias("_account"), start.alias("_start"), end.alias("_end")))))
+    money = [F.coalesce(S.clean_number(F.regexp_extract("text", p + r"[：:]\s*(-?[\d,]+\.?\d*)", 1), None), F.lit(0.0)).alias(n)
              for n, p in SUMMARY_FIELDS.items()]
-    out = texts.select(
-        "file", client.alias("client_id"),
+    day = S.normalize_date("_start")
+    return found.filter(F.col("client_id").isNotNull() & day.isNotNull()).select(
+        "file", "client_id",
         _extract(r"客户名称\s*Client\s*Name[：:][ \t]*([^\n]+?)(?:[ \t]{2,}|[ \t]*日期|[ \t]*\n|[ \t]*$)").alias("client_name"),
-        F.coalesce(account, client).alias("account_id"), F.lit("CNY").alias("currency"),
-        S.normalize_date(start).alias("bill_date_start"),
-        S.normalize_date(F.coalesce(end, start)).alias("bill_date_end"), *money)
-    return out.filter(F.col("client_id").isNotNull() & F.col("bill_date_start").isNotNull())
+        F.coalesce("_account", "client_id").alias("account_id"), F.lit("CNY").alias("currency"),
+        day.alias("bill_date_start"), S.normalize_date(F.coalesce("_end", "_start")).alias("bill_date_end"), *money)
 
 
 def _section(name: str) -> Column:
@@ -92,13 +100,20 @@ def _section(name: str) -> Column:
     return F.regexp_extract("text", rf"(?s)(?:^|\n)[ \t]*{SECTION_TITLES[name]}[ \t]*\n(.*?)(?:{stops})", 1)
 
 
+def _split_row(line: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+
+
+def _lines(texts: DataFrame, section: str) -> DataFrame:
+    """``file, lines``: the pipe rows of a section, without rulings; null where there is no text."""
+    lines = F.filter(F.split(_section(section), "\n"), lambda x: F.ltrim(x).startswith("|") & ~x.contains("---"))
+    return _built(texts).select("file", F.explode(F.array(lines)).alias("lines"))
+
+
 def _table(texts: DataFrame, section: str) -> DataFrame:
-    """Pipe rows of a section as (file, cells); rulings are dropped, header rows kept out later."""
-    lines = F.filter(F.split(_section(section), "\n"),
-                     lambda x: F.ltrim(x).startswith("|") & ~x.contains("---"))
-    inner = F.regexp_replace(F.trim(F.col("line")), r"^\||\|$", "")
-    return texts.select("file", F.posexplode(lines).alias("row_no", "line")) \
-                .select("file", "row_no", F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells"))
+    """Pipe rows of a section as (file, cells); header rows are kept out later."""
+    return _lines(texts, section).select("file", F.posexplode("lines").alias("row_no", "line")) \
+                                 .select("file", "row_no", _split_row(F.col("line")).alias("cells"))
 
 
 def _typed(columns: list[str]) -> list[Column]:
@@ -119,19 +134,23 @@ def _typed(columns: list[str]) -> list[Column]:
     return out
 
 
-def _is_date(i: int) -> Column:
-    return F.coalesce(F.get("cells", F.lit(i)).rlike(r"^\d{8}"), F.lit(False))
+def _is_date(i: int, cells: Column | str = "cells") -> Column:
+    return F.coalesce(F.get(cells, F.lit(i)).rlike(r"^\d{8}"), F.lit(False))
 
 
 def transactions(texts: DataFrame) -> DataFrame:
-    """Executed trades, with the optional time and order-type columns of newer files."""
-    rows = _table(texts, "transactions")
-    header = F.transform("cells", lambda c: F.lower(c))
-    spot = rows.filter(~_is_date(0)).groupBy("file").agg(
-        F.max(F.array_position(F.transform(header, lambda h: h.contains("time") & ~h.contains("date")), F.lit(True))).alias("_time_at"),
-        F.max(F.array_position(F.transform(header, lambda h: h.contains("委托") | (h.contains("order") & h.contains("type"))),
-                               F.lit(True))).alias("_type_at"))
-    data = rows.filter(_is_date(0) & (F.size("cells") >= 15)).join(spot, "file", "left")
+    """Executed trades, with the optional time and order-type columns of newer files, which the
+    header rows of the same text name."""
+    def spot(test) -> Column:
+        at = F.transform("_heads", lambda row: F.array_position(F.transform(row, lambda c: test(F.lower(c))), F.lit(True)))
+        return F.array_max(at)
+
+    rows = _lines(texts, "transactions").select("file", F.explode(F.array(F.transform("lines", _split_row))).alias("_rows")) \
+        .withColumn("_heads", F.filter("_rows", lambda row: ~_is_date(0, row)))
+    spots = rows.select("file", "_rows", spot(lambda h: h.contains("time") & ~h.contains("date")).alias("_time_at"),
+                        spot(lambda h: h.contains("委托") | (h.contains("order") & h.contains("type"))).alias("_type_at"))
+    data = spots.select("file", "_time_at", "_type_at", F.posexplode("_rows").alias("row_no", "cells")) \
+                .filter(_is_date(0) & (F.size("cells") >= 15))
     at = F.get("cells", (F.coalesce("_time_at", F.lit(0)) - 1).cast("int"))
     kind = F.get("cells", (F.coalesce("_type_at", F.lit(0)) - 1).cast("int"))
     return data.select(
