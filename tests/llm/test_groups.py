@@ -224,6 +224,37 @@ def test_buckets_stream_in_any_blocks(rows, monkeypatch):
     assert list(line_dedup._bucket_rows(iter([]))) == []
 
 
+def test_unlike_lines_under_one_key_are_no_star():
+    """A large bucket falls into the groups that sketches connect; unlike lines make no pair."""
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    fp[200:] = fp[0] ^ (np.uint64(1) << rng.integers(0, 63, 100).astype(np.uint64))
+    a, b, more = line_dedup.bucket_pairs(np.zeros(300, np.int64), fp, np.arange(300), False)
+    assert {(int(x), int(y)) for x, y, m in zip(a, b, more, strict=True) if m} == {(i, 0) for i in range(200, 300)} and len(a) < 110
+
+
+@pytest.mark.parametrize("chars", [1 << 23, 0])
+def test_hidden_links_of_short_copies(spark, chars, monkeypatch):
+    """Many short copies of one line that the leader misses: blocks give a forest of links, and wide
+    leaders the same components by the prefix rule."""
+    monkeypatch.setattr(line_dedup, "BLOCK_CHARS", chars)
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abcdefghij") for _ in range(40))]
+    for _ in range(150):
+        x = list(lines[0])
+        for _ in range(rng.randint(1, 3)):
+            x[rng.choice([0, 1, 2, 3, 4, 35, 36, 37, 38, 39])] = rng.choice("klm")
+        lines.append("".join(x))
+    lines = list(dict.fromkeys(lines))
+    grams = [line_dedup.shingles(x) for x in lines]
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if line_dedup.jaccard(grams[i], grams[j]) >= 0.8]
+    pairs = spark.createDataFrame([(i, 0, True) for i in range(1, len(lines))], "a long, b long, more boolean")
+    links = [tuple(r) for r in line_dedup.verify(pairs, spark.createDataFrame(list(enumerate(lines)), "node long, line string")).collect()]
+    assert {tuple(sorted(x, reverse=True)) for x in links} <= set(near) and roots(len(lines), links) == roots(len(lines), near)
+    if chars:
+        assert len(links) < len(lines) < len(near)
+
+
 def test_packed_similarity_is_exact():
     rng = random.Random(3)
     memo = line_dedup.Names(line_dedup.packed, 10)
@@ -233,6 +264,13 @@ def test_packed_similarity_is_exact():
         assert line_dedup.similarity(x, y, memo) == line_dedup.jaccard(line_dedup.shingles(x), line_dedup.shingles(y))
 
 
+def test_packed_all():
+    for texts in (["ab", "abcdeabcde"], ["日本日本日本", "abcdef"], ["aaaaaaaa", "bcdefg", "abcdeabcdea"]):
+        for got, one in zip(line_dedup.packed_all(texts), texts, strict=True):
+            want = line_dedup.packed(one)
+            assert (got is None) == (want is None) and (want is None or got.tolist() == want.tolist())
+
+
 def test_signature_estimates_similarity():
     rng = random.Random(6)
     a = prose(rng, 80)

@@ -13,13 +13,18 @@ number) stays.
 
 Equal lines are merged first (128-bit hash), so a line in many documents is one row. In a bucket of
 at most ``SMALL`` lines under one key every pair whose sketches do not rule the threshold out is a
-candidate. A larger bucket never sends all its pairs: each line is compared with the bucket's smallest
-line (its leader), which links near copies in a star. Lines of the bucket that are then still in
-different components meet by the prefix rule: two lines at similarity 0.8 share at least 0.8 of each
+candidate. A larger bucket falls into the groups that such sketches connect, which are buckets of their
+own from then on (a piece of text that many unlike lines share makes no group). One that stays large
+never sends all its pairs: each line is compared with the bucket's smallest
+line (its leader), which links near copies in a star. Lines of a leader that are then still in
+different components are compared as one block: bits for the leader's shingles and for hashes of the
+others bound what two lines can share, and pairs that may be linked are verified until they are one
+component. Leaders with too many lines for a block use the prefix rule: two lines at similarity 0.8 share at least 0.8 of each
 one's shingles, so in any order of shingles they share one of the first 0.2 n + 1 of each. The order
 takes the shingles that the leader lacks first: what a template has in common is in the leader and
 becomes no key, and near copies of the leader that are one component meet nobody. The rule loses no
-pair of a bucket, and rows grow with the lines, not with their square. Buckets stream through their
+pair of a bucket, and rows grow with the lines, not with their square; the places of a shared shingle
+bound what two lines can share from there on. Buckets stream through their
 tasks; the joins are ordinary equi joins whose skewed keys Spark splits.
 
 Defined cases: a null or empty text has no lines; blank lines are never duplicates and stay; rows
@@ -54,6 +59,14 @@ ROWS = 5
 FEW = 40
 #: Lines of a bucket up to which its pairs are looked at one by one.
 SMALL = 64
+#: Lines of a bucket up to which it is split by sketches; a larger one streams as one star.
+WHOLE = 4096
+#: Bits for shingles that a leader lacks, where its lines are compared as a block.
+OTHER = 256
+#: Characters up to which the lines of a leader are one block.
+BLOCK_CHARS = 1 << 23
+#: Cells of band keys for each shuffle partition.
+CELLS = 16
 #: Rows of buckets that are looked at together.
 BLOCK_ROWS = 1 << 18
 #: Differing bits of two sketches of 64 up to which two lines of a small bucket are verified: at the
@@ -63,9 +76,11 @@ EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 def line_id(line: bytes) -> tuple[int, int]:
@@ -79,13 +94,14 @@ def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     padded = [t if len(t) >= SHINGLE else t.ljust(SHINGLE, "\0") for t in lines]
     size = np.array([len(t) for t in padded], np.int64)
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(len(code) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        h = h * np.uint64(0x100000001B3) + code[k:k + len(h)]
-    at = np.arange(len(h))
-    line = np.repeat(np.arange(len(lines)), size)[:len(h)]
-    whole = at + SHINGLE <= np.cumsum(size)[line]
-    return mix(h[whole]), line[whole]
+    h = code[:len(code) - SHINGLE + 1].copy()
+    for k in range(1, SHINGLE):
+        h *= np.uint64(0x100000001B3)
+        h += code[k:k + len(h)]
+    whole, ends = np.ones(len(h), bool), np.cumsum(size)[:-1]
+    for k in range(1, SHINGLE):
+        whole[ends - k] = False
+    return mix(h[whole]), np.repeat(np.arange(len(lines)), size - SHINGLE + 1)
 
 
 def signatures(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
@@ -122,12 +138,9 @@ def permuted(h: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
 def keys_of(sig: np.ndarray, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (a column per band) and one-bit sketches of signatures of one kind."""
     wide = sig.astype(np.uint64)
-    keys = np.empty((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
-        h = np.full(len(sig), np.uint64(b + 1 + kind * BANDS))
-        for r in range(ROWS):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + wide[:, b * ROWS + r])
-        keys[:, b] = h
+    keys = np.tile(np.arange(1 + kind * BANDS, 1 + (kind + 1) * BANDS, dtype=np.uint64), (len(sig), 1))
+    for r in range(ROWS):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + wide[:, r:BANDS * ROWS:ROWS])
     bits = (mix(wide) >> np.uint64(17)).astype(np.uint8) & 1
     return keys, np.packbits(bits, axis=1).view(np.uint64)[:, 0]
 
@@ -141,9 +154,9 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for kind, fits, make in ((0, size >= SIMILARITY * FEW, signatures), (1, size <= FEW, permuted)):
         some = np.flatnonzero(fits)
         if len(some):
-            pick = fits[line]
             number = np.cumsum(fits) - 1
-            key, sketch = keys_of(make(h[pick], number[line[pick]], len(some)), kind)
+            own = slice(None) if len(some) == len(lines) else fits[line]
+            key, sketch = keys_of(make(h[own], number[line[own]], len(some)), kind)
             keys.append(key.ravel())
             rows.append(np.repeat(some, BANDS))
             sketches.append(np.repeat(sketch, BANDS))
@@ -171,20 +184,47 @@ def _positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(line, pa.int64())], ["h", "g", "doc", "text_hash", "line"])
 
 
-def _band_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, fp, node`` rows of the different lines of each chunk."""
-    for batch in chunks(batches):
-        seen = {}
-        for text in raw_texts(batch):
-            for one in _lines(text):
-                if one.strip():
-                    seen[one] = None
-        lines = list(seen)
-        for at in range(0, len(lines), 512):  # few enough lines for the processor's caches
-            part = lines[at:at + 512]
-            key, row, sketch = band_keys([t.decode("utf-8", "replace") for t in part])
-            node = np.array([line_id(t)[0] for t in part], np.int64)
-            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "fp": sketch.view(np.int64), "node": node[row]})
+def band_rows(cells: int):
+    """``cell, rows`` of the different lines of each chunk: ``key, fp, node`` numbers, those of one cell
+    of the keys packed into one value."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            seen, found = {}, []
+            for text in raw_texts(batch):
+                for one in _lines(text):
+                    if one.strip():
+                        seen[one] = None
+            lines = list(seen)
+            for at in range(0, len(lines), 128):  # few enough lines for the processor's caches
+                part = lines[at:at + 128]
+                key, row, sketch = band_keys([t.decode("utf-8", "replace") for t in part])
+                node = np.array([line_id(t)[0] for t in part], np.int64)
+                found.append(np.stack([key.view(np.int64), sketch.view(np.int64), node[row]], axis=1))
+            if found:
+                rows = np.concatenate(found)
+                cell = (rows[:, 0].view(np.uint64) % np.uint64(cells)).astype(np.int32)
+                order = np.argsort(cell, kind="stable")
+                rows, cell = rows[order], cell[order]
+                start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                ends = (np.append(start, len(cell)) * rows.itemsize * 3).astype(np.int32)
+                packs = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[start]), packs], ["cell", "rows"])
+
+    return run
+
+
+def clusters(fp: np.ndarray) -> np.ndarray:
+    """For each sketch the first one that it reaches over steps of at most POSSIBLE bits."""
+    label, rest = np.empty(len(fp), np.int64), np.arange(len(fp))
+    while len(rest):
+        first, front, rest = rest[0], rest[:1], rest[1:]
+        label[first] = first
+        while len(front) and len(rest):
+            near = (np.bitwise_count(fp[front[:64], None] ^ fp[rest]) <= POSSIBLE).any(axis=0)
+            front = np.concatenate([front[64:], rest[near]])
+            label[rest[near]] = first
+            rest = rest[~near]
+    return label
 
 
 def bucket_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray,
@@ -193,27 +233,36 @@ def bucket_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray,
     from rows before and holds its leader first."""
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
+    order, group = np.arange(len(key)), np.repeat(start, size)
+    for s, n in zip(start[large:], size[large:], strict=True):
+        if SMALL < n <= WHOLE:
+            label = clusters(fp[s:s + n])
+            order[s:s + n] = s + np.argsort(label, kind="stable")
+            group[s:s + n] = s + np.sort(label)
+    fp, node = fp[order], node[order]
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(start, len(group)))
     star = size > SMALL
     star[0] |= large
     row = np.repeat(star, size)
     lead = np.repeat(start, size)
-    follow = np.flatnonzero(row & (np.arange(len(key)) > lead))
+    follow = np.flatnonzero(row & (node != node[lead]))
     left, right = [node[follow]], [node[lead[follow]]]
     at, lag = np.flatnonzero(~row), 1
     while len(at):
-        at = at[at + lag < len(key)]
-        at = at[key[at] == key[at + lag]]
+        at = at[at + lag < len(group)]
+        at = at[group[at] == group[at + lag]]
         hit = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= POSSIBLE]
-        left.append(node[hit + lag])
-        right.append(node[hit])
+        left.append(np.maximum(node[hit], node[hit + lag]))
+        right.append(np.minimum(node[hit], node[hit + lag]))
         lag += 1
     a, b = np.concatenate(left), np.concatenate(right)
     return a, b, np.arange(len(a)) < len(follow)
 
 
 def _bucket_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the buckets of one task, whose rows come sorted by key and node. The last bucket of a
-    block of rows waits for the next block, a large one with its leader only."""
+    """Pairs of the buckets of one task, whose rows come sorted by key. The last bucket of a block of
+    rows waits for the next block, one beyond WHOLE with its leader only."""
     none = np.empty(0, np.int64)
     held, large, waiting = [none] * 3, False, []
 
@@ -221,13 +270,22 @@ def _bucket_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal held, large, waiting
         key, fp, node = (np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held))
         waiting = []
+        if not len(key):
+            return None
+        # Most keys have one line; only the others are put in order.
+        same = key[1:] == key[:-1]
+        many = np.append(same, not last)
+        many[1:] |= same
+        many[0] |= large
+        key, fp, node = key[many], fp[many], node[many]
+        order = np.lexsort([node[large:], key[large:]]) + large
+        order = np.concatenate([np.arange(int(large)), order])
+        key, fp, node = key[order], fp[order], node[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, fp, node = key[fresh], fp[fresh], node[fresh]
-        if not len(key):
-            return None
         tail = len(key) if last else int(np.searchsorted(key, key[-1]))
-        goes_on = not last and (len(key) - tail > SMALL or (large and tail == 0))
+        goes_on = not last and (len(key) - tail > WHOLE or (large and tail == 0))
         upto = len(key) if goes_on else tail
         held = [x[tail:tail + 1] if goes_on else x[upto:] for x in (key, fp, node)]
         was, large = large, goes_on
@@ -247,10 +305,32 @@ def _bucket_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct ``a, b, more`` from ``rows(key, fp, node)``: pairs of small buckets, lines and leaders of
-    large ones (``more``)."""
-    return (rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_bucket_rows, "a long, b long, more boolean")
+def _cell_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the buckets of each cell; the packed rows come sorted by cell."""
+    def pairs(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(b"".join(packs), np.int64).reshape(-1, 3)
+        order = np.argsort(rows[:, 0])
+        return _bucket_rows(pa.RecordBatch.from_arrays([pa.array(rows[part, i]) for i in range(3)], ["key", "fp", "node"])
+                            for at in range(0, len(order), BLOCK_ROWS) for part in [order[at:at + BLOCK_ROWS]])
+
+    now, held = None, []
+    for batch in batches:
+        for cell, pack in zip(batch.column("cell").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            if cell != now and held:
+                yield from pairs(held)
+                held = []
+            now = cell
+            held.append(pack)
+    if held:
+        yield from pairs(held)
+
+
+def candidate_pairs(texts: DataFrame) -> DataFrame:
+    """Distinct ``a, b, more`` of the lines of ``texts(text)``: pairs of small buckets, lines and leaders of
+    large ones (``more``). A cell holds the buckets of some keys; it is what a task sorts at once."""
+    cells = CELLS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.mapInArrow(band_rows(cells), "cell int, rows binary")
+    return (rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_pairs, "a long, b long, more boolean")
             .groupBy("a", "b").agg(F.bool_or("more").alias("more")))
 
 
@@ -274,6 +354,23 @@ def packed(text: str) -> np.ndarray | None:
     return np.unique(out)
 
 
+def packed_all(texts: list[str]) -> list[np.ndarray | None]:
+    """``packed`` of each text, the numbers made for all at once."""
+    size = np.array([len(t) for t in texts])
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if (size < SHINGLE).any() or code.max(initial=0) >= 4096:
+        return [packed(t) for t in texts]
+    number = np.zeros(max(len(code) - SHINGLE + 1, 0), np.uint64)
+    for k in range(SHINGLE):
+        number = number << np.uint64(12) | code[k:k + len(number)]
+    out = []
+    for stop, n in zip(np.cumsum(size).tolist(), size.tolist(), strict=True):
+        own = np.sort(number[stop - n:stop - SHINGLE + 1])
+        fresh = own[1:] != own[:-1]
+        out.append(own if fresh.all() else own[np.concatenate([[True], fresh])])
+    return out
+
+
 def similarity(x: str, y: str, memo: Names) -> float:
     """Exact Jaccard similarity of two lines."""
     a, b = memo[x], memo[y]
@@ -281,17 +378,19 @@ def similarity(x: str, y: str, memo: Names) -> float:
         return jaccard(shingles(x), shingles(y))
     both = np.concatenate([a, b])
     both.sort()
-    shared = int((both[1:] == both[:-1]).sum())
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
     return shared / (len(both) - shared)
 
 
 def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = Names(packed, 20_000)
-    for batch in batches:
-        near = [similarity(x, y, memo) for x, y in
-                zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True)]
-        kept = [n for n in batch.schema.names if n not in ("line_a", "line_b")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(near, pa.float64())], [*kept, "near"])
+    for whole in chunks(batches, "line_a", 1 << 20):
+        for batch in chunks([whole], "line_b", 1 << 20):
+            left, right = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
+            texts, memo = list({*left, *right}), Names(packed)
+            memo.update(zip(texts, packed_all(texts), strict=True))
+            near = [similarity(x, y, memo) for x, y in zip(left, right, strict=True)]
+            kept = [n for n in batch.schema.names if n not in ("line_a", "line_b")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(near, pa.float64())], [*kept, "near"])
 
 
 def with_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -326,46 +425,135 @@ def hash_sets(lines: list[str]) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(line, np.arange(1, len(lines))))
 
 
+def sketches(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of sets of hashes: of their bins, and of true permutations up to FEW (else zero)."""
+    size = np.array([len(x) for x in own])
+    h, line = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+    binned, true = keys_of(signatures(h, line, len(own)))[1].view(np.int64), np.zeros(len(own), np.int64)
+    few = size <= FEW
+    if few.any():
+        pick, number = few[line], np.cumsum(few) - 1
+        true[few] = keys_of(permuted(h[pick], number[line[pick]], int(few.sum())))[1].view(np.int64)
+    return binned, true
+
+
 def _prefix_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, node, comp, open, n, fp``: a row per line of a leader and first shingle."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+    """``key, node, comp, open, n, at, fp, fq``: a row per line of a leader and first shingle, ``at`` its
+    place among the ``n`` of the line."""
+    for batch in chunks(batches, "line_a", 1 << 18):
+        for part in chunks([batch], "line_b", 1 << 18):
             own, lead = hash_sets(part.column("line_a").to_pylist()), hash_sets(part.column("line_b").to_pylist())
             first = [first_shingles(x, y) for x, y in zip(own, lead, strict=True)]
-            row = np.repeat(np.arange(len(first)), [len(f) for f in first])
+            count = np.array([len(f) for f in first])
+            row = np.repeat(np.arange(len(first)), count)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             leader = mix(part.column("b").to_numpy().view(np.uint64))
             pick, size = pa.array(row), np.array([len(x) for x in own], np.int32)
-            sketch = keys_of(signatures(np.concatenate(own), np.repeat(np.arange(len(own)), size), len(own)))[1].view(np.int64)
+            fp, fq = sketches(own)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(mix(np.concatenate(first) ^ leader[row]).view(np.int64)), part.column("a").take(pick),
-                 part.column("a_is").take(pick), part.column("open").take(pick), pa.array(size[row]), pa.array(sketch[row])],
-                ["key", "node", "comp", "open", "n", "fp"])
+                 part.column("a_is").take(pick), part.column("open").take(pick), pa.array(size[row]),
+                 pa.array(at.astype(np.int32)), pa.array(fp[row]), pa.array(fq[row])],
+                ["key", "node", "comp", "open", "n", "at", "fp", "fq"])
+
+
+def shared_bits(own: list[np.ndarray], leader: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each set of hashes (those of the leader, then OTHER for the rest) and how many of the rest
+    have no bit of their own: two sets share at most their common bits and the lesser of these counts."""
+    size = np.array([len(x) for x in own])
+    h, line = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+    place = np.minimum(np.searchsorted(leader, h), len(leader) - 1)
+    known = leader[place] == h
+    place = np.where(known, place, len(leader) + (h % np.uint64(OTHER)).astype(np.int64))
+    bits = np.zeros((len(own), -(-(len(leader) + OTHER) // 64) * 64), bool)
+    bits[line, place] = True
+    return np.packbits(bits, axis=1).view(np.uint64), size - bits.sum(axis=1)
+
+
+def block_links(node: list[int], comp: list[int], lines: list[str], leader: str) -> Iterator[tuple[int, int]]:
+    """Links that join the components of one leader's lines."""
+    *own, lead = hash_sets([*lines, leader])
+    size = np.array([len(x) for x in own])
+    bits, over = shared_bits(own, lead)
+    root, memo = {c: c for c in comp}, Names(packed)
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    now = np.array(comp)
+    for at in range(1, len(own)):
+        apart = np.flatnonzero((now[:at] != now[at]) & (size[:at] >= SIMILARITY * size[at] - 1e-9) & (size[at] >= SIMILARITY * size[:at] - 1e-9))
+        most = np.bitwise_count(bits[apart] & bits[at]).sum(axis=1, dtype=np.int64) + np.minimum(over[apart], over[at])
+        for to in apart[most >= SIMILARITY / (1 + SIMILARITY) * (size[apart] + size[at]) - 1e-6].tolist():
+            x, y = find(comp[at]), find(comp[to])
+            if x != y and similarity(lines[at], lines[to], memo) >= SIMILARITY:
+                root[max(x, y)] = min(x, y)
+                now[now == max(x, y)] = min(x, y)
+                yield node[at], node[to]
+
+
+def _block_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``a, b`` among the lines of each leader, which come sorted by leader."""
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, _, comp, lines, lead = map(list, zip(*rows, strict=True))
+        found = np.array(list(block_links(node, comp, lines, lead[0])), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    held = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_is", "line_a", "line_b")), strict=True):
+            if held and held[0][1] != row[1]:
+                yield from links(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from links(held)
 
 
-def prefix_rows(first: DataFrame, label: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows of lines of large buckets under leaders that have comparisons left: not all of a leader's
+def owed(first: DataFrame, label: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lines of large buckets, with texts, under leaders that have comparisons left: not all of a leader's
     lines are in its component."""
     of = [label.select(F.col("node").alias(n), F.col("component").alias(f"{n}_is")) for n in ("a", "b")]
     tagged = first.where("more").join(of[0], "a", "left").join(of[1], "b", "left") \
         .select("a", "b", F.coalesce("a_is", "a").alias("a_is"), F.coalesce("b_is", "b").alias("b_is")) \
         .withColumn("open", F.col("a_is") != F.col("b_is"))
-    owed = tagged.groupBy("b").agg(F.count_if("open").alias("n_open"), F.count(F.lit(1)).alias("n")).where("n_open > 0 and n > 1")
-    return (with_lines(tagged.join(owed.select("b"), "b", "left_semi"), lines).mapInArrow(_prefix_rows, "key long, node long, comp long, open boolean, n int, fp long"))
+    left = tagged.groupBy("b").agg(F.count_if("open").alias("n_open"), F.count(F.lit(1)).alias("n")).where("n_open > 0 and n > 1")
+    return with_lines(tagged.join(left.select("b"), "b", "left_semi"), lines)
+
+
+def hidden_links(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Links ``a, b`` between components of the lines of a leader in ``rows`` of ``owed``."""
+    wide = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line_a")).alias("chars"), F.max(F.length("line_b")).alias("lead")) \
+        .where((F.col("n") > WHOLE) | (F.col("chars") > BLOCK_CHARS) | (F.col("n") * F.col("lead") > BLOCK_CHARS)).select("b")
+    blocks = rows.join(wide, "b", "left_anti").select("a", "b", "a_is", "line_a", "line_b") \
+        .repartition("b").sortWithinPartitions("b", "a").mapInArrow(_block_rows, "a long, b long")
+    if wide.isEmpty():
+        return blocks
+    prefixes = save(rows.join(wide, "b", "left_semi").select("b", "a", "a_is", "b_is", "open", "line_a", "line_b").mapInArrow(
+        _prefix_rows, "key long, node long, comp long, open boolean, n int, at int, fp long, fq long"), "prefixes")
+    near = similarities(hidden_pairs(prefixes), lines).where(F.col("near") >= SIMILARITY)
+    return blocks.unionByName(near.select("a", "b"))
 
 
 def hidden_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct ``a, b`` in different components that share a key and whose sizes and sketches allow a
-    link; the sketch of a line with few shingles says too little to rule one out."""
+    """Distinct ``a, b`` in different components that share a key and whose sizes, places of the key and
+    sketches (of true permutations for two lines of few shingles) allow a link."""
     # A key whose lines are all of one component, as among copies of the leader, joins nothing.
     mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     rows = rows.join(mixed, "key", "left_semi")
-    x = rows.where("open").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("fp").alias("fa"))
-    y = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("fp").alias("fb"), F.col("open").alias("ob"))
-    fits = (F.col("ca") != F.col("cb")) & (F.col("na") >= SIMILARITY * F.col("nb") - 1e-9) & (F.col("nb") >= SIMILARITY * F.col("na") - 1e-9)
-    alike = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= POSSIBLE) | (F.least("na", "nb") < SIMILARITY * FEW)
-    return (x.join(y, "key").where(fits & alike & (~F.col("ob") | (F.col("a") < F.col("b"))))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "open", "n", "at", "fp", "fq")])
+            for side in ("x", "y"))
+    sizes = (F.col("n_x") >= SIMILARITY * F.col("n_y") - 1e-9) & (F.col("n_y") >= SIMILARITY * F.col("n_x") - 1e-9)
+    # Two lines share no shingle before the first key that they share.
+    shared = SIMILARITY / (1 + SIMILARITY) * (F.col("n_x") + F.col("n_y")) - 1e-6
+    places = (F.col("n_x") - F.col("at_x") >= shared) & (F.col("n_y") - F.col("at_y") >= shared)
+    differ = F.when(F.greatest("n_x", "n_y") <= FEW, F.col("fq_x").bitwiseXOR(F.col("fq_y"))).otherwise(F.col("fp_x").bitwiseXOR(F.col("fp_y")))
+    return (x.where("open_x").join(y, "key")
+            .where((F.col("comp_x") != F.col("comp_y")) & (~F.col("open_y") | (F.col("node_x") < F.col("node_y")))
+                   & sizes & places & (F.bit_count(differ) <= POSSIBLE))
+            .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
 
 
 def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -376,10 +564,9 @@ def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     stars = components(linked)
     label = save(stars, "label")
     drop(stars)
-    rows = save(prefix_rows(first, label, lines), "prefixes")
+    rows = save(owed(first, label, lines), "owed")
     free_shuffles(first.sparkSession)
-    second = similarities(hidden_pairs(rows), lines).where(F.col("near") >= SIMILARITY)
-    links = save(linked.unionByName(second.select("a", "b")), "links")
+    links = save(linked.unionByName(hidden_links(rows, lines)), "links")
     for done in (first, label, rows):
         drop(done)
     return links
@@ -390,7 +577,7 @@ def removals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own = documents(docs).where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     where = save(own.mapInArrow(_positions, "h long, g long, doc long, text_hash long, line long"), "lines")
-    found = save(candidate_pairs(own.select("text").mapInArrow(_band_rows, "key long, fp long, node long")), "candidates")
+    found = save(candidate_pairs(own.select("text")), "candidates")
     free_shuffles(spark)
     asked_for = (found.select(F.col("a").alias("h")).unionByName(found.select(F.col("b").alias("h"))).distinct()
                  .withColumn("wanted", F.lit(True)))
@@ -414,17 +601,14 @@ def removals(docs: DataFrame) -> DataFrame:
                                               zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)],
                                              ["h", "g", "line"])
 
-    # Repeated rows are merged where the join brings them together, so a line is fetched once.
-    members = save(own.groupBy("doc_id", "text_hash").agg(F.min("text").alias("text")).join(asked, ["doc_id", "text_hash"])
-                   .mapInArrow(fetch, "h long, g long, line string").withColumn("node", F.xxhash64("h", "g")), "members")
+    # A line is known by the half of its hash that the pairs hold; repeated rows give it once.
+    members = save(own.join(asked.hint("shuffle_hash"), ["doc_id", "text_hash"])
+                   .mapInArrow(fetch, "h long, g long, line string").dropDuplicates(["h", "g"])
+                   .select(F.col("h").alias("node"), "line"), "members")
     free_shuffles(spark)
-    of = members.select("h", "node")
-    pairs = (found.join(of.select(F.col("h").alias("a"), F.col("node").alias("x")), "a")
-             .join(of.select(F.col("h").alias("b"), F.col("node").alias("y")), "b")
-             .select(F.col("x").alias("a"), F.col("y").alias("b"), "more"))
-    links = verify(pairs, members)
+    links = verify(found, members)
     label = components(links)
-    classes = once.withColumn("node", F.xxhash64("h", "g")).join(label, "node", "left")
+    classes = once.withColumn("node", F.col("h")).join(label, "node", "left")
     # Components of one different line that occurs once lose nothing; leave them out early.
     classes = save(classes.where("n > 1 or component is not null")
                    .withColumn("class", F.coalesce("component", "node")).select("h", "g", "first", "class"), "named")
@@ -440,7 +624,7 @@ def removals(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns; of each component of near-duplicate lines one line stays."""
     gone = removals(docs).select(F.col("doc").alias("__tl_doc"), F.col("text_hash").alias("__tl_hash"), F.col("drop").alias("__tl_drop"))
-    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__tl_doc"))
+    joined = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("__tl_doc"))
                        & (F.xxhash64(F.col("text").cast("string")) == F.col("__tl_hash")), "left").drop("__tl_doc", "__tl_hash")
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,7 +651,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def line_report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` of every document after dedup of lines."""
-    lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    lines = F.when(F.length("text") > 0, breaks + 1).otherwise(0).cast("long")
     after = dedup_lines(documents(docs).withColumn("n_lines", F.coalesce(lines, F.lit(0).cast("long"))))
     kept = F.coalesce(lines, F.lit(0).cast("long"))
     return after.select("doc_id", "n_lines", (F.col("n_lines") - kept).alias("n_removed"),
