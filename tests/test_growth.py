@@ -1,11 +1,13 @@
 """Work that must not grow faster than its input: texts, files of a replay, parsed statements."""
 
+import re
+from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.plans import files, streams
+from tickloom.plans import bindings, files, market, streams
 from tickloom.plans.bindings import Frames
 from tickloom.sources import csv_quotes, statements
 
@@ -78,3 +80,44 @@ def test_derived_statement_texts_are_built_once(spark):
         [(f"{i}.txt", "C1", "2024-01-02", 1000.5) for i in range(2)]
     assert [(r.file, r.instrument, r.trade_time, r.volume) for r in statements.transactions(texts).sort("file").collect()] == \
         [(f"{i}.txt", "IC2406", "10:15:20", 2) for i in range(2)]
+
+
+LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, " \
+        "l_linestatus string, l_shipdate timestamp_ntz"
+
+
+@pytest.fixture
+def facts(spark, tmp_path, monkeypatch):
+    """Tables with 400 rows of facts, so that 10 rows for each task ask for 40 tasks."""
+    monkeypatch.setattr(bindings, "TASK_ROWS", 10, raising=False)
+    start = datetime(2024, 1, 30)
+    lines = [(i, i % 9, i * 7 % 30, i % 4 + 1, float(i % 50 + 1), float(i), "OF"[i % 2], start + timedelta(days=i % 5)) for i in range(399)]
+    lines.append((399, 1, None, 1, 1.0, 1.0, "O", None))
+    tables = {"lineitem": (lines, LINES), "part": ([(k, f"B{k % 2}") for k in range(9)], "p_partkey long, p_brand string"),
+              "supplier": ([(k, k % 2, 1.0) for k in range(29)], "s_suppkey long, s_nationkey int, s_acctbal double"),
+              "nation": ([(0, "N0"), (1, "N1")], "n_nationkey int, n_name string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return Frames(spark, str(tmp_path)), lines
+
+
+def dealt(df):
+    """Keys of the shuffles whose number of tasks follows the rows."""
+    return sorted(re.sub(r"#\w+", "", k) for k in re.findall(r"RepartitionByExpression \[(.*?)\], 40\b", plan(df)))
+
+
+def test_position_tasks_follow_the_rows(facts):
+    frames, lines = facts
+    found = market.top_holders(frames)
+    assert dealt(found) == ["trade_date, p_brand, l_suppkey"]
+    volumes = defaultdict(int)
+    for _, part, member, _, q, _, status, ts in lines:
+        for side, flag in (("long", "O"), ("short", "F")):
+            volumes[ts and ts.date().replace(day=1), f"B{part % 2}", side, member] += int(q) * (status == flag)
+    tops = defaultdict(list)
+    for (*key, _), v in volumes.items():
+        tops[tuple(key)].append(v)
+    got = defaultdict(list)
+    for r in found.sort("position").collect():
+        got[r.trade_date, r.contract_code, r.side].append(r.volume)
+    assert got == {k: sorted(v, reverse=True)[:20] for k, v in tops.items()}

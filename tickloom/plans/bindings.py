@@ -16,6 +16,8 @@ from tickloom.operators import calendar as cal
 from tickloom.session import staged
 
 MONEY = "decimal(18,2)"
+#: Rows of a fact table that one task groups or scans, about.
+TASK_ROWS = 500_000
 
 
 def dec(c, kind: str = MONEY) -> Column:
@@ -36,6 +38,17 @@ class Frames:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def _tasks(self) -> int:
+        """Tasks that the rows of the fact table ask for; counting them reads the file footers only."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.table("lineitem").count() // TASK_ROWS))
+
+    def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """Rows of the fact table, or fewer, dealt by ``keys`` so that more input gives more tasks and
+        not larger ones: a group by these keys neither keeps a map of a whole input split before the
+        shuffle, nor one of as many rows as fit the size to which adaptive execution merges after it."""
+        return rows.repartition(self._tasks, *keys)
+
     # ---------------------------------------------------------------- quotes
     @cached_property
     def ticks(self) -> DataFrame:
@@ -98,7 +111,8 @@ class Frames:
             F.to_date(F.trunc("l_shipdate", "month")).alias("trade_date"))
         p = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
         kind = F.col("l_suppkey") % 4
-        g = l.join(p, "l_partkey").groupBy("trade_date", "p_brand", "l_suppkey").agg(
+        keys = ["trade_date", "p_brand", "l_suppkey"]
+        g = self.dealt(l.join(p, "l_partkey"), *keys).groupBy(*keys).agg(
             F.sum(F.when(F.col("l_linestatus") == "O", F.col("q")).otherwise(0)).alias("long_volume"),
             F.sum(F.when(F.col("l_linestatus") == "F", F.col("q")).otherwise(0)).alias("short_volume"))
         g = g.select(
