@@ -121,3 +121,22 @@ def test_position_tasks_follow_the_rows(facts):
     for r in found.sort("position").collect():
         got[r.trade_date, r.contract_code, r.side].append(r.volume)
     assert got == {k: sorted(v, reverse=True)[:20] for k, v in tops.items()}
+
+
+def test_daily_stats_tasks_follow_the_rows(facts):
+    frames, lines = facts
+    found = market.daily_market_stats(frames)
+    assert dealt(found) == ["contract_code", "contract_code", "l_suppkey, trade_date"]
+    days = defaultdict(lambda: [0, 0])
+    for _, _, supplier, n, q, _, _, ts in lines:
+        if supplier is not None and supplier < 29:
+            days[supplier, ts.date()][0] += int(q)
+            days[supplier, ts.date()][1] += n
+    want = defaultdict(lambda: [0, 0, 0, 0])
+    last = {}
+    for (supplier, day), (volume, interest) in sorted(days.items()):
+        change = interest - last.get(supplier, interest)
+        last[supplier] = interest
+        want[f"N{supplier % 2}", day] = [a + b for a, b in zip(want[f"N{supplier % 2}", day], (volume, interest, change, 1), strict=True)]
+    assert {(r.product_code, r.trade_date): [r.total_volume, r.total_open_interest, r.total_oi_change or 0, r.contract_count]
+            for r in found.collect()} == want

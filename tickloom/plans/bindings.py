@@ -68,15 +68,17 @@ class Frames:
     def daily_quotes(self) -> DataFrame:
         p = F.col("l_extendedprice") / F.col("l_quantity")
         qty = F.col("l_quantity").cast("bigint")
-        return self.table("lineitem").groupBy(
-            F.concat(F.lit("EX"), (F.col("l_suppkey") % 5).cast("string")).alias("exchange"),
-            F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("contract_code"),
-            F.to_date("l_shipdate").alias("trade_date")).agg(
+        rows = self.table("lineitem").withColumn("trade_date", F.to_date("l_shipdate"))
+        g = self.dealt(rows, "l_suppkey", "trade_date").groupBy("l_suppkey", "trade_date").agg(
             ((F.max(p) + F.min(p)) / 2).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"),
             ratio_sum(dec("l_extendedprice"), qty).alias("close"),
             ((F.max(p) + F.min(p)) / 2).alias("settle"), F.sum(qty).alias("volume"),
             F.sum(dec("l_extendedprice")).cast("decimal(28,2)").alias("turnover"),
             F.sum(F.col("l_linenumber").cast("bigint")).alias("open_interest"))
+        return g.select(
+            F.concat(F.lit("EX"), (F.col("l_suppkey") % 5).cast("string")).alias("exchange"),
+            F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("contract_code"),
+            *[c for c in g.columns if c != "l_suppkey"])
 
     @cached_property
     def _life(self) -> DataFrame:
@@ -269,9 +271,17 @@ class Frames:
     @cached_property
     def catalog_quotes(self) -> DataFrame:
         """Daily quotes tagged with the series they belong to."""
-        dim = self.contracts.select("contract_code", "product_code")
-        return self.daily_quotes.join(dim, "contract_code") \
-                   .withColumn("catalog_id", F.concat_ws("/", "exchange", "product_code"))
+        return self._tagged(self.daily_quotes, self.contracts)
+
+    @cached_property
+    def contract_series(self) -> DataFrame:
+        """The same rows dealt by contract, for plans that go through the days of each contract."""
+        return self._tagged(self.dealt(self.daily_quotes, "contract_code"), self.dealt(self.contracts, "contract_code"))
+
+    def _tagged(self, quotes: DataFrame, contracts: DataFrame) -> DataFrame:
+        dim = contracts.select("contract_code", "product_code")
+        return quotes.join(dim, "contract_code") \
+                     .withColumn("catalog_id", F.concat_ws("/", "exchange", "product_code"))
 
     @cached_property
     def sync_tasks(self) -> DataFrame:

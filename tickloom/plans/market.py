@@ -99,7 +99,7 @@ SELECT product_code, trade_date, CAST(sum(volume) AS BIGINT) AS total_volume, ma
 FROM (SELECT *, open_interest - lag(open_interest) OVER (PARTITION BY contract_code ORDER BY trade_date) AS oi_change FROM catalog_quotes) q GROUP BY product_code, trade_date""")
 def daily_market_stats(f):
     before = F.lag("open_interest").over(Window.partitionBy("contract_code").orderBy("trade_date"))
-    rows = f.catalog_quotes.withColumn("oi_change", F.col("open_interest") - before)
+    rows = f.contract_series.withColumn("oi_change", F.col("open_interest") - before)
     return as_double(bars.daily_market_stats(rows, ["product_code", "trade_date"]), "total_turnover", "max_turnover", "min_turnover")
 
 
